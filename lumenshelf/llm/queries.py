@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, secrets, simhash, toxicity
+from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, webp
 from lumenshelf.llm.common import id_key, table
 
 
@@ -44,6 +44,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_bpe": op6_bpe,
+    "op7_webp": op7_webp,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
