@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, webp
+from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, repeats, secrets, simhash, toxicity, webp
 from lumenshelf.llm.common import id_key, table
 
 
@@ -33,6 +33,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_repeats": op5_repeats,
     "op6_bpe": op6_bpe,
     "op7_webp": op7_webp,
     "op8_simhash": op8_simhash,
