@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lumenshelf.registry import ORACLES, QUERIES, browse, search
+from lumenshelf.registry import ORACLES, QUERIES, browse, lifecycle, search
 
-__all__ = ["ORACLES", "QUERIES", "browse", "search"]
+__all__ = ["ORACLES", "QUERIES", "browse", "lifecycle", "search"]
