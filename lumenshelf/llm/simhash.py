@@ -55,9 +55,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Enough links among the fingerprints of one bucket to connect all that lie within the radius."""
-    parts = []
+    parts, bits = [], prints.view(np.uint64)  # of signed numbers numpy counts the bits of the magnitude
     for at in range(0, len(prints), 256):
-        near = np.bitwise_count(prints[at : at + 256, None] ^ prints[None, :]) <= radius
+        near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= radius
         i, j = np.nonzero(near)
         parts.append((i + at, j))
     i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
