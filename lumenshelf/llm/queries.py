@@ -30,7 +30,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = narrow.withColumns({"_idk": id_key(), "_sk": curriculum.source_key("source")})
     rows = keyed.join(plan, ["_sk", "_idk", "size"])
     first = F.when(F.col("copies") > 0, curriculum.position(F.lit(0)))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(first, 9).alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+
+
+def fill(k: int) -> str:
+    """One round that fills the gap left by the rounds before."""
+    before = "sum(CASE WHEN fits THEN whole ELSE 0 END) OVER (PARTITION BY source ORDER BY md5(idk), idk, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""gap{k} AS (SELECT *, rest - sum(CASE WHEN extra THEN whole ELSE 0 END) OVER (PARTITION BY source) AS gap FROM fill{k - 1}),
+fits{k} AS (SELECT *, NOT extra AND whole > 0 AND whole <= gap AS fits FROM gap{k}),
+fill{k} AS (SELECT * EXCLUDE (gap, fits, extra), extra OR (fits AND coalesce({before}, 0) + whole <= gap) AS extra FROM fits{k})"""
+
+
+MIX_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS idk, {WORDS} AS size FROM documents),
+sizes AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS pick FROM d GROUP BY source),
+caps AS (SELECT *, CAST(pick + 1 AS DOUBLE) AS w, 3e0 * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM sizes),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER ahead, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER ahead, 0)) AS level FROM caps WINDOW ahead AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, cap < w * level AS is_capped FROM levels),
+targets AS (SELECT source, source_size, pick, CASE WHEN is_capped THEN cap ELSE least(w * (total - coalesce(sum(cap) FILTER (WHERE is_capped) OVER (), 0)) / (sum(w) OVER () - coalesce(sum(w) FILTER (WHERE is_capped) OVER (), 0)), cap) END AS target FROM capped),
+places AS (SELECT source, idk, size, size * count(*) AS whole FROM d GROUP BY 1, 2, 3),
+placed AS (SELECT p.*, t.source_size, t.pick, t.target, CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 3) ELSE 0 END AS passes,
+ coalesce(sum(whole) OVER (PARTITION BY p.source ORDER BY md5(idk), idk, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM places p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source),
+rests AS (SELECT *, target - passes * source_size AS rest FROM placed),
+fill0 AS (SELECT *, whole > 0 AND before + whole <= rest AS extra FROM rests),
+{fill(1)},
+{fill(2)},
+plan AS (SELECT *, CAST(passes AS INT) + CAST(extra AS INT) AS copies FROM fill2),
+shares AS (SELECT *, CASE WHEN target > 0 THEN least(greatest((before + size / 2e0) / target, 0e0), 1e0) ELSE 0e0 END AS share FROM plan),
+wants AS (SELECT *, share * (pick + 1) AS want FROM shares)
+SELECT d.doc_id, d.size, CAST(p.source_size AS BIGINT) AS source_size, p.target, CAST(p.copies * d.size AS BIGINT) AS taken, p.copies,
+ CASE WHEN p.copies > 0 THEN round(CASE WHEN want <= 0 THEN 0e0 WHEN pick = 0 THEN 2 * want / (1.5e0 + sqrt(greatest(2.25e0 - 2 * want, 0e0))) WHEN pick = 1 THEN 2 * want / (2e0 + sqrt(4e0)) ELSE 2 * want / (2e0 + sqrt(4e0 + 4 * want)) END, 9) END AS first_position
+FROM d JOIN wants p ON p.source IS NOT DISTINCT FROM d.source AND p.idk = d.idk AND p.size = d.size"""
+
+EXACT_SQL = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.norm) AS text_sha256 FROM d JOIN g USING (norm)"""
+
+#: The other operators need byte, tree or model work that SQL lacks; their tests hold them to brute force.
+ORACLES: dict[str, str] = {"op3_exact_dedup": EXACT_SQL, "op4_mix_sources": MIX_SQL}
