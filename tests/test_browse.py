@@ -11,8 +11,9 @@ def cat(spark, sf_dir):
     return Catalog(spark, sf_dir)
 
 
-def test_there_are_48_fields_and_all_build(cat):
-    assert len(FIELDS) == len(set(FIELDS)) == 48
+def test_every_field_builds(cat):
+    """48 facets; the usage right is one of them and has four names here."""
+    assert len(FIELDS) == len(set(FIELDS)) == 48 + 3
     simple = {"media_type": "image", "format": "png", "license": "unknown", "source": "src1", "tag": "texture", "path": "en/", "folder": "en/src1/", "favorite": True}
     for name in FIELDS:
         f = by_field(name)[0] if by_field(name) else Filter(name, "gt", 5) if name == "size_bytes" else Filter(name, "eq", simple.get(name, True))
