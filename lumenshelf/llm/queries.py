@@ -64,6 +64,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(table(spark, sf_dir, "documents")).drop("_hash", "_declared", "_host")
 
 
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID with all of its evidence, on the web pages."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages")).drop("_hash", "_declared", "_host")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
+    "pages_language_id": pages_language_id,
 }
 
 WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
