@@ -94,7 +94,7 @@ EDIT_IDS = [2, 3, 4, 6, 8, 10, 50]
 query(
     "tag_edit_bulk",
     f"""SELECT i.id AS asset_id, count(*) FILTER (WHERE w.kind = 'add' AND NOT coalesce(x.state = 'confirmed' AND x.source = 'user', FALSE)) AS additions, count(*) FILTER (WHERE w.kind = 'remove' AND coalesce(x.source = 'user', FALSE)) AS removals
- FROM (SELECT unnest({EDIT_IDS}) AS id) i CROSS JOIN (VALUES ('texture', 'add'), ('brandnew', 'add'), ('music', 'remove'), ('prop', 'remove')) w(name, kind) LEFT JOIN tag t ON lower(t.name) = w.name LEFT JOIN asset_tag x ON x.asset_id = i.id AND x.tag_id = t.tag_id GROUP BY 1""",
+ FROM (SELECT CAST(unnest({EDIT_IDS}) AS BIGINT) AS id) i CROSS JOIN (VALUES ('texture', 'add'), ('brandnew', 'add'), ('music', 'remove'), ('prop', 'remove')) w(name, kind) LEFT JOIN tag t ON lower(t.name) = w.name LEFT JOIN asset_tag x ON x.asset_id = i.id AND x.tag_id = t.tag_id GROUP BY 1""",
 )(lambda c: review.edited(c.asset_tag, c.tag, EDIT_IDS, [" Texture", "BrandNew"], ["music", "prop"]))
 PATCHED = """SELECT id, license_id, TRUE AS commercial, modify, redistribute, attribution, CAST(NULL AS VARCHAR) AS holder, credit, CASE WHEN license_id IS NULL OR modify IS NULL OR redistribute IS NULL OR attribution IS NULL THEN 'unknown' WHEN NOT modify OR NOT redistribute THEN 'restricted' WHEN attribution THEN 'attribution' ELSE 'permissive' END AS license_status
  FROM asset WHERE id IN (1, 2, 3, 5, 8, 13, 16, 19, 21, 34) AND (commercial IS DISTINCT FROM TRUE OR holder IS NOT NULL)"""
@@ -162,7 +162,7 @@ def taken(c: Catalog) -> DataFrame:
 
 query("convert_plan", f"SELECT id, size_bytes, CASE WHEN k = 0 THEN base ELSE concat(stem, '-', k, '.ogg') END AS target, 'done' AS outcome FROM {PLAN}")(lambda c: exchange.convert_plan(c.asset, "ogg", taken(c), "suffix"))
 query("convert_plan_skip", f"SELECT id, size_bytes, CASE WHEN k = 0 THEN base END AS target, CASE WHEN k = 0 THEN 'done' ELSE 'collision' END AS outcome FROM {PLAN}")(lambda c: exchange.convert_plan(c.asset, "ogg", taken(c), "skip"))
-query("agg_convert_tally", f"SELECT count(*) FILTER (WHERE k = 0) AS done, count(*) FILTER (WHERE k > 0) AS failed, 0 AS collisions, coalesce(sum(size_bytes) FILTER (WHERE k = 0), 0)::BIGINT AS bytes FROM {PLAN}")(lambda c: exchange.convert_tally(exchange.convert_plan(c.asset, "ogg", taken(c), "fail")))
+query("agg_convert_tally", f"SELECT count(*) FILTER (WHERE k = 0) AS done, count(*) FILTER (WHERE k > 0) AS failed, CAST(0 AS BIGINT) AS collisions, coalesce(sum(size_bytes) FILTER (WHERE k = 0), 0)::BIGINT AS bytes FROM {PLAN}")(lambda c: exchange.convert_tally(exchange.convert_plan(c.asset, "ogg", taken(c), "fail")))
 
 
 def peers(c: Catalog) -> list[DataFrame]:
