@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
+
 TEXT_DIMENSIONS, LEAST_TOKEN_BYTES = 256, 3
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -108,7 +110,7 @@ def text_vectors(rows: DataFrame, id_col: str = "id", text_col: str = "text") ->
             found = [(i, v) for i, t in zip(*[c.to_pylist() for c in batch.columns]) if (v := text_descriptor(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(["text-hash-v1"] * len(found), pa.string()), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "space_id", "vec"])
 
-    return rows.select(id_col, text_col).mapInArrow(run, "id long, space_id string, vec array<float>")
+    return map_arrow(rows.select(id_col, text_col), run, "id long, space_id string, vec array<float>")
 
 
 def image_features(gray: np.ndarray) -> tuple[int, list[float]]:

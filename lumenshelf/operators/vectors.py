@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.filters import BadRequest
 
 NEAR_COSINE = 0.92
@@ -77,7 +78,7 @@ def signatures(vectors: DataFrame, tables: int, bits: int, seed: int = 5) -> Dat
                 keys.append(((planes @ np.asarray(vec)) > 0).astype(np.int64) @ (1 << np.arange(bits)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["id", "space_id", "keys"])
 
-    return vectors.select("id", "space_id", "vec").mapInArrow(run, "id long, space_id string, keys array<long>")
+    return map_arrow(vectors.select("id", "space_id", "vec"), run, "id long, space_id string, keys array<long>")
 
 
 def nearest_by_hash(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 6) -> DataFrame:
@@ -149,7 +150,8 @@ def close_pairs(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int
             columns = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return met.select("rows", "more", (F.col("block") == F.col("other")).alias("same")).mapInArrow(run, "a long, b long").distinct()
+    inputs = met.select("rows", "more", (F.col("block") == F.col("other")).alias("same"))
+    return map_arrow(inputs, run, "a long, b long").distinct()
 
 
 def unit(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
