@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
+
 #: Rows of a narrow key table that may be sent to every executor. Larger tables are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -89,4 +91,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Any]], schema: str,
                 rows = [each(*values) for values in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(len(names))], schema=arrow)
 
-    return df.select(*inputs).mapInArrow(run, schema)
+    return map_arrow(df.select(*inputs), run, schema)

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.llm.common import cut, id_key, join_groups, map_rows, sized
 from lumenshelf.llm.graph import connected_components
 
@@ -82,7 +83,7 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
             a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return buckets.select("prints").mapInArrow(run, "a long, b long")
+    return map_arrow(buckets.select("prints"), run, "a long, b long")
 
 
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
@@ -106,7 +107,7 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
                 part = values[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(masks))), pa.array((part[:, None] ^ masks[None, :]).ravel())], ["fp", "value"])
 
-    balls = prints.select("fp").mapInArrow(run, "fp long, value long")
+    balls = map_arrow(prints.select("fp"), run, "fp long, value long")
     least = balls.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
     return balls.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 

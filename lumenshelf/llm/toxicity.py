@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.llm.common import cut, id_key, map_rows, sized
 
 #: Labelled rows that learning reads, chosen by a hash of the id (expected number).
@@ -104,7 +105,7 @@ def document_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame
                     sums[e] = sums.get(e, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["entry", "n"])
 
-    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return map_arrow(rows.select("text"), run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
