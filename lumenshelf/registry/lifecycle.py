@@ -13,7 +13,10 @@ from lumenshelf.registry.search import sql_spaces, spaces
 from lumenshelf.sources.fixtures import Catalog
 from lumenshelf.streaming import events
 
-N = F.count(F.lit(1)).alias("n")
+
+def n():
+    """A count of rows; made when asked for, since columns need a session."""
+    return F.count(F.lit(1)).alias("n")
 
 
 def listing(c: Catalog) -> DataFrame:
@@ -35,7 +38,7 @@ def upsert_asset(c: Catalog) -> DataFrame:
 
 
 OBSERVED = "id % 4 <> 1"
-query("scan_begin", "SELECT source_id, count(*) AS n, max(scanned_at) AS last_scan FROM asset GROUP BY 1")(lambda c: c.asset.groupBy("source_id").agg(N, F.max("scanned_at").alias("last_scan")))
+query("scan_begin", "SELECT source_id, count(*) AS n, max(scanned_at) AS last_scan FROM asset GROUP BY 1")(lambda c: c.asset.groupBy("source_id").agg(n(), F.max("scanned_at").alias("last_scan")))
 query("scan_observe", f"SELECT id, (flags & -2) AS flags FROM asset WHERE {OBSERVED}")(lambda c: c.asset.where(OBSERVED).select("id", F.col("flags").bitwiseAND(-2).alias("flags")))
 query("scan_finish", f"SELECT id, CASE WHEN source_id = 'src2' AND NOT ({OBSERVED}) THEN flags | 1 ELSE flags END AS flags FROM asset")(lambda c: ingest.mark_missing(c.asset, c.asset.where(OBSERVED), "src2", 7, 7))
 query("scan_finish_scoped", f"SELECT id, CASE WHEN source_id = 'src2' AND NOT ({OBSERVED}) AND starts_with(path, 'en/') THEN flags | 1 ELSE flags END AS flags FROM asset")(lambda c: ingest.mark_missing(c.asset, c.asset.where(OBSERVED), "src2", 7, 7, ["en"]))
@@ -63,7 +66,7 @@ NOT_PENDING = "NOT EXISTS (SELECT 1 FROM pending_ingest p WHERE p.source_id = as
 query("plan_due", f"SELECT id FROM asset WHERE analysis_version < 3 AND {NOT_PENDING}")(lambda c: ingest.due(c.asset, c.pending_ingest).select("id"))
 query("derivative_due", f"SELECT id FROM asset WHERE analysis_version < 3 AND media_type IN ('image', 'video', 'model') AND {NOT_PENDING}")(lambda c: ingest.derivatives_due(c.asset, c.pending_ingest).select("id"))
 query("page_plan", f"SELECT id FROM asset WHERE {NOT_PENDING} AND analysis_version < 3 AND (analysis_version > 1 OR (analysis_version = 1 AND (source_id > 'src3' OR (source_id = 'src3' AND id > 40)))) ORDER BY analysis_version, source_id, id LIMIT 200")(lambda c: ingest.plan_page(ingest.due(c.asset, c.pending_ingest), (1, "src3", 40), 200).select("id"))
-query("scan_batch", "SELECT source_id, CAST((id - id % 64) AS BIGINT) AS part, count(*) AS n FROM asset GROUP BY 1, 2")(lambda c: c.asset.groupBy("source_id", (F.col("id") - F.col("id") % 64).alias("part")).agg(N))
+query("scan_batch", "SELECT source_id, CAST((id - id % 64) AS BIGINT) AS part, count(*) AS n FROM asset GROUP BY 1, 2")(lambda c: c.asset.groupBy("source_id", (F.col("id") - F.col("id") % 64).alias("part")).agg(n()))
 query("analysis_batch", "SELECT id, CASE WHEN media_type = 'document' AND size_bytes IS NULL THEN 'no size' END AS error FROM asset")(lambda c: c.asset.select("id", F.when((F.col("media_type") == "document") & F.col("size_bytes").isNull(), "no size").alias("error")))
 query("remove_block", "SELECT id FROM asset WHERE content_hash <> (SELECT content_hash FROM asset WHERE id = 21)")(lambda c: ingest.removed(c.asset, 21, True)[0].select("id"))
 query("clear_analysis", "SELECT id, 0 AS analysis_version FROM asset")(lambda c: ingest.cleared(c.asset).select("id", "analysis_version"))

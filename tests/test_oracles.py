@@ -33,3 +33,14 @@ def test_registry():
 
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registry_needs_no_session():
+    """queries() and oracle_sql() are asked for before a session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
