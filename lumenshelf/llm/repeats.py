@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.llm.common import cut, map_rows, text_or_empty
 
 LENGTH = 200
@@ -27,6 +28,8 @@ KEYS = (32, 64, 128, 200)
 NAME_PASSAGES = 4096
 #: Bytes of passages in one index, and windows of a text that are named at a time.
 INDEX_BYTES, BLOCK = 1 << 20, 1 << 20
+#: Bytes of passages that a task indexes, one index after the other.
+TASK_BYTES = 16 << 20
 #: Between the passages of an index stands a byte that UTF-8 does not use.
 BORDER = b"\xff"
 
@@ -108,7 +111,7 @@ def passages(rows: DataFrame, length: int, size: int) -> DataFrame:
                 start, n, name, content = (np.concatenate(p) for p in parts)
                 yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name), pa.array(content)], ["id", "tk", "start", "n", "name", "content"])
 
-    return rows.select("id", "tk", "text").mapInArrow(run, PASSAGE)
+    return map_arrow(rows.select("id", "tk", "text"), run, PASSAGE)
 
 
 class RunIndex:
@@ -123,14 +126,16 @@ class RunIndex:
     def __init__(self, text: bytes, depth: int):
         n = len(text)
         self.n = n
-        order = np.argsort(words8(text), kind="stable")
-        ranks, width = [self.rank(words8(text)[order], order)], 8
-        while width < depth and len(np.unique(ranks[-1])) < n:
+        words = words8(text)
+        order = np.argsort(words)
+        ranks, width = [self.rank(words[order], order)], 8
+        # Ranks are all different once they add up to the sum of all places.
+        while width < depth and int(ranks[-1].sum(dtype=np.int64)) != n * (n - 1) // 2:
             last = ranks[-1].astype(np.int64)
             beyond = np.zeros(n, np.int64)
             beyond[: n - width if n > width else 0] = last[width:] + 1
             both = last * (n + 1) + beyond
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             ranks.append(self.rank(both[order], order))
             width *= 2
         self.ranks = ranks
@@ -149,7 +154,7 @@ class RunIndex:
         """Rank of each position: equal keys share one, the number of the last of them."""
         out = np.empty(len(order), np.int32)
         last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
-        out[order] = last[np.searchsorted(last, np.arange(len(order)))]
+        out[order] = np.repeat(last, np.diff(last, prepend=-1))
         return out
 
     def common(self, a: np.ndarray, b: np.ndarray, octets: np.ndarray) -> np.ndarray:
@@ -203,7 +208,7 @@ def repeated_windows(texts: list[bytes], length: int) -> Iterator[tuple[int, int
     yield from zip(of.tolist(), (heads - firsts[of]).tolist(), (ends - firsts[of]).tolist())
 
 
-def indexed_spans(rows: DataFrame, length: int) -> DataFrame:
+def indexed_spans(rows: DataFrame, length: int, tasks: int) -> DataFrame:
     """Repeated byte spans (id, tk, a, b) of rows (name, id, tk, start, solo, bytes), all passages of a
     name in one index. Indexes take whole names up to INDEX_BYTES, read in order of the name."""
 
@@ -230,8 +235,15 @@ def indexed_spans(rows: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*found)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tk", "a", "b"])
 
-    dealt = rows.repartition("name").sortWithinPartitions("name")
-    return dealt.select("name", "id", "tk", "start", "solo", "bytes").mapInArrow(run, "id long, tk long, a int, b int")
+    dealt = rows.repartition(tasks, "name").sortWithinPartitions("name")
+    return map_arrow(dealt.select("name", "id", "tk", "start", "solo", "bytes"), run, "id long, tk long, a int, b int")
+
+
+def index_tasks(wanted: DataFrame, length: int) -> int:
+    """Tasks for the indexes of the wanted passages: no fewer than other shuffles have, and as many as
+    keep TASK_BYTES to a task."""
+    size = wanted.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    return max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -249,7 +261,7 @@ def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["name", "id", "tk", "start", "n", "solo", "bytes"])
 
-    return joined.select("id", "tk", "text", "w").mapInArrow(run, "name long, id long, tk long, start int, n int, solo boolean, bytes binary")
+    return map_arrow(joined.select("id", "tk", "text", "w"), run, "name long, id long, tk long, start int, n int, solo boolean, bytes binary")
 
 
 def renamed(rows: DataFrame, length: int, size: int) -> DataFrame:
@@ -268,7 +280,7 @@ def renamed(rows: DataFrame, length: int, size: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["name", "id", "tk", "start", "n", "solo", "bytes", "content"])
 
-    return rows.select("name", "id", "tk", "start", "solo", "bytes").mapInArrow(run, "name long, id long, tk long, start int, n int, solo boolean, bytes binary, content long")
+    return map_arrow(rows.select("name", "id", "tk", "start", "solo", "bytes"), run, "name long, id long, tk long, start int, n int, solo boolean, bytes binary, content long")
 
 
 def whole(rows: DataFrame, length: int) -> DataFrame:
@@ -292,10 +304,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, name_passages: int = N
     wanted = contents.join(sizes, "name").select("name", "p.*", (F.col("times") == 1).alias("solo"), "passages")
     crowded_names = cut(sizes.where(F.col("passages") > name_passages).select("name"))
     if crowded_names.isEmpty():
-        spans.append(indexed_spans(cut_out(rows, wanted, length), length))
+        spans.append(indexed_spans(cut_out(rows, wanted, length), length, index_tasks(wanted, length)))
     else:
         held = cut(cut_out(rows, wanted, length))
-        spans.append(indexed_spans(held.join(crowded_names, "name", "left_anti"), length))
+        spans.append(indexed_spans(held.join(crowded_names, "name", "left_anti"), length, index_tasks(wanted, length)))
         spans += split_crowded(held.join(crowded_names, "name", "left_semi"), length, name_passages, keys[1:])
     return union(spans)
 
@@ -324,7 +336,8 @@ def split_crowded(rows: DataFrame, length: int, name_passages: int, keys: tuple[
         sizes = sizes.where("open = 1 AND passages > 1")
         first = contents.join(sizes, "name").select("name", F.col("p.id").alias("id"), F.col("p.tk").alias("tk"), F.col("p.start").alias("start"), F.col("p.n").alias("n"), (F.col("times") == 1).alias("solo"), "passages")
         kept = rows.drop("solo", "content").join(first, ["name", "id", "tk", "start", "n"])
-        spans.append(indexed_spans(kept.where(F.col("passages") <= name_passages), length))
+        fitting = kept.where(F.col("passages") <= name_passages)
+        spans.append(indexed_spans(fitting, length, index_tasks(fitting, length)))
         rows = kept.where(F.col("passages") > name_passages).drop("passages")
     return spans
 
