@@ -102,21 +102,29 @@ class Reader:
             first[k] = self.read(3)
         table = PrefixCode(first)
         left = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else size
+        # A symbol and its extra bits take 14 bits at most: the whole list is looked at as one number.
+        window, spent, mask = self.peek(14 * size), 0, (1 << table.bits) - 1
+        symbols, widths = table.symbol.tolist(), table.length.tolist()
         at, previous = 0, 8
         while at < size and left:
             left -= 1
-            symbol = self.symbol(table)
+            k = window >> spent & mask
+            symbol = symbols[k]
+            spent += widths[k]
             if symbol < 16:
-                lengths[at] = symbol
+                if symbol:
+                    lengths[at] = previous = symbol
                 at += 1
-                previous = symbol or previous
                 continue
             value, extra, least = ((previous, 2, 3), (0, 3, 3), (0, 7, 11))[symbol - 16]
-            n = least + self.read(extra)
+            n = least + (window >> spent & ((1 << extra) - 1))
+            spent += extra
             if at + n > size:
                 fail("code lengths run over")
-            lengths[at : at + n] = value
+            if value:
+                lengths[at : at + n] = value
             at += n
+        self.at += spent
         return lengths[:size]
 
     def number(self, prefix: int) -> int:
