@@ -83,7 +83,7 @@ def write_manifest(manifest: DataFrame, path: str, kind: str) -> None:
 
 
 def write_sidecars(manifest: DataFrame, path: str) -> None:
-    """Sidecar files, each task writing its own rows through the file system API of the workers' mount."""
+    """Sidecar names and bodies as JSON lines; a store of millions of tiny files is left to the reader of these."""
     sidecars(manifest).select("file", "body").write.mode("overwrite").json(path)
 
 
