@@ -79,19 +79,18 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     "tag": ("nation", "TRUE", {"tag_id": "CAST(n_nationkey AS BIGINT)", "name": "CASE n_nationkey WHEN 1 THEN 'Texture' WHEN 2 THEN 'music' WHEN 3 THEN 'prop' WHEN 4 THEN 'clip' WHEN 5 THEN 'document' WHEN 6 THEN 'sprite' ELSE lower(n_name) END"}),
     "collection": ("region", "TRUE", {"collection_id": "CAST(r_regionkey AS BIGINT)", "name": "r_name", "kind": "'manual'"}),
 }
-#: Views over other views, as SQL that both engines read.
+#: Views over other views, as SQL that both engines read; the views it reads stand in braces.
 DERIVED: dict[str, str] = {
-    "asset": f"SELECT *, {STATUS} AS license_status FROM (SELECT * FROM asset_docs UNION ALL SELECT * FROM asset_parts) AS both_kinds",
-    "asset_tag": "SELECT asset_id, tag_id, CASE (asset_id + tag_id) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suggested' ELSE 'rejected' END AS state, CASE WHEN asset_id % 2 = 0 THEN 'user' ELSE 'auto' END AS source, CAST(0.5e0 + (asset_id % 5) / 10e0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT asset_id, tag_id FROM (SELECT id AS asset_id, id * 7 % 25 AS tag_id FROM asset UNION ALL SELECT id, (id * 13 + 3) % 25 FROM asset UNION ALL SELECT id, (id * 3 + 1) % 9 FROM asset) AS picks) AS pairs",
-    "collection_member": "SELECT id % 5 AS collection_id, id AS asset_id, id * 31 % 1000 AS added_at FROM asset WHERE id % 3 = 0",
-    "source_table": "SELECT source_id, concat('Source ', substr(source_id, 4, 1)) AS name, 'local_fs' AS kind, concat('secret-', source_id) AS connection FROM (SELECT DISTINCT source_id FROM asset UNION ALL SELECT 'src99') AS ids",
-    "pending_ingest": "SELECT source_id, path, size_bytes AS size, modified_at AS mtime, CAST(id % 3 AS INT) AS revision, CASE WHEN id % 2 = 0 THEN NULL ELSE 1700000000000 + id % 50 END AS retry_after, CAST(id % 4 AS INT) AS attempts FROM asset WHERE id % 13 = 0",
-    "blocklist": "SELECT DISTINCT content_hash FROM asset WHERE id % 97 = 0",
-    "asset_note": "SELECT id AS asset_id, concat('note ', id % 10) AS body FROM asset WHERE id % 6 = 0",
+    "asset": f"SELECT *, {STATUS} AS license_status FROM (SELECT * FROM {{asset_docs}} UNION ALL SELECT * FROM {{asset_parts}}) AS both_kinds",
+    "asset_tag": "SELECT asset_id, tag_id, CASE (asset_id + tag_id) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suggested' ELSE 'rejected' END AS state, CASE WHEN asset_id % 2 = 0 THEN 'user' ELSE 'auto' END AS source, CAST(0.5e0 + (asset_id % 5) / 10e0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT asset_id, tag_id FROM (SELECT id AS asset_id, id * 7 % 25 AS tag_id FROM {asset} UNION ALL SELECT id, (id * 13 + 3) % 25 FROM {asset} UNION ALL SELECT id, (id * 3 + 1) % 9 FROM {asset}) AS picks) AS pairs",
+    "collection_member": "SELECT id % 5 AS collection_id, id AS asset_id, id * 31 % 1000 AS added_at FROM {asset} WHERE id % 3 = 0",
+    "source_table": "SELECT source_id, concat('Source ', substr(source_id, 4, 1)) AS name, 'local_fs' AS kind, concat('secret-', source_id) AS connection FROM (SELECT DISTINCT source_id FROM {asset} UNION ALL SELECT 'src99') AS ids",
+    "pending_ingest": "SELECT source_id, path, size_bytes AS size, modified_at AS mtime, CAST(id % 3 AS INT) AS revision, CASE WHEN id % 2 = 0 THEN NULL ELSE 1700000000000 + id % 50 END AS retry_after, CAST(id % 4 AS INT) AS attempts FROM {asset} WHERE id % 13 = 0",
+    "blocklist": "SELECT DISTINCT content_hash FROM {asset} WHERE id % 97 = 0",
+    "asset_note": "SELECT id AS asset_id, concat('note ', id % 10) AS body FROM {asset} WHERE id % 6 = 0",
 }
 
 
-
 class Catalog:
     """The catalogue's tables of one data folder, each a lazy DataFrame."""
 
@@ -116,11 +115,7 @@ class Catalog:
             return self.base(base).where(where).selectExpr(*picked)
         if name in DERIVED:
             sql = DERIVED[name]
-            parts = {t: getattr(self, t) for t in ("asset_docs", "asset_parts", "asset") if t in sql.replace("asset_tag", "").split("FROM", 1)[1] and t != name}
-            for table in parts:
-                sql = sql.replace(f"FROM {table} ", f"FROM {{{table}}} ").replace(f"FROM {table})", f"FROM {{{table}}})")
-                sql = sql[: -len(table)] + f"{{{table}}}" if sql.endswith(f"FROM {table}") else sql
-            return self.spark.sql(sql, **{t: d for t, d in parts.items() if f"{{{t}}}" in sql})
+            return self.spark.sql(sql, **{t: getattr(self, t) for t in ("asset_docs", "asset_parts", "asset") if f"{{{t}}}" in sql})
         return self.base(name)
 
 
@@ -135,7 +130,7 @@ def prelude() -> str:
     parts = []
     for name, (base, where, columns) in VIEWS.items():
         parts.append(f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {base} WHERE {where})")
-    parts += [f"{name} AS ({sql})" for name, sql in DERIVED.items()]
+    parts += [f"{name} AS ({sql.format(asset_docs='asset_docs', asset_parts='asset_parts', asset='asset')})" for name, sql in DERIVED.items()]
     return "WITH " + ",\n".join(parts)
 
 
