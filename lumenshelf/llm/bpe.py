@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from lumenshelf.llm.common import map_rows
 
 #: Pieces whose encodings a task keeps; when full it starts anew, so memory stays bounded.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 
 _WHITE_SPACE = regex.compile(r"\s+")
 

@@ -293,14 +293,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, name_passages: int = N
     inside a string of ``length`` bytes that also starts elsewhere."""
     found = passages(rows, length, keys[0])
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("times > 1")
-    shared = cut(found.join(names.select("name", (F.col("c0") == F.col("c1")).alias("uniform")), "name"))
+    # Cut, the names are shuffled by themselves, and adaptive execution can split a name with many passages.
+    names = cut(names.select("name", (F.col("c0") == F.col("c1")).alias("uniform")))
+    shared = cut(found.join(names, "name"))
     spans = [whole(shared.where("uniform"), length)]
 
     mixed = shared.where("NOT uniform")
     contents = cut(mixed.groupBy("name", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "tk", "start", "n")).alias("p")))
     spans.append(whole(mixed.join(contents.where("times > 1").select("name", "content"), ["name", "content"], "left_semi"), length))
     # Names whose passages all occur twice are settled.
-    sizes = contents.groupBy("name").agg(F.count(F.lit(1)).alias("passages"), F.max((F.col("times") == 1).cast("int")).alias("open")).where("open = 1")
+    sizes = cut(contents.groupBy("name").agg(F.count(F.lit(1)).alias("passages"), F.max((F.col("times") == 1).cast("int")).alias("open")).where("open = 1"))
     wanted = contents.join(sizes, "name").select("name", "p.*", (F.col("times") == 1).alias("solo"), "passages")
     crowded_names = cut(sizes.where(F.col("passages") > name_passages).select("name"))
     if crowded_names.isEmpty():
