@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 
 from lumenshelf.llm.common import map_rows
 
-#: Pieces whose encodings a task keeps; when full it starts anew, so memory stays bounded.
+#: Pieces whose encodings a task keeps, and as many older ones, of which those used again come back;
+#: the others go, so memory stays bounded.
 CACHE_PIECES = 120_000
 
-_WHITE_SPACE = regex.compile(r"\s+")
-
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1
@@ -36,58 +35,78 @@ class Vocabulary:
             spec = json.load(file)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"] or ""
+        end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        #: Ranks by pair of ids (a * size + b), and the id that the merge of each rank makes.
+        self.size = max(self.ids.values()) + 1
+        self.ranks = {self.ids[a] * self.size + self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.strings = {i: s for s, i in (self.ids | self.special).items()}
-        self.bytes = byte_characters()
+        #: Ids of each byte inside a piece and at its end.
+        self.inner = [self.ids[c] for c in byte_characters()]
+        self.last = [self.ids[c + end] for c in byte_characters()]
         self.cache: dict[str, tuple[list[int], str, str]] = {}
+        self.older: dict[str, tuple[list[int], str, str]] = {}
+
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Merge adjacent ids, lowest rank first and leftmost among equals, until none is left.
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merge adjacent symbols, lowest rank first and leftmost among equals, until none is left."""
-        n = len(symbols)
+        Queue entries are rank * n + place. ``pair`` holds the rank of the pair that begins at a place
+        now, so an entry with another rank is stale.
+        """
+        n, size = len(symbols), self.size
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive: list[str | None] = list(symbols)
-        ranks = self.ranks
-        queue = [(rank, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := ranks.get((a, b))) is not None]
+        rank_of, push, pop = self.ranks.get, heapq.heappush, heapq.heappop
+        pair = [rank_of(a * size + b, -1) for a, b in zip(symbols, symbols[1:])]
+        pair.append(-1)
+        queue = [rank * n + i for i, rank in enumerate(pair) if rank >= 0]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = right[i]
-            if alive[i] != a or j >= n or alive[j] != b:
+            rank, i = divmod(pop(queue), n)
+            if pair[i] != rank:
                 continue  # stale: a neighbour was merged since this entry was made
-            alive[i], alive[j] = a + b, None
-            right[i] = right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            for k, m in ((left[i], i), (i, right[i])):
-                if k >= 0 and m < n and (rank := ranks.get((alive[k], alive[m]))) is not None:
-                    heapq.heappush(queue, (rank, k, alive[k], alive[m]))
-        return [s for s in alive if s is not None]
+            j = right[i]
+            k = right[i] = right[j]
+            symbols[i] = merged = self.made[rank]
+            symbols[j] = pair[j] = -1
+            if k < n:
+                left[k] = i
+                pair[i] = rank = rank_of(merged * size + symbols[k], -1)
+                if rank >= 0:
+                    push(queue, rank * n + i)
+            else:
+                pair[i] = -1
+            h = left[i]
+            if h >= 0:
+                pair[h] = rank = rank_of(symbols[h] * size + merged, -1)
+                if rank >= 0:
+                    push(queue, rank * n + h)
+        return [s for s in symbols if s >= 0]
 
     def piece(self, text: str) -> tuple[list[int], str, str]:
         """Ids of one piece, the ids as decimals and the vocabulary strings, both joined by a space."""
-        got = self.cache.get(text)
+        got = self.older.pop(text, None)
         if got is None:
-            table = self.bytes
-            symbols = [table[b] for b in text.encode()]
-            symbols[-1] += self.end
-            found = [(self.ids[s], s) for s in self.merge(symbols) if s in self.ids]
-            got = ([i for i, _ in found], " ".join(str(i) for i, _ in found), " ".join(s for _, s in found))
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[text] = got
+            data = text.encode()
+            symbols = [self.inner[b] for b in data]
+            symbols[-1] = self.last[data[-1]]
+            found = self.merge(symbols)
+            got = (found, " ".join(map(str, found)), " ".join([self.strings[i] for i in found]))
+        if len(self.cache) >= CACHE_PIECES:
+            self.older = self.cache.copy()
+            self.cache.clear()
+        self.cache[text] = got
         return got
 
     def normalise(self, text: str) -> str:
-        """NFC, white space runs as one space, and lower case taken character by character."""
+        """NFC, and lower case taken character by character. The file also makes one space of each run of
+        white space, but no piece holds or looks at white space."""
         if not text.isascii() and not is_normalized("NFC", text):
             text = normalize("NFC", text)
-        text = _WHITE_SPACE.sub(" ", text)
         # str.lower gives a final sigma its own form, which depends on the neighbours.
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
@@ -153,9 +172,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         def one(doc, text):
             spans = words.spans(text or "")
-            full = [s for s in spans if s[0]]
-            ids, strings = " ".join([s[1] for s in full]), " ".join([s[2] for s in full])
-            return doc, sum([len(s[0]) for s in full]), sha256(ids.encode()).hexdigest(), sha256(strings.encode()).hexdigest()
+            lists, ids, strings = zip(*spans) if spans else ((), (), ())
+            return doc, sum(map(len, lists)), sha256(" ".join(ids).encode()).hexdigest(), sha256(" ".join(strings).encode()).hexdigest()
 
         return one
 

@@ -28,7 +28,8 @@ def test_like_the_library_on_random_texts(library):
 
 def test_merges_skip_stale_entries():
     words = bpe.vocabulary(vocabulary_path())
-    assert "".join(words.merge(list("aaaaaaaaab") + ["c</w>"])) == "aaaaaaaaabc</w>"
+    ids = words.merge([words.ids[c] for c in [*"aaaaaaaaab", "c</w>"]])
+    assert "".join(words.strings[i] for i in ids) == "aaaaaaaaabc</w>"
 
 
 def test_rows(make_docs, odd_rows, library):
@@ -48,5 +49,8 @@ def test_rows(make_docs, odd_rows, library):
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     words = bpe.Vocabulary(vocabulary_path())
-    words.encode(" ".join(f"w{k}" for k in range(50)))
-    assert len(words.cache) <= 5
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b for a in letters for b in letters) + " ab cd" * 20
+    ids = words.encode(text)
+    assert len(words.cache) <= 5 and len(words.older) <= 5
+    assert ids == tokenizers.Tokenizer.from_file(vocabulary_path()).encode(text, add_special_tokens=False).ids
