@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -122,12 +124,8 @@ def fused(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy("id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
-def close_pairs(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs (a < b) of one space and dimension with a cosine of at least ``least``, exactly.
-
-    Vectors are cut into blocks; each pair of blocks is one matrix product in a task, from which only
-    the close pairs come out.
-    """
+def paired_blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Each pair of blocks of a space and dimension once: rows, more (arrays of id and vec), and same."""
     shape = vectors.withColumn("dim", F.size("vec"))
     sizes = shape.groupBy("space_id", "dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
     placed = shape.join(sizes, ["space_id", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -135,39 +133,89 @@ def close_pairs(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int
     # Block i meets i, i + 1, ... so that each pair of blocks meets once.
     left = blocks.withColumn("other", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> x)"))).where("other >= block")
     met = left.join(blocks.select("space_id", "dim", F.col("block").alias("other"), F.col("rows").alias("more")), ["space_id", "dim", "other"])
+    return met.select("rows", "more", (F.col("block") == F.col("other")).alias("same"))
+
+
+def close_places(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of x and y with a cosine of at least ``least``, for a strip of x at a time."""
+    for at in range(0, len(x), 256):
+        a, b = np.nonzero(x[at : at + 256] @ y.T >= least - 1e-9)
+        yield a + at, b
+
+
+def close_pairs(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs (a < b) of one space and dimension with a cosine of at least ``least``, exactly.
+
+    Vectors are cut into blocks; each pair of blocks is one matrix product in a task, from which only
+    the close pairs come out.
+    """
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for one, two, same in zip(*[c.to_pylist() for c in batch.columns]):
-                i, x = unit(one)
-                j, y = unit(two)
-                for at in range(0, len(i), 256):
-                    a, b = np.nonzero(x[at : at + 256] @ y.T >= least - 1e-9)
-                    a += at
+            for k in range(batch.num_rows):
+                (i, x), (j, y), same = unit(batch.column(0)[k]), unit(batch.column(1)[k]), batch.column(2)[k].as_py()
+                for a, b in close_places(x, y, least):
                     keep = i[a] < j[b] if same else i[a] != j[b]
-                    out += zip(np.minimum(i[a], j[b])[keep].tolist(), np.maximum(i[a], j[b])[keep].tolist())
-            columns = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                    one, two = i[a][keep], j[b][keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
-    inputs = met.select("rows", "more", (F.col("block") == F.col("other")).alias("same"))
-    return map_arrow(inputs, run, "a long, b long").distinct()
+    return map_arrow(paired_blocks(vectors, block_rows), run, "a long, b long").distinct()
 
 
-def unit(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([r["id"] for r in rows], np.int64)
-    x = np.array([r["vec"] for r in rows], np.float64)
+def unit(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block; vectors without a norm are zero."""
+    rows = block.values
+    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    x = rows.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     norms = np.linalg.norm(x, axis=1, keepdims=True)
     return ids, np.where(norms**2 > EPSILON, x / np.maximum(norms, 1e-30), 0.0)
 
 
-def hashed_pairs(vectors: DataFrame, least: float = NEAR_COSINE, tables: int = 16, bits: int = 12) -> DataFrame:
-    """Close pairs among those that share a hash in some table: for spaces too large to compare whole."""
-    rows = signatures(vectors, tables, bits).select("id", "space_id", F.posexplode("keys").alias("table", "key"))
-    other = rows.select("space_id", "table", "key", F.col("id").alias("b"))
-    pairs = rows.withColumnRenamed("id", "a").join(other, ["space_id", "table", "key"]).where("a < b").select("a", "b").distinct()
-    scored = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b")
-    return scored.where(cosine(F.col("x"), F.col("y")) >= least).select("a", "b")
+def links_of_block(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, least id reached) that connect what the close pairs of two blocks connect, one per id at most."""
+    ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    p, q = place[: len(i)], place[len(i) :]
+    label = np.arange(len(ids))
+    for a, b in close_places(x, y, least):
+        a, b = p[a], q[b]
+        while (label[a] != label[b]).any():
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            # The labels themselves move too, so that a strip joins what earlier strips have linked.
+            for at in (a, b, label[a], label[b]):
+                np.minimum.at(new, at, low)
+            while (new != new[new]).any():
+                new = new[new]
+            label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def near_links(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) that connect exactly the ids which close_pairs connects, without listing its pairs.
+
+    Equal vectors of a space are one class: members are tied to the least id, and only that is compared,
+    by products of blocks as in close_pairs. A pair of blocks gives one link per id at most, so that
+    rows grow with the number of ids and blocks and not with the square of a group. A class with over a
+    thousandth of all rows is broadcast, since one key must not hold many rows of a join.
+    """
+    rows = vectors.select("id", "space_id", "vec")
+    classes = rows.groupBy("space_id", "vec").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    again = classes.where((F.col("n") > 1) & (cosine(F.col("vec"), F.col("vec")) >= least - 1e-9)).select("space_id", "vec", "head", "n")
+    heavy = F.broadcast(again.where(F.col("n") * 1000 > total).drop("n"))
+    light = again.where(F.col("n") * 1000 <= total).drop("n")
+    few = rows.join(heavy, ["space_id", "vec"], "left_anti")
+    copies = rows.join(heavy, ["space_id", "vec"]).unionByName(few.join(light, ["space_id", "vec"])).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = links_of_block(*unit(batch.column(0)[k]), *unit(batch.column(1)[k]), least)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    heads = classes.select(F.col("head").alias("id"), "space_id", "vec")
+    return copies.unionByName(map_arrow(paired_blocks(heads, block_rows), run, "a long, b long")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ LEAST = 0.4  # the fixture's vectors are less alike than the default threshold a
 PAIRS = f"{sql_spaces(3)}, pairs AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.space_id = y.space_id AND x.id < y.id AND list_cosine_similarity(x.vec, y.vec) >= {LEAST})"
 query("join_theta_cosine", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST))
 query("near_dup_components")(lambda c: vectors.near_groups(spaces(c, 3), vectors.close_pairs(spaces(c, 3), LEAST)))
-query("near_dup_ann")(lambda c: vectors.near_groups(spaces(c, 3), vectors.hashed_pairs(spaces(c, 3), LEAST)))
+query("near_dup_ann")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
 query("near_dup_window", f"{PAIRS.replace('FROM embeddings', 'FROM embeddings WHERE vec_id < 200')} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3).where("id < 200"), LEAST))
 query("near_review_id", f"{sql_spaces(3)} SELECT space_id, concat('near:', sha256(concat_ws('|', space_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)))) AS review_id FROM v WHERE id < 9 GROUP BY 1")(
     lambda c: spaces(c, 3).where("id < 9").groupBy("space_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("m")).select("space_id", F.concat(F.lit("near:"), F.sha2(F.concat_ws("|", "space_id", "m"), 256)).alias("review_id"))

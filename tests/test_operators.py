@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenshelf.functions import text as T
 from lumenshelf.operators import features, ingest, review, search, vectors
 from lumenshelf.operators.filters import BadRequest, Visibility, visible
+from lumenshelf.queries import QUERIES
+from lumenshelf.registry import search as registered
 from lumenshelf.sources.fixtures import Catalog
 from lumenshelf.streaming import events
 
@@ -84,6 +86,25 @@ def test_close_pairs_are_exact(spark, block):
     assert {p for p in got ^ want if abs(sims[p] - 0.9) > 1e-5} == set()
 
 
+@pytest.mark.parametrize("block", [1024, 37])
+def test_near_links_lose_no_pair(spark, block):
+    """Far-apart vectors at a low threshold, copies and vectors without a norm among them."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 64))
+    x[300:340], x[340:350] = x[7], 0.0
+    rows = spark.createDataFrame([(i, f"s{i % 2}", [float(v) for v in r]) for i, r in enumerate(x)], "id long, space_id string, vec array<float>")
+    links = vectors.near_links(rows, 0.35, block)
+    assert links.count() <= 400 * (1 + 400 // block)
+    roots = lambda pairs: {r["id"]: r["root"] for r in vectors.components(pairs).collect()}
+    assert roots(links) == roots(vectors.close_pairs(rows, 0.35))
+
+
+def test_registered_near_duplicates_lose_no_pair(spark, sf_dir):
+    rows = registered.spaces(Catalog(spark, sf_dir), 3)
+    want = vectors.near_groups(rows, vectors.close_pairs(rows, registered.LEAST)).collect()
+    assert want and sorted(QUERIES["near_dup_ann"](spark, sf_dir).collect()) == sorted(want)
+
+
 def test_approximate_neighbours_recall(spark):
     x, rows = vector_rows(spark, n=600)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
