@@ -65,36 +65,43 @@ def nearest_to_asset(vectors: DataFrame, asset: int, k: int, keep: DataFrame | N
     return nearest(rows, seed["vec"], k, seed["space_id"])
 
 
-def hyperplanes(dim: int, tables: int, bits: int, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+def nearest_by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k neighbours of many queries (qid, space_id, vec), exactly, by score then id: qid, id, score, rank.
 
+    Every query meets every row of its space and dimension but the one with its own id. A block of
+    queries against a block of rows is one matrix product in a task, from which the k best come out.
+    """
 
-def signatures(vectors: DataFrame, tables: int, bits: int, seed: int = 5) -> DataFrame:
-    """id, space_id and one hash per table: the signs of products with random planes."""
+    def blocks(rows: DataFrame, key: str) -> DataFrame:
+        shape = rows.select(F.col(key).alias("id"), "space_id", "vec", F.size("vec").alias("dim"))
+        sizes = shape.groupBy("space_id", "dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
+        placed = shape.join(sizes, ["space_id", "dim"]).withColumn(f"{key}_block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return placed.groupBy("space_id", "dim", f"{key}_block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(f"{key}_rows"))
 
     def run(batches):
         for batch in batches:
-            keys = []
-            for vec in batch.column(2).to_pylist():
-                planes = hyperplanes(len(vec), tables, bits, seed)
-                keys.append(((planes @ np.asarray(vec)) > 0).astype(np.int64) @ (1 << np.arange(bits)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["id", "space_id", "keys"])
-
-    return map_arrow(vectors.select("id", "space_id", "vec"), run, "id long, space_id string, keys array<long>")
-
-
-def nearest_by_hash(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 6) -> DataFrame:
-    """Approximate neighbours of many queries (qid, space_id, vec): rows that share a hash in some
-    table, reranked exactly. Every row is indexed; recall is measured in the tests."""
-    rows = signatures(vectors, tables, bits).select("id", "space_id", F.posexplode("keys").alias("table", "key"))
-    asked = signatures(queries.withColumnRenamed("qid", "id"), tables, bits).select(F.col("id").alias("qid"), "space_id", F.posexplode("keys").alias("table", "key"))
-    pairs = asked.join(rows, ["space_id", "table", "key"]).where("qid <> id").select("qid", "id").distinct()
-    scored = pairs.join(queries.select("qid", F.col("vec").alias("q")), "qid").join(vectors.select("id", "vec"), "id")
-    scored = scored.select("qid", "id", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("score"))
+            for at in range(batch.num_rows):
+                (i, x), (j, y) = unit(batch.column(0)[at]), unit(batch.column(1)[at])
+                scores = np.round(x @ y.T, 6)
+                scores[i[:, None] == j[None, :]] = -np.inf
+                # Rows are in order of id, and a stable sort keeps that among equal scores.
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, best, 1).ravel()
+                kept = found > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])[kept]), pa.array(j[best.ravel()][kept]), pa.array(found[kept])], ["qid", "id", "score"])
+
+    # Pairs of blocks are dealt to tasks by both, so that one space does not end in one task.
+    met = blocks(queries, "qid").join(blocks(vectors, "id"), ["space_id", "dim"]).repartition("space_id", "dim", "qid_block", "id_block")
+    scored = map_arrow(met.select("qid_rows", "id_rows"), run, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def nearest_by_hash(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The former name of nearest_by_blocks, when hashes chose what a query met."""
+    return nearest_by_blocks(vectors, queries, k)
+
+
 def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
     """Base vectors with a journal (id, space_id, vec, seq, op) on top: the last entry of a key wins."""
     last = delta.withColumn("_n", F.row_number().over(Window.partitionBy("id", "space_id").orderBy(F.desc("seq")))).where("_n = 1")

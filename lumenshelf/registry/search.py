@@ -101,7 +101,7 @@ def knn_by_vector(c: Catalog) -> DataFrame:
 
 
 query("topk_vector", f"{sql_spaces()}, s AS (SELECT * FROM v WHERE id = 5) SELECT v.id, {SCORE} FROM v, s WHERE v.id <> 5 ORDER BY score DESC, v.id LIMIT 64")(lambda c: vectors.nearest_to_asset(spaces(c), 5, 64))
-query("knn_ann")(lambda c: vectors.nearest_by_hash(spaces(c), spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
+query("knn_ann")(lambda c: vectors.nearest_by_blocks(spaces(c), spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
 
 
 @query("ann_overlay", f"{sql_spaces()} SELECT id, space_id FROM v WHERE id % 10 <> 3 OR id % 20 = 3 UNION ALL SELECT id + 1000000, space_id FROM v WHERE id % 100 = 0")

@@ -118,6 +118,27 @@ def test_approximate_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_registered_neighbours_are_exact(spark, sf_dir):
+    """Every query of the embeddings table has its ten best, ties by id."""
+    rows = registered.spaces(Catalog(spark, sf_dir)).orderBy("id").collect()
+    ids, x = np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        order = [j for j in np.lexsort((ids, -np.round(x @ x[q], 6))) if j != q][:10]
+        want |= {(int(ids[q]), int(ids[j]), rank) for rank, j in enumerate(order, 1)}
+    assert {(r["qid"], r["id"], r["rank"]) for r in QUERIES["knn_ann"](spark, sf_dir).collect()} == want
+
+
+def test_neighbours_over_many_blocks(spark):
+    """Copies tie, and small blocks give what one block gives; a space with few rows gives all of them."""
+    x, rows = vector_rows(spark, n=120)
+    rows = rows.unionByName(rows.where("id < 60").withColumn("id", F.col("id") + 1000)).unionByName(rows.where("id < 3").withColumns({"id": F.col("id") + 5000, "space_id": F.lit("small")}))
+    asked = rows.where("id % 10 = 0 OR id = 5001").withColumnRenamed("id", "qid")
+    whole, cut = ({tuple(r) for r in vectors.nearest_by_blocks(rows, asked, 7, n).collect()} for n in (1024, 13))
+    assert whole == cut and {r[1] for r in whole if r[0] == 5001} == {5000, 5002}
+
+
 def test_components_of_chains_and_a_hidden_bridge(spark):
     rnd = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(30), 100 + rnd.randrange(30)) for _ in range(25)]
