@@ -45,15 +45,9 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     vector has an odd product with v. The vectors of ``radius`` bits span less than the whole space,
     so some v has even products with all of them. Each mask holds half of the bits.
     """
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     return [signed(sum(1 << i for i in range(BITS) if (i & v).bit_count() % 2)) for v in range(1, 1 << (radius + 1))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp of each whole text; null counts as empty."""
-    return map_rows(docs, lambda: lambda doc, text: (doc, fingerprint(text)), f"{id_col} long, fp long", [id_col, text_col])
-
-
 def links_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Enough links among the fingerprints of one bucket to connect all that lie within the radius."""
     parts, bits = [], prints.view(np.uint64)  # of signed numbers numpy counts the bits of the magnitude
@@ -133,6 +127,26 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     return links.distinct()
 
 
+def placed_rows(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """One row per row: id, fp, hash (of the text), component_id, and keep: the least (no id, id, fp, hash)
+    of the component, which names the document that stays."""
+
+    def start():
+        return lambda doc, text: (doc, fingerprint(text), signed(xxhash.xxh64_intdigest((text or "").encode(), SEED)))
+
+    rows = cut(map_rows(docs, start, f"{id_col} long, fp long, hash long", [id_col, text_col]))
+    prints = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "hash")).alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = connected_components(near_links(prints.select("fp"), radius))
+    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    keeps = placed.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "fp", "least.hash")).alias("keep"))
+    classes = cut(placed.join(keeps, "root").select("fp", "n", F.col("keep.id").alias("component_id"), "keep"))
+    return join_groups(rows, classes, "fp", "n", rows.count(), F.col(id_col)).select(id_col, "fp", "hash", "component_id", "keep")
+
+
+def signed(value: int) -> int:
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row: id, fingerprint (16 hex digits), component_id, fp.
 
@@ -140,21 +154,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document itself included. Texts without words, null ones too, have fingerprint zero and link like
     any other. Null ids take part but never are a component's id unless it has no other.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
-    prints = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(near_links(prints, radius))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(placed.join(ids, "root").select("fp", "n", "component_id"))
-    out = join_groups(rows, classes, "fp", "n", rows.count(), F.col(id_col))
+    out = placed_rows(docs, id_col, text_col, radius)
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows, all columns, of one document of each component: that with the least id.
+    """The rows, all columns, of one document of each component: that with the least id, then the least
+    fingerprint and text hash, which alone decide where no row has an id.
 
-    The others leave by an anti join on their ids. Rows that share an id are one document.
+    The others leave by an anti join on id and text hash (which settles the fingerprint), so that texts
+    that share an id, or have none, are judged each for itself. Rows equal in id and text are one document.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    drops = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_key(id_col).alias("_idk")).distinct()
-    return docs.withColumn("_idk", id_key(id_col)).join(sized(drops)[0], "_idk", "left_anti").select(*docs.columns)
+    found = placed_rows(docs, id_col, text_col, radius)
+    stays = F.col(id_col).eqNullSafe(F.col("keep.id")) & (F.col("fp") == F.col("keep.fp")) & (F.col("hash") == F.col("keep.hash"))
+    drops = found.where(~stays).select(id_key(id_col).alias("_idk"), F.col("hash").alias("_hash")).distinct()
+    keyed = docs.withColumns({"_idk": id_key(id_col), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(sized(drops)[0], ["_idk", "_hash"], "left_anti").select(*docs.columns)

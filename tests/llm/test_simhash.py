@@ -77,6 +77,23 @@ def test_null_ids_and_drop(make_docs, odd_rows):
     assert not {r["doc_id"] for r in out.collect()} & {4, 5, 7}
 
 
+def test_drop_judges_each_text_for_itself(make_docs, odd_rows):
+    """Clean texts stay beside a near copy that has a null id too, or the same id."""
+    out = {(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(make_docs(odd_rows)).collect()}
+    assert (None, "a text without an id") in out and (None, None) not in out and (3, None) in out
+    fox = odd_rows[0][1]
+    shared = [(1, fox, "en", "a"), (2, fox.upper(), "en", "a"), (2, "something else that nobody copied from anyone", "en", "a"), (3, "one copy", "en", "a"), (3, "One  copy", "en", "a")]
+    out = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(make_docs(shared)).collect()]
+    assert (1, fox) in out and shared[2][:2] in out and shared[1][:2] not in out
+    assert len(out) == 3 and [i for i, _ in out].count(3) == 1
+
+
+def test_near_copies_without_any_id_leave_one(make_docs):
+    rows = [(None, t, "en", "a") for t in ("the same words", "The same words", "the  same words", "quite another text")]
+    out = [r["text"] for r in simhash.drop_near_duplicates(make_docs(rows)).collect()]
+    assert len(out) == 2 and "quite another text" in out
+
+
 def test_empty_table(make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     assert simhash.drop_near_duplicates(make_docs([])).collect() == []
