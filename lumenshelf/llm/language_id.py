@@ -17,7 +17,13 @@ from lumenshelf.llm.common import cut, id_key, join_groups, map_rows, sized
 #: Documents with a declared language from which the text model is fitted, chosen by a hash of the id
 #: (expected number; the bound on what training reads, whatever the size of the corpus).
 TRAIN_ROWS = 20_000
-#: Buckets of hashed letter trigrams, and languages at most (by declared documents).
+#: Documents of each language that are read at least, or all where there are fewer: a rare one must not
+#: depend on the size of the corpus. Together at most TRAIN_ROWS + MAX_LANGUAGES * LANGUAGE_ROWS.
+LANGUAGE_ROWS = 1_000
+#: Buckets of hashed letter trigrams, and the languages that the model's table has room for (the most
+#: declared ones; a table of 64 takes 17 MB). Texts of any further language have no column of their own:
+#: they are named as the likeliest language of the table, or ``und`` where none explains them, and their
+#: declared tag counts as evidence like any other.
 BUCKET_BITS, MAX_LANGUAGES = 16, 64
 #: Weight of one trigram: neighbours overlap in two letters of three.
 TEXT_WEIGHT = 1 / 3
@@ -70,14 +76,23 @@ class TextModel:
         return sums * TEXT_WEIGHT, len(found)
 
 
-def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
+def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS, max_languages: int = MAX_LANGUAGES) -> TextModel:
     """Fit on rows (_id, _text, _declared). Counts come back as one row per language and bucket: at
-    most MAX_LANGUAGES x 2^BUCKET_BITS, whatever the input."""
+    most max_languages x 2^BUCKET_BITS, whatever the input.
+
+    Each language is sampled by itself: its share of train_rows, LANGUAGE_ROWS at least, or all its
+    rows (expected numbers). A tag without any trigram is no language of the model.
+    """
     declared = rows.where(F.col("_declared").isNotNull())
-    sizes = declared.groupBy("_declared").count().orderBy(F.desc("count"), "_declared").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["_declared"] for r in sizes)
-    share = min(1.0, train_rows / max(1, sum(r["count"] for r in sizes)))
-    sample = declared.where(F.col("_declared").isin(languages) & (F.pmod(F.xxhash64("_id", "_declared"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    sizes = declared.groupBy("_declared").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 1
+    sizes = {r["_declared"]: r["count"] for r in sizes.orderBy(F.desc("count"), "_declared").limit(max_languages).collect()}
+    languages = sorted(sizes)
+    limits = {x: int(min(1.0, max(train_rows / total, LANGUAGE_ROWS / n)) * (1 << 20)) + 1 for x, n in sizes.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("_declared")) if limits else F.lit(0)
+    # Rows without an id are told apart by their text.
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("long"), F.xxhash64("_text")), "_declared"), F.lit(1 << 20))
+    sample = declared.where(F.col("_declared").isin(languages) & (draw < limit))
 
     def count(batches):
         for batch in batches:
@@ -90,10 +105,11 @@ def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at), pa.array(found[at])], ["language", "bucket", "n"])
 
     found = map_arrow(sample.select("_declared", "_text"), count, "language string, bucket long, n long")
-    table = np.zeros((len(languages), 1 << BUCKET_BITS))
+    table, place = np.zeros((len(languages), 1 << BUCKET_BITS)), {x: k for k, x in enumerate(languages)}
     for r in found.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[languages.index(r["language"]), r["bucket"]] = r["n"]
-    return TextModel(languages, table)
+        table[place[r["language"]], r["bucket"]] = r["n"]
+    learned = table.any(axis=1)
+    return TextModel([x for x, ok in zip(languages, learned) if ok], table[learned])
 
 
 def score_texts(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -103,7 +119,8 @@ def score_texts(rows: DataFrame, model: TextModel) -> DataFrame:
         def one(*values):
             *kept, text = values
             evidence, n = model.evidence(text)
-            best = int(np.argmax(evidence)) if n else len(model.languages) - 1
+            # Of equals the unknown language, which is last, wins.
+            best = len(evidence) - 1 - int(np.argmax(evidence[::-1])) if n else len(evidence) - 1
             return *kept, signed_hash(text), evidence.tolist(), best, n
 
         return one
@@ -131,7 +148,8 @@ def fuse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declar
     P(suffix | language) and the prior of the language on the host. The conditional tables and the
     priors are counts of all rows, grouped by the value and the language likeliest by text; the host
     prior is smoothed towards its domain's, and that towards the whole corpus'. ``und`` stands for text
-    that no known language explains; such rows, and rows without letters, are not kept.
+    that no known language explains, or explains no better than chance (ties go to it); such rows, and
+    rows without letters, are not kept.
     Null texts count as empty; a null declared language, host, domain or suffix is no evidence.
     Without any declared language there is no model, and all rows with letters are kept, as ``und``.
     """
@@ -179,7 +197,7 @@ def fuse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declar
     rows = rows.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
     names = F.array(*[F.lit(x) for x in model.languages])
     weight = F.aggregate(F.transform("_logs", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumns({"language": F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("_logs", F.col("_top")).cast("int"))).otherwise(F.lit(UNKNOWN)), "confidence": F.when(F.col("n_grams") > 0, 1 / weight).otherwise(F.lit(0.0))})
+    rows = rows.withColumns({"language": F.when((F.col("n_grams") > 0) & (F.element_at("_logs", n) < F.col("_top")), F.element_at(names, F.array_position("_logs", F.col("_top")).cast("int"))).otherwise(F.lit(UNKNOWN)), "confidence": F.when(F.col("n_grams") > 0, 1 / weight).otherwise(F.lit(0.0))})
     fits = (F.col("language") != UNKNOWN) | F.lit(n == 1)
     return rows.select(F.col("_id").alias(id_col), "language", "confidence", F.element_at(names, F.col("best") + 1).alias("text_language"), F.col("_declared").alias("declared"), (fits & (F.col("n_grams") > 0)).alias("kept"), "n_grams", "_hash", "_declared", "_host")
 

@@ -75,6 +75,46 @@ def test_without_any_declared_language(make_docs):
     assert got == {1: True, 2: False}
 
 
+RARE = "zażółć gęślą jaźń pchnąć w tę łódź jeża lub ośm skrzyń fig"
+
+
+def base_rows(docs):
+    return docs.selectExpr("doc_id AS _id", "lang AS _declared", "text AS _text")
+
+
+def test_rare_language_is_learned_whatever_the_sample(make_docs):
+    """With a sample of a few rows of the others, all rows of a rare tag are still read."""
+    rows = corpus(60) + [(800 + k, RARE, "pl", "host0") for k in range(3)] + [(810, RARE, None, "host1")]
+    counts = {n: language_id.fit_text_model(base_rows(make_docs(rows)), n).table[:, 2] for n in (1, 20_000)}
+    assert (counts[1] == counts[20_000]).all()
+    got = {r["doc_id"]: r["language"] for r in language_id.identify_documents(make_docs(rows), train_rows=1).collect()}
+    assert got[810] == "pl"
+
+
+def test_sample_is_bounded_for_each_language(make_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGE_ROWS", 20)
+    rows = corpus(300) + [(None, RARE + f" {k}x", "pl", "host0") for k in range(15)]
+    few, all_rows = (language_id.fit_text_model(base_rows(make_docs(rows)), n) for n in (1, 20_000))
+    assert few.languages == all_rows.languages == ["de", "en", "fr", "pl", "und"]
+    differs = (few.table != all_rows.table).any(axis=0)
+    assert differs.tolist() == [True, True, True, False, False]
+
+
+def test_tag_without_letters_names_nothing(make_docs):
+    """Neither a tag without any trigram nor a tie takes the place of ``und``."""
+    rows = corpus(20) + [(700, "12 34", "aa", "host0"), (701, "ჟღფ ჭძწ ხჯჰ ჟჭხ ღძჯ ფწჰ " * 60, None, None)]
+    model = language_id.fit_text_model(base_rows(make_docs(rows)))
+    assert model.languages == ["de", "en", "fr", "und"]
+    got = {r["doc_id"]: r for r in language_id.identify_documents(make_docs(rows)).collect()}
+    assert got[701]["language"] == got[701]["text_language"] == "und" and not got[701]["kept"]
+
+
+def test_ties_go_to_the_unknown_language(spark):
+    model = language_id.TextModel(["aa"], np.zeros((1, 1 << language_id.BUCKET_BITS)))
+    rows = spark.createDataFrame([(1, None, None, None, None, "some words")], "_id long, _declared string, _host string, _domain string, _suffix string, _text string")
+    assert language_id.score_texts(rows, model).first()["best"] == 1
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language_id.identify_documents(docs).collect()
