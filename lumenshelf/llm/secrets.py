@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from hashlib import sha256
 from math import log2
 
@@ -19,27 +20,26 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Strings that may hold a secret for the entropy scan.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Per character class: pattern of a whole candidate, window in characters, least bits per character.
+LEAST_RUN = 20
+#: Per character class: pattern of a run within a candidate, window in characters, least bits per
+#: character. Each class is judged on its own runs, so a label joined to a key does not widen its class.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 20, 3.0),
-    ("base32", re.compile(r"[A-Z2-7]+=*"), 20, 3.5),
+    ("hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
+    ("base32", re.compile(r"[A-Z2-7]{20,}=*"), 20, 3.5),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.9),
 )
-#: Candidates that look random but are none: identifiers, dates, paths, placeholders, plain words.
-ALLOWED = tuple(
-    re.compile(p)
-    for p in (
-        r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"[0-9_=+/-]+",
-        r"[A-Za-z]+",
-        r"[A-Za-z]?[a-z]+([_/-][A-Za-z]?[a-z]+)+",
-        r".*(?i:example|placeholder|changeme|xxxx|0000|1234567).*",
-    )
-)
+#: Identifiers, dates, paths and plain words look random but are none: candidates and runs that are so as a whole.
+UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+ALLOWED = tuple(re.compile(p) for p in (UUID, r"[0-9_=+/-]+", r"[A-Za-z]+", r"[A-Za-z]?[a-z]+([_/-][A-Za-z]?[a-z]+)+"))
+#: Identifiers within a longer candidate, which is cut there.
+UUID_PART = re.compile(rf"(?<![A-Za-z0-9]){UUID}(?![A-Za-z0-9])")
+#: Placeholders: a window that holds one is no secret, the rest of its candidate may be. All starts are found.
+PLACEHOLDER = re.compile(r"(?=(example|placeholder|changeme|xxxx|0000|1234567))", re.I)
 
 
-def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]]:
-    """Maximal spans of ``text`` covered by windows of ``width`` characters with ``least`` bits each.
+def entropy_windows(text: str, width: int, least: float, barred: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Maximal spans of ``text`` covered by windows of ``width`` characters with ``least`` bits each, but
+    for windows that hold one of the ``barred`` spans (in order of start).
 
     The window's character counts are kept by adding one character and dropping one; with them the sum
     of c * log2(c), from which the entropy follows. A text shorter than the window is one window.
@@ -48,6 +48,10 @@ def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]
     counts: dict[str, int] = {}
     weight = lambda c: c * log2(c) if c else 0.0
     total, spans = 0.0, []
+    # The first end of a barred span from each one on, and the next one that no window has passed.
+    ends, following = [b for _, b in barred], 0
+    for k in range(len(ends) - 2, -1, -1):
+        ends[k] = min(ends[k], ends[k + 1])
     for end, char in enumerate(text):
         c = counts.get(char, 0)
         total += weight(c + 1) - weight(c)
@@ -59,6 +63,10 @@ def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]
             counts[old] = c - 1
         if end >= width - 1 and log2(width) - total / width >= least - 1e-9:
             start = end - width + 1
+            while following < len(ends) and barred[following][0] < start:
+                following += 1
+            if following < len(ends) and ends[following] <= end + 1:
+                continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], end + 1)
             else:
@@ -74,19 +82,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
-    """High-entropy parts of the candidates that the allow-list does not suppress."""
-    out = []
+    """High-entropy parts of the candidates, judged by each class on its own runs of characters. The
+    allow-list suppresses the candidate, run or window that it matches and nothing beside it."""
+    out: list[tuple[str, int, int]] = []
     for m in CANDIDATE.finditer(text):
-        whole = m[0]
-        if any(p.fullmatch(whole) for p in ALLOWED):
+        if any(p.fullmatch(m[0]) for p in ALLOWED):
             continue
-        for _, pattern, width, least in CLASSES:
-            if pattern.fullmatch(whole):
-                out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_windows(whole, width, least)]
-                break
+        found, at = [], m.start()
+        for cut in [*UUID_PART.finditer(text, *m.span()), None]:
+            found += [(at + a, at + b) for a, b in part_spans(text[at : cut.start() if cut else m.end()])]
+            at = cut.end() if cut else at
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out += [("entropy", a, b) for a, b in merged]
     return out
 
 
+def part_spans(part: str) -> list[tuple[int, int]]:
+    """Spans of the windows of every class within a part of a candidate."""
+    found = []
+    for _, pattern, width, least in CLASSES:
+        for run in pattern.finditer(part):
+            if len(run[0]) >= LEAST_RUN and not any(p.fullmatch(run[0]) for p in ALLOWED):
+                barred = [p.span(1) for p in PLACEHOLDER.finditer(run[0])]
+                found += [(run.start() + a, run.start() + b) for a, b in entropy_windows(run[0], width, least, barred)]
+    return found
+
+
 def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
