@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,18 +231,23 @@ def components(pairs: DataFrame) -> DataFrame:
     """id and the least id that it reaches over the pairs (root); ids without a pair are not listed.
 
     Labels spread to neighbours and then along labels, so rounds grow with the logarithm of a chain.
+    Each round is written to the shared checkpoint folder and read again: a checkpoint would keep the
+    plan's size estimates, whose digits multiply with every join until the driver's memory is full.
     """
     spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-")
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-"))
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id").checkpoint()
+    def settled(rows: DataFrame) -> DataFrame:
+        path = f"{folder}/components-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    both = settled(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "near").alias("root"))
-        jumped = spread.join(spread.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
+        jumped = settled(spread.join(spread.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
         moved = jumped.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old")
         done, labels = moved.isEmpty(), jumped
         if done:
