@@ -31,3 +31,10 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def group_arrow(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """df.groupBy(keys).applyInArrow with the package at hand. The plan itself demands that a group comes
+    whole to one task; a repartition ahead of map_arrow may be optimised away."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(run, schema)
