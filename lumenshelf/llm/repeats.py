@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenshelf.functions.workers import map_arrow
+from lumenshelf.functions.workers import group_arrow, map_arrow
 from lumenshelf.llm.common import cut, map_rows, text_or_empty
 
 LENGTH = 200
@@ -208,42 +208,26 @@ def repeated_windows(texts: list[bytes], length: int) -> Iterator[tuple[int, int
     yield from zip(of.tolist(), (heads - firsts[of]).tolist(), (ends - firsts[of]).tolist())
 
 
-def indexed_spans(rows: DataFrame, length: int, tasks: int) -> DataFrame:
+def indexed_spans(rows: DataFrame, length: int) -> DataFrame:
     """Repeated byte spans (id, tk, a, b) of rows (name, id, tk, start, solo, bytes), all passages of a
-    name in one index. Indexes take whole names up to INDEX_BYTES, read in order of the name."""
+    name in one index.
 
-    def chunks(batches):
-        held, size, name = [], 0, None
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != name and size >= INDEX_BYTES:
-                    yield held
-                    held, size = [], 0
-                name = row[0]
-                held.append(row)
-                size += len(row[5])
-        if held:
-            yield held
-
-    def run(batches):
-        for held in chunks(batches):
-            found = []
-            for k, first, after in repeated_windows([r[5] for r in held], length):
-                _, doc, tk, start, solo, _ = held[k]
-                if solo:
-                    found.append((doc, tk, start + first, start + after - 1 + length))
-            columns = list(zip(*found)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tk", "a", "b"])
-
-    dealt = rows.repartition(tasks, "name").sortWithinPartitions("name")
-    return map_arrow(dealt.select("name", "id", "tk", "start", "solo", "bytes"), run, "id long, tk long, a int, b int")
+    Names are dealt by hash to as many indexes as keep INDEX_BYTES to each, and an index is a group: so
+    every plan, also one that adaptive execution changes on the way, must bring it together whole.
+    """
+    rows = rows.select("name", "id", "tk", "start", "solo", "bytes")
+    size = rows.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
+    indexes = max(1, -(-size // INDEX_BYTES))
 
+    def run(held: pa.Table) -> pa.Table:
+        docs, keys, starts, solos, texts = (held.column(k).to_pylist() for k in ("id", "tk", "start", "solo", "bytes"))
+        found = [(docs[k], keys[k], starts[k] + first, starts[k] + after - 1 + length) for k, first, after in repeated_windows(texts, length) if solos[k]]
+        columns = list(zip(*found)) or [[], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tk", "a", "b"])
 
-def index_tasks(wanted: DataFrame, length: int) -> int:
-    """Tasks for the indexes of the wanted passages: no fewer than other shuffles have, and as many as
-    keep TASK_BYTES to a task."""
-    size = wanted.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    return max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    dealt = rows.withColumn("index", F.pmod(F.xxhash64("name"), F.lit(indexes))).drop("name").repartition(tasks, "index")
+    return group_arrow(dealt, ["index"], run, "id long, tk long, a int, b int")
 
 
 def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -305,11 +289,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, name_passages: int = N
     sizes = cut(contents.groupBy("name").agg(F.count(F.lit(1)).alias("passages"), F.max((F.col("times") == 1).cast("int")).alias("open")).where("open = 1"))
     wanted = contents.join(sizes, "name").select("name", "p.*", (F.col("times") == 1).alias("solo"), "passages")
     crowded_names = cut(sizes.where(F.col("passages") > name_passages).select("name"))
+    held = cut(cut_out(rows, wanted, length))
     if crowded_names.isEmpty():
-        spans.append(indexed_spans(cut_out(rows, wanted, length), length, index_tasks(wanted, length)))
+        spans.append(indexed_spans(held, length))
     else:
-        held = cut(cut_out(rows, wanted, length))
-        spans.append(indexed_spans(held.join(crowded_names, "name", "left_anti"), length, index_tasks(wanted, length)))
+        spans.append(indexed_spans(held.join(crowded_names, "name", "left_anti"), length))
         spans += split_crowded(held.join(crowded_names, "name", "left_semi"), length, name_passages, keys[1:])
     return union(spans)
 
@@ -337,9 +321,9 @@ def split_crowded(rows: DataFrame, length: int, name_passages: int, keys: tuple[
         sizes = contents.groupBy("name").agg(F.count(F.lit(1)).alias("passages"), F.max((F.col("times") == 1).cast("int")).alias("open"))
         sizes = sizes.where("open = 1 AND passages > 1")
         first = contents.join(sizes, "name").select("name", F.col("p.id").alias("id"), F.col("p.tk").alias("tk"), F.col("p.start").alias("start"), F.col("p.n").alias("n"), (F.col("times") == 1).alias("solo"), "passages")
-        kept = rows.drop("solo", "content").join(first, ["name", "id", "tk", "start", "n"])
+        kept = cut(rows.drop("solo", "content").join(first, ["name", "id", "tk", "start", "n"]))
         fitting = kept.where(F.col("passages") <= name_passages)
-        spans.append(indexed_spans(fitting, length, index_tasks(fitting, length)))
+        spans.append(indexed_spans(fitting, length))
         rows = kept.where(F.col("passages") > name_passages).drop("passages")
     return spans
 

@@ -64,10 +64,10 @@ def texts_with_repeats():
     return texts
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
+@pytest.mark.parametrize("crowd", [4096, 5, 2, 1])
 def test_against_brute_force(make_docs, odd_rows, crowd, monkeypatch):
-    """Also with names of two passages counted as crowded, and with small indexes."""
-    if crowd == 1:
+    """Also where some names, or all, count as crowded, and with small indexes."""
+    if crowd < 3:
         monkeypatch.setattr(repeats, "INDEX_BYTES", 5000)
     rows = [r for r in odd_rows if r[0] not in (6, 7)] + [(100 + k, t, "en", "s") for k, t in enumerate(texts_with_repeats())]
     out = repeats.remove_repeats(make_docs(rows), name_passages=crowd).collect()
