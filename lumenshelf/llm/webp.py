@@ -1,4 +1,5 @@
-"""Lossless WebP for media columns: a decoder of the whole format and a plain encoder."""
+"""Lossless WebP for media columns: a decoder of the whole format, and an encoder that chooses transforms and
+colour cache by size, file by file."""
 
 from __future__ import annotations
 
@@ -144,8 +145,12 @@ class Reader:
             groups = int(per_tile.max()) + 1
         sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
         codes = [[self.code(size) for size in sizes] for _ in range(groups)]
-        if groups == 1 and not cache_bits:
-            return self.plain_pixels(width, height, codes[0])
+        if groups == 1:
+            start = self.at
+            found = self.plain_pixels(width, height, codes[0], cache_bits)
+            if found is not None:
+                return found
+            self.at = start
         return self.pixels(width, height, codes, cache_bits, tile_bits, per_tile)
 
     def distance(self, width: int, code: PrefixCode) -> int:
@@ -189,15 +194,17 @@ class Reader:
                 cached = at
         return out
 
-    def plain_pixels(self, width: int, height: int, codes: list[PrefixCode]) -> np.ndarray:
-        """With one group of codes and no cache: where a pixel would end if it began at each bit is
-        looked up for all bits at once, and the pixels are those on the chain from the first bit."""
+    def plain_pixels(self, width: int, height: int, codes: list[PrefixCode], cache_bits: int = 0) -> np.ndarray | None:
+        """With one group of codes: where a pixel would end if it began at each bit is looked up for all
+        bits at once, and the pixels are those on the chain from the first bit. None if a pixel is read
+        from the colour cache before any pixel was put there, which only ``pixels`` follows exactly."""
         n = width * height
         out, at = np.zeros(n, np.int64), 0
         green, red, blue, alpha, distances = codes
+        cache = ColourCache(cache_bits) if cache_bits else None
         if not any(c.bits for c in codes[:4]):
             if green.symbol[0] >= LITERALS:
-                fail("back-reference outside of the image")
+                return None if cache else fail("back-reference outside of the image")
             out[:] = alpha.symbol[0] << 24 | red.symbol[0] << 16 | green.symbol[0] << 8 | blue.symbol[0]
             return out
         while at < n:
@@ -214,8 +221,11 @@ class Reader:
             blue_at = steps[id(red)][red_at]
             alpha_at = steps[id(blue)][blue_at]
             ends = steps[id(alpha)][alpha_at]
-            if green.greatest >= LITERALS:  # the chain halts at a back-reference
-                ends[green.symbol[window[:limit] & ((1 << green.bits) - 1)] >= LITERALS] = -1
+            if green.greatest >= LITERALS:  # a cached pixel ends with its symbol; the chain halts at a back-reference
+                symbols = green.symbol[window[:limit] & ((1 << green.bits) - 1)]
+                if cache:
+                    ends = np.where(symbols >= LITERALS + LENGTHS, red_at, ends)
+                ends[(symbols >= LITERALS) & (symbols < LITERALS + LENGTHS)] = -1
             chain, spot, following, room = [], 0, memoryview(ends), n - at
             append = chain.append
             while room and spot < limit:
@@ -227,15 +237,58 @@ class Reader:
                 room -= 1
             starts = np.array(chain, np.int64)
             look = lambda code, where: code.symbol[window[where] & ((1 << code.bits) - 1)].astype(np.int64)
-            out[at : at + len(chain)] = look(alpha, alpha_at[starts]) << 24 | look(red, red_at[starts]) << 16 | look(green, starts) << 8 | look(blue, blue_at[starts])
+            greens = look(green, starts)
+            argb = look(alpha, alpha_at[starts]) << 24 | look(red, red_at[starts]) << 16 | greens << 8 | look(blue, blue_at[starts])
+            if cache and len(chain) and not cache.fill(argb, greens - (LITERALS + LENGTHS)):
+                return None
+            out[at : at + len(chain)] = argb
             at, self.at = at + len(chain), first + spot
             if at < n and spot < limit and following[spot] < 0:
+                before = at
                 at = self.copy(out, at, self.symbol(green) - LITERALS, width, distances)
+                if cache:
+                    cache.put(out[before:at])
             elif not chain:
                 fail("the stream ends early")
         return out
 
 
+def cache_keys(argb: np.ndarray, bits: int) -> np.ndarray:
+    """Places of pixels in a colour cache."""
+    return (argb.astype(np.uint32) * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)).astype(np.int64)
+
+
+class ColourCache:
+    """The last pixel of each hash, read and written for many pixels at once."""
+
+    def __init__(self, bits: int):
+        self.bits, self.held, self.known = bits, np.zeros(1 << bits, np.int64), np.zeros(1 << bits, bool)
+
+    def put(self, argb: np.ndarray) -> None:
+        keys = cache_keys(argb, self.bits)
+        self.held[keys] = argb  # of pixels with one key the last is kept
+        self.known[keys] = True
+
+    def fill(self, argb: np.ndarray, places: np.ndarray) -> bool:
+        """Replace pixels with a place (0 or more) by what the cache holds there at that moment. All others
+        are put into it on the way. False if a place is read that nothing was put in."""
+        cached = places >= 0
+        keys = np.where(cached, places, cache_keys(argb, self.bits))
+        if cached.any():
+            # In order of key and time, a cached pixel equals the last one of its key that is not.
+            order = np.argsort(keys.astype(np.uint16), kind="stable")
+            sorted_keys, n = keys[order], np.arange(len(order))
+            last = np.maximum.accumulate(np.where(cached[order], -1, n))
+            heads = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+            here = last >= np.repeat(heads, np.diff(np.append(heads, len(order))))
+            if not (here | self.known[sorted_keys]).all():
+                return False
+            argb[order] = np.where(here, argb[order[np.maximum(last, 0)]], self.held[sorted_keys])
+        self.held[keys] = argb
+        self.known[keys] = True
+        return True
+
+
 def fail(what: str):
     raise ValueError(f"not a lossless WebP stream: {what}")
 
@@ -305,6 +358,9 @@ PREDICTORS = (
 )
 
 
+LEFT, TOP = 1, 2
+
+
 def predicted(out: list[int], at: int, width: int, mode: int) -> int:
     """The prediction for a pixel from those before it."""
     x, y = at % width, at // width
@@ -319,6 +375,14 @@ def predicted(out: list[int], at: int, width: int, mode: int) -> int:
 def undo_prediction(argb: np.ndarray, width: int, bits: int, modes: np.ndarray) -> np.ndarray:
     tiles = -(-width >> bits)
     mode = (modes >> 8 & 15).tolist()
+    if set(mode) in ({LEFT}, {TOP}):  # sums along rows or columns
+        rest = np.stack(split(argb), -1).astype(np.uint8).reshape(-1, width, 4)
+        rest[0, 0, :1] += 255  # the first pixel's prediction is opaque black
+        if mode[0] == LEFT:
+            rest[:, 0] = np.cumsum(rest[:, 0], axis=0, dtype=np.uint8)
+        else:
+            rest[0] = np.cumsum(rest[0], axis=0, dtype=np.uint8)
+        return join(*np.moveaxis(np.cumsum(rest, axis=1 if mode[0] == LEFT else 0, dtype=np.uint8).astype(np.int64).reshape(-1, 4), 1, 0))
     out: list[int] = []
     for at, rest in enumerate(argb.tolist()):
         m = mode[(at // width >> bits) * tiles + (at % width >> bits)]
@@ -458,7 +522,7 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
 
 #: Lengths of the code length code that ``write_code`` uses: a complete code for all 19 symbols.
 PLAIN_LENGTHS = np.array([4] * 13 + [5] * 6)
-PLAIN_CODES = codes_of(PLAIN_LENGTHS).tolist()
+PLAIN_TOKENS = list(zip(codes_of(PLAIN_LENGTHS).tolist(), PLAIN_LENGTHS.tolist()))
 
 
 def write_code(out: Writer, lengths: np.ndarray) -> None:
@@ -472,24 +536,27 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
     for k in LENGTH_ORDER:
         out.write(int(PLAIN_LENGTHS[k]), 3)
     out.write(0, 1)
-    token = lambda k: out.write(PLAIN_CODES[k], int(PLAIN_LENGTHS[k]))
+    # Tokens and their extra bits, as (value, bits): the gap ahead of each run of used symbols, then the run.
+    parts: list[tuple[int, int]] = []
+    each = lengths.tolist()
+    edges = np.flatnonzero(np.diff((lengths > 0).astype(np.int8), prepend=0, append=0)).tolist() + [len(each)] * 2
     at = 0
-    for k in [*used, len(lengths)]:
-        while (gap := k - at) > 0:
+    for first, after in zip(edges[::2], edges[1::2]):
+        while (gap := first - at) > 0:
             if gap < 3:
-                token(0)
+                parts.append(PLAIN_TOKENS[0])
                 at += 1
             elif gap < 11:
-                token(17)
-                out.write(gap - 3, 3)
-                at = k
+                parts += (PLAIN_TOKENS[17], (gap - 3, 3))
+                at = first
             else:
-                token(18)
-                out.write(min(gap, 138) - 11, 7)
-                at += min(gap, 138)
-        if k < len(lengths):
-            token(int(lengths[k]))
-            at += 1
+                run = min(gap, 138)
+                parts += (PLAIN_TOKENS[18], (run - 11, 7))
+                at += run
+        parts += map(PLAIN_TOKENS.__getitem__, each[first:after])
+        at = after
+    values = np.array(parts, np.int64)
+    out.write(*pack_bits(values[:, 0], values[:, 1]))
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -515,13 +582,96 @@ def pack_bits(codes: np.ndarray, lengths: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(words.astype("<u4").tobytes(), "little"), int(ends[-1])
 
 
-def encode(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of height x width x (R, G, B, A) samples.
+PREDICTION, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)  # fixed values: kinds of transforms
+#: Bits of the tile sides that one mode or one set of factors serves: the largest.
+TILE_BITS = 9
+#: Most bits of a colour cache, the share of an image's bits that it must save to be worth reading, and
+#: what a symbol's code costs in the file, about, in bits.
+CACHE_BITS, CACHE_SHARE, SYMBOL_COST = 10, 1 / 12, 5
+SAMPLED_ROWS = 16
 
-    Literal pixels under Huffman codes; the run of equal pixels at the end is a back-reference.
-    """
-    height, width, _ = samples.shape
-    flat = samples.reshape(-1, 4)
+
+def lag(planes: np.ndarray, mode: int) -> np.ndarray:
+    """height x width x (G, R, B, A) less the pixel to the left or above, as the predictors take them."""
+    out = planes.copy()
+    out[:, 1:] -= planes[:, :-1]
+    out[1:, 0] -= planes[:-1, 0]
+    if mode == TOP:
+        out[1:] = planes[1:] - planes[:-1]
+    out[0, 0, 3:] -= 255
+    return out
+
+
+def cross_factors(flat: np.ndarray) -> tuple[int, int]:
+    """Factors, in 32nds, of green for red and blue, of rows (G, R, B, A): least squares about the means."""
+    values = flat[:, :3].view(np.int8).astype(np.float64)
+    sums = values.sum(axis=0)
+    weight, red, blue = ((values[:, :1] * values).sum(axis=0) - sums[0] * sums / len(flat)).tolist()
+    return tuple(max(-128, min(127, round(32 * x / weight))) for x in (red, blue)) if weight > 0 else (0, 0)
+
+
+def cross_coloured(planes: np.ndarray, to_red: int, to_blue: int) -> np.ndarray:
+    green = signed(planes[..., 0].astype(np.int64))
+    out = planes.copy()
+    out[..., 1] -= (to_red * green >> 5).astype(np.uint8)
+    out[..., 2] -= (to_blue * green >> 5).astype(np.uint8)
+    return out
+
+
+def entropy_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits, about, of symbols with these counts (last axis) under a Huffman code, and of the code."""
+    total = counts.sum(axis=-1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1)) - SYMBOL_COST * (counts > 0)).sum(axis=-1)
+
+
+def distinct(flat: np.ndarray) -> int:
+    """How many of the rows of four bytes differ."""
+    values = np.sort(np.ascontiguousarray(flat).view("<u4").ravel())
+    return 1 + int(np.count_nonzero(values[1:] != values[:-1]))
+
+
+def transformed_costs(planes: np.ndarray, factors: tuple[int, int]) -> np.ndarray:
+    """Bits, about, of an image as it is, with green subtracted, less the left and the upper pixels (all
+    by plain offsets, whatever the borders) and cross-coloured. The transforms' own images cost about 60.
+    Of a tall image the first SAMPLED_ROWS rows are judged: the choice decides on size, never on content."""
+    width, flat = planes.shape[1], planes[:SAMPLED_ROWS].reshape(-1, 4)
+    stack = np.repeat(flat[None], 5, axis=0)
+    stack[1, :, 1:3] -= flat[:, :1]
+    stack[2, 1:] -= flat[:-1]
+    stack[3, width:] -= flat[:-width]
+    stack[4, :, 1:3] -= (flat[:, :1].view(np.int8) * np.array(factors, np.int16) >> 5).astype(np.uint8)
+    return plane_costs(stack) + np.array([0, 0, 60, 60, 60])
+
+
+def plane_costs(stack: np.ndarray) -> np.ndarray:
+    """Bits, about, of each of the stacked images of rows (G, R, B, A): green has a code of its own."""
+    offsets = np.arange(0, 512 * len(stack), 512, dtype=np.int64)[:, None, None] + np.array([0, 256, 256, 256])
+    return entropy_bits(np.bincount((stack + offsets).ravel(), minlength=512 * len(stack)).reshape(-1, 2, 256)).sum(axis=1)
+
+
+def best_cache(flat: np.ndarray) -> tuple[int, np.ndarray | None, np.ndarray | None]:
+    """Bits of the colour cache that makes the image smaller (0: none), the pixels to be read from it, their places."""
+    n = len(flat)
+    bits = min(CACHE_BITS, n.bit_length() - 3)
+    # What recurs bounds what a cache can serve, and a pixel from it saves a third of its bits, about.
+    if bits < 1 or n - distinct(flat) < 3 * CACHE_SHARE * n:
+        return 0, None, None
+    argb = np.ascontiguousarray(flat[:, [2, 0, 1, 3]]).view("<u4").ravel()
+    keys = cache_keys(argb, bits)
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    hits = np.zeros(n, bool)
+    hits[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    places = np.bincount(keys[hits], minlength=1 << bits)
+    before = plane_costs(flat[None])[0]
+    fewer = flat[~hits]
+    after = entropy_bits(np.concatenate([np.bincount(fewer[:, 0], minlength=256), places])) + entropy_bits(np.bincount(fewer[:, 1:].ravel(), minlength=256))
+    return (bits, hits, keys) if after < (1 - CACHE_SHARE) * before else (0, None, None)
+
+
+def write_image(out: Writer, planes: np.ndarray, top: bool, cached: bool = False) -> None:
+    """An entropy-coded image of height x width x (G, R, B, A): literals and cached pixels under Huffman
+    codes, the run of equal pixels at the end as back-references."""
+    flat = planes.reshape(-1, 4)
     n = len(flat)
     other = np.flatnonzero((flat != flat[-1]).any(axis=1))
     literals = min(n, int(other[-1]) + 2 if len(other) else 1)
@@ -529,42 +679,125 @@ def encode(samples: np.ndarray) -> bytes:
     while left:
         runs.append(prefix_of(min(left, 4096)))
         left -= min(left, 4096)
-    r, g, b, a = (flat[:literals, k] for k in range(4))
-    shared = np.bincount(r, minlength=LITERALS) + np.bincount(b, minlength=LITERALS) + np.bincount(a, minlength=LITERALS)
-    green = np.bincount(g, minlength=LITERALS + LENGTHS)
+    flat = flat[:literals]
+    bits, hits, keys = best_cache(flat) if cached else (0, None, None)
+    written = flat[~hits] if bits else flat
+    shared = np.bincount(written[:, 1:].ravel(), minlength=LITERALS)
+    green = np.bincount(written[:, 0], minlength=LITERALS + LENGTHS + (1 << bits if bits else 0))
+    if bits:
+        green += np.bincount(keys[hits] + LITERALS + LENGTHS, minlength=len(green))
     for prefix, _, _ in runs:
         green[LITERALS + prefix] += 1
     green_lengths, lengths = code_lengths(green), code_lengths(shared)
-    distance = np.zeros(DISTANCES, np.int64)
-    distance[prefix_of(2)[0]] = 1  # distance code 2: the pixel to the left
-    out = Writer()
-    for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.write(value, bits)
+    out.write(1 if bits else 0, 1)
+    if bits:
+        out.write(bits, 4)
+    if top:
+        out.write(0, 1)  # one group of codes
     write_code(out, green_lengths)
     once = Writer()
     write_code(once, lengths)
     for _ in range(3):
         out.write(once.value, once.at)
-    write_code(out, distance)
+    out.write(*left_distance())
     green_codes, codes = codes_of(green_lengths), codes_of(lengths)
     if np.count_nonzero(green_lengths) == 1:
         green_lengths = np.zeros_like(green_lengths)
     if np.count_nonzero(lengths) == 1:
         lengths = np.zeros_like(lengths)
-    order = flat[:literals, [1, 0, 2, 3]]
-    all_codes, all_lengths = codes[order], lengths[order]
-    all_codes[:, 0], all_lengths[:, 0] = green_codes[g], green_lengths[g]
-    value, bits = pack_bits(all_codes.ravel(), all_lengths.ravel())
-    out.write(value, bits)
+    all_codes, all_lengths = codes[flat], lengths[flat]
+    symbols = np.where(hits, keys + LITERALS + LENGTHS, flat[:, 0]) if bits else flat[:, 0]
+    all_codes[:, 0], all_lengths[:, 0] = green_codes[symbols], green_lengths[symbols]
+    if bits:
+        all_codes[hits, 1:], all_lengths[hits, 1:] = 0, 0
+    value, size = pack_bits(all_codes.ravel(), all_lengths.ravel())
+    out.write(value, size)
     for prefix, extra, rest in runs:
         out.write(int(green_codes[LITERALS + prefix]), int(green_lengths[LITERALS + prefix]))
         out.write(rest, extra)
+
+
+@lru_cache(maxsize=1)
+def left_distance() -> tuple[int, int]:
+    """The written code of distances whose only symbol is distance code 2: the pixel to the left."""
+    out, lengths = Writer(), np.zeros(DISTANCES, np.int64)
+    lengths[prefix_of(2)[0]] = 1
+    write_code(out, lengths)
+    return out.value, out.at
+
+
+def argb_planes(argb: np.ndarray) -> np.ndarray:
+    """1 x n x (G, R, B, A) of ARGB numbers."""
+    a, r, g, b = split(argb)
+    return np.stack([g, r, b, a], -1).astype(np.uint8)[None]
+
+
+def palette_of(planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The colours of an image that has 256 or fewer, as coded steps, and the image of indices, in green."""
+    height, width, _ = planes.shape
+    argb = np.ascontiguousarray(planes[..., [2, 0, 1, 3]]).view("<u4").reshape(-1)
+    colours, index = np.unique(argb, return_inverse=True)
+    steps = argb_planes(colours.astype(np.int64))
+    steps[:, 1:] -= steps[:, :-1].copy()
+    bits = palette_bits(len(colours))
+    each = 1 << bits
+    rows = np.zeros((height, -(-width // each) * each), np.int64)
+    rows[:, :width] = index.reshape(height, width)
+    packed = (rows.reshape(height, -1, each) << np.arange(0, 8, 8 >> bits)[:each]).sum(axis=-1)
+    found = np.full((*packed.shape, 4), (0, 0, 0, 255), np.uint8)
+    found[..., 0] = packed
+    return steps, found
+
+
+def encode(samples: np.ndarray) -> bytes:
+    """A lossless WebP file of height x width x (R, G, B, A) samples.
+
+    Of no transform, green subtracted, prediction from the left or from above, cross-colour and, if the
+    colours are few, a palette, the one with the least entropy is used; then the colour cache where it
+    saves a good part of the bits.
+    """
+    height, width, _ = samples.shape
+    planes = samples[..., [1, 0, 2, 3]]
+    factors = cross_factors(planes[:SAMPLED_ROWS].reshape(-1, 4))
+    costs = transformed_costs(planes, factors)
+    way = (None, SUBTRACT_GREEN, (PREDICTION, LEFT), (PREDICTION, TOP), CROSS_COLOUR)[int(costs.argmin())]
+    # With few colours that recur, the pixels' places in a palette may be smaller.
+    if 2 * (colours := distinct(samples.reshape(-1, 4))) <= height * width and colours <= 256:
+        palette = palette_of(planes)
+        if sum(float(plane_costs(x.reshape(1, -1, 4))[0]) for x in palette) < costs.min() * max(1, height / SAMPLED_ROWS):
+            way = PALETTE
+    image = planes
+    if way == PALETTE:
+        image = palette[1]
+    elif isinstance(way, tuple):
+        image = lag(planes, way[1])
+    elif way is not None:
+        image = cross_coloured(planes, *((32, 32) if way == SUBTRACT_GREEN else factors))
+
+    out = Writer()
+    for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        out.write(value, bits)
+    if way is not None:
+        kind = way[0] if isinstance(way, tuple) else way
+        out.write(1, 1)
+        out.write(kind, 2)
+        if kind == PALETTE:
+            out.write(palette[0].shape[1] - 1, 8)
+            write_image(out, palette[0], False)
+        elif kind != SUBTRACT_GREEN:
+            value = way[1] << 8 if kind == PREDICTION else (factors[1] & 255) << 8 | factors[0] & 255
+            out.write(TILE_BITS - 2, 3)
+            write_image(out, argb_planes(np.full((-(-height >> TILE_BITS)) * (-(-width >> TILE_BITS)), 255 << 24 | value, np.int64)), False)
+    out.write(0, 1)
+    write_image(out, image, True, way != PALETTE)
     data = out.value.to_bytes((out.at + 7) // 8, "little")
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
 UNIT, FILL = 576, b"\xff"
+#: Bytes of the largest image whose rows are whole units.
+LARGEST = 4 * SIDE // UNIT * UNIT * SIDE
 
 
 def padded(data: bytes) -> bytes:
@@ -572,13 +805,16 @@ def padded(data: bytes) -> bytes:
     return data + FILL * (max(1, -(-len(data) // UNIT)) * UNIT - len(data))
 
 
-def store(payload: bytes) -> bytes:
-    """A payload as an image of 144 pixels or a multiple in width, rows below it filled with 255."""
-    row = UNIT * -(-len(payload) // (UNIT * SIDE))
-    height = -(-len(payload) // row)
-    if row // 4 > SIDE:
-        raise ValueError("the payload is larger than the largest image")
-    return encode(np.frombuffer(payload + FILL * (height * row - len(payload)), np.uint8).reshape(height, row // 4, 4))
+def store(payload: bytes, most: int = LARGEST) -> bytes:
+    """A payload as an image of 144 pixels or a multiple in width, rows below it filled with 255. A payload
+    of over ``most`` bytes, the largest image, is stored as several files, one after the other."""
+    files = []
+    for at in range(0, len(payload), most):
+        part = payload[at : at + most]
+        row = UNIT * min(-(-len(part) // (UNIT * SIDE)), 4 * SIDE // UNIT)
+        height = -(-len(part) // row)
+        files.append(encode(np.frombuffer(part + FILL * (height * row - len(part)), np.uint8).reshape(height, row // 4, 4)))
+    return b"".join(files)
 
 
 def features(samples: np.ndarray) -> str:
@@ -593,10 +829,14 @@ def features(samples: np.ndarray) -> str:
     return f"{width}x{height}:{','.join(str(x) for x in (sums * 100 // (width * height)).tolist())}:{bits}"
 
 
-def read_back(media: bytes) -> tuple[bytes, np.ndarray]:
-    """The payload of a stored image, and its samples. UTF-8 has no byte 255, so the fill tells itself."""
-    samples = decode(media)
-    return padded(samples.tobytes().rstrip(FILL)), samples
+def read_back(media: bytes) -> tuple[bytes, list[np.ndarray]]:
+    """The payload of stored images, and their samples. UTF-8 has no byte 255, so the fill tells itself."""
+    images, at = [], 0
+    while at < len(media):
+        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
+        images.append(decode(media[at : at + size]))
+        at += size
+    return padded(b"".join(i.tobytes().rstrip(FILL) for i in images)), images
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -605,14 +845,18 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each whole text as lossless WebP, decode the stored bytes and describe both."""
+    """Store each whole text as lossless WebP, decode the stored bytes and describe both.
+
+    One row per row, repeats included; equal texts have equal values. Null texts count as empty, and an
+    empty text is one unit of bytes 255. The features of a text stored as several images are joined by ``|``.
+    """
 
     def start():
         def one(doc, text):
             data = (text or "").encode()
             media = store(padded(data))
-            payload, samples = read_back(media)
-            return doc, len(data), len(payload), sha256(payload).hexdigest(), crc32(payload[-32:]), len(media), sha256(media).hexdigest(), features(samples)
+            payload, images = read_back(media)
+            return doc, len(data), len(payload), sha256(payload).hexdigest(), crc32(payload[-32:]), len(media), sha256(media).hexdigest(), "|".join(map(features, images))
 
         return one
 

@@ -224,3 +224,76 @@ def test_rows(make_docs, odd_rows):
     assert webp.read_back(media[9])[0].startswith(b"one\xff") and len(media[9]) == got["9" + sha256(webp.padded(b"one")).hexdigest()]["media_bytes"]
     assert got["6" + sha256(webp.padded(odd_rows[8][1].encode())).hexdigest()]["feature"] == got["7" + sha256(webp.padded(odd_rows[8][1].encode())).hexdigest()]["feature"]
     assert webp.digests(make_docs([])).collect() == []
+
+
+def texts_by_way():
+    """Texts of which each is smallest under another way of writing it."""
+    rnd = np.random.default_rng(5)
+    as_text = lambda pixels: np.array(pixels, np.uint8).tobytes().decode("ascii")
+    green, noise = rnd.integers(40, 120, 3000), rnd.integers(40, 120, 3000)
+    steps, rows = np.arange(3000), rnd.integers(40, 80, (1, 576)) + np.arange(30)[:, None]
+    words = rnd.integers(97, 123, (600, 4))
+    return {
+        (webp.PREDICTION, 1): as_text(np.stack([40 + steps % 60, 41 + steps % 61, 50 + steps % 67, 60 + steps % 59], -1)),
+        (webp.PREDICTION, 2): as_text(rows),
+        (webp.CROSS_COLOUR, None): as_text(np.stack([30 + green // 2, green, 100 - green // 4, noise], -1)),
+        (webp.SUBTRACT_GREEN, None): as_text(np.stack([green + 1, green, green + 2, noise], -1)),
+        (webp.PALETTE, None): as_text(words[rnd.integers(0, 12, 2000)]),
+        ("cache", None): as_text(words[rnd.integers(0, 600, 6000)]),
+        (None, None): as_text(rnd.integers(97, 123, 3000)),
+    }
+
+
+def way_of(media):
+    """Kind of the transform, and the mode of a prediction; whether there is a cache where there is no transform."""
+    reader = webp.Reader(media[20:])
+    reader.read(40)
+    if not reader.read(1):
+        return "cache" if reader.read(1) else None, None
+    kind = reader.read(2)
+    if kind > 1:
+        return kind, None
+    reader.read(3)
+    return kind, int(reader.image(1, 1)[0]) >> 8 & 255 if kind == webp.PREDICTION else None
+
+
+def test_each_transform_occurs_in_the_stored_files(make_docs):
+    texts = texts_by_way()
+    docs = make_docs([(k, t, "en", "s") for k, t in enumerate(texts.values())])
+    media = {r["doc_id"]: bytes(r["media"]) for r in webp.media_column(docs).collect()}
+    assert [way_of(media[k]) for k in range(len(texts))] == list(texts)
+    got = {r["doc_id"]: r for r in webp.digests(docs).collect()}
+    for k, t in enumerate(texts.values()):
+        assert got[k]["payload_sha256"] == sha256(webp.padded(t.encode())).hexdigest() and got[k]["media_bytes"] == len(media[k])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cached_pixels_and_references_against_the_plain_loop(seed):
+    """Both readers agree on caches of few places, whose entries are overwritten all the time."""
+    rnd = np.random.default_rng(seed)
+    samples = rnd.integers(0, 256, (40, 4)).astype(np.uint8)[rnd.integers(0, 40, (30, 50))]
+    samples[20:] = samples[0, 0]
+    out = webp.Writer()
+    webp.CACHE_BITS, held = 1 + seed, webp.CACHE_BITS
+    try:
+        webp.write_image(out, samples[..., [1, 0, 2, 3]], True, True)
+    finally:
+        webp.CACHE_BITS = held
+    data = out.value.to_bytes((out.at + 7) // 8, "little")
+    fast = webp.Reader(data).image(50, 30, top=True)
+    slow = webp.Reader(data)
+    slow.plain_pixels = lambda *_: None
+    assert (fast == slow.image(50, 30, top=True)).all()
+    assert (np.stack(webp.split(fast), -1)[:, [1, 2, 3, 0]].reshape(30, 50, 4) == samples).all()
+
+
+def test_a_cache_read_before_it_is_written_is_left_to_the_plain_loop():
+    assert not webp.ColourCache(3).fill(np.array([5, 0]), np.array([-1, 4 if webp.cache_keys(np.array([5]), 3)[0] != 4 else 3]))
+
+
+def test_payloads_beyond_the_largest_image_are_several_files():
+    payload = webp.padded("".join(map(str, range(3000))).encode())
+    media = webp.store(payload, 4 * webp.UNIT)
+    back, images = webp.read_back(media)
+    assert back == payload and len(images) == -(-len(payload) // (4 * webp.UNIT)) > 2
+    assert webp.store(payload) == webp.store(payload, len(payload))
