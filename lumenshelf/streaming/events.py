@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import shared_folder
+
 QUIET, MANY_PATHS = "600 milliseconds", 512
 FIRST_POLL_S, LAST_POLL_S, JITTER = 15, 900, 0.1
 
@@ -19,14 +20,13 @@ def change_feed(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there, appending to files, and read the result."""
-    out = shared_folder(stream.sparkSession)
+    out = fresh_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
@@ -34,7 +34,7 @@ def drained(stream: DataFrame) -> DataFrame:
 
 def drained_state(stream: DataFrame) -> DataFrame:
     """The final state of a streaming aggregate: each batch rewrites a new version, the last one counts."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, out = stream.sparkSession, fresh_folder(stream.sparkSession)
     versions: list[int] = []
 
     def save(batch: DataFrame, number: int) -> None:
