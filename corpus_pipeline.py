@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenshelf.functions.storage import shared_folder
 from lumenshelf.llm import bpe, curriculum, exact_dedup, language_id, simhash
 from lumenshelf.llm.common import table
 from lumenshelf.llm.queries import vocabulary_path
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages the rows are written to the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
