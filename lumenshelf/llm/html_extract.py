@@ -27,12 +27,20 @@ BORDER = frozenset("table ul ol dl div article section main body html select blo
 NOISE_TAGS = frozenset("head nav footer aside form button select input menu dialog object embed applet canvas audio video map".split()) | RAW
 NOISE_OUTSIDE = frozenset({"header"})
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsbygoogle|sponsor(?:ed|s)?|promos?|promotions?|sidebar|side-bar|comments?|commentlist|disqus|respond|reply|replies"
-    r"|cookies?|consent|gdpr|notices?|alerts?|popup|pop-up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|breadcrumbs?|skip-link)(?:$|[\s_-])",
-    re.I,
+#: Parts of class and id names that stand for noise, those that do outside of an article only, and those
+#: that say nothing beside them. A name of such parts alone is noise; beside any other part ("related-work")
+#: the element is only suspected, and its density decides.
+NOISE_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors promo promos promotion promotions sidebar side-bar comment comments commentlist disqus respond reply replies"
+    " cookie cookies consent gdpr notice notices alert alerts popup pop-up modal overlay newsletter subscribe signup login share sharing social related recommended widget widgets toolbar pagination pager"
+    " breadcrumb breadcrumbs skip-link".split()
 )
-NOISE_NAMES_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:menus?|nav|navbar|navigation|topbar|footer|header|masthead|banner)(?:$|[\s_-])", re.I)
+NOISE_PARTS_OUTSIDE = frozenset("menu menus nav navbar navigation topbar footer header masthead banner".split())
+PLAIN_PARTS = frozenset(
+    "area article articles bar block body bottom box button buttons card column container content end form group inner item items l left link links list main outer page panel placeholder post posts r right row"
+    " section site slot stories story sub text thread title top unit wrap wrapper".split()
+)
+NAME_PART = re.compile(r"skip-link|side-?bar|pop-?up|[^\W\d_]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -40,7 +48,7 @@ class Page:
     """A page's elements as parallel lists, parents before children; element 0 is the root."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.noise, self.inside, self.link = ["html"], [0], [False], [False], [False]
+        self.tag, self.parent, self.noise, self.suspect, self.inside, self.link = ["html"], [0], [False], [False], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # element and text; an empty text ends a block
         self.stack = [0]
         self.parse(html)
@@ -49,10 +57,12 @@ class Page:
     def open(self, tag: str, attributes: str) -> int:
         up = self.stack[-1]
         inside = self.inside[up] or tag in ("article", "main")
-        noise = self.noise[up] or (not (tag in ("html", "body", "article", "main")) and is_noise(tag, attributes, inside))
+        noise, suspect = (False, False) if tag in ("html", "body", "article", "main") else judged(tag, attributes, inside)
+        noise = noise or self.noise[up]
         self.tag.append(tag)
         self.parent.append(up)
         self.noise.append(noise)
+        self.suspect.append(suspect)
         self.inside.append(inside)
         self.link.append(self.link[up] or tag == "a")
         return len(self.tag) - 1
@@ -146,10 +156,10 @@ class Page:
     def chosen(self) -> list[bool]:
         """Which elements belong to the main text.
 
-        The element with the greatest sum of child densities leads: its outermost article or main,
-        else its nearest container, is taken whole. The least density on its path up to the body is
-        the threshold: outside of an article, containers that reach it are taken too, as parts of
-        one text; anywhere, blocks below it that are mostly links are left out.
+        The element with the greatest sum of child densities leads: its nearest container is taken whole.
+        The least density on its path up to the body is the threshold: containers beside that path which
+        reach it are taken too, as parts of one text, and blocks below it that are mostly links, or only
+        suspected to be noise, are left out.
         """
         n = len(self.tag)
         live = [i for i in range(n) if not self.noise[i] and self.chars[i]]
@@ -158,14 +168,14 @@ class Page:
         best = max(live, key=lambda i: (self.sums[i] or self.density[i], -i))
         path = self.path(best)
         threshold = min(self.density[i] for i in path)
-        semantic = [i for i in path if self.tag[i] in ("article", "main")]
-        top = semantic[-1] if semantic else next(i for i in path if self.tag[i] in CONTAINER)
+        top = next(i for i in path if self.tag[i] in CONTAINER)
         taken = [False] * n
         for i in range(n):
             up = taken[self.parent[i]] if i else False
-            links = self.link_chars[i] > 0.5 * self.chars[i] and self.density[i] < threshold and self.tag[i] in BLOCK
-            part = not semantic and self.tag[i] in CONTAINER and i not in path and self.density[i] >= threshold
-            taken[i] = not self.noise[i] and (up or i == top or part) and not links
+            below = self.density[i] < threshold and i not in path
+            out = below and self.tag[i] in BLOCK and (self.suspect[i] or self.link_chars[i] > 0.5 * self.chars[i])
+            part = self.tag[i] in CONTAINER and i not in path and not below
+            taken[i] = not self.noise[i] and (up or i == top or part) and not out
         return taken
 
     def main_text(self) -> str:
@@ -191,18 +201,25 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * max(0.0, log(max(value, 1.0))) / max(log(base), 0.1)
 
 
-def is_noise(tag: str, attributes: str, inside: bool) -> bool:
+def judged(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is noise by its kind, role or whole name, and whether a part of its name makes it suspect."""
     if tag in NOISE_TAGS or (tag in NOISE_OUTSIDE and not inside):
-        return True
+        return True, False
+    suspect = False
     if not attributes or attributes.isspace():
-        return False
+        return False, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and (NOISE_NAMES.search(value) or not inside and NOISE_NAMES_OUTSIDE.search(value)):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-            return True
-    return False
+        if name in ("class", "id"):
+            for word in value.lower().split():
+                parts = set(NAME_PART.findall(word))
+                known = parts & NOISE_PARTS if inside else parts & (NOISE_PARTS | NOISE_PARTS_OUTSIDE)
+                if known and parts <= known | PLAIN_PARTS | NOISE_PARTS_OUTSIDE:
+                    return True, False
+                suspect = suspect or bool(known)
+        elif name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            return True, False
+    return False, suspect
 
 
 def main_text(html: str | None) -> str:

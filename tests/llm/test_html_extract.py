@@ -35,6 +35,31 @@ def test_density_leads_without_semantic_tags():
     assert main_text(page) == f"{(words * 5).strip()}\n{(words * 4).strip()}\nshort"
 
 
+BODY = "Some plain sentence of the story that goes on for a while without any link in it. "
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-price", "notice-period", "alert system", "comment_ary", "social-history", "ad-hoc"])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_text_blocks_stay_whatever_their_names_hint_at(name, outer):
+    kept = name != "alert system"  # the word alone is a name of noise
+    page = f'<body><nav><a href="/">Home</a></nav><{outer}><p>{BODY * 4}</p><div class="{name}"><p>{BODY * 4}</p></div><p>{BODY * 3}</p></{outer}><footer>x</footer></body>'
+    blocks = [BODY * 4, BODY * 4, BODY * 3] if kept else [BODY * 4, BODY * 3]
+    assert main_text(page) == "\n".join(b.strip() for b in blocks)
+
+
+def test_blocks_of_links_with_such_names_go():
+    links = "".join(f'<li><a href="/{k}">A story {k}</a></li>' for k in range(12))
+    page = f'<body><div class="text"><p>{BODY * 6}</p><div class="related-work-links"><ul>{links}</ul></div><p>{BODY * 6}</p></div></body>'
+    assert main_text(page) == f"{(BODY * 6).strip()}\n{(BODY * 6).strip()}"
+
+
+def test_density_decides_between_two_articles_and_no_article():
+    """The tag gives no claim of its own: a teaser in an article loses against a longer text in a div."""
+    teasers = "".join(f'<article><h3><a href="/{k}">Teaser number {k}</a></h3></article>' for k in range(8))
+    page = f"<body><div>{teasers}</div><div><p>{BODY * 6}</p><p>{BODY * 7}</p></div></body>"
+    assert main_text(page) == f"{(BODY * 6).strip()}\n{(BODY * 7).strip()}"
+
+
 def test_sums_add_up():
     page = Page("<body><div><p>abc def</p><p>ghi <a>jk</a></p></div></body>")
     body = page.tag.index("body")
