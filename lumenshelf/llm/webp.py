@@ -43,7 +43,7 @@ class PrefixCode:
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) <= 1:  # a lone symbol takes no bits
-            self.bits, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.int32)
+            self.bits, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0], np.int64), np.zeros(1, np.int64)
         else:
             order = used[np.lexsort((used, lengths[used]))]
             each = lengths[order]
@@ -52,7 +52,7 @@ class PrefixCode:
             if spans.sum() != 1 << self.bits:
                 raise ValueError("prefix code is not complete")
             back = reversed_bits(self.bits)
-            self.symbol, self.length = np.repeat(order.astype(np.int32), spans)[back], np.repeat(each.astype(np.int32), spans)[back]
+            self.symbol, self.length = np.repeat(order, spans)[back], np.repeat(each, spans)[back]
         self.greatest = int(used[-1]) if len(used) else 0
 
 
@@ -211,44 +211,43 @@ class Reader:
             first = self.at
             limit = min(1 << 17, max(1, 8 * len(self.data) - first))
             size = (limit >> 3) + 16  # bytes looked at: a whole pixel must fit behind the last bit
-            octets = np.frombuffer(self.data[first >> 3 : (first >> 3) + size].ljust(size, b"\0"), np.uint8).astype(np.int32)
+            octets = np.frombuffer(self.data[first >> 3 : (first >> 3) + size].ljust(size, b"\0"), np.uint8).astype(np.int64)
             window = octets[:-2] | octets[1:-1] << 8 | octets[2:] << 16
-            window = (window[:, None] >> np.arange(8, dtype=np.int32) & 0x7FFF).ravel()[first & 7 :]
-            place = np.arange(len(window), dtype=np.int32)
+            window = (window[:, None] >> np.arange(8)).ravel()[first & 7 :]
+            place = np.arange(len(window))
             steps = {id(c): place + c.length[window & ((1 << c.bits) - 1)] if c.bits else place for c in codes[:4]}
             # Where each channel's symbol begins, and where the pixel ends, if green begins at each bit.
             red_at = steps[id(green)][:limit]
             blue_at = steps[id(red)][red_at]
             alpha_at = steps[id(blue)][blue_at]
             ends = steps[id(alpha)][alpha_at]
-            if green.greatest >= LITERALS:  # a cached pixel ends with its symbol; the chain halts at a back-reference
-                symbols = green.symbol[window[:limit] & ((1 << green.bits) - 1)]
-                if cache:
-                    ends = np.where(symbols >= LITERALS + LENGTHS, red_at, ends)
-                ends[(symbols >= LITERALS) & (symbols < LITERALS + LENGTHS)] = -1
+            if cache and green.greatest >= LITERALS + LENGTHS:  # a cached pixel ends with its symbol
+                ends = np.where(green.symbol[window[:limit] & ((1 << green.bits) - 1)] >= LITERALS + LENGTHS, red_at, ends)
             chain, spot, following, room = [], 0, memoryview(ends), n - at
             append = chain.append
             while room and spot < limit:
-                after = following[spot]
-                if after < 0:
-                    break
                 append(spot)
-                spot = after
+                spot = following[spot]
                 room -= 1
             starts = np.array(chain, np.int64)
-            look = lambda code, where: code.symbol[window[where] & ((1 << code.bits) - 1)].astype(np.int64)
+            look = lambda code, where: code.symbol[window[where] & ((1 << code.bits) - 1)]
             greens = look(green, starts)
+            # The chain holds up to its first back-reference.
+            references = np.flatnonzero((greens >= LITERALS) & (greens < LITERALS + LENGTHS)) if green.greatest >= LITERALS else ()
+            if len(references):
+                spot = chain[references[0]]
+                starts, greens = starts[: references[0]], greens[: references[0]]
             argb = look(alpha, alpha_at[starts]) << 24 | look(red, red_at[starts]) << 16 | greens << 8 | look(blue, blue_at[starts])
-            if cache and len(chain) and not cache.fill(argb, greens - (LITERALS + LENGTHS)):
+            if cache and len(starts) and not cache.fill(argb, greens - (LITERALS + LENGTHS)):
                 return None
-            out[at : at + len(chain)] = argb
-            at, self.at = at + len(chain), first + spot
-            if at < n and spot < limit and following[spot] < 0:
+            out[at : at + len(starts)] = argb
+            at, self.at = at + len(starts), first + spot
+            if len(references):
                 before = at
                 at = self.copy(out, at, self.symbol(green) - LITERALS, width, distances)
                 if cache:
                     cache.put(out[before:at])
-            elif not chain:
+            elif not len(starts):
                 fail("the stream ends early")
         return out
 
@@ -522,7 +521,19 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
 
 #: Lengths of the code length code that ``write_code`` uses: a complete code for all 19 symbols.
 PLAIN_LENGTHS = np.array([4] * 13 + [5] * 6)
-PLAIN_TOKENS = list(zip(codes_of(PLAIN_LENGTHS).tolist(), PLAIN_LENGTHS.tolist()))
+PLAIN_TOKENS = (codes_of(PLAIN_LENGTHS) | PLAIN_LENGTHS << 16).tolist()
+
+
+@lru_cache(maxsize=1)
+def plain_head() -> tuple[int, int]:
+    """What precedes the code lengths: not a simple code, all 19 lengths of their own code, all symbols follow."""
+    out = Writer()
+    out.write(0, 1)
+    out.write(15, 4)
+    for k in LENGTH_ORDER:
+        out.write(int(PLAIN_LENGTHS[k]), 3)
+    out.write(0, 1)
+    return out.value, out.at
 
 
 def write_code(out: Writer, lengths: np.ndarray) -> None:
@@ -531,15 +542,12 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         out.write(0b101, 3)  # simple, one symbol, of eight bits
         out.write(used[0] if used else 0, 8)
         return
-    out.write(0, 1)
-    out.write(15, 4)
-    for k in LENGTH_ORDER:
-        out.write(int(PLAIN_LENGTHS[k]), 3)
-    out.write(0, 1)
-    # Tokens and their extra bits, as (value, bits): the gap ahead of each run of used symbols, then the run.
-    parts: list[tuple[int, int]] = []
-    each = lengths.tolist()
-    edges = np.flatnonzero(np.diff((lengths > 0).astype(np.int8), prepend=0, append=0)).tolist() + [len(each)] * 2
+    out.write(*plain_head())
+    # Tokens and their extra bits, as value and bits in one number: the gap ahead of each run of used symbols, then the run.
+    parts: list[int] = []
+    each, some = lengths.tolist(), np.zeros(len(lengths) + 2, bool)
+    some[1:-1] = lengths
+    edges = np.flatnonzero(some[1:] != some[:-1]).tolist() + [len(each)] * 2
     at = 0
     for first, after in zip(edges[::2], edges[1::2]):
         while (gap := first - at) > 0:
@@ -547,16 +555,16 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
                 parts.append(PLAIN_TOKENS[0])
                 at += 1
             elif gap < 11:
-                parts += (PLAIN_TOKENS[17], (gap - 3, 3))
+                parts += (PLAIN_TOKENS[17], gap - 3 | 3 << 16)
                 at = first
             else:
                 run = min(gap, 138)
-                parts += (PLAIN_TOKENS[18], (run - 11, 7))
+                parts += (PLAIN_TOKENS[18], run - 11 | 7 << 16)
                 at += run
         parts += map(PLAIN_TOKENS.__getitem__, each[first:after])
         at = after
     values = np.array(parts, np.int64)
-    out.write(*pack_bits(values[:, 0], values[:, 1]))
+    out.write(*pack_bits(values & 0xFFFF, values >> 16))
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -588,7 +596,7 @@ TILE_BITS = 9
 #: Most bits of a colour cache, the share of an image's bits that it must save to be worth reading, and
 #: what a symbol's code costs in the file, about, in bits.
 CACHE_BITS, CACHE_SHARE, SYMBOL_COST = 10, 1 / 12, 5
-SAMPLED_ROWS = 16
+SAMPLED_ROWS = 4
 
 
 def lag(planes: np.ndarray, mode: int) -> np.ndarray:
