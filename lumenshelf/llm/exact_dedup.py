@@ -9,6 +9,8 @@ from lumenshelf.llm.common import SPACE_RUN, cut, id_key, join_groups, sized, te
 
 #: Code points of a normalised text that the second level hashes.
 PREFIX_CHARS = 64
+#: Slots of the bitmap that tells which rows are hashed in full.
+SLOTS = 1 << 24
 
 
 def normalised(text: str = "text") -> Column:
@@ -20,28 +22,42 @@ def full_hash(norm: str | Column) -> Column:
     return F.sha2(norm, 256)
 
 
+def raw_hash(text: str) -> Column:
+    """Tells texts apart as they are, before their white space is made even."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def duplicate_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows whose length and prefix hash occur twice, hashed in full: _id, _raw, text_sha256.
+
+    One pass counts pairs of length and prefix hash; a pair that occurs twice has a length that does, so
+    this settles both levels. The surviving pairs mark slots of a bitmap, which goes to every executor as
+    at most SLOTS / 64 rows, and a second pass hashes in full only rows whose slot is marked. A slot that
+    two pairs share makes a hash in vain, never a wrong group: equal texts alone have equal full hashes.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), raw_hash(text_col).alias("_raw"), normalised(text_col).alias("_t"))
+    rows = rows.withColumns({"_len": F.octet_length("_t"), "_prefix": F.xxhash64(F.substring("_t", 1, PREFIX_CHARS))})
+    pairs = rows.groupBy("_len", "_prefix").count().where("count > 1")
+    slot = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(SLOTS))
+    place = (slot % 64).cast("int")
+    marked = pairs.groupBy((slot / 64).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    hashed = rows.withColumn("_word", (slot / 64).cast("int")).join(F.broadcast(cut(marked)), "_word").where(F.getbit("_bits", place) == 1)
+    return cut(hashed.select("_id", "_raw", full_hash("_t").alias("text_sha256")))
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two rows or more with equal normalised texts: text_sha256, keep_id, group_size.
-
-    Level 1 keeps lengths that occur twice, level 2 pairs of length and prefix hash that occur twice.
-    Only rows that survive both are hashed in full. The surviving keys go to every executor while they
-    are few by count, and the full hash is then computed behind that filter in the scan itself; beyond
-    that the narrow rows (key, hash, id) are shuffled, never the texts.
-    Null texts equal the empty text. Null ids sort after all others, so a null id is kept only if the
-    group has no other. An empty table gives no groups.
+    """Groups of two rows or more with equal normalised texts: text_sha256, keep_id, group_size, keep.
+
+    keep is the row that stays: (no id, id, raw hash), the least of the group, so a null id stays only if
+    the group has no other. Null texts equal the empty text. An empty table gives no groups.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_t"))
-    rows = rows.withColumn("_len", F.octet_length("_t"))
-    lengths, _ = sized(rows.groupBy("_len").count().where("count > 1").select("_len"))
-    level2 = rows.join(lengths, "_len", "left_semi").select("_len", F.xxhash64(F.substring("_t", 1, PREFIX_CHARS)).alias("_prefix"))
-    keys, small = sized(level2.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix"))
-    rows = rows.withColumn("_prefix", F.xxhash64(F.substring("_t", 1, PREFIX_CHARS)))
-    if small:
-        survivors = rows.join(keys, ["_len", "_prefix"], "left_semi").select("_id", full_hash("_t").alias("text_sha256"))
-    else:
-        survivors = rows.select("_id", "_len", "_prefix", full_hash("_t").alias("text_sha256")).join(keys, ["_len", "_prefix"], "left_semi")
-    groups = survivors.groupBy("text_sha256").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return cut(groups.where("group_size > 1"))
+    return grouped(duplicate_candidates(docs, id_col, text_col))
+
+
+def grouped(candidates: DataFrame) -> DataFrame:
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_raw").alias("raw")))
+    groups = candidates.groupBy("text_sha256").agg(least.alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    return cut(groups.where("group_size > 1").withColumn("keep_id", F.col("keep.id")))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +66,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row that stands alone keeps itself. Rows that repeat both id and text each get the same values,
     so all of them read kept; ``drop_exact_duplicates`` leaves one. See duplicate_groups for nulls.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
+    groups = duplicate_groups(docs, id_col, text_col).select("text_sha256", "keep_id", "group_size")
     rows = docs.select(F.col(id_col), full_hash(normalised(text_col)).alias("text_sha256"))
     joined = join_groups(rows, groups, "text_sha256", "group_size", docs.count(), F.col(id_col))
     return joined.select(
@@ -65,23 +81,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, without the dropped copies.
 
-    Rows to drop are found on narrow keys and leave by an anti join on id and hash. Of rows that
-    repeat both id and text the first by the remaining columns stays.
+    Rows to drop are found on narrow keys and leave by an anti join on id and raw hash. Of rows that share
+    the id that stays, those with the least raw hash stay, and of rows that repeat id and text as they are
+    the first by the remaining columns.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
-    drops = exact_drops(docs, groups, id_col, text_col)
-    keyed = docs.withColumns({"_idk": id_key(id_col), "_sha": full_hash(normalised(text_col))})
-    kept = keyed.join(drops, ["_idk", "_sha"], "left_anti")
-    # Only groups in which an id repeats need their rows told apart.
-    twice, _ = sized(kept.groupBy("_idk", "_sha").count().where("count > 1").select("_idk", "_sha"))
-    single = kept.join(twice, ["_idk", "_sha"], "left_anti")
-    first = kept.join(twice, ["_idk", "_sha"], "left_semi").groupBy("_idk", "_sha").agg(*[F.min(F.struct(*docs.columns)).alias("_row")])
+    candidates = duplicate_candidates(docs, id_col, text_col)
+    groups = grouped(candidates).drop("keep_id")
+    joined = join_groups(candidates, groups, "text_sha256", "group_size", docs.count(), F.col("_raw").cast("string"))
+    rows = joined.where("group_size IS NOT NULL").withColumn("_idk", id_key("_id"))
+    stays = F.col("_id").eqNullSafe(F.col("keep.id")) & (F.col("_raw") == F.col("keep.raw"))
+    drops, _ = sized(rows.where(~stays).select("_idk", "_raw").distinct())
+    twice, _ = sized(rows.where(stays).groupBy("_idk", "_raw").count().where("count > 1").select("_idk", "_raw"))
+    keyed = docs.withColumns({"_idk": id_key(id_col), "_raw": raw_hash(text_col)})
+    kept = keyed.join(drops, ["_idk", "_raw"], "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(twice, ["_idk", "_raw"], "left_anti")
+    first = kept.join(twice, ["_idk", "_raw"], "left_semi").groupBy("_idk", "_raw").agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return single.select(*docs.columns).unionByName(first.select("_row.*").select(*docs.columns))
-
-
-def exact_drops(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and hash of each row that is not its group's first."""
-    rows = docs.select(id_key(id_col).alias("_idk"), F.col(id_col).alias("_id"), full_hash(normalised(text_col)).alias("text_sha256"))
-    joined = join_groups(rows, groups, "text_sha256", "group_size", docs.count(), F.col("_idk"))
-    drops = joined.where(F.col("group_size").isNotNull() & ~F.col("_id").eqNullSafe(F.col("keep_id")))
-    return sized(drops.select("_idk", F.col("text_sha256").alias("_sha")).distinct())[0]

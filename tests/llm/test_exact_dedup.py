@@ -42,3 +42,14 @@ def test_drop_leaves_one_of_each(make_docs, odd_rows):
 def test_empty_table(make_docs):
     assert exact_dedup.exact_duplicates(make_docs([])).collect() == []
     assert exact_dedup.drop_exact_duplicates(make_docs([])).collect() == []
+
+
+def test_only_survivors_are_hashed_in_full_whatever_the_slots(make_docs, odd_rows, monkeypatch):
+    rows = odd_rows + [(100 + k, f"text number {k} " * (1 + k % 7), "en", "s") for k in range(200)] + [(500, "text number 3  text number 3 text number 3 text number 3 ", "en", "s")]
+    docs = make_docs(rows)
+    want = sorted(map(str, exact_dedup.exact_duplicates(docs).collect()))
+    hashed = exact_dedup.duplicate_candidates(docs).count()
+    assert hashed < 60  # the pairs of length and prefix hash that recur, and little beside them
+    monkeypatch.setattr(exact_dedup, "SLOTS", 64)
+    assert sorted(map(str, exact_dedup.exact_duplicates(docs).collect())) == want
+    assert hashed <= exact_dedup.duplicate_candidates(docs).count()
