@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from typing import Any, Callable
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import shared_folder
 from lumenshelf.functions.workers import map_arrow
 
 #: Rows of a narrow key table that may be sent to every executor. Larger tables are joined by shuffle.
@@ -28,12 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
 
-    The folder is spark.checkpoint.dir; only where that is unset, as in local tests, one is made.
+    The folder is spark.checkpoint.dir; see shared_folder where that is unset.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenshelf.llm.common import WORD_RUN, cut, id_key, text_or_empty
+from lumenshelf.llm.common import WORD_RUN, cut, id_key, join_groups, text_or_empty
 
 #: A weight schedule: (training time from 0 to 1, weight) knots, linear in between. Sources in code
 #: point order take these in turn; their integrals, the overall weights, are 1, 2 and 3.
@@ -111,18 +111,21 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     rows = docs.select(F.col(source_col).alias("source"), id_key(id_col).alias("_idk"), words(text_col).alias("size"))
     rows = rows.withColumn("_sk", source_key("source"))
     places = cut(rows.groupBy("_sk", "source", "_idk", "size").agg((F.col("size") * F.count(F.lit(1))).alias("_all")))
-    targets = source_targets(places.groupBy("source").agg(F.sum("_all").alias("source_size")), schedules, max_epochs)
-    targets = targets.select(source_key("source").alias("_sk"), "source_size", "target", "_pick")
+    sources = cut(places.groupBy("source").agg(F.sum("_all").alias("source_size"), F.count(F.lit(1)).alias("_places")))
+    targets = source_targets(sources.drop("_places"), schedules, max_epochs).join(sources.select(F.col("source").alias("_s"), "_places"), F.col("source").eqNullSafe(F.col("_s")))
+    targets = targets.select(source_key("source").alias("_sk"), "source_size", "target", "_pick", "_places")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = cut(targets.withColumn("_passes", F.least(passes.cast("int"), F.lit(max_epochs))))
     places = places.withColumn("_order", F.md5("_idk")).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    plan = running_sum(places.drop("source"), F.col("_all")).withColumnRenamed("_before", "before").join(targets, "_sk")
+    total = places.count()
+    with_source = lambda rows, values: join_groups(rows, values, "_sk", "_places", total, F.col("_idk")).drop("_places")
+    plan = with_source(running_sum(places.drop("source"), F.col("_all")).withColumnRenamed("_before", "before"), targets)
     rest = F.col("target") - F.col("_passes") * F.col("source_size")
     plan = cut(plan.withColumn("_extra", (F.col("_all") > 0) & (F.col("before") + F.col("_all") <= rest)))
     for _ in range(FILL_ROUNDS):
         used = plan.groupBy("_sk").agg(F.sum(F.when(F.col("_extra"), F.col("_all")).otherwise(F.lit(0))).alias("_used"))
-        gaps = used.join(targets, "_sk").select("_sk", (rest - F.col("_used")).alias("_gap"))
-        open_ = plan.join(gaps, "_sk")
+        gaps = cut(used.join(targets, "_sk").select("_sk", (rest - F.col("_used")).alias("_gap"), "_places"))
+        open_ = with_source(plan, gaps)
         fits = ~F.col("_extra") & (F.col("_all") > 0) & (F.col("_all") <= F.col("_gap"))
         filled = running_sum(open_, F.when(fits, F.col("_all")).otherwise(F.lit(0)))
         plan = cut(filled.withColumn("_extra", F.col("_extra") | (fits & (F.col("_before") + F.col("_all") <= F.col("_gap")))).drop("_before", "_gap"))

@@ -137,9 +137,10 @@ def placed_rows(docs: DataFrame, id_col: str, text_col: str, radius: int) -> Dat
     rows = cut(map_rows(docs, start, f"{id_col} long, fp long, hash long", [id_col, text_col]))
     prints = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "hash")).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(prints.select("fp"), radius))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    keeps = placed.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "fp", "least.hash")).alias("keep"))
-    classes = cut(placed.join(keeps, "root").select("fp", "n", F.col("keep.id").alias("component_id"), "keep"))
+    placed = cut(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    keeps = cut(placed.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "fp", "least.hash")).alias("keep"), F.count(F.lit(1)).alias("size")))
+    classes = join_groups(placed, keeps, "root", "size", placed.count(), F.col("fp"))
+    classes = cut(classes.select("fp", "n", F.col("keep.id").alias("component_id"), "keep"))
     return join_groups(rows, classes, "fp", "n", rows.count(), F.col(id_col)).select(id_col, "fp", "hash", "component_id", "keep")
 
 
