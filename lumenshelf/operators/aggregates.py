@@ -52,6 +52,40 @@ def maintained(cat: Catalog, what: str) -> DataFrame:
     }[what]()
 
 
+COUNTERS = ("n", "missing", "unanalysed")
+
+
+def counter_deltas(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """What changed rows (before and after, as whole asset rows) add to and take from the counters by ``keys``."""
+
+    def counted(rows: DataFrame, sign: int) -> DataFrame:
+        ones = {"n": F.lit(1), "missing": F.col("flags").bitwiseAND(1), "unanalysed": F.col("analysed_at").isNull().cast("int")}
+        return rows.select(*keys, *[(c * sign).cast("long").alias(k) for k, c in ones.items()])
+
+    return counted(after, 1).unionByName(counted(before, -1)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def with_deltas(kept: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """Kept counters after deltas; counters that reach zero leave. Work in proportion to the changes and the counters."""
+    both = kept.select(*keys, *COUNTERS).unionByName(deltas.select(*keys, *COUNTERS)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return both.where("n <> 0")
+
+
+def drift(kept: DataFrame, assets: DataFrame, keys: list[str]) -> DataFrame:
+    """Counters that a recount corrects: keys, the true values, and what is kept now (null if nothing is)."""
+    n, missing, unanalysed = F.count(F.lit(1)).alias("n"), F.count_if(F.col("flags").bitwiseAND(1) != 0).alias("missing"), F.count_if(F.col("analysed_at").isNull()).alias("unanalysed")
+    true, old = assets.groupBy(*keys).agg(n, missing, unanalysed), kept.select(*keys, *[F.col(c).alias(f"kept_{c}") for c in COUNTERS])
+    wrong = [~F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in COUNTERS]
+    return true.join(old, keys, "full").where(wrong[0] | wrong[1] | wrong[2]).select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS], *[f"kept_{c}" for c in COUNTERS])
+
+
+def child_folders(assets: DataFrame, folder: str) -> DataFrame:
+    """Names of the folders directly below one; the bound on the path lets the scan skip the others."""
+    below = assets.where((F.col("path") >= folder + "/") & (F.col("path") < folder + "0"))
+    rest = F.substring("path", len(folder) + 2, 1 << 30)
+    return below.where(F.instr(rest, "/") > 0).select(F.substring_index(rest, "/", 1).alias("name")).distinct()
+
+
 def total_from_maintained(cat: Catalog, ceiling: Visibility) -> DataFrame:
     """The visible total. Whole sources add up from the kept counts; collections overlap them, so a
     ceiling with collections is counted on the assets."""

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 # Formats by media type, directories whose documents are noise, names of licence files.
 FORMATS = {
-    "audio": "wav flac mp3 ogg aif aiff m4a opus aac",
-    "image": "png jpg jpeg webp bmp tga tif tiff gif exr hdr dds ktx2 psd",
-    "model": "glb gltf obj fbx stl ply dae blend usd usdz",
-    "video": "mp4 mov mkv webm avi m4v",
-    "document": "txt md pdf docx odt rtf",
+    "audio": "wav flac mp3 ogg opus aiff m4a aac wma it xm mod s3m",
+    "image": "png jpg gif bmp tga tiff webp psd exr hdr dds ktx ktx2 svg",
+    "model": "gltf glb fbx obj stl ply dae 3ds blend usd usda usdc usdz",
+    "video": "mkv webm avi ogv mp4 mov m4v",
+    "document": "pdf md txt rtf docx odt",
 }
-NOISE_DIRS = (".git", "node_modules", "vendor", "target", "build", "dist", "__pycache__", ".venv", "site-packages")
+ALIASES = {"oga": "ogg", "aif": "aiff", "jpeg": "jpg", "tif": "tiff", "markdown": "md"}
+NOISE_DIRS = tuple("node_modules .git .svn .hg vendor target build dist __pycache__ .venv venv .tox .gradle cmakefiles obj bin library temp intermediate saved deriveddatacache".split())
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "eula")
 VIDEO_CONTAINERS = ("mp4", "mov", "m4v")
 
@@ -25,10 +26,22 @@ def extension(path: Column) -> Column:
     return F.lower(F.when(F.instr(name, ".") > 1, F.element_at(F.split(name, r"\."), -1)))
 
 
+def licence_file(path: Column) -> Column:
+    """Whether a file's name begins with a word for licence evidence."""
+    return F.lower(F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"[.\-_]"), 1)).isin(*LICENCE_NAMES)
+
+
+def detected_format(path: Column) -> Column:
+    """Format by extension, aliases by their usual name; a licence file without one is text. Null if none is known."""
+    formats = {e: e for exts in FORMATS.values() for e in exts.split()} | ALIASES
+    table = F.create_map(*[F.lit(x) for pair in formats.items() for x in pair])
+    return F.when(extension(path).isNull(), F.when(licence_file(path), "txt")).otherwise(F.element_at(table, extension(path)))
+
+
 def detected_media(path: Column) -> Column:
-    """Media type by extension; null if none is known."""
+    """Media type of the format; null if none is known."""
     table = F.create_map(*[F.lit(x) for media, exts in FORMATS.items() for e in exts.split() for x in (e, media)])
-    return F.element_at(table, F.coalesce(extension(path), F.lit("")))
+    return F.element_at(table, F.coalesce(detected_format(path), F.lit("")))
 
 
 def admitted(path: Column) -> Column:
@@ -36,8 +49,7 @@ def admitted(path: Column) -> Column:
     parts = F.split(path, "/")
     dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     noisy = F.exists(dirs, lambda d: F.lower(d).isin(*NOISE_DIRS))
-    first = F.lower(F.element_at(F.split(F.element_at(parts, -1), r"[.\-_]"), 1))
-    return detected_media(path).isNotNull() & ((detected_media(path) != "document") | ~noisy | first.isin(*LICENCE_NAMES))
+    return detected_media(path).isNotNull() & ((detected_media(path) != "document") | ~noisy | licence_file(path))
 
 
 def refined(media: Column, fmt: Column, has_video: Column) -> Column:
@@ -64,27 +76,60 @@ def sanitised(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\p{IsAlphabetic}\p{N}\-_.]", "_")
 
 
-def numbered(rows: DataFrame, base: Column, order: Column) -> DataFrame:
-    """``target`` names without collisions: the first of a name keeps it, later ones get -1, -2 and so on."""
-    ranked = rows.withColumn("_base", base).withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(order)) - 1)
-    return ranked.withColumn("target", F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string")))).drop("_base", "_n")
+def numbered(rows: DataFrame, stem: Column, tail: Column, order: Column, taken: DataFrame | None = None) -> DataFrame:
+    """``target`` names without collisions, stem and tail together, and ``copy``: 0 where the name stayed.
+
+    The first row of a name keeps it unless it is among ``taken`` (name); the others get stem-1, stem-2 and
+    so on, numbers left out whose name some row asks for or that is taken. Numbered names of different stems
+    never meet, so each name is settled by itself: the n-th free number is n plus the occupied ones ahead.
+    """
+    asked = rows.withColumns({"_stem": stem, "_tail": tail}).withColumn("_name", F.concat("_stem", "_tail"))
+    there = (asked.select(F.col("_name").alias("name")) if taken is None else asked.select(F.col("_name").alias("name")).unionByName(taken.select("name"))).distinct()
+    reserved = taken.select(F.col("name").alias("_name")).distinct().withColumn("_there", F.lit(1)) if taken is not None else None
+    placed = asked.join(reserved, "_name", "left") if taken is not None else asked.withColumn("_there", F.lit(None).cast("int"))
+    first = F.row_number().over(Window.partitionBy("_name").orderBy(order)) - 1
+    placed = placed.withColumn("_n", first + F.coalesce("_there", F.lit(0)))
+    # Names that look numbered, by the name that they would be a number of.
+    tails = placed.select("_stem", "_tail").where("_n > 0").distinct()
+    parts = there.select(F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,8})(\.[^.]*)?$", 1).alias("_stem"), F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,8})(\.[^.]*)?$", 2).alias("_k"), F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,8})(\.[^.]*)?$", 3).alias("_tail"))
+    occupied = parts.where("_k <> ''").join(tails, ["_stem", "_tail"], "left_semi").select("_stem", "_tail", F.col("_k").cast("int").alias("_k"))
+    # An occupied number k, the i-th of its name, stands behind k - i free ones.
+    held = occupied.select("_stem", "_tail", (F.col("_k") - F.row_number().over(Window.partitionBy("_stem", "_tail").orderBy("_k"))).alias("_at"), F.lit(1).alias("_held"))
+    copies = placed.where("_n > 0").withColumns({"_at": F.col("_n"), "_held": F.lit(0)})
+    ahead = Window.partitionBy("_stem", "_tail").orderBy("_at", "_held").rowsBetween(Window.unboundedPreceding, 0)
+    counted = copies.unionByName(held, allowMissingColumns=True).withColumn("copy", (F.col("_n") + F.sum("_held").over(ahead)).cast("int")).where("_held = 0")
+    named = placed.where("_n = 0").withColumn("copy", F.lit(0)).unionByName(counted.drop("_at", "_held"))
+    target = F.when(F.col("copy") == 0, F.col("_name")).otherwise(F.concat("_stem", F.lit("-"), F.col("copy").cast("string"), "_tail"))
+    return named.withColumn("target", target).drop("_stem", "_tail", "_name", "_there", "_n")
 
 
 def sidecars(manifest: DataFrame) -> DataFrame:
     """One JSON document per asset under a name of its own."""
-    named = numbered(manifest, F.when(sanitised(F.col("filename")) == "", F.col("id").cast("string")).otherwise(sanitised(F.col("filename"))), F.col("id"))
-    return named.select("id", F.concat("target", F.lit(".json")).alias("file"), F.to_json(F.struct(*[c for c in manifest.columns])).alias("body"))
+    clean = sanitised(F.col("filename"))
+    named = numbered(manifest, F.when(clean == "", F.col("id").cast("string")).otherwise(clean), F.lit(".json"), F.col("id"))
+    return named.select("id", F.col("target").alias("file"), F.to_json(F.struct(*[c for c in manifest.columns])).alias("body"))
 
 
 def write_manifest(manifest: DataFrame, path: str, kind: str) -> None:
-    """A manifest as JSON lines or CSV files; Spark commits the folder as one."""
-    writer = manifest.write.mode("overwrite")
-    writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
+    """A manifest as one JSON document, {"assets": [...]}, over the files of a folder, or as CSV files.
+
+    The document's files hold lines in order: the head, an asset each with a comma between, and the end; put
+    together they are one JSON text, and none is held in memory. Spark commits the folder as one.
+    """
+    if kind != "json":
+        manifest.write.mode("overwrite").option("header", True).csv(path)
+        return
+    spark = manifest.sparkSession
+    body = manifest.select(F.lit(1).alias("part"), F.col("id"), F.to_json(F.struct(*manifest.columns)).alias("value"))
+    first = manifest.agg(F.min("id").alias("first"))
+    body = body.join(F.broadcast(first)).withColumn("value", F.when(F.col("id") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value"))).drop("first")
+    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit(None).cast("long").alias("id"), F.when(F.col("id") == 0, '{"assets":[').otherwise("]}").alias("value"))
+    body.unionByName(ends).orderBy("part", "id").select("value").write.mode("overwrite").text(path)
 
 
 def write_sidecars(manifest: DataFrame, path: str) -> None:
-    """Sidecar names and bodies as JSON lines; a store of millions of tiny files is left to the reader of these."""
-    sidecars(manifest).select("file", "body").write.mode("overwrite").json(path)
+    """One file per asset, named as by ``sidecars``: partitions of a single value each, written by their tasks."""
+    sidecars(manifest).select("file", F.col("body").alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def convert_plan(assets: DataFrame, extension_to: str, taken: DataFrame, rule: str) -> DataFrame:
@@ -94,17 +139,14 @@ def convert_plan(assets: DataFrame, extension_to: str, taken: DataFrame, rule: s
     several inputs with one target the first by id is planned as if alone.
     """
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    rows = assets.select("id", "size_bytes", stem.alias("stem"), F.concat(stem, F.lit(f".{extension_to}")).alias("base"))
-    there = taken.select(F.col("path").alias("base")).distinct().withColumn("_there", F.lit(True))
-    rows = rows.join(there, "base", "left").withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1)
-    offset = F.col("_n") + F.when(F.col("_there"), 1).otherwise(0)
-    clash = offset > 0
+    rows = numbered(assets.select("id", "size_bytes", stem.alias("stem")), F.col("stem"), F.lit(f".{extension_to}"), F.col("id"), taken.select(F.col("path").alias("name")))
+    base, clash = F.concat("stem", F.lit(f".{extension_to}")), F.col("copy") > 0
     if rule == "suffix":
-        target, outcome = F.when(clash, F.concat("stem", F.lit("-"), offset.cast("string"), F.lit(f".{extension_to}"))).otherwise(F.col("base")), F.lit("done")
+        target, outcome = F.col("target"), F.lit("done")
     elif rule == "overwrite":
-        target, outcome = F.col("base"), F.lit("done")
+        target, outcome = base, F.lit("done")
     else:
-        target, outcome = F.when(~clash, F.col("base")), F.when(clash, {"fail": "failed", "skip": "collision"}[rule]).otherwise("done")
+        target, outcome = F.when(~clash, base), F.when(clash, {"fail": "failed", "skip": "collision"}[rule]).otherwise("done")
     return rows.select("id", "size_bytes", target.alias("target"), outcome.alias("outcome"))
 
 
@@ -135,6 +177,18 @@ def merged(streams: list[DataFrame], sort: str, descending: bool, limit: int, or
     return rows.orderBy(*keys, F.desc("local"), F.col("id").cast("string")).limit(limit)
 
 
+def answered(page: DataFrame, asked: list[str], came: list[str]) -> DataFrame:
+    """A merged page that tells which of the asked libraries are not in it: an answer that lacks one is partial,
+    and its order holds among those that came."""
+    missing = sorted(set(asked) - set(came))
+    return page.withColumns({"partial": F.lit(bool(missing)), "missing": F.array(*[F.lit(m) for m in missing]).cast("array<string>")})
+
+
+def routed(peers: DataFrame, sources: list[str] | None) -> DataFrame:
+    """The libraries (peer, source_id) to ask: those that hold a source in the caller's ceiling; all without one."""
+    return peers if sources is None else peers.where(F.col("source_id").isin(sources) if sources else F.lit(False))
+
+
 def fed_total(totals: DataFrame) -> DataFrame:
     """The sum of the libraries' totals (peer, total); unknown if any is."""
     return totals.agg(F.when(F.count("total") == F.count(F.lit(1)), F.sum("total")).alias("total"))

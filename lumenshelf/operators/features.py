@@ -113,22 +113,8 @@ def text_vectors(rows: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return map_arrow(rows.select(id_col, text_col), run, "id long, space_id string, vec array<float>")
 
 
-def image_features(gray: np.ndarray) -> tuple[int, list[float]]:
-    """Difference hash (64 bits, signed) and a 16 x 16 brightness vector of a grey image."""
-
-    def reduced(height: int, width: int) -> np.ndarray:
-        rows = np.arange(height + 1) * gray.shape[0] // height
-        cols = np.arange(width + 1) * gray.shape[1] // width
-        total = np.pad(gray.astype(np.float64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        hi_r, hi_c = np.maximum(rows[1:], rows[:-1] + 1), np.maximum(cols[1:], cols[:-1] + 1)
-        area = (hi_r - rows[:-1])[:, None] * (hi_c - cols[:-1])[None, :]
-        return (total[hi_r][:, hi_c] - total[rows[:-1]][:, hi_c] - total[hi_r][:, cols[:-1]] + total[rows[:-1]][:, cols[:-1]]) / area
-
-    small = reduced(8, 9)
-    bits = np.packbits(small[:, 1:] > small[:, :-1], bitorder="little").view(np.int64)[0]
-    cells = reduced(16, 16).ravel()
-    norm = np.linalg.norm(cells)
-    return int(bits), (cells / norm if norm > 1e-7 else cells).tolist()
+#: How far the strongest pitch class stands above the mean in tonal sound.
+TONAL_RATIO = 2.6
 
 
 def peaks(samples: np.ndarray, buckets: int = 256) -> list[float]:
@@ -140,13 +126,20 @@ def peaks(samples: np.ndarray, buckets: int = 256) -> list[float]:
     return (tops / tops.max()).tolist() if tops.max() > 0 else tops.tolist()
 
 
-def chroma(samples: np.ndarray, rate: int, size: int = 2048, hop: int = 512) -> np.ndarray:
-    """Energy per pitch class from a short-time Fourier transform."""
-    if len(samples) < size:
-        samples = np.pad(samples, (0, size - len(samples)))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop] * np.hanning(size)
-    power = np.abs(np.fft.rfft(frames, axis=1)).sum(axis=0) ** 2
-    hertz = np.fft.rfftfreq(size, 1 / rate)
-    use = (hertz > 55) & (hertz < 5000)
-    pitch = np.round(12 * np.log2(hertz[use] / 440) + 69).astype(int) % 12
-    return np.bincount(pitch, weights=power[use], minlength=12)
+def peak_rows(rows: DataFrame, buckets: int = 256) -> DataFrame:
+    """id and peaks of rows (id, samples: array of numbers)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [peaks(np.array(x if x is not None else [], np.float64), buckets) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["id", "peaks"])
+
+    return map_arrow(rows.select("id", "samples"), run, "id long, peaks array<double>")
+
+
+def dominant_pitch(chroma_rows: DataFrame, ratio: float = TONAL_RATIO) -> DataFrame:
+    """The strongest pitch class of rows (id, pitch, energy), the higher of equals; null where it does not stand
+    ``ratio`` times above the mean of the twelve."""
+    total, top = F.sum("energy"), F.max("energy")
+    strongest = F.max_by("pitch", F.struct("energy", "pitch"))
+    return chroma_rows.groupBy("id").agg(F.when((total > 0) & (top >= ratio * total / 12), strongest).alias("pitch"))

@@ -120,3 +120,30 @@ def reviewed_groups(groups: DataFrame, reviews: DataFrame, show: str) -> DataFra
     """Duplicate groups (content_hash, n) by review state (review_key, state): pending, resolved, dismissed or all."""
     rows = groups.join(reviews.withColumnRenamed("review_key", "content_hash"), "content_hash", "left").withColumn("state", F.coalesce("state", F.lit("pending")))
     return rows if show == "all" else rows.where(F.col("state") == show)
+
+
+def members_changed(collections: DataFrame, members: DataFrame, collection: int, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """Members (collection_id, asset_id) after ids (asset_id) were added to and removed from a manual collection."""
+    kind = collections.where(F.col("collection_id") == collection).select("kind").first()
+    if kind is None:
+        raise BadRequest(f"no collection {collection}")
+    if kind["kind"] == "smart":
+        raise BadRequest("a smart collection follows its query and has no members to edit")
+    own = F.lit(collection).cast("long").alias("collection_id")
+    kept = members.select("collection_id", "asset_id").union(add.select(own, "asset_id")).distinct()
+    return kept.join(remove.select(own, "asset_id"), ["collection_id", "asset_id"], "left_anti")
+
+
+def bulk_targets(rows: DataFrame, writable: list[str]) -> DataFrame:
+    """Which of the rows a caller may change: those of sources open to writing."""
+    return rows.select("id", F.coalesce(F.col("source_id").isin(writable), F.lit(False)).alias("writable"))
+
+
+def jobs_page(jobs: DataFrame, kinds: list[str], state: str | None, last: tuple[int, int] | None, limit: int) -> DataFrame:
+    """Jobs (id, kind, state, created_at), newest first, behind the last one seen; one more than ``limit`` tells
+    that there are more."""
+    rows = jobs.where(F.col("kind").isin(kinds)) if kinds else jobs
+    rows = rows.where(F.col("state") == state) if state is not None else rows
+    if last is not None:
+        rows = rows.where((F.col("created_at") <= last[0]) & ((F.col("created_at") < last[0]) | (F.col("id") < last[1])))
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1)

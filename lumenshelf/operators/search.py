@@ -52,15 +52,16 @@ def ranked(rows: DataFrame, groups: list[list[str]]) -> DataFrame:
     stats = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *counts)
     joined = scored.where("hit").join(F.broadcast(stats))  # one row
 
-    def part(k: int) -> Column:
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
-        f = F.col("tf")[k]
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-
-    score = -reduce(lambda a, b: a + b, [part(k) for k in range(len(terms))])
+    score = -reduce(lambda a, b: a + b, [bm25(F.col("tf")[k], F.col(f"df{k}")) for k in range(len(terms))])
     return joined.select("id", "name", score.alias("rank"), F.when(F.col("authored"), 0).otherwise(1).alias("tier"))
 
 
+def bm25(tf: Column, df: Column) -> Column:
+    """One term's part of a row's score, of columns n, mean and length."""
+    idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+
 def substring_hits(rows: DataFrame, text: str) -> DataFrame:
     """Names that contain the text of three characters or more, case and diacritics aside."""
     return rows.where(T.fold(F.col("name")).contains(T.fold(F.lit(text)))) if len(text) >= 3 else rows.where(F.lit(False))
@@ -72,14 +73,48 @@ def short_hits(assets: DataFrame, text: str) -> DataFrame:
     return newest.where(T.nocase(F.col("filename")).contains(T.nocase(F.lit(text))))
 
 
-def search(cat: Catalog, text: str, limit: int = 100) -> DataFrame:
-    """Hits by tier, rank, length of name, name and id: authored words, other words, then substrings."""
+def hits(cat: Catalog, text: str) -> DataFrame:
+    """All hits, in no order (id, name, rank, tier): authored words, other words, then substrings."""
     rows, groups = search_rows(cat), T.query_groups(text)
     empty = rows.select("id", "name", F.lit(0.0).alias("rank"), F.lit(0).alias("tier")).where(F.lit(False))
     words = ranked(rows, groups) if groups else empty
     rest = substring_hits(rows, text).select("id", "name").join(words.select("id"), "id", "left_anti")
-    hits = words.unionByName(rest.select("id", "name", F.lit(SUBSTRING_RANK).alias("rank"), F.lit(2).alias("tier")))
-    return hits.orderBy("tier", "rank", F.length("name"), "name", "id").limit(limit)
+    return words.unionByName(rest.select("id", "name", F.lit(SUBSTRING_RANK).alias("rank"), F.lit(2).alias("tier")))
+
+
+def relevance() -> list[Column]:
+    """The order of hits: tier, rank to six places (so that equal texts tie), length of name, name and id."""
+    return [F.col("tier"), F.round("rank", 6), F.length("name"), F.col("name"), F.col("id")]
+
+
+def search(cat: Catalog, text: str, limit: int = 100, keep: DataFrame | None = None) -> DataFrame:
+    """The first hits in order of relevance; with ``keep`` (id) only of those ids. The limit comes last, so
+    each task keeps ``limit`` rows and no more."""
+    found = hits(cat, text)
+    return (found if keep is None else found.join(keep.select("id"), "id", "left_semi")).orderBy(*relevance()).limit(limit)
+
+
+def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An inverted index of search rows: term, id, weight (how often in which columns, weighted) and authored;
+    and what the ranking needs of each row: id, name, length. Written in order of term, a prefix reads few files."""
+    each = [rows.select("id", F.explode(c).alias("term"), F.lit(w).alias("w"), F.lit(c in AUTHORED).alias("authored")) for c, w in WEIGHTS.items()]
+    terms = reduce(DataFrame.unionByName, each).groupBy("term", "id").agg(F.sum("w").alias("weight"), F.max("authored").alias("authored"))
+    return terms, rows.select("id", "name", reduce(lambda a, b: a + b, [F.size(c) for c in WEIGHTS]).alias("length"))
+
+
+def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """What ``ranked`` gives, from postings: only terms that begin like one of the query's are read, each a
+    range of the index, and rows are met by id."""
+    wanted = sorted({t for g in groups for t in g})
+    near = reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in wanted])
+    sums = [F.sum(F.when(F.col("term").startswith(t), F.col("weight")).otherwise(F.lit(0.0))).alias(f"tf{k}") for k, t in enumerate(wanted)]
+    told = [F.max(F.col("term").startswith(t) & F.col("authored")).alias(f"au{k}") for k, t in enumerate(wanted)]
+    found = terms.where(near).groupBy("id").agg(*sums, *told)
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).join(found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]))
+    every = lambda name: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [name(wanted.index(t)) for t in g]) for g in groups])
+    met = found.where(every(lambda k: F.col(f"tf{k}") > 0)).join(lengths, "id").join(F.broadcast(stats))  # one row
+    parts = [bm25(F.col(f"tf{k}"), F.col(f"df{k}")) for k in range(len(wanted))]
+    return met.select("id", "name", (-reduce(lambda a, b: a + b, parts)).alias("rank"), F.when(every(lambda k: F.col(f"au{k}")), 0).otherwise(1).alias("tier"))
 
 
 def text_filter(cat: Catalog, text: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import shared_folder
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.filters import BadRequest
 
@@ -124,6 +124,25 @@ def with_rank(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def hybrid_lists(words: DataFrame, vectors_of: DataFrame, wanted: list[float] | None, space: str, mode: str) -> list[tuple[DataFrame, float]]:
+    """The ranked lists (id, rank) of a hybrid search with their weights: word hits, neighbours of the text's
+    vector, and neighbours of the first word hits. Without a vector words stand alone."""
+    weights = FUSION[mode]
+    lists = [(words, weights[0])]
+    if wanted is not None:
+        near = nearest(vectors_of, checked_vector(vectors_of, space, wanted), SEMANTIC_CAP, space)
+        seeds = seeded(vectors_of, words.where(F.col("rank") < SEED_CAP))
+        lists += [(with_rank(rows, F.desc("score"), F.col("id")).select("id", "rank"), w) for rows, w in zip((near, seeds), weights[1:])]
+    return lists
+
+
+def delta_window(state: DataFrame, delta: DataFrame, cap: int) -> DataFrame:
+    """The one row of an index's state beside each of its newest journal entries (at most ``cap``), or
+    beside nulls: one read of both, which an overlay needs to fit together."""
+    newest = delta.where(F.col("seq") > state.first()["generation"]).orderBy(F.desc("seq")).limit(cap)
+    return newest.join(F.broadcast(state), how="right")
+
+
 def fused(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank from zero)."""
     parts = [rows.select("id", (F.lit(weight) / (F.lit(RRF_K) + F.col("rank") + 1)).alias("part")) for rows, weight in lists]
@@ -235,7 +254,7 @@ def components(pairs: DataFrame) -> DataFrame:
     plan's size estimates, whose digits multiply with every join until the driver's memory is full.
     """
     spark = pairs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-")
+    folder = shared_folder(spark)
 
     def settled(rows: DataFrame) -> DataFrame:
         path = f"{folder}/components-{uuid.uuid4().hex}"

@@ -92,3 +92,28 @@ def page(cat: Catalog, request: QueryRequest, ceiling: Visibility = Visibility()
 
 def total(cat: Catalog, request: QueryRequest, ceiling: Visibility = Visibility()) -> DataFrame:
     return selected(cat, request, ceiling).agg(F.count(F.lit(1)).alias("total"))
+
+
+def saved_query(saved: str) -> QueryRequest:
+    """A smart collection's query from its JSON: text, filters (field, op, value), sort and descending."""
+    try:
+        body = json.loads(saved)
+        if not isinstance(body, dict) or set(body) - {"text", "filters", "sort", "descending"}:
+            raise ValueError("keys")
+        filters = [Filter(f["field"], f["op"], f["value"]) for f in body.get("filters", [])]
+        request = QueryRequest(body.get("text"), filters, body.get("sort", "name"), body.get("descending", False))
+        if request.sort not in SORTS or not isinstance(request.descending, bool) or not isinstance(request.text, (str, type(None))):
+            raise ValueError("order")
+        return request
+    except (ValueError, TypeError, KeyError, AttributeError) as e:
+        raise BadRequest(f"bad saved query: {e}") from e
+
+
+def smart_members(cat: Catalog, saved: str, ceiling: Visibility = Visibility()) -> DataFrame:
+    """The visible assets that a smart collection's query selects now. A query that cannot be read, or is
+    refused, selects nothing: what it once hid must not show."""
+    try:
+        request = saved_query(saved)
+        return selected(cat, request, ceiling)
+    except BadRequest:
+        return cat.asset.where(F.lit(False))

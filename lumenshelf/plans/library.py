@@ -28,8 +28,7 @@ class Library:
         if request.descending:
             raise BadRequest("relevance has one direction")
         allowed = apply_filters(self.cat, self.assets, request.filters).select("id")
-        hits = search.search(self.cat, request.text, 1 << 30).join(allowed, "id", "left_semi")
-        return hits.orderBy("tier", "rank", F.length("name"), "name", "id").limit(min(max(request.limit, 1), browse.MAX_LIMIT) + 1)
+        return search.search(self.cat, request.text, min(max(request.limit, 1), browse.MAX_LIMIT) + 1, allowed)
 
     def count(self, request: browse.QueryRequest) -> DataFrame:
         rows = browse.selected(self.cat, request, self.ceiling)
@@ -41,14 +40,7 @@ class Library:
         """Words, text vector and neighbours of the first word hits, fused by rank; filters come after
         fusion. Without a vector or a known space, words alone."""
         words = search.search(self.cat, text, vectors.LEXICAL_CAP)
-        ranked = vectors.with_rank(words, F.col("tier"), F.col("rank"), F.length("name"), F.col("name"), F.col("id")).select("id", "rank")
-        weights = vectors.FUSION[mode]
-        lists = [(ranked, weights[0])]
-        if text_vector is not None:
-            near = vectors.nearest(vectors_of, vectors.checked_vector(vectors_of, space, text_vector), vectors.SEMANTIC_CAP, space)
-            lists.append((vectors.with_rank(near, F.desc("score"), F.col("id")).select("id", "rank"), weights[1]))
-            seeds = vectors.seeded(vectors_of, ranked.orderBy("rank").limit(vectors.SEED_CAP))
-            lists.append((vectors.with_rank(seeds, F.desc("score"), F.col("id")).select("id", "rank"), weights[2]))
+        lists = vectors.hybrid_lists(vectors.with_rank(words, *search.relevance()).select("id", "rank"), vectors_of, text_vector, space, mode)
         allowed = apply_filters(self.cat, self.assets, list(filters)).select("id", "filename")
         fused = vectors.fused(lists).join(allowed, "id")
         return fused.orderBy(F.desc("score"), "filename", "id").limit(limit)

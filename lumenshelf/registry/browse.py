@@ -57,7 +57,7 @@ query(
 MANIFEST = """SELECT a.id, filename, path, media_type, format, size_bytes, content_hash, source_id, license_id, license_status, commercial, modify, redistribute, attribution, holder, credit, t.tags, n.body AS note
  FROM asset a LEFT JOIN (SELECT x.asset_id, string_agg(t.name, ';' ORDER BY t.name) AS tags FROM asset_tag x JOIN tag t USING (tag_id) WHERE x.state = 'confirmed' GROUP BY 1) t ON t.asset_id = a.id LEFT JOIN asset_note n ON n.asset_id = a.id"""
 query("export_rows", MANIFEST)(lambda c: projections.manifest(c, c.asset))
-query("manifest_row", f"{MANIFEST} WHERE media_type = 'model'")(lambda c: projections.manifest(c, c.asset.where("media_type = 'model'")))
+query("manifest_row", MANIFEST)(lambda c: projections.manifest(c, c.asset))
 CREDITS = "SELECT id, filename, license_id, holder, credit FROM asset WHERE coalesce(attribution, FALSE) OR license_status = 'attribution' OR holder IS NOT NULL OR credit IS NOT NULL"
 query("export_attribution_only", CREDITS)(lambda c: projections.credits(c.asset))
 query("credit_row", f"SELECT * FROM ({CREDITS}) WHERE holder IS NOT NULL")(lambda c: projections.credits(c.asset).where("holder IS NOT NULL"))
@@ -126,8 +126,8 @@ query("join_attr_left5", f"SELECT a.id, i.width AS image_width, u.bpm AS audio_b
 query("join_semi_subquery", f"SELECT id FROM asset WHERE id IN ({CONFIRMED})")(lambda c: ids(c.asset.join(c.asset_tag.where("state = 'confirmed'").select(F.col("asset_id").alias("id")), "id", "left_semi")))
 query("join_anti_cte", "SELECT a.id FROM asset a LEFT JOIN asset_note n ON n.asset_id = a.id WHERE n.asset_id IS NULL")(lambda c: ids(c.asset.join(c.asset_note.withColumnRenamed("asset_id", "id"), "id", "left_anti")))
 query("join_not_exists", "SELECT id FROM asset WHERE NOT EXISTS (SELECT 1 FROM collection_member m WHERE m.asset_id = asset.id)")(lambda c: ids(c.asset.join(c.collection_member.select(F.col("asset_id").alias("id")), "id", "left_anti")))
-query("join_many_many_tags", "SELECT a.id, t.name, x.state FROM asset a JOIN asset_tag x ON x.asset_id = a.id JOIN tag t ON t.tag_id = x.tag_id WHERE a.media_type = 'image'")(
-    lambda c: c.asset.where("media_type = 'image'").select("id").join(c.asset_tag.withColumnRenamed("asset_id", "id"), "id").join(c.tag, "tag_id").select("id", "name", "state")
+query("join_many_many_tags", "SELECT a.id, t.name, x.state FROM asset a JOIN asset_tag x ON x.asset_id = a.id JOIN tag t ON t.tag_id = x.tag_id")(
+    lambda c: c.asset.select("id").join(c.asset_tag.withColumnRenamed("asset_id", "id"), "id").join(c.tag, "tag_id").select("id", "name", "state")
 )
 query("join_outer_count", "SELECT s.source_id, s.name, count(a.id) AS n FROM source_table s LEFT JOIN asset a ON a.source_id = s.source_id GROUP BY 1, 2")(lambda c: aggregates.by_source(c, c.asset))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenshelf.operators import aggregates, exchange, features, ingest, projections, review
+from lumenshelf.operators import aggregates, exchange, features, ingest, media, projections, review
 from lumenshelf.operators.filters import Visibility, visible
+from lumenshelf.plans.browse import smart_members
 from lumenshelf.registry import query
 from lumenshelf.registry.search import sql_spaces, spaces
 from lumenshelf.sources.fixtures import Catalog
@@ -27,19 +27,16 @@ def listing(c: Catalog) -> DataFrame:
     return seen.unionByName(new)
 
 
-@query(
-    "upsert_asset",
-    """SELECT source_id, path, CASE WHEN remade THEN 0 ELSE version END AS analysis_version, CASE WHEN remade THEN NULL ELSE analysed END AS analysed_at, flags, CASE WHEN is_new THEN 'new' WHEN remade THEN 'remade' WHEN seen THEN 'seen' ELSE 'kept' END AS outcome FROM
- (SELECT source_id, path, FALSE AS is_new, id % 5 <> 0 AS seen, id % 5 <> 0 AND (id % 7 = 0 OR (id % 11 = 0 AND media_type <> 'audio')) AS remade, analysis_version AS version, analysed_at AS analysed, CASE WHEN id % 5 <> 0 THEN flags & -2 ELSE flags END AS flags FROM asset
- UNION ALL SELECT source_id, concat('new/', path), TRUE, TRUE, FALSE, 0, NULL, 0 FROM asset WHERE id % 20 = 1)""",
-)
-def upsert_asset(c: Catalog) -> DataFrame:
-    return ingest.upsert(c.asset, listing(c), 1800000000000).select("source_id", "path", "analysis_version", "analysed_at", "flags", "outcome")
+AFTER = """(SELECT id, source_id, path, CASE WHEN remade THEN 0 ELSE version END AS analysis_version, CASE WHEN remade THEN 0 ELSE drawn END AS derivative_version, CASE WHEN remade THEN NULL ELSE analysed END AS analysed_at, flags, CASE WHEN is_new THEN 'new' WHEN remade THEN 'remade' WHEN seen THEN 'seen' ELSE 'kept' END AS outcome, re AS reclassified FROM
+ (SELECT id, source_id, path, FALSE AS is_new, id % 5 <> 0 AS seen, id % 5 <> 0 AND (id % 7 = 0 OR (id % 11 = 0 AND media_type <> 'audio')) AS remade, id % 5 <> 0 AND id % 11 = 0 AND media_type <> 'audio' AS re, analysis_version AS version, derivative_version AS drawn, analysed_at AS analysed, CASE WHEN id % 5 <> 0 THEN flags & -2 ELSE flags END AS flags FROM asset
+ UNION ALL SELECT (SELECT max(id) FROM asset) + row_number() OVER (ORDER BY md5(concat(source_id, '/', 'new/', path)), source_id, path), source_id, concat('new/', path), TRUE, TRUE, FALSE, FALSE, 0, 0, NULL, 0 FROM asset WHERE id % 20 = 1))"""
+query("upsert_asset", f"SELECT * FROM {AFTER}")(lambda c: ingest.upsert(c.asset, listing(c).unionByName(listing(c)), 1800000000000).select("id", "source_id", "path", "analysis_version", "derivative_version", "analysed_at", "flags", "outcome", "reclassified"))
+query("upsert_attributes", f"SELECT asset_id, width FROM image_attr WHERE asset_id NOT IN (SELECT id FROM {AFTER} WHERE reclassified)")(lambda c: ingest.derived_kept(c.image_attr.select("asset_id", "width"), ingest.upsert(c.asset, listing(c), 1800000000000), "image"))
 
 
 OBSERVED = "id % 4 <> 1"
-query("scan_begin", "SELECT source_id, count(*) AS n, max(scanned_at) AS last_scan FROM asset GROUP BY 1")(lambda c: c.asset.groupBy("source_id").agg(n(), F.max("scanned_at").alias("last_scan")))
-query("scan_observe", f"SELECT id, (flags & -2) AS flags FROM asset WHERE {OBSERVED}")(lambda c: c.asset.where(OBSERVED).select("id", F.col("flags").bitwiseAND(-2).alias("flags")))
+query("scan_begin", "SELECT source_id, CAST(count(*) % 7 + CASE WHEN source_id = 'src2' THEN 1 ELSE 0 END AS INT) AS generation FROM asset GROUP BY 1")(lambda c: ingest.begun(c.asset.groupBy("source_id").agg((F.count(F.lit(1)) % 7).cast("int").alias("generation")), "src2"))
+query("scan_observe", f"SELECT id, (flags & -2) AS flags FROM asset WHERE {OBSERVED}")(lambda c: ingest.observe(c.asset, c.asset.where(OBSERVED)))
 query("scan_finish", f"SELECT id, CASE WHEN source_id = 'src2' AND NOT ({OBSERVED}) THEN flags | 1 ELSE flags END AS flags FROM asset")(lambda c: ingest.mark_missing(c.asset, c.asset.where(OBSERVED), "src2", 7, 7))
 query("scan_finish_scoped", f"SELECT id, CASE WHEN source_id = 'src2' AND NOT ({OBSERVED}) AND starts_with(path, 'en/') THEN flags | 1 ELSE flags END AS flags FROM asset")(lambda c: ingest.mark_missing(c.asset, c.asset.where(OBSERVED), "src2", 7, 7, ["en"]))
 query("scan_finish_overtaken", "SELECT id, flags FROM asset")(lambda c: ingest.mark_missing(c.asset, c.asset.where(OBSERVED), "src2", 6, 7))
@@ -62,15 +59,40 @@ query("pending_commit", """SELECT p.source_id, p.path, CASE WHEN a.id % 7 = 0 TH
     lambda c: ingest.pending_commit(c.pending_ingest, c.pending_ingest.join(c.asset, ["source_id", "path"]).select("source_id", "path", (F.col("revision") + F.when(F.expr("id % 5 = 0"), 1).otherwise(0)).alias("revision"), "content_hash", F.expr("id % 7 = 0").alias("cancelled")), c.blocklist)
 )
 query("pending_retry", "SELECT source_id, path, attempts + CASE WHEN attempts = 2 THEN 1 ELSE 0 END AS attempts, CASE WHEN attempts = 2 THEN 30500 ELSE retry_after END AS retry_after FROM pending_ingest")(lambda c: ingest.retried(c.pending_ingest, c.pending_ingest.where("attempts = 2"), 500))
-NOT_PENDING = "NOT EXISTS (SELECT 1 FROM pending_ingest p WHERE p.source_id = asset.source_id AND p.path = asset.path)"
-query("plan_due", f"SELECT id FROM asset WHERE analysis_version < 3 AND {NOT_PENDING}")(lambda c: ingest.due(c.asset, c.pending_ingest).select("id"))
-query("derivative_due", f"SELECT id FROM asset WHERE analysis_version < 3 AND media_type IN ('image', 'video', 'model') AND {NOT_PENDING}")(lambda c: ingest.derivatives_due(c.asset, c.pending_ingest).select("id"))
-query("page_plan", f"SELECT id FROM asset WHERE {NOT_PENDING} AND analysis_version < 3 AND (analysis_version > 1 OR (analysis_version = 1 AND (source_id > 'src3' OR (source_id = 'src3' AND id > 40)))) ORDER BY analysis_version, source_id, id LIMIT 200")(lambda c: ingest.plan_page(ingest.due(c.asset, c.pending_ingest), (1, "src3", 40), 200).select("id"))
-query("scan_batch", "SELECT source_id, CAST((id - id % 64) AS BIGINT) AS part, count(*) AS n FROM asset GROUP BY 1, 2")(lambda c: c.asset.groupBy("source_id", (F.col("id") - F.col("id") % 64).alias("part")).agg(n()))
-query("analysis_batch", "SELECT id, CASE WHEN media_type = 'document' AND size_bytes IS NULL THEN 'no size' END AS error FROM asset")(lambda c: c.asset.select("id", F.when((F.col("media_type") == "document") & F.col("size_bytes").isNull(), "no size").alias("error")))
+NOT_PENDING = "source_id NOT IN (SELECT source_id FROM source_table WHERE kind = 'federated') AND NOT EXISTS (SELECT 1 FROM pending_ingest p WHERE p.source_id = asset.source_id AND p.path = asset.path)"
+query("plan_due", f"SELECT id FROM asset WHERE analysis_version < 3 AND {NOT_PENDING}")(lambda c: ingest.due(c.asset, c.pending_ingest, c.source_table).select("id"))
+query("derivative_due", f"SELECT id FROM asset WHERE derivative_version < 3 AND media_type IN ('image', 'video', 'model') AND {NOT_PENDING}")(lambda c: ingest.derivatives_due(c.asset, c.pending_ingest, c.source_table).select("id"))
+query("page_plan", f"SELECT id FROM asset WHERE {NOT_PENDING} AND analysis_version < 3 AND (analysis_version > 1 OR (analysis_version = 1 AND (source_id > 'src3' OR (source_id = 'src3' AND id > 40)))) ORDER BY analysis_version, source_id, id LIMIT 200")(lambda c: ingest.plan_page(ingest.due(c.asset, c.pending_ingest, c.source_table), (1, "src3", 40), 200).select("id"))
+query("scan_batch", "SELECT source_id, CAST((r - 1) // 128 AS BIGINT) AS batch, count(*) AS n FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY path) AS r FROM asset) GROUP BY 1, 2")(lambda c: ingest.scan_batches(c.asset).groupBy("source_id", "batch").agg(n()))
+query("analysis_batch", "SELECT id, CASE WHEN id % 3 = 0 AND NOT (media_type = 'document' AND size_bytes IS NULL) THEN 3 ELSE analysis_version END AS analysis_version, CASE WHEN id % 3 = 0 AND NOT (media_type = 'document' AND size_bytes IS NULL) THEN 1800000000000 ELSE analysed_at END AS analysed_at, CASE WHEN id % 3 = 0 AND media_type = 'document' AND size_bytes IS NULL THEN 'no size' END AS error FROM asset")(
+    lambda c: ingest.analysed(c.asset, c.asset.where("id % 3 = 0").select("id", F.when((F.col("media_type") == "document") & F.col("size_bytes").isNull(), "no size").alias("error")), 3, 1800000000000)
+)
 query("remove_block", "SELECT id FROM asset WHERE content_hash <> (SELECT content_hash FROM asset WHERE id = 21)")(lambda c: ingest.removed(c.asset, 21, True)[0].select("id"))
 query("clear_analysis", "SELECT id, 0 AS analysis_version FROM asset")(lambda c: ingest.cleared(c.asset).select("id", "analysis_version"))
-query("repair_aggregates", "SELECT media_type, count(*) AS n, count(*) FILTER (WHERE (flags & 1) <> 0) AS missing, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed FROM asset GROUP BY 1")(lambda c: aggregates.maintained(c, "media_stat"))
+STAT = "count(*) AS n, count(*) FILTER (WHERE (flags & 1) <> 0) AS missing, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed"
+
+
+@query("repair_aggregates", f"SELECT media_type, n, missing, unanalysed, CASE WHEN media_type = 'audio' THEN n + 5 END AS kept_n FROM (SELECT media_type, {STAT} FROM asset GROUP BY 1) WHERE media_type IN ('audio', 'video')")
+def repair_aggregates(c: Catalog) -> DataFrame:
+    """Kept counters of which one is wrong and one is lost."""
+    kept = aggregates.maintained(c, "media_stat").where("media_type <> 'video'").withColumn("n", F.col("n") + F.when(F.col("media_type") == "audio", 5).otherwise(0))
+    return aggregates.drift(kept, c.asset, ["media_type"]).select("media_type", "n", "missing", "unanalysed", "kept_n")
+
+
+@query("agg_counter_deltas", f"SELECT source_id, media_type, {STAT} FROM (SELECT source_id, CASE WHEN id % 9 = 0 THEN 'video' ELSE media_type END AS media_type, CASE WHEN id % 9 = 0 THEN flags | 1 ELSE flags END AS flags, CASE WHEN id % 9 = 0 THEN NULL ELSE analysed_at END AS analysed_at FROM asset WHERE id % 17 <> 0) GROUP BY 1, 2")
+def agg_counter_deltas(c: Catalog) -> DataFrame:
+    """Kept counters after some assets changed and some went, from the changed rows alone."""
+    keys = ["source_id", "media_type"]
+    before = c.asset.where("id % 9 = 0 OR id % 17 = 0")
+    after = before.where("id % 17 <> 0").withColumns({"media_type": F.lit("video"), "flags": F.col("flags").bitwiseOR(1), "analysed_at": F.lit(None).cast("long")})
+    return aggregates.with_deltas(aggregates.maintained(c, "source_media_stat"), aggregates.counter_deltas(before, after, keys), keys)
+
+
+query("wipe_catalog", "SELECT 'asset' AS name, count(*) AS n FROM asset UNION ALL SELECT 'source_table', count(*) FROM source_table UNION ALL SELECT 'collection', count(*) FROM collection UNION ALL SELECT 'tag', count(*) FROM tag")(lambda c: ingest.wiped({t: getattr(c, t) for t in ("asset", "source_table", "collection", "tag", "asset_tag")})[1])
+JOBS = "(SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'failed' END AS state, epoch_ms(ts) AS created_at FROM events)"
+query("page_jobs", f"SELECT id, kind, created_at FROM {JOBS} WHERE kind IN ('click', 'view') AND state = 'done' AND (created_at < 1704100000000 OR (created_at = 1704100000000 AND id < 500)) ORDER BY created_at DESC, id DESC LIMIT 51")(
+    lambda c: review.jobs_page(c.base("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("user_id") % 3 == 0, "done").otherwise("failed").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at")), ["click", "view"], "done", (1704100000000, 500), 50).select("id", "kind", "created_at")
+)
 query("upload_ingest", "SELECT source_id, path, 'new' AS outcome FROM (SELECT source_id, concat('up/', path) AS path FROM asset WHERE id % 50 = 0)")(
     lambda c: ingest.upsert(c.asset, c.asset.where("id % 50 = 0").withColumn("path", F.concat(F.lit("up/"), "path")), 1).where("outcome = 'new'").select("source_id", "path", "outcome")
 )
@@ -127,27 +149,40 @@ def reviews(c: Catalog) -> DataFrame:
 GROUPS = "SELECT content_hash, count(*) AS n FROM asset GROUP BY 1 HAVING count(*) > 1"
 query("dup_review", f"SELECT g.content_hash, g.n, coalesce(r.state, 'pending') AS state FROM ({GROUPS}) g LEFT JOIN ({REVIEWS}) r ON r.review_key = g.content_hash")(lambda c: review.reviewed_groups(aggregates.duplicate_groups(c.asset), reviews(c), "all"))
 query("dup_review_filter", f"SELECT g.content_hash, g.n, 'resolved' AS state FROM ({GROUPS}) g JOIN ({REVIEWS}) r ON r.review_key = g.content_hash WHERE r.state = 'resolved'")(lambda c: review.reviewed_groups(aggregates.duplicate_groups(c.asset), reviews(c), "resolved"))
-query("collection_add", "SELECT collection_id, asset_id FROM collection_member UNION SELECT 1, id FROM asset WHERE id % 10 = 1")(lambda c: c.collection_member.select("collection_id", "asset_id").union(c.asset.where("id % 10 = 1").select(F.lit(1).cast("long"), "id")).distinct())
-query("folder_list", "SELECT DISTINCT split_part(substr(path, 4), '/', 1) AS name FROM asset WHERE starts_with(path, 'en/') AND contains(substr(path, 4), '/')")(lambda c: c.asset.where(F.col("path").startswith("en/") & F.substring("path", 4, 10000).contains("/")).select(F.substring_index(F.substring("path", 4, 10000), "/", 1).alias("name")).distinct())
-query("bulk_targets", "SELECT id, source_id = 'src2' AS writable FROM asset WHERE id IN (SELECT asset_id FROM collection_member WHERE collection_id = 3)")(lambda c: visible(c, c.asset, Visibility.only(collections=[3])).select("id", (F.col("source_id") == "src2").alias("writable")))
+query("collection_add", "SELECT * FROM (SELECT collection_id, asset_id FROM collection_member UNION SELECT 1, id FROM asset WHERE id % 10 = 1) WHERE NOT (collection_id = 1 AND asset_id % 4 = 0)")(
+    lambda c: review.members_changed(c.collection, c.collection_member, 1, c.asset.where("id % 10 = 1").select(F.col("id").alias("asset_id")), c.asset.where("id % 4 = 0").select(F.col("id").alias("asset_id")))
+)
+query("folder_list", "SELECT DISTINCT split_part(substr(path, 4), '/', 1) AS name FROM asset WHERE starts_with(path, 'en/') AND contains(substr(path, 4), '/')")(lambda c: aggregates.child_folders(c.asset, "en"))
+query("bulk_targets", "SELECT id, source_id = 'src2' AS writable FROM asset WHERE id IN (SELECT asset_id FROM collection_member WHERE collection_id = 3)")(lambda c: review.bulk_targets(visible(c, c.asset, Visibility.only(collections=[3])), ["src2"]))
+SAVED = '{"filters": [{"field": "media_type", "op": "eq", "value": "image"}, {"field": "favorite", "op": "eq", "value": true}]}'
+query("collection_smart", "SELECT id FROM asset WHERE media_type = 'image' AND (flags & 2) <> 0 AND (source_id IN ('src1', 'src2') OR id IN (SELECT asset_id FROM collection_member WHERE collection_id = 3))")(lambda c: smart_members(c, SAVED, Visibility.only(sources=["src1", "src2"], collections=[3])).select("id"))
+query("collection_smart_unreadable", "SELECT id FROM asset WHERE FALSE")(lambda c: smart_members(c, '{"filters": [{"field": "no such field", "op": "eq", "value": 1}]}').select("id"))
 
 # Sources, exports, conversion, federation
 
-query("detect_format", "SELECT id, CASE WHEN suffix IN ('txt') THEN 'document' WHEN suffix IN ('png') THEN 'image' WHEN suffix IN ('wav') THEN 'audio' WHEN suffix = 'glb' THEN 'model' WHEN suffix = 'mp4' THEN 'video' END AS media FROM (SELECT id, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS suffix FROM asset)")(lambda c: c.asset.select("id", exchange.detected_media(F.col("path")).alias("media")))
+NAMES = ["a.wav", "b.OGA", "c.aif", "d.jpeg", "e.tif", "f.markdown", "g.usda", "h.ogv", "LICENSE", "Licence-MIT", "i.svg", "j.xm", "k.zip", "l.MP4", "m.ktx", "readme", "n.3ds", "notice.pdf", ".txt", "o.md"]
+FOUND = ["audio:wav", "audio:ogg", "audio:aiff", "image:jpg", "image:tiff", "document:md", "model:usda", "video:ogv", "document:txt", "document:txt", "image:svg", "audio:xm", None, "video:mp4", "image:ktx", None, "model:3ds", "document:pdf", None, "document:md"]
+query("detect_format", f"SELECT id, split_part(x, ':', 1) AS media, split_part(x, ':', 2) AS format FROM (SELECT id, [{', '.join('NULL' if x is None else repr(x) for x in FOUND)}][id % {len(NAMES)} + 1] AS x FROM asset)")(
+    lambda c: c.asset.select("id", F.concat(F.lit("dir/"), F.array(*[F.lit(x) for x in NAMES])[(F.col("id") % len(NAMES)).cast("int")]).alias("p")).select("id", exchange.detected_media(F.col("p")).alias("media"), exchange.detected_format(F.col("p")).alias("format"))
+)
 query("detect_ingest_policy", "SELECT id, NOT (media_type = 'document' AND id % 3 = 0) AS admitted FROM asset")(lambda c: c.asset.select("id", exchange.admitted(F.when(F.expr("id % 3 = 0"), F.concat(F.lit("a/Node_Modules/"), "path")).otherwise(F.col("path"))).alias("admitted")))
 query("refine_container", "SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'audio' ELSE 'video' END AS media FROM video_attr")(lambda c: c.video_attr.select("asset_id", exchange.refined(F.lit("video"), F.col("container"), F.expr("CASE WHEN asset_id % 3 = 0 THEN FALSE WHEN asset_id % 3 = 1 THEN TRUE END")).alias("media")))
 for _name, _keep in (("source_walk", None), ("source_walk_filtered", "*.parquet"), ("source_fetch", None)):
     query(_name)(lambda c, k=_keep, f=_name == "source_fetch": exchange.walk(c.spark, c.sf_dir, pattern=k, content=f).select("path", "size", *([F.sha2("content", 256).alias("sha")] if f else [])))
 query("source_walk_scoped")(lambda c: exchange.walk(c.spark, c.sf_dir, scopes=["region.parquet", "nation.parquet"]).select("path", "size"))
-query("export_json", "SELECT id, filename, license_status FROM asset WHERE media_type = 'video'")(
-    lambda c: projections.manifest(c, c.asset.where("media_type = 'video'")).select(F.to_json(F.struct("id", "filename", "license_status")).alias("j")).select(F.from_json("j", "id long, filename string, license_status string").alias("r")).select("r.*")
-)
+@query("export_json", "SELECT id, filename, license_status FROM asset")
+def export_json(c: Catalog) -> DataFrame:
+    """The written document, its asset lines read again."""
+    out = events.fresh_folder(c.spark)
+    exchange.write_manifest(projections.manifest(c, c.asset), out, "json")
+    lines = c.spark.read.text(out).where("value LIKE ',{%' OR value LIKE '{\"id%'").select(F.from_json(F.regexp_replace("value", "^,", ""), "id long, filename string, license_status string").alias("r"))
+    return lines.select("r.*")
 
 
-@query("export_csv", "SELECT id, filename, coalesce(tags, '') AS tags FROM asset LEFT JOIN (SELECT x.asset_id, string_agg(t.name, ';' ORDER BY t.name) AS tags FROM asset_tag x JOIN tag t USING (tag_id) WHERE x.state = 'confirmed' GROUP BY 1) ON asset_id = id WHERE media_type = 'audio'")
+@query("export_csv", "SELECT id, filename, coalesce(tags, '') AS tags FROM asset LEFT JOIN (SELECT x.asset_id, string_agg(t.name, ';' ORDER BY t.name) AS tags FROM asset_tag x JOIN tag t USING (tag_id) WHERE x.state = 'confirmed' GROUP BY 1) ON asset_id = id")
 def export_csv(c: Catalog) -> DataFrame:
-    out = events.shared_folder(c.spark)
-    exchange.write_manifest(projections.manifest(c, c.asset.where("media_type = 'audio'")), out, "csv")
+    out = events.fresh_folder(c.spark)
+    exchange.write_manifest(projections.manifest(c, c.asset), out, "csv")
     return c.spark.read.option("header", True).csv(out).select(F.col("id").cast("long"), "filename", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
@@ -176,7 +211,7 @@ def peers(c: Catalog) -> list[DataFrame]:
 STREAMS = "(SELECT id, filename, size_bytes AS size, concat('peer', id % 3) AS peer, id % 3 = 0 AS local, row_number() OVER (PARTITION BY id % 3 ORDER BY filename, id) AS rank FROM asset)"
 query("fed_merge", f"SELECT id, peer FROM {STREAMS} ORDER BY lower(filename) ASC NULLS FIRST, filename ASC NULLS FIRST, local DESC, CAST(id AS VARCHAR) LIMIT 100")(lambda c: exchange.merged(peers(c), "name", False, 100, [F.col("filename"), F.col("id")]).select("id", "peer"))
 query("win_fed_interleave", f"SELECT id, peer, CAST(rank AS INT) AS rank FROM {STREAMS} ORDER BY rank, local DESC, CAST(id AS VARCHAR) LIMIT 90")(lambda c: exchange.merged(peers(c), "relevance", False, 90, [F.col("filename"), F.col("id")]).select("id", "peer", "rank"))
-query("fed_query", f"SELECT id, peer, size FROM {STREAMS} WHERE peer <> 'peer2' ORDER BY size DESC NULLS LAST, local DESC, CAST(id AS VARCHAR) LIMIT 100")(lambda c: exchange.merged(peers(c)[:2], "size", True, 100, [F.col("filename"), F.col("id")]).select("id", "peer", "size"))
+query("fed_query", f"SELECT id, peer, size, TRUE AS partial, 'peer2' AS missing FROM {STREAMS} WHERE peer <> 'peer2' ORDER BY size DESC NULLS LAST, local DESC, CAST(id AS VARCHAR) LIMIT 100")(lambda c: exchange.answered(exchange.merged(peers(c)[:2], "size", True, 100, [F.col("filename"), F.col("id")]), ["peer0", "peer1", "peer2"], ["peer0", "peer1"]).select("id", "peer", "size", "partial", F.array_join("missing", ",").alias("missing")))
 query("agg_fed_total", "SELECT sum(n)::BIGINT AS total FROM (SELECT id % 3 AS peer, count(*) AS n FROM asset GROUP BY 1)")(lambda c: exchange.fed_total(c.asset.groupBy((F.col("id") % 3).alias("peer")).agg(F.count(F.lit(1)).alias("total"))))
 query("fed_gate", "SELECT concat('peer', n_nationkey) AS peer FROM nation WHERE n_nationkey % 3 = 1")(lambda c: exchange.same_protocol(c.base("nation").select(F.concat(F.lit("peer"), "n_nationkey").alias("peer"), F.concat((F.col("n_nationkey") % 3).cast("string"), F.lit("."), "n_nationkey").alias("protocol")), "1.0").select("peer"))
 
@@ -208,6 +243,12 @@ query("x_filename_tags", "SELECT DISTINCT id, name, 0.4e0 AS confidence FROM (SE
 query("x_document", "SELECT doc_id, CASE WHEN length(flat) > 280 THEN concat(rtrim(substr(flat, 1, 280), ' '), '…') ELSE flat END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS flat FROM documents)")(lambda c: c.base("documents").select("doc_id", features.excerpt(F.col("text")).alias("excerpt")))
 query("text_descriptor")(lambda c: features.text_vectors(c.base("documents").select(F.col("doc_id").alias("id"), "text")))
 
+# Texts stand in for decoded media: their bytes as samples.
+query("x_image")(
+    lambda c: media.image_table(c.base("documents").selectExpr("doc_id AS id", "CAST(ceil(octet_length(text) / 48) AS INT) AS height", "16 AS width", "3 AS channels", "rpad(encode(text, 'UTF-8'), CAST(ceil(octet_length(text) / 48) * 48 AS INT), X'20') AS data", "FALSE AS bgr"))
+)
+query("x_audio")(lambda c: media.sound_table(c.base("documents").select(F.col("doc_id").alias("id"), F.lit(8000).alias("rate"), F.encode("text", "UTF-8").alias("data"))))
+
 # The change feed
 
 
@@ -221,14 +262,20 @@ query("events_visibility", "SELECT event_id FROM events WHERE user_id % 10 = 7 O
 query("events_lag", "SELECT user_id % 4 AS consumer, event_id AS resume_at, event_id - lag(event_id) OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS missed FROM events QUALIFY missed > 0")(lambda c: events.lag_markers(c.base("events").select((F.col("user_id") % 4).alias("consumer"), F.col("event_id").alias("first"), F.col("event_id").alias("last"))))
 query(
     "watch_debounce",
-    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS changes, count(DISTINCT event_type) AS paths, count(DISTINCT event_type) > 512 AS rescan FROM
- (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst""",
-)(lambda c: events.debounced(batch_events(c).withColumn("path", F.col("event_type")), "user_id", "10 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes", "paths", "rescan"))
-query("poll_backoff")(lambda c: c.source_table.select("source_id", events.next_poll(F.lit(60), F.col("source_id").contains("1"), F.col("source_id")).alias("seconds")))
+    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 600 MILLISECOND AS "end", count(*) AS changes, count(DISTINCT event_type) AS paths, count(DISTINCT event_type) > 512 AS rescan FROM
+ (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 600 MILLISECOND THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst""",
+)(lambda c: events.debounced(batch_events(c).withColumn("path", F.col("event_type")), "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes", "paths", "rescan"))
+query("poll_backoff", "SELECT source_id, round((CASE WHEN contains(source_id, '1') THEN 15 ELSE 120 END) * (1 + 0.1e0 * (CAST(concat('0x', substr(md5(source_id), 1, 4)) AS INT) % 1000) / 1000), 3) AS seconds FROM source_table")(lambda c: c.source_table.select("source_id", events.next_poll(F.lit(60), F.col("source_id").contains("1"), F.col("source_id")).alias("seconds")))
 query("batch_bounds", "SELECT event_type, CAST((r - 1) // 64 AS BIGINT) AS rows_part, CAST(0 AS BIGINT) AS bytes_part, count(*) AS n, sum(strlen(props))::BIGINT AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) GROUP BY 1, 2")(lambda c: events.flush_groups(c.base("events").withColumn("size", F.octet_length("props")), "size", "event_type", "event_id"))
 query("job_progress", "SELECT user_id AS job, CASE WHEN bool_or(event_type = 'error') THEN 'cancelled' ELSE arg_max(event_type, event_id) END AS state, max(event_id) AS done, round(max(event_id) / 100000e0, 6) AS progress FROM events GROUP BY 1")(
     lambda c: events.job_state(c.base("events").select(F.col("user_id").alias("job"), F.col("event_id").alias("version"), F.when(F.col("event_type") == "error", "cancelled").otherwise(F.col("event_type")).alias("state"), F.col("event_id").alias("done"), F.lit(100000).alias("total")))
 )
 query("events_kept_counts", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 10) AS large FROM events GROUP BY 1")(lambda c: events.drained_state(events.kept_counts(events.change_feed(c.spark, f"{c.sf_dir}/events.parquet"))))
 query("ext_windowed_counts", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda c: events.windowed_counts(batch_events(c)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
-query("agg_peaks")(lambda c: c.spark.createDataFrame([(k, features.peaks(np.sin(np.arange(4096) * (k + 1) / 50), 16)) for k in range(3)], "id long, peaks array<double>"))
+TOPS = "SELECT vec_id AS id, list_transform(range(16), lambda k: list_max(list_transform(embedding[k * 4 + 1:k * 4 + 4], lambda x: abs(CAST(x AS DOUBLE))))) AS tops FROM embeddings"
+query("agg_peaks", f"SELECT id, round(list_max(tops) / list_max(tops), 6) AS most, round(tops[1] / list_max(tops), 6) AS p0, round(tops[8] / list_max(tops), 6) AS p7, round(tops[16] / list_max(tops), 6) AS p15 FROM ({TOPS})")(
+    lambda c: features.peak_rows(c.base("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("samples")), 16).select("id", *[F.round(x, 6).alias(k) for k, x in (("most", F.array_max("peaks")), ("p0", F.col("peaks")[0]), ("p7", F.col("peaks")[7]), ("p15", F.col("peaks")[15]))])
+)
+query("win_chroma_argmax", "SELECT id, CASE WHEN sum(e) > 0 AND max(e) >= 2.6 * sum(e) / 12 THEN arg_max(pitch, (e, pitch)) END AS pitch FROM (SELECT vec_id AS id, unnest(range(12)) AS pitch, unnest(list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS e FROM embeddings) GROUP BY 1")(
+    lambda c: features.dominant_pitch(c.base("embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double") * x.cast("double"))).alias("pitch", "energy"))).select("id", F.col("pitch").cast("long").alias("pitch"))
+)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
+from lumenshelf.functions.storage import shared_folder
 from lumenshelf.operators import search, vectors
 from lumenshelf.registry import query
 from lumenshelf.sources.fixtures import Catalog
@@ -67,12 +70,12 @@ SUBSTRING = "contains(lower(name), 'idge')"
 query("text_where", f"{ROWS} SELECT id FROM search_rows WHERE ({sql_matched('idge')}) OR {SUBSTRING}")(lambda c: search.text_filter(c, "idge"))
 
 
-@query("search_relevance_sort", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits ORDER BY tier, hits.rank, length(name), name, id LIMIT 40")
+@query("search_relevance_sort", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits ORDER BY tier, round(hits.rank, 6), length(name), name, id LIMIT 40")
 def search_relevance_sort(c: Catalog) -> DataFrame:
     return search.search(c, TEXT, 40).select("id", "tier", F.round("rank", 6).alias("rank"))
 
 
-query("set_tier_append", f"{sql_ranked('ring')}, subs AS (SELECT id, name FROM search_rows WHERE contains(lower(name), 'ring') AND id NOT IN (SELECT id FROM hits)) SELECT id, tier FROM hits UNION ALL SELECT id, 2 FROM subs")(lambda c: search.search(c, "ring", 1 << 30).select("id", "tier"))
+query("set_tier_append", f"{sql_ranked('ring')}, subs AS (SELECT id, name FROM search_rows WHERE contains(lower(name), 'ring') AND id NOT IN (SELECT id FROM hits)) SELECT id, tier FROM hits UNION ALL SELECT id, 2 FROM subs")(lambda c: search.hits(c, "ring").select("id", "tier"))
 query("keyset_relevance", f"{sql_ranked(TEXT)} SELECT id FROM hits WHERE tier > 1 OR (tier = 1 AND rank > -9.5)")(lambda c: search.ranked(search.search_rows(c), T.query_groups(TEXT)).where(search.after_relevance(1, -9.5, "a", 3)).select("id"))
 query("fts_maintain", f"{ROWS} SELECT id, array_to_string(tags, ' ') AS tags FROM search_rows WHERE len(tags) > 0")(lambda c: search.search_rows(c).where(F.size("tags") > 0).select("id", F.array_join("tags", " ").alias("tags")))
 
@@ -101,7 +104,8 @@ def knn_by_vector(c: Catalog) -> DataFrame:
 
 
 query("topk_vector", f"{sql_spaces()}, s AS (SELECT * FROM v WHERE id = 5) SELECT v.id, {SCORE} FROM v, s WHERE v.id <> 5 ORDER BY score DESC, v.id LIMIT 64")(lambda c: vectors.nearest_to_asset(spaces(c), 5, 64))
-query("knn_ann")(lambda c: vectors.nearest_by_blocks(spaces(c), spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
+ANN = f"""{sql_spaces()} SELECT qid, id, score, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, v.id, round(list_cosine_similarity(q.vec, v.vec), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vec, v.vec), 6) DESC, v.id) AS rank FROM v JOIN v q ON q.id % 50 = 0 AND q.id <> v.id) WHERE rank <= 10"""
+query("knn_ann", ANN)(lambda c: vectors.nearest_by_blocks(spaces(c), spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
 
 
 @query("ann_overlay", f"{sql_spaces()} SELECT id, space_id FROM v WHERE id % 10 <> 3 OR id % 20 = 3 UNION ALL SELECT id + 1000000, space_id FROM v WHERE id % 100 = 0")
@@ -113,35 +117,77 @@ def ann_overlay(c: Catalog) -> DataFrame:
     return vectors.overlay(base, gone.unionByName(back).unionByName(new)).select("id", "space_id")
 
 
-SEEDS = "s AS (SELECT * FROM v WHERE id < 24)"
-SEEDED = f"(SELECT v.id, max(round(list_cosine_similarity(v.vec, s.vec), 6)) AS score FROM v JOIN s USING (space_id) WHERE v.id >= 24 GROUP BY 1)"
-query("seed_neighbours", f"{sql_spaces(3)}, {SEEDS} SELECT id, score FROM {SEEDED} ORDER BY score DESC, id LIMIT 400")(lambda c: vectors.seeded(spaces(c, 3), spaces(c, 3).where("id < 24")))
-query("agg_best_neighbour", f"{sql_spaces(3)}, {SEEDS} SELECT id, score FROM {SEEDED} WHERE score > 0.2 ORDER BY score DESC, id LIMIT 400")(lambda c: vectors.seeded(spaces(c, 3), spaces(c, 3).where("id < 24")).where("score > 0.2"))
+@query("search_postings", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits")
+def search_postings(c: Catalog) -> DataFrame:
+    """The ranking read from an index on disk."""
+    terms, lengths = search.postings(search.search_rows(c))
+    folder = f"{shared_folder(c.spark)}/postings-{uuid.uuid4().hex}"
+    terms.orderBy("term").write.parquet(f"{folder}/terms")
+    lengths.write.parquet(f"{folder}/lengths")
+    read = c.spark.read.parquet
+    return search.ranked_by_postings(read(f"{folder}/terms"), read(f"{folder}/lengths"), T.query_groups(TEXT)).select("id", "tier", F.round("rank", 6).alias("rank"))
+
+
+@query("join_lateral_true", "SELECT 5 AS generation, d.id, d.seq FROM (SELECT 1 AS one) s LEFT JOIN (SELECT event_id AS id, event_id AS seq FROM events WHERE event_id > 5 ORDER BY seq DESC LIMIT 40) d ON TRUE")
+def join_lateral_true(c: Catalog) -> DataFrame:
+    journal = c.base("events").select(F.col("event_id").alias("id"), F.col("event_id").alias("seq"))
+    return vectors.delta_window(c.spark.range(1).select(F.lit(5).alias("generation")), journal, 40)
+
+
+# Word hits of the registered text lead; those that have a vector seed the third list.
+WORDS = f"""{sql_ranked(TEXT)}, v AS (SELECT vec_id AS id, concat('space-', label % 1) AS space_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+ words AS (SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY tier, round(hits.rank, 6), length(name), name, id) - 1 AS rank FROM hits) WHERE rank < 400)"""
+SEEDS = "s AS (SELECT v.* FROM v JOIN words USING (id) WHERE words.rank < 24)"
+SEEDED = "(SELECT v.id, max(round(list_cosine_similarity(v.vec, s.vec), 6)) AS score FROM v JOIN s USING (space_id) WHERE v.id NOT IN (SELECT id FROM words WHERE rank < 24) GROUP BY 1)"
+
+
+def words(c: Catalog) -> DataFrame:
+    return vectors.with_rank(search.search(c, TEXT, vectors.LEXICAL_CAP), *search.relevance()).select("id", "rank")
+
+
+query("seed_neighbours", f"{WORDS}, {SEEDS} SELECT id, score FROM {SEEDED} ORDER BY score DESC, id LIMIT 400")(lambda c: vectors.seeded(spaces(c), words(c).where("rank < 24")))
+query("agg_best_neighbour", f"{WORDS}, {SEEDS} SELECT id, score FROM {SEEDED} WHERE score > 0.2 ORDER BY score DESC, id LIMIT 400")(lambda c: vectors.seeded(spaces(c), words(c).where("rank < 24")).where("score > 0.2"))
+
+
+def lists(c: Catalog, mode: str, with_vector: bool = True) -> list[tuple[DataFrame, float]]:
+    """The lists of a hybrid search for the registered text, with the vector of row 5 for the text's."""
+    wanted = spaces(c).where("id = 5").first()["vec"] if with_vector else None
+    return vectors.hybrid_lists(words(c), spaces(c), wanted, "space-0", mode)
+
+
+LISTS = f"""{WORDS}, {SEEDS}, t AS (SELECT vec FROM v WHERE id = 5), near AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT v.id, round(list_cosine_similarity(v.vec, t.vec), 6) AS score FROM v, t ORDER BY score DESC, v.id LIMIT 400)),
+ seeded AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT * FROM {SEEDED} ORDER BY score DESC, id LIMIT 400))"""
+query("win_rrf_rank", f"{LISTS} SELECT id, CAST(rank AS INT) AS rank FROM near")(lambda c: lists(c, "hybrid")[1][0])
+
+
+def sql_fused(*weights: float) -> str:
+    parts = [f"SELECT id, {w}e0 / (60 + rank + 1) AS part FROM {t}" for w, t in zip(weights, ("words", "near", "seeded"))]
+    return f"SELECT id, round(sum(part), 9) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY 1"
+
+
+HYBRID, SEMANTIC = (sql_fused(*vectors.FUSION[m]) for m in ("hybrid", "semantic"))
+query("agg_rrf", f"{LISTS} {HYBRID}")(lambda c: vectors.fused(lists(c, "hybrid")))
 
 
-def ranked_lists(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """A lexical list of the newest even ids, and the semantic neighbours of one vector."""
-    words = vectors.with_rank(spaces(c).where("id % 2 = 0").orderBy("id").limit(vectors.LEXICAL_CAP), F.col("id"))
-    near = vectors.nearest_to_asset(spaces(c), 5, vectors.SEMANTIC_CAP)
-    return words, vectors.with_rank(near, F.desc("score"), F.col("id"))
+@query("rrf_hybrid", f"{LISTS} SELECT f.id, a.filename, f.score FROM ({SEMANTIC}) f JOIN asset a ON a.id = f.id ORDER BY score DESC, filename, f.id LIMIT 100")
+def rrf_hybrid(c: Catalog) -> DataFrame:
+    rows = vectors.fused(lists(c, "semantic")).join(c.asset.select("id", "filename"), "id")
+    return rows.orderBy(F.desc("score"), "filename", "id").limit(100)
 
 
-LISTS = f"""{sql_spaces()}, s AS (SELECT * FROM v WHERE id = 5), words AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM (SELECT id FROM v WHERE id % 2 = 0 ORDER BY id LIMIT 400)),
- near AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT v.id, {SCORE} FROM v, s WHERE v.id <> 5 ORDER BY score DESC, v.id LIMIT 400))"""
-query("win_rrf_rank", f"{LISTS} SELECT id, CAST(rank AS INT) AS rank FROM near")(lambda c: ranked_lists(c)[1].select("id", "rank"))
-RRF = "SELECT id, round(sum(part), 9) AS score FROM (SELECT id, {0}e0 / (60 + rank + 1) AS part FROM words UNION ALL SELECT id, {1}e0 / (60 + rank + 1) FROM near) GROUP BY 1"
-query("agg_rrf", f"{LISTS} {RRF.format(1, 1)}")(lambda c: vectors.fused(list(zip(ranked_lists(c), vectors.FUSION["hybrid"]))))
-query("rrf_hybrid", f"{LISTS} SELECT * FROM ({RRF.format(0.3, 0.7)}) ORDER BY score DESC, id LIMIT 100")(lambda c: vectors.fused(list(zip(ranked_lists(c), vectors.FUSION["semantic"]))).orderBy(F.desc("score"), "id").limit(100))
-query("keyset_hybrid", f"{LISTS} SELECT * FROM ({RRF.format(1, 1)}) WHERE score < 0.01 OR (score = 0.01 AND id > 9) ORDER BY score DESC, id LIMIT 50")(lambda c: vectors.fused(list(zip(ranked_lists(c), vectors.FUSION["hybrid"]))).where("score < 0.01 OR (score = 0.01 AND id > 9)").orderBy(F.desc("score"), "id").limit(50))
-query("hybrid_fallback", f"{LISTS} {RRF.format(1, 1).replace('UNION ALL SELECT id, 1e0 / (60 + rank + 1) FROM near', '')}")(lambda c: vectors.fused([(ranked_lists(c)[0], 1.0)]))
+query("keyset_hybrid", f"{LISTS} SELECT * FROM ({HYBRID}) WHERE score < 0.01 OR (score = 0.01 AND id > 9) ORDER BY score DESC, id LIMIT 50")(lambda c: vectors.fused(lists(c, "hybrid")).where("score < 0.01 OR (score = 0.01 AND id > 9)").orderBy(F.desc("score"), "id").limit(50))
+query("hybrid_fallback", f"{LISTS} {sql_fused(vectors.FUSION['hybrid'][0])}")(lambda c: vectors.fused(lists(c, "hybrid", False)))
 
 LEAST = 0.4  # the fixture's vectors are less alike than the default threshold asks
 PAIRS = f"{sql_spaces(3)}, pairs AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.space_id = y.space_id AND x.id < y.id AND list_cosine_similarity(x.vec, y.vec) >= {LEAST})"
 query("join_theta_cosine", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST))
-query("near_dup_components")(lambda c: vectors.near_groups(spaces(c, 3), vectors.close_pairs(spaces(c, 3), LEAST)))
-query("near_dup_ann")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
-query("near_dup_window", f"{PAIRS.replace('FROM embeddings', 'FROM embeddings WHERE vec_id < 200')} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3).where("id < 200"), LEAST))
-query("near_review_id", f"{sql_spaces(3)} SELECT space_id, concat('near:', sha256(concat_ws('|', space_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)))) AS review_id FROM v WHERE id < 9 GROUP BY 1")(
-    lambda c: spaces(c, 3).where("id < 9").groupBy("space_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("m")).select("space_id", F.concat(F.lit("near:"), F.sha2(F.concat_ws("|", "space_id", "m"), 256)).alias("review_id"))
-)
+# Components by a recursive walk over the pairs.
+NEAR = f"""{PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON p.a = r.b),
+ rooted AS (SELECT a AS id, min(b) AS root FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) GROUP BY 1),
+ groups AS (SELECT v.space_id, root, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM rooted JOIN v USING (id) GROUP BY 1, 2)"""
+GROUPS = f"{NEAR} SELECT space_id, root, n, members, concat('near:', sha256(concat_ws('|', space_id, members))) AS review_id FROM groups"
+query("near_dup_components", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.close_pairs(spaces(c, 3), LEAST)))
+query("near_dup_ann", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
+query("near_dup_window", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST, 2000))
+query("near_review_id", f"{NEAR} SELECT root, concat('near:', sha256(concat_ws('|', space_id, members))) AS review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
 query("near_pair_counts", f"{PAIRS} SELECT a, count(*) AS n FROM pairs GROUP BY 1")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST).groupBy("a").agg(F.count(F.lit(1)).alias("n")))

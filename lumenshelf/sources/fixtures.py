@@ -31,6 +31,7 @@ def times(key: str) -> dict[str, str]:
         "modified_at": f"CASE WHEN {key} % 11 = 0 THEN NULL ELSE 1690000000000 + ({key} * 104729 % 100000) * 1000 END",
         "analysed_at": f"CASE WHEN {key} % 5 = 0 THEN NULL ELSE 1700000005000 + ({key} * 7919 % 100000) * 1000 END",
         "analysis_version": f"CAST({key} % 4 AS INT)",
+        "derivative_version": f"CAST({key} % 5 AS INT)",
         "flags": f"CAST({key} % 4 AS INT)",
     }
 
@@ -84,7 +85,7 @@ DERIVED: dict[str, str] = {
     "asset": f"SELECT *, {STATUS} AS license_status FROM (SELECT * FROM {{asset_docs}} UNION ALL SELECT * FROM {{asset_parts}}) AS both_kinds",
     "asset_tag": "SELECT asset_id, tag_id, CASE (asset_id + tag_id) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suggested' ELSE 'rejected' END AS state, CASE WHEN asset_id % 2 = 0 THEN 'user' ELSE 'auto' END AS source, CAST(0.5e0 + (asset_id % 5) / 10e0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT asset_id, tag_id FROM (SELECT id AS asset_id, id * 7 % 25 AS tag_id FROM {asset} UNION ALL SELECT id, (id * 13 + 3) % 25 FROM {asset} UNION ALL SELECT id, (id * 3 + 1) % 9 FROM {asset}) AS picks) AS pairs",
     "collection_member": "SELECT id % 5 AS collection_id, id AS asset_id, id * 31 % 1000 AS added_at FROM {asset} WHERE id % 3 = 0",
-    "source_table": "SELECT source_id, concat('Source ', substr(source_id, 4, 1)) AS name, 'local_fs' AS kind, concat('secret-', source_id) AS connection FROM (SELECT DISTINCT source_id FROM {asset} UNION ALL SELECT 'src99') AS ids",
+    "source_table": "SELECT source_id, concat('Source ', substr(source_id, 4, 1)) AS name, CASE WHEN source_id = 'src7' THEN 'federated' ELSE 'local_fs' END AS kind, concat('secret-', source_id) AS connection FROM (SELECT DISTINCT source_id FROM {asset} UNION ALL SELECT 'src99') AS ids",
     "pending_ingest": "SELECT source_id, path, size_bytes AS size, modified_at AS mtime, CAST(id % 3 AS INT) AS revision, CASE WHEN id % 2 = 0 THEN NULL ELSE 1700000000000 + id % 50 END AS retry_after, CAST(id % 4 AS INT) AS attempts FROM {asset} WHERE id % 13 = 0",
     "blocklist": "SELECT DISTINCT content_hash FROM {asset} WHERE id % 97 = 0",
     "asset_note": "SELECT id AS asset_id, concat('note ', id % 10) AS body FROM {asset} WHERE id % 6 = 0",
@@ -139,4 +140,6 @@ PRELUDE = prelude()
 
 def oracle(body: str) -> str:
     """A DuckDB query over the views."""
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"{PRELUDE.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{body.lstrip()[len('WITH RECURSIVE ') :]}"
     return f"{PRELUDE}\n{body}" if not body.lstrip().upper().startswith("WITH ") else f"{PRELUDE},\n{body.lstrip()[5:]}"
