@@ -9,7 +9,7 @@ from lumenshelf.llm.common import SPACE_RUN, cut, id_key, join_groups, sized, te
 
 #: Code points of a normalised text that the second level hashes.
 PREFIX_CHARS = 64
-#: Slots of the bitmap that tells which rows are hashed in full.
+#: Slots of the bitmap that tells which rows are hashed in full: a power of two.
 SLOTS = 1 << 24
 
 
@@ -38,10 +38,11 @@ def duplicate_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("_id"), raw_hash(text_col).alias("_raw"), normalised(text_col).alias("_t"))
     rows = rows.withColumns({"_len": F.octet_length("_t"), "_prefix": F.xxhash64(F.substring("_t", 1, PREFIX_CHARS))})
     pairs = rows.groupBy("_len", "_prefix").count().where("count > 1")
-    slot = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(SLOTS))
-    place = (slot % 64).cast("int")
-    marked = pairs.groupBy((slot / 64).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
-    hashed = rows.withColumn("_word", (slot / 64).cast("int")).join(F.broadcast(cut(marked)), "_word").where(F.getbit("_bits", place) == 1)
+    # Bits of a hash are never null, so that the join puts no test for null, with the text's hash in it, ahead of itself.
+    slot = F.xxhash64("_len", "_prefix").bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    word, place = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    marked = pairs.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    hashed = rows.select("*", word).join(F.broadcast(cut(marked)), "_word").where(F.getbit("_bits", place) == 1)
     return cut(hashed.select("_id", "_raw", full_hash("_t").alias("text_sha256")))
 
 
