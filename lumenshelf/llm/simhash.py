@@ -50,20 +50,19 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 def links_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Enough links among the fingerprints of one bucket to connect all that lie within the radius."""
-    parts, bits = [], prints.view(np.uint64)  # of signed numbers numpy counts the bits of the magnitude
-    for at in range(0, len(prints), 256):
-        near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= radius
-        i, j = np.nonzero(near)
-        parts.append((i + at, j))
-    i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    bits = prints.view(np.uint64)  # of signed numbers numpy counts the bits of the magnitude
     label = np.arange(len(prints))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    for at in range(0, len(prints), 256):
+        i, j = np.nonzero(np.bitwise_count(bits[at : at + 256, None] ^ bits[None, at:]) <= radius)
+        i, j = i + at, j + at
+        while (label[i] != label[j]).any():
+            low, new = np.minimum(label[i], label[j]), label.copy()
+            # The labels themselves move too, so that a strip joins what earlier strips have linked.
+            for of in (i, j, label[i], label[j]):
+                np.minimum.at(new, of, low)
+            while (new != new[new]).any():
+                new = new[new]
+            label = new
     moved = np.flatnonzero(label != np.arange(len(prints)))
     return prints[moved], prints[label[moved]]
 
@@ -73,9 +72,11 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [links_within(np.array(prints, np.int64), radius) for prints in batch.column(0).to_pylist()]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            buckets = batch.column(0)
+            for at in range(0, batch.num_rows, 500):
+                found = [links_within(buckets[k].values.to_numpy(), radius) for k in range(at, min(at + 500, batch.num_rows))]
+                a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return map_arrow(buckets.select("prints"), run, "a long, b long")
 
