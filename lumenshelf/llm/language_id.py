@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenshelf.functions.workers import map_arrow
+from lumenshelf.functions.workers import group_arrow, map_arrow
 from lumenshelf.llm.common import cut, id_key, join_groups, map_rows, sized
 
 #: Documents with a declared language from which the text model is fitted, chosen by a hash of the id
@@ -20,11 +20,11 @@ TRAIN_ROWS = 20_000
 #: Documents of each language that are read at least, or all where there are fewer: a rare one must not
 #: depend on the size of the corpus. Together at most TRAIN_ROWS + MAX_LANGUAGES * LANGUAGE_ROWS.
 LANGUAGE_ROWS = 1_000
-#: Buckets of hashed letter trigrams, and the languages that the model's table has room for (the most
-#: declared ones; a table of 64 takes 17 MB). Texts of any further language have no column of their own:
+#: Buckets of hashed letter trigrams, and the languages that the model's table has room for: more than there
+#: are two-letter tags. The table holds those that occur, the most declared ones (256 take 67 MB). Texts of any further language have no column of their own:
 #: they are named as the likeliest language of the table, or ``und`` where none explains them, and their
 #: declared tag counts as evidence like any other.
-BUCKET_BITS, MAX_LANGUAGES = 16, 64
+BUCKET_BITS, MAX_LANGUAGES = 16, 256
 #: Weight of one trigram: neighbours overlap in two letters of three.
 TEXT_WEIGHT = 1 / 3
 #: Prior of text that is no known language, and rows that a smoothed prior counts for.
@@ -106,8 +106,15 @@ def fit_text_model(rows: DataFrame, train_rows: int = TRAIN_ROWS, max_languages:
 
     found = map_arrow(sample.select("_declared", "_text"), count, "language string, bucket long, n long")
     table, place = np.zeros((len(languages), 1 << BUCKET_BITS)), {x: k for k, x in enumerate(languages)}
-    for r in found.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[place[r["language"]], r["bucket"]] = r["n"]
+
+    def packed(rows: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << BUCKET_BITS)
+        counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+        return pa.table({"language": rows["language"][:1], "counts": pa.array([counts.tobytes()])})
+
+    # One row of counts per language comes back.
+    for r in group_arrow(found.groupBy("language", "bucket").agg(F.sum("n").alias("n")), ["language"], packed, "language string, counts binary").collect():
+        table[place[r["language"]]] = np.frombuffer(r["counts"])
     learned = table.any(axis=1)
     return TextModel([x for x, ok in zip(languages, learned) if ok], table[learned])
 
@@ -203,7 +210,11 @@ def fuse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declar
 
 
 def identify_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``fuse`` on documents: lang is the declared language, source the host."""
+    """``fuse`` on documents: lang is the declared language, source the host. Documents have no address, so
+    there is no suffix and no domain above the host; identify_pages has all of the evidence.
+
+    Null languages and sources are no evidence, null texts are empty, and repeated rows come back as often.
+    """
     return fuse(docs, declared=F.col("lang"), host=F.col("source"), train_rows=train_rows)
 
 
