@@ -144,7 +144,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same spans, counted and written out: id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """The same spans, counted and written out: id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    One row per row, repeats included. Null and empty texts have counts of zero, the hash of the empty
+    string and no spans.
+    """
 
     def start():
         def one(doc, text):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from math import log, log1p
+from math import log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,8 +20,9 @@ from lumenshelf.llm.common import cut, id_key, map_rows, sized
 TRAIN_ROWS = 20_000
 #: Folds of crc32(id as text): 0 is never learned from, 1 calibrates, the others fit.
 FOLDS, CALIBRATION_FOLD = 5, 1
-#: Lexicon entries at most, candidates for them, and least toxic documents and log-odds of an entry.
-LEXICON_SIZE, CANDIDATES, LEAST_DOCUMENTS, LEAST_WEIGHT = 3000, 30_000, 4, 2.0
+#: Entries of the lexicon, which is a part of the model as the trees are: those of the most weight. Least toxic
+#: documents and log-odds of an entry.
+LEXICON_SIZE, LEAST_DOCUMENTS, LEAST_WEIGHT = 3000, 4, 2.0
 #: Beginnings of longer words that may be entries of their own, in letters.
 STEMS = (4, 5, 6, 7)
 TREES, DEPTH = 20, 3
@@ -93,31 +95,33 @@ REPEATED = re.compile(r"[!?]{2,}")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 
 
-def document_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """entry, n: in how many of the rows (column text) each entry occurs, or each of the wanted ones."""
+def document_counts(rows: DataFrame) -> DataFrame:
+    """entry, toxic, clean: in how many toxic and other rows (columns text and toxic) each entry occurs."""
 
     def run(batches):
         for batch in batches:
-            sums: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                found = {e for w in set(WORD.findall((text or "").lower())) for e in entries(w)}
-                for e in found if wanted is None else found & wanted:
-                    sums[e] = sums.get(e, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["entry", "n"])
+            sums: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for e in {e for w in set(WORD.findall((text or "").lower())) for e in entries(w)}:
+                    sums.setdefault(e, [0, 0])[1 - toxic] += 1
+            counts = np.array(list(sums.values()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["entry", "toxic", "clean"])
 
-    return map_arrow(rows.select("text"), run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return map_arrow(rows.select("text", "toxic"), run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words and beginnings with the greatest log-odds of toxic documents, from rows (text, toxic)."""
+    """Words and beginnings with the greatest log-odds of toxic documents, from rows (text, toxic).
+
+    Entries of LEAST_DOCUMENTS toxic rows and LEAST_WEIGHT log-odds are weighed in Spark; the model takes the
+    LEXICON_SIZE of them with the most weight, by log-odds and frequency.
+    """
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
-    counted = document_counts(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCUMENTS)
-    toxic = {r["entry"]: r["n"] for r in counted.orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
-    clean = {r["entry"]: r["n"] for r in document_counts(rows.where("toxic = 0"), frozenset(toxic)).collect()}
-    odds = {e: log((n + 0.5) / (positive + 1)) - log((clean.get(e, 0) + 0.5) / (negative + 1)) for e, n in toxic.items()}
-    best = sorted((e for e in odds if odds[e] >= LEAST_WEIGHT), key=lambda e: (-odds[e] * log1p(toxic[e]), e))
-    return {e: odds[e] for e in best[:LEXICON_SIZE]}
+    odds = F.log((F.col("toxic") + 0.5) / (positive + 1)) - F.log((F.col("clean") + 0.5) / (negative + 1))
+    weighed = document_counts(rows).where(F.col("toxic") >= LEAST_DOCUMENTS).select("entry", "toxic", odds.alias("odds")).where(F.col("odds") >= LEAST_WEIGHT)
+    best = weighed.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "entry").limit(LEXICON_SIZE)
+    return {r["entry"]: r["odds"] for r in best.collect()}
 
 
 def features(rows: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
