@@ -148,7 +148,8 @@ def frames_of(samples: np.ndarray) -> np.ndarray:
 
 def tempo(flux: np.ndarray, rate: float) -> float | None:
     """Beats a minute from the self-similarity of the onset curve, between SLOWEST and FASTEST; none if it is weak."""
-    rest = flux - flux.mean()
+    # Smoothed, so that beats which fall between two frames still meet.
+    rest = np.convolve(flux - flux.mean(), [0.1, 0.2, 0.4, 0.2, 0.1], "same")
     power = float((rest * rest).sum())
     low, high = int(np.ceil(60 * rate / FASTEST)), int(60 * rate / SLOWEST)
     if power < 1e-9 or len(flux) < 2 * low or low < 1:
@@ -157,7 +158,7 @@ def tempo(flux: np.ndarray, rate: float) -> float | None:
     if not len(likeness) or likeness.max() <= 0.2:
         return None
     # Whole bars are as alike as beats: of lags nearly as good the shortest counts, at its peak.
-    at = int(np.argmax(likeness >= 0.9 * likeness.max()))
+    at = int(np.argmax(likeness >= 0.75 * likeness.max()))
     while at + 1 < len(likeness) and likeness[at + 1] > likeness[at]:
         at += 1
     return 60 * rate / (low + at)
