@@ -273,8 +273,16 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def near_members(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per id that is near another: space_id, id and root, the least id of its component."""
+    return components(pairs).join(vectors.select("id", "space_id"), "id").select("space_id", "id", "root")
+
+
 def near_groups(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Components of two or more with their members in order, and an id made of space and members."""
-    found = components(pairs).join(vectors.select("id", "space_id"), "id")
-    groups = found.groupBy("space_id", "root").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("members"))
-    return groups.select("space_id", "root", "n", "members", F.concat(F.lit("near:"), F.sha2(F.concat_ws("|", "space_id", "members"), 256)).alias("review_id"))
+    """Components of two or more: space_id, root, n, and an id for reviews made of the space and the members.
+
+    The id takes the members' hashes in any order, so no group is brought together in one place.
+    """
+    share = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
+    groups = near_members(vectors, pairs).groupBy("space_id", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(share).alias("mark"))
+    return groups.select("space_id", "root", "n", F.concat(F.lit("near:"), F.sha2(F.concat_ws("|", "space_id", F.col("n").cast("string"), F.col("mark").cast("string")), 256)).alias("review_id"))

@@ -63,7 +63,7 @@ class Library:
     def list_near_duplicates(self, vectors_of: DataFrame, least: float = vectors.NEAR_COSINE) -> DataFrame:
         """Groups among visible assets: what is hidden connects nothing."""
         seen = vectors_of.join(self.assets.select("id"), "id", "left_semi")
-        return vectors.near_groups(seen, vectors.close_pairs(seen, least))
+        return vectors.near_groups(seen, vectors.near_links(seen, least))
 
     def stats(self) -> DataFrame:
         return aggregates.total_from_maintained(self.cat, self.ceiling)

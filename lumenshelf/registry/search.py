@@ -184,10 +184,11 @@ query("join_theta_cosine", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.
 # Components by a recursive walk over the pairs.
 NEAR = f"""{PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON p.a = r.b),
  rooted AS (SELECT a AS id, min(b) AS root FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach) GROUP BY 1),
- groups AS (SELECT v.space_id, root, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM rooted JOIN v USING (id) GROUP BY 1, 2)"""
-GROUPS = f"{NEAR} SELECT space_id, root, n, members, concat('near:', sha256(concat_ws('|', space_id, members))) AS review_id FROM groups"
-query("near_dup_components", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.close_pairs(spaces(c, 3), LEAST)))
+ groups AS (SELECT v.space_id, root, count(*) AS n, concat('near:', sha256(concat_ws('|', space_id, CAST(count(*) AS VARCHAR), CAST(bit_xor(CAST(concat('0x', substr(md5(CAST(id AS VARCHAR)), 1, 15)) AS BIGINT)) AS VARCHAR)))) AS review_id FROM rooted JOIN v USING (id) GROUP BY 1, 2)"""
+GROUPS = f"{NEAR} SELECT space_id, root, n, review_id FROM groups"
+query("near_dup_components", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
 query("near_dup_ann", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
+query("near_dup_members", f"{NEAR} SELECT v.space_id, id, root FROM rooted JOIN v USING (id)")(lambda c: vectors.near_members(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
 query("near_dup_window", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST, 2000))
-query("near_review_id", f"{NEAR} SELECT root, concat('near:', sha256(concat_ws('|', space_id, members))) AS review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
+query("near_review_id", f"{NEAR} SELECT root, review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
 query("near_pair_counts", f"{PAIRS} SELECT a, count(*) AS n FROM pairs GROUP BY 1")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST).groupBy("a").agg(F.count(F.lit(1)).alias("n")))
