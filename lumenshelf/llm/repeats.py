@@ -67,11 +67,11 @@ def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
     return values
 
 
-def named_passages(data: bytes, size: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def named_passages(data: bytes, size: int, length: int = LENGTH, block_bytes: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one name: first window, number of windows, name."""
     starts, counts, names = [], [], []
-    for at in range(0, len(data) - length + 1, BLOCK):
-        block = data[at : at + BLOCK + length - 1]
+    for at in range(0, len(data) - length + 1, block_bytes):
+        block = data[at : at + block_bytes + length - 1]
         hashes = key_hashes(block, size)
         least = sliding_least(hashes, length - size + 1)
         # The leftmost place of the least hash moves where a lesser one enters or it leaves the window.
@@ -92,7 +92,7 @@ def content_hashes(data: bytes, starts: np.ndarray, counts: np.ndarray, length:
 PASSAGE = "id long, tk long, start int, n int, name long, content long"
 
 
-def passages(rows: DataFrame, length: int, size: int) -> DataFrame:
+def passages(rows: DataFrame, length: int, size: int, block_bytes: int = BLOCK) -> DataFrame:
     """All named passages of rows (id, tk, text): where they start, windows, name and content hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def passages(rows: DataFrame, length: int, size: int) -> DataFrame:
                 of = []
                 for row in range(low, min(low + 500, batch.num_rows)):
                     data = texts[row].as_py().encode()
-                    starts, counts, names = named_passages(data, size, length)
+                    starts, counts, names = named_passages(data, size, length, block_bytes)
                     for part, values in zip(parts, (starts, counts, names, content_hashes(data, starts, counts, length))):
                         part.append(values)
                     of.append(np.full(len(starts), row))
@@ -272,10 +272,10 @@ def whole(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "tk", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).cast("int").alias("b"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, name_passages: int = NAME_PASSAGES, keys: tuple[int, ...] = KEYS) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, name_passages: int = NAME_PASSAGES, keys: tuple[int, ...] = KEYS, block_bytes: int = BLOCK) -> DataFrame:
     """Byte spans (id, tk, a, b), which may overlap, that cover exactly the bytes of rows (id, tk, text)
     inside a string of ``length`` bytes that also starts elsewhere."""
-    found = passages(rows, length, keys[0])
+    found = passages(rows, length, keys[0], block_bytes)
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("times > 1")
     # Cut, the names are shuffled by themselves, and adaptive execution can split a name with many passages.
     names = cut(names.select("name", (F.col("c0") == F.col("c1")).alias("uniform")))
@@ -328,7 +328,7 @@ def split_crowded(rows: DataFrame, length: int, name_passages: int, keys: tuple[
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, name_passages: int = NAME_PASSAGES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, name_passages: int = NAME_PASSAGES, block_bytes: int = BLOCK) -> DataFrame:
     """Each text without its repeated bytes: id, n_bytes, n_removed, n_spans, kept (binary).
 
     A byte goes if a string of ``length`` bytes over it also starts at another place, of the same
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("tk", F.xxhash64("text")).select("id", "tk", "text")
-    spans = repeated_spans(rows.where(F.octet_length("text") >= length), length, name_passages)
+    spans = repeated_spans(rows.where(F.octet_length("text") >= length), length, name_passages, block_bytes=block_bytes)
     lists = spans.groupBy("id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     joined = rows.join(lists, ["id", "tk"], "left")
 

@@ -76,8 +76,19 @@ def test_against_brute_force(make_docs, odd_rows, crowd, monkeypatch):
     assert got == sorted((str(r[0]), *w) for r, w in zip(rows, want))
 
 
-def test_long_texts_and_empty_table(make_docs, odd_rows, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOCK", 1000)  # names a long text block by block
+def test_block_seams(make_docs):
+    """Texts named in blocks of 250 windows, in the workers too, against all windows; and long texts seam by seam."""
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts_with_repeats())]
+    out = repeats.remove_repeats(make_docs(rows), block_bytes=250).collect()
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], sha256(r["kept"]).hexdigest()) for r in out)
+    assert got == sorted((str(r[0]), *w) for r, w in zip(rows, brute([t.encode() for _, t, _, _ in rows], 200)))
+    data = bytes(random.Random(4).choices(b"abcdefgh ", k=(1 << 20) + 5000))
+    for block in (1 << 18, 1 << 20):
+        each = [np.repeat(names, counts) for _, counts, names in [repeats.named_passages(data, 32, 200, b) for b in (block, 1 << 30)]]
+        assert (each[0] == each[1]).all() and len(each[0]) == len(data) - 199
+
+
+def test_long_texts_and_empty_table(make_docs, odd_rows):
     got = {r["doc_id"]: r for r in repeats.digests(make_docs(odd_rows)).collect()}
     assert got[6]["n_removed"] == got[6]["n_bytes"] == len(odd_rows[8][1]) and got[6]["n_spans"] == 1
     assert got[6]["kept_sha256"] == sha256(b"").hexdigest()
