@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators: op1 to op10."""
+"""The registered queries of the corpus operators: op1 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, repeats, secrets, simhash, toxicity, webp
+from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, repeats, secrets, simhash, token_files, toxicity, vector_codes, webp
 from lumenshelf.llm.common import id_key, table
 
 
@@ -69,6 +69,16 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(table(spark, sf_dir, "pages")).drop("_hash", "_declared", "_host")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
+    "op12_token_files": op12_token_files,
+    "op13_vector_codes": op13_vector_codes,
     "pages_language_id": pages_language_id,
 }
 
