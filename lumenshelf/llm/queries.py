@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, repeats, secrets, simhash, token_files, toxicity, vector_codes, webp
+from lumenshelf.llm import bpe, curriculum, exact_dedup, html_extract, language_id, ranked_search, repeats, secrets, simhash, token_files, toxicity, vector_codes, webp
 from lumenshelf.llm.common import id_key, table
 
 
@@ -69,6 +69,10 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(table(spark, sf_dir, "pages")).drop("_hash", "_declared", "_host")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_files": op12_token_files,
     "op13_vector_codes": op13_vector_codes,
     "pages_language_id": pages_language_id,
@@ -130,5 +135,18 @@ EXACT_SQL = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.norm) AS text_sha256 FROM d JOIN g USING (norm)"""
 
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SQL = f"""WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {TERMS} AS terms FROM documents),
+p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY doc, term),
+totals AS (SELECT count(*) AS n_docs, sum(len(terms)) AS n_terms FROM d WHERE len(terms) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2e0 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, totals GROUP BY term, n_docs),
+m AS (SELECT doc, doc_id, CAST(10 + (90 * len(terms) * n_docs) // n_terms AS BIGINT) AS m FROM d, totals WHERE len(terms) > 0),
+items AS (SELECT item_id, text, unnest(list_distinct({TERMS})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+scores AS (SELECT i.item_id, i.text, doc_id, doc, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * m.m))) AS score
+ FROM items i JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc) GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
+
 #: The other operators need byte, tree or model work that SQL lacks; their tests hold them to brute force.
-ORACLES: dict[str, str] = {"op3_exact_dedup": EXACT_SQL, "op4_mix_sources": MIX_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": EXACT_SQL, "op4_mix_sources": MIX_SQL, "op11_ranked_search": RANKED_SQL}
