@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 
 from lumenshelf.functions.storage import shared_folder
 from lumenshelf.functions.workers import map_arrow
+from lumenshelf.llm.bpe import byte_characters
 from lumenshelf.llm.common import text_or_empty
 
 #: Fixed values of the coding: ids per word and bits per id of each selector (4 bits) over 60 bits of ids.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids of a block, the unit of reading, and ids after which a file is closed.
-BLOCK_IDS, FILE_IDS = 4096, 1 << 22
+BLOCK_IDS, FILE_IDS = 4096, 1 << 20
+#: Ids that are packed at once, so that the arrays of the search stay in the processor's cache.
+PACK_IDS = 1 << 15
 MAGIC = b"S8TK"
 HEADER = "<4sIQQQQQ"
 #: Encodings of words that a task keeps, and as many older ones.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
 
 # --- coding -------------------------------------------------------------------------------------------
@@ -42,47 +45,74 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     outlier among small ids does not cost the others their width. Blocks do not share words.
     """
     ids = np.ascontiguousarray(ids, np.uint64)
-    n = len(ids)
-    if not n:
+    step = max(PACK_IDS // block, 1) * block
+    parts = [pack_blocks(ids[at : at + step], block) for at in range(0, len(ids), step)]
+    if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(n)
-    ends = np.minimum((place // block + 1) * block, n)
-    best, selector, step = np.full(n, -1.0), np.zeros(n, np.int8), np.zeros(n, np.int32)
+    words, escapes, word_at, escape_at = zip(*parts)
+    shifted = lambda places, of: np.concatenate([p + s for p, s in zip(places, np.cumsum([0, *map(len, of)]))])
+    return np.concatenate(words), np.concatenate(escapes), shifted(word_at, words), shifted(escape_at, escapes)
+
+
+def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pack for a few blocks."""
+    n, rows, top = len(ids), -(-len(ids) // block), int(ids.max())
+    grid = np.zeros(rows * block, np.uint32 if top < 1 << 32 else np.uint64)
+    grid[:n] = ids
+    grid = grid.reshape(rows, block)
+    left = np.minimum(block - np.arange(block)[None, :], np.maximum(n - np.arange(rows * block).reshape(rows, block), 1)).astype(np.float32)
+    before = np.zeros(rows * block + 1, np.int32)
+    starts, ends = before[:-1].reshape(rows, block), before[block::block, None]
+    escapes, best, selector = np.empty((rows, block), np.float32), np.full((rows, block), -1, np.float32), np.zeros((rows, block), np.int8)
     for s in range(16):
-        wide = ids != 0 if WIDTHS[s] == 0 else ids >= np.uint64((1 << int(WIDTHS[s])) - 1)
-        before = np.zeros(n + 1, np.int32)
-        np.cumsum(wide, out=before[1:])
-        stop = np.minimum(place + COUNTS[s], ends)
-        escapes, took = before[stop] - before[:n], stop - place
-        worth = took / (1.0 + escapes)
+        count, limit = int(COUNTS[s]), max((1 << int(WIDTHS[s])) - 1, 1)
+        wide = grid >= grid.dtype.type(limit) if limit <= top else np.zeros(grid.shape, bool)
+        if wide.all() and s < 15:
+            continue  # escapes alone
+        # Three ids of 20 bits always fit, so a longer word needs two narrow ids of three. It covers three whole
+        # quarters of its length then, and one of them is narrow by half.
+        quarter = count // 4
+        if quarter >= 3 and top < (1 << 20) - 1 and block % quarter == 0 and wide.reshape(-1, quarter).sum(axis=1, dtype=np.int16).min() * 2 > quarter:
+            continue
+        np.cumsum(wide.ravel(), out=before[1:])
+        inner = max(block - count, 0)
+        np.subtract(starts[:, block - inner :], starts[:, :inner], out=escapes[:, :inner])
+        np.subtract(ends, starts[:, inner:], out=escapes[:, inner:])
+        worth = np.minimum(left, np.float32(count)) / (escapes + np.float32(1))
         if WIDTHS[s] == 0:
             worth[escapes > 0] = -1  # a slot of no bits has no room for the mark
         better = worth > best
-        best[better], selector[better], step[better] = worth[better], s, took[better]
+        np.copyto(best, worth, where=better)
+        np.copyto(selector, np.int8(s), where=better)
+        if not before[-1]:
+            break  # wider slots hold fewer
+    selector = selector.ravel()[:n]
+    step = np.minimum(left.ravel()[:n].astype(np.int32), COUNTS.astype(np.int32)[selector])
     # Only the walk from word to word goes one by one.
-    jump, at, starts = (place + step).tolist(), 0, []
+    jump, at, found = (np.arange(n, dtype=np.int32) + step).tolist(), 0, []
     while at < n:
-        starts.append(at)
+        found.append(at)
         at = jump[at]
-    starts = np.array(starts)
-    chosen, took = selector[starts], step[starts]
+    first = np.array(found)
+    chosen, took = selector[first], step[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    escaped = []
-    for s in range(2, 16):
-        rows = np.flatnonzero(chosen == s)
-        if len(rows):
-            width, mark = int(WIDTHS[s]), np.uint64((1 << int(WIDTHS[s])) - 1)
-            slots = np.arange(COUNTS[s])
-            where = starts[rows][:, None] + slots
-            inside = slots < took[rows][:, None]
-            values = np.where(inside, ids[np.minimum(where, n - 1)], 0)
-            over = values >= mark
-            escaped.append(where[over])
-            values = np.where(over, mark, values)
-            words[rows] |= np.bitwise_or.reduce(values << (slots * width).astype(np.uint64), axis=1)
-    wide_at = np.sort(np.concatenate(escaped)) if escaped else np.zeros(0, np.int64)
+    padded = np.concatenate([ids, np.zeros(int(COUNTS[0]), np.uint64)])
+    escaped = [np.zeros(0, np.int64)]
+    for s in np.unique(chosen).tolist():
+        if WIDTHS[s]:
+            of = np.flatnonzero(chosen == s)
+            at, cut_off, mark = first[of], took[of], np.uint64((1 << int(WIDTHS[s])) - 1)
+            word = words[of]
+            for k in range(int(COUNTS[s])):
+                value = np.where(k < cut_off, padded[at + k], np.uint64(0))
+                over = value >= mark
+                if over.any():
+                    escaped.append(at[over] + k)
+                word |= np.minimum(value, mark) << np.uint64(k * int(WIDTHS[s]))
+            words[of] = word
+    wide_at = np.sort(np.concatenate(escaped))
     firsts = np.arange(0, n, block)
-    return words, ids[wide_at], np.searchsorted(starts, firsts), np.searchsorted(wide_at, firsts)
+    return words, ids[wide_at], np.searchsorted(first, firsts), np.searchsorted(wide_at, firsts)
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, word_at: np.ndarray, n: int, block: int = BLOCK_IDS) -> np.ndarray:
@@ -167,16 +197,35 @@ class TokenFile:
 
 
 class Words(dict):
-    """Ids of a word behind a space, as little-endian 32-bit numbers; unknown words go to the tokenizers library."""
+    """Ids of what stands behind a space, as little-endian 32-bit numbers.
+
+    Latin letters up to another character of ASCII, or to the end, are a piece of their own that the
+    library's model merges at once; only the rest goes through its splitting.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, library, start: str):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.start, self.older = start, {}
+        self.rest = self if not start else Words(library, "")
+        self.merge, self.whole = library.model.tokenize, library.encode
+        # Byte-level vocabularies write each byte as a character.
+        spell = dict(enumerate(byte_characters()))
+        self.spelling = {c: "".join(spell[b] for b in chr(c).encode()) for c in range(0x100)}
+        self.head = self.spelling[32] if start else ""
+        self.letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~]|\Z)").match
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            found = self.encode(" " + word)
+            head = self.letters(word)
+            if head and head.end() < len(word):
+                found = self[head[0]] + self.rest[word[head.end() :]]
+            elif head:
+                ids = [t.id for t in self.merge(self.head + (word if word.isascii() else word.translate(self.spelling)))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                ids = self.whole(self.start + word, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -184,7 +233,6 @@ class Words(dict):
             self[word] = found
         return found
 
-
 class Encoder:
     """The tokenizers library over byte-level vocabularies, asked once for each word.
 
@@ -208,7 +256,7 @@ class Encoder:
         plain = all(not t["lstrip"] and not t["rstrip"] and " " not in t["content"] for t in spec["added_tokens"])
         self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["normalizer"] is None and plain
         self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-        self.words = Words(self.whole)
+        self.words = Words(library, " ") if self.by_word else None
         self.cut = re.compile(r" (?=\S)").split
 
     def encode(self, text: str) -> bytes:
