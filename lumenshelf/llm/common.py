@@ -14,6 +14,8 @@ from lumenshelf.functions.workers import map_arrow
 
 #: Rows of a narrow key table that may be sent to every executor. Larger tables are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
+#: Bytes of such a table whose rows are wide.
+MAX_BROADCAST_BYTES = 16 << 20
 
 #: White space of the contracts: the ASCII characters 9 to 13 and 32.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -53,6 +55,17 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that no helper column can clash with, and their names by the names they had."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def given_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of set_apart alone, under the names they had."""
+    return df.select(*[F.col(now).alias(name) for name, now in names.items()])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """Left join of many rows with one row per group, safe when one group holds most of the rows.
 

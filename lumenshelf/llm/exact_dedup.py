@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenshelf.llm.common import SPACE_RUN, cut, id_key, join_groups, sized, text_or_empty
+from lumenshelf.llm.common import SPACE_RUN, cut, given_back, id_key, join_groups, set_apart, sized, text_or_empty
 
 #: Code points of a normalised text that the second level hashes.
 PREFIX_CHARS = 64
-#: Slots of the bitmap that tells which rows are hashed in full: a power of two.
-SLOTS = 1 << 24
+#: Slots for each pair of length and prefix hash that occurs twice, in the bitmap that tells which rows are
+#: hashed in full, and the least and most slots: powers of two. The largest bitmap takes 64 MB in an executor.
+SLOTS_PER_PAIR, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 28
 
 
 def normalised(text: str = "text") -> Column:
@@ -31,15 +32,17 @@ def duplicate_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Rows whose length and prefix hash occur twice, hashed in full: _id, _raw, text_sha256.
 
     One pass counts pairs of length and prefix hash; a pair that occurs twice has a length that does, so
-    this settles both levels. The surviving pairs mark slots of a bitmap, which goes to every executor as
-    at most SLOTS / 64 rows, and a second pass hashes in full only rows whose slot is marked. A slot that
-    two pairs share makes a hash in vain, never a wrong group: equal texts alone have equal full hashes.
+    this settles both levels. The surviving pairs mark slots of a bitmap that grows with their number, so that
+    few slots are shared, and goes to every executor as one row per 64 slots. A second pass hashes in full only rows whose slot
+    is marked. A slot that two pairs share makes a hash in vain, never a wrong group: equal texts alone
+    have equal full hashes. Beyond MOST_SLOTS / SLOTS_PER_PAIR pairs more rows are hashed in vain.
     """
     rows = docs.select(F.col(id_col).alias("_id"), raw_hash(text_col).alias("_raw"), normalised(text_col).alias("_t"))
     rows = rows.withColumns({"_len": F.octet_length("_t"), "_prefix": F.xxhash64(F.substring("_t", 1, PREFIX_CHARS))})
-    pairs = rows.groupBy("_len", "_prefix").count().where("count > 1")
+    pairs = cut(rows.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix"))
+    slots = min(max(LEAST_SLOTS, 1 << (SLOTS_PER_PAIR * pairs.count()).bit_length()), MOST_SLOTS)
     # Bits of a hash are never null, so that the join puts no test for null, with the text's hash in it, ahead of itself.
-    slot = F.xxhash64("_len", "_prefix").bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    slot = F.xxhash64("_len", "_prefix").bitwiseAND(F.lit(slots - 1).cast("long"))
     word, place = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")
     marked = pairs.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
     hashed = rows.select("*", word).join(F.broadcast(cut(marked)), "_word").where(F.getbit("_bits", place) == 1)
@@ -93,10 +96,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays = F.col("_id").eqNullSafe(F.col("keep.id")) & (F.col("_raw") == F.col("keep.raw"))
     drops, _ = sized(rows.where(~stays).select("_idk", "_raw").distinct())
     twice, _ = sized(rows.where(stays).groupBy("_idk", "_raw").count().where("count > 1").select("_idk", "_raw"))
-    keyed = docs.withColumns({"_idk": id_key(id_col), "_raw": raw_hash(text_col)})
+    base, names = set_apart(docs)
+    keyed = base.withColumns({"_idk": id_key(names[id_col]), "_raw": raw_hash(names[text_col])})
     kept = keyed.join(drops, ["_idk", "_raw"], "left_anti")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return given_back(kept, names)
     single = kept.join(twice, ["_idk", "_raw"], "left_anti")
-    first = kept.join(twice, ["_idk", "_raw"], "left_semi").groupBy("_idk", "_raw").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return single.select(*docs.columns).unionByName(first.select("_row.*").select(*docs.columns))
+    first = kept.join(twice, ["_idk", "_raw"], "left_semi").groupBy("_idk", "_raw").agg(F.min(F.struct(*base.columns)).alias("_row"))
+    return given_back(single.select(*base.columns).unionByName(first.select("_row.*")), names)

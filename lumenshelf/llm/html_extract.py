@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 from math import e, log
 
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame
 
 from lumenshelf.llm.common import map_rows
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations and tags. Where the rest of the page lacks the quote that ends an attribute, the tag ends at the next ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = frozenset("article main section div td body html".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "option", "optgroup"}
@@ -24,7 +26,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 BORDER = frozenset("table ul ol dl div article section main body html select blockquote td th".split())
 
 #: Elements that never hold the article, wherever they stand, and those that do not outside of it.
-NOISE_TAGS = frozenset("head nav footer aside form button select input menu dialog object embed applet canvas audio video map".split()) | RAW
+NOISE_TAGS = frozenset("head nav footer aside form button select input menu dialog object embed applet canvas audio video map annotation annotation-xml".split()) | RAW
 NOISE_OUTSIDE = frozenset({"header"})
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of class and id names that stand for noise, those that do outside of an article only, and those
@@ -47,17 +49,21 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Page:
     """A page's elements as parallel lists, parents before children; element 0 is the root."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
         self.tag, self.parent, self.noise, self.suspect, self.inside, self.link = ["html"], [0], [False], [False], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # element and text; an empty text ends a block
         self.stack = [0]
+        #: Places in the stack of the open elements of each tag, and of those that end a search for siblings.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.borders: list[int] = []
         self.parse(html)
         self.weigh()
 
     def open(self, tag: str, attributes: str) -> int:
         up = self.stack[-1]
         inside = self.inside[up] or tag in ("article", "main")
-        noise, suspect = (False, False) if tag in ("html", "body", "article", "main") else judged(tag, attributes, inside)
+        noise, suspect = (False, False) if tag in ("html", "body", "article", "main") else judged(tag, attributes, inside, self.by_name)
         noise = noise or self.noise[up]
         self.tag.append(tag)
         self.parent.append(up)
@@ -67,20 +73,33 @@ class Page:
         self.link.append(self.link[up] or tag == "a")
         return len(self.tag) - 1
 
+    def push(self, node: int) -> None:
+        tag = self.tag[node]
+        self.places[tag].append(len(self.stack))
+        if tag in BORDER:
+            self.borders.append(len(self.stack))
+        self.stack.append(node)
+
     def pop_to(self, at: int) -> None:
         if any(self.tag[i] in BLOCK for i in self.stack[at:]):
             self.pieces.append((self.stack[at], ""))
+        for i in self.stack[at:]:
+            self.places[self.tag[i]].pop()
+        while self.borders and self.borders[-1] >= at:
+            self.borders.pop()
         del self.stack[at:]
 
+    def last_open(self, tag: str) -> int:
+        """Place of the last open element of the tag; zero if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
     def end_siblings(self, tag: str) -> None:
-        kinds = SIBLINGS.get(tag)
-        for at in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.tag[self.stack[at]]
-            if kinds and open_tag in kinds or open_tag == "p" and tag in CLOSES_P:
-                return self.pop_to(at)
-            if open_tag in BORDER:
-                return None
-        return None
+        at = max(map(self.last_open, SIBLINGS.get(tag, ())), default=0)
+        if tag in CLOSES_P:
+            at = max(at, self.last_open("p"))
+        if at and (not self.borders or at >= self.borders[-1]):
+            self.pop_to(at)
 
     def parse(self, html: str) -> None:
         at, raw = 0, ""
@@ -98,12 +117,11 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                found = next((k for k in range(len(self.stack) - 1, 0, -1) if self.tag[self.stack[k]] == name), 0)
-                if found:
-                    self.pop_to(found)
+                if self.last_open(name):
+                    self.pop_to(self.last_open(name))
                 continue
             self.end_siblings(name)
-            if name in ("html", "body") and any(self.tag[i] == name for i in self.stack):
+            if name == "html" or name == "body" and self.last_open(name):
                 continue
             node = self.open(name, m[3] or "")
             if name == "br":
@@ -111,7 +129,7 @@ class Page:
             if name in BLOCK:
                 self.pieces.append((node, ""))
             if name not in VOID and not (m[3] or "").endswith("/"):
-                self.stack.append(node)
+                self.push(node)
                 raw = name if name in RAW else ""
         if not raw and at < len(html):
             self.text(html[at:])
@@ -201,8 +219,9 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * max(0.0, log(max(value, 1.0))) / max(log(base), 0.1)
 
 
-def judged(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is noise by its kind, role or whole name, and whether a part of its name makes it suspect."""
+def judged(tag: str, attributes: str, inside: bool, by_name: bool = True) -> tuple[bool, bool]:
+    """Whether an element is noise by its kind, role or whole name, and whether its name makes it suspect:
+    a part of it, or all of it where names alone do not decide."""
     if tag in NOISE_TAGS or (tag in NOISE_OUTSIDE and not inside):
         return True, False
     suspect = False
@@ -214,7 +233,7 @@ def judged(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
             for word in value.lower().split():
                 parts = set(NAME_PART.findall(word))
                 known = parts & NOISE_PARTS if inside else parts & (NOISE_PARTS | NOISE_PARTS_OUTSIDE)
-                if known and parts <= known | PLAIN_PARTS | NOISE_PARTS_OUTSIDE:
+                if by_name and known and parts <= known | PLAIN_PARTS | NOISE_PARTS_OUTSIDE:
                     return True, False
                 suspect = suspect or bool(known)
         elif name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
@@ -223,12 +242,20 @@ def judged(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def main_text(html: str | None) -> str:
-    """The article of a page, blocks joined by newlines; empty for null, empty or text-free pages."""
-    return Page(html).main_text() if html else ""
+    """The article of a page, blocks joined by newlines; empty for null, empty or text-free pages.
+
+    If nothing is left, the names of elements lose their say: the only text of a page is not a notice
+    beside it, and density alone decides.
+    """
+    return (Page(html).main_text() or Page(html, by_name=False).main_text()) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars of each page, from its whole HTML. One row per row, repeats included."""
+    """id, url, text, n_chars of each page, from its whole HTML. One row per row, repeats included.
+
+    Null and empty pages, and pages without text outside of the parts that are left out, have the empty
+    text. Time grows in proportion to a page's length, however its elements are nested.
+    """
 
     def start():
         def one(page, url, html):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions.workers import group_arrow, map_arrow
-from lumenshelf.llm.common import cut, id_key, join_groups, map_rows, sized
+from lumenshelf.llm.common import MAX_BROADCAST_BYTES, cut, given_back, id_key, join_groups, map_rows, set_apart, sized
 
 #: Documents with a declared language from which the text model is fitted, chosen by a hash of the id
 #: (expected number; the bound on what training reads, whatever the size of the corpus).
@@ -186,17 +186,22 @@ def fuse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declar
     hosts = hosts.join(of, "_host").join(domains, "_domain", "left")
     hosts = hosts.select(F.col("_host").alias("_hk"), F.col("n").alias("host_rows"), smoothed(F.col("by"), F.col("n"), F.coalesce("domain_prior", corpus)).alias("prior"))
 
-    def likelihood(key: str) -> DataFrame:
-        """log P(value | language), every value of the key; for ``und`` the overall rate of the value."""
+    total = scored.count()
+
+    def with_likelihood(rows: DataFrame, key: str) -> DataFrame:
+        """rows with log P(value | language) for the value of the key; for ``und`` the overall rate of the value.
+        A table of many values is joined as groups, since each value carries a number per language."""
         found = counts_by_language(counts.where(F.col(key).isNotNull()), key, n)
         rate = F.col("n") / F.lit(float(max(1.0, overall.sum())))
         each = F.zip_with(F.col("by"), per_language, lambda c, t: F.log((c + SMOOTHING * rate) / t))
         out = F.concat(F.slice(each, 1, n - 1), F.array(F.log(rate)))
-        return sized(found.select(key, out.alias(f"{key}_like")))[0]
+        table, small = sized(found.select(F.col(key).alias("_lk"), F.col("n").alias(f"{key}_rows"), out.alias(f"{key}_like")), MAX_BROADCAST_BYTES // (8 * n + 64))
+        rows = rows.withColumn("_lk", F.coalesce(key, F.lit("")))
+        return (rows.join(table, "_lk", "left") if small else join_groups(rows, table, "_lk", f"{key}_rows", total, F.col("_id"))).drop("_lk")
 
-    rows = scored.join(likelihood("_declared"), "_declared", "left").join(likelihood("_suffix"), "_suffix", "left")
+    rows = with_likelihood(with_likelihood(scored, "_declared"), "_suffix")
     rows = rows.withColumn("_hk", F.coalesce("_host", F.lit("")))
-    rows = join_groups(rows, hosts, "_hk", "host_rows", scored.count(), F.col("_id"))
+    rows = join_groups(rows, hosts, "_hk", "host_rows", total, F.col("_id"))
     none = F.array(*[F.lit(0.0)] * n)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = F.transform(F.coalesce("prior", corpus), lambda p: F.log(F.greatest(p, F.lit(1e-12))))
@@ -221,10 +226,12 @@ def identify_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
 def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents, all columns, whose language is known. The few that are rejected leave by an
     anti join on id, text hash, language and source."""
-    keys = {"_k1": id_key("doc_id"), "_k2": F.xxhash64(F.coalesce("text", F.lit(""))), "_k3": F.coalesce(primary(F.col("lang")), F.lit("")), "_k4": F.coalesce("source", F.lit(""))}
+    base, names = set_apart(docs)
+    doc, text, lang, source = (names[c] for c in ("doc_id", "text", "lang", "source"))
+    keys = {"_k1": id_key(doc), "_k2": F.xxhash64(F.coalesce(text, F.lit(""))), "_k3": F.coalesce(primary(F.col(lang)), F.lit("")), "_k4": F.coalesce(source, F.lit(""))}
     out = identify_documents(docs, train_rows).where("NOT kept")
     drops = out.select(id_key("doc_id").alias("_k1"), F.col("_hash").alias("_k2"), F.coalesce("_declared", F.lit("")).alias("_k3"), F.coalesce("_host", F.lit("")).alias("_k4")).distinct()
-    return docs.withColumns(keys).join(sized(drops)[0], [*keys], "left_anti").select(*docs.columns)
+    return given_back(base.withColumns(keys).join(sized(drops)[0], [*keys], "left_anti"), names)
 
 
 def identify_pages(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

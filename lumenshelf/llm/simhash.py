@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions.workers import map_arrow
-from lumenshelf.llm.common import cut, id_key, join_groups, map_rows, sized
+from lumenshelf.llm.common import cut, given_back, id_key, join_groups, map_rows, set_apart, sized
 from lumenshelf.llm.graph import connected_components
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
@@ -88,8 +88,6 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
     So each is tied to every value of its ball (2,081 for radius 4), and all that share a value to the
     least of them: work in proportion to their number.
     """
-    if radius % 2 or radius > 4:
-        raise ValueError("crowded buckets are linked for radius 2 and 4")
     flips = [0] + [1 << i for i in range(BITS)]
     if radius == 4:
         flips += [1 << i | 1 << j for i in range(BITS) for j in range(i)]
@@ -114,6 +112,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     those up to ``bucket_rows`` as one array; the fingerprints of larger ones by ball_links. A bucket
     links only fingerprints that some chain within the radius joins, so components are exact.
     """
+    if radius not in (2, 4):
+        raise ValueError("crowded buckets are linked for radius 2 and 4 alone")
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     rows = prints.select("fp", F.posexplode(masks).alias("mask", "bits")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
     sizes = cut(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
@@ -152,8 +152,8 @@ def signed(value: int) -> int:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row: id, fingerprint (16 hex digits), component_id, fp.
 
-    component_id is the least id reachable over links of ``radius`` or fewer differing bits, the
-    document itself included. Texts without words, null ones too, have fingerprint zero and link like
+    component_id is the least id reachable over links of ``radius`` (2 or 4) or fewer differing bits, the
+    document itself included. Repeated rows each come back; an empty table gives no rows. Texts without words, null ones too, have fingerprint zero and link like
     any other. Null ids take part but never are a component's id unless it has no other.
     """
     out = placed_rows(docs, id_col, text_col, radius)
@@ -170,5 +170,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = placed_rows(docs, id_col, text_col, radius)
     stays = F.col(id_col).eqNullSafe(F.col("keep.id")) & (F.col("fp") == F.col("keep.fp")) & (F.col("hash") == F.col("keep.hash"))
     drops = found.where(~stays).select(id_key(id_col).alias("_idk"), F.col("hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_idk": id_key(id_col), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(sized(drops)[0], ["_idk", "_hash"], "left_anti").select(*docs.columns)
+    base, names = set_apart(docs)
+    keyed = base.withColumns({"_idk": id_key(names[id_col]), "_hash": F.xxhash64(F.coalesce(F.col(names[text_col]), F.lit("")))})
+    return given_back(keyed.join(sized(drops)[0], ["_idk", "_hash"], "left_anti"), names)

@@ -39,6 +39,10 @@ def test_drop_leaves_one_of_each(make_docs, odd_rows):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out.collect()) == sorted((i is None, i) for i in (1, 3, 5, None, 6, 8, 9))
 
 
+def test_clashing_columns_come_back(make_docs, odd_rows, clashes_kept):
+    assert clashes_kept(exact_dedup.drop_exact_duplicates(make_docs(odd_rows * 2)).collect())
+
+
 def test_empty_table(make_docs):
     assert exact_dedup.exact_duplicates(make_docs([])).collect() == []
     assert exact_dedup.drop_exact_duplicates(make_docs([])).collect() == []
@@ -50,6 +54,6 @@ def test_only_survivors_are_hashed_in_full_whatever_the_slots(make_docs, odd_row
     want = sorted(map(str, exact_dedup.exact_duplicates(docs).collect()))
     hashed = exact_dedup.duplicate_candidates(docs).count()
     assert hashed < 60  # the pairs of length and prefix hash that recur, and little beside them
-    monkeypatch.setattr(exact_dedup, "SLOTS", 64)
+    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 64)
     assert sorted(map(str, exact_dedup.exact_duplicates(docs).collect())) == want
     assert hashed <= exact_dedup.duplicate_candidates(docs).count()

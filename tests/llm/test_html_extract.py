@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -28,6 +29,28 @@ def test_broken_markup():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_time_grows_with_length_alone():
+    for page in ("<b>" * 100_000 + "</i>" * 100_000 + "x", "<p><select>" + "<b>" * 50_000 + "<hr>" * 50_000, "<div>" * 50_000 + "<body>" * 50_000, "<li><b>" * 50_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_an_attribute_without_its_second_quote():
+    assert main_text("<article><p>One <a href='y'>two</a></p><p>three <a href=\"x>four</a> five") == "One two\nthree four five"
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>The area is <math><mi>π</mi><msup><mi>r</mi><mn>2</mn></msup><annotation encoding='tex'>\\pi r^2</annotation></math> and more.</p></article>"
+    assert main_text(page) == "The area is πr2 and more."
+
+
+def test_the_only_text_of_a_page_stays_whatever_its_name():
+    assert main_text(f'<body><nav><a href="/">Home</a></nav><div class="notice"><p>{BODY * 3}</p></div></body>') == (BODY * 3).strip()
+    assert main_text(f'<body><nav>Home</nav><form>Send</form><div id="comments"><p>{BODY}</p></div></body>') == BODY.strip()
+    assert main_text(f'<body><p>{BODY * 3}</p><div class="notice"><p>{BODY}</p></div></body>') == (BODY * 3).strip()
+
+
 def test_density_leads_without_semantic_tags():
     words = "some long sentence of the article that goes on and on without any link at all "
     menu = "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(40))

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from lumenshelf.llm import bpe  # noqa: E402
 from lumenshelf.llm.queries import vocabulary_path  # noqa: E402
@@ -20,14 +19,14 @@ def documents():
     return rows + [(400, "123 456", "en", "s1"), (401, None, "en", "s1"), (402, "", None, None)]
 
 
-def test_each_stage_does_its_part(spark, make_docs, tmp_path):
+def test_each_stage_does_its_part(spark, make_docs, tmp_path, clashes_kept):
     docs, kept = make_docs(documents()), []
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = str(tmp_path / name.replace(" ", "_"))
         stage(spark, docs, str(tmp_path)).write.parquet(out)
         docs = spark.read.parquet(out)
-        assert docs.columns == columns
+        assert docs.columns == columns and clashes_kept(docs.collect())
         kept.append(sorted(r["doc_id"] for r in docs.collect()))
     language, exact, near, mixed = kept
     assert set(language) == {r[0] for r in documents()} - {400, 401, 402}
