@@ -89,7 +89,7 @@ def agg_counter_deltas(c: Catalog) -> DataFrame:
 
 
 query("wipe_catalog", "SELECT 'asset' AS name, count(*) AS n FROM asset UNION ALL SELECT 'source_table', count(*) FROM source_table UNION ALL SELECT 'collection', count(*) FROM collection UNION ALL SELECT 'tag', count(*) FROM tag")(lambda c: ingest.wiped({t: getattr(c, t) for t in ("asset", "source_table", "collection", "tag", "asset_tag")})[1])
-JOBS = "(SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'failed' END AS state, epoch_ms(ts) AS created_at FROM events)"
+JOBS = "(SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'failed' END AS state, epoch_us(ts) // 1000 AS created_at FROM events)"
 query("page_jobs", f"SELECT id, kind, created_at FROM {JOBS} WHERE kind IN ('click', 'view') AND state = 'done' AND (created_at < 1704100000000 OR (created_at = 1704100000000 AND id < 500)) ORDER BY created_at DESC, id DESC LIMIT 51")(
     lambda c: review.jobs_page(c.base("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("user_id") % 3 == 0, "done").otherwise("failed").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at")), ["click", "view"], "done", (1704100000000, 500), 50).select("id", "kind", "created_at")
 )

@@ -1,5 +1,8 @@
 """Every query of the catalogue against its SQL on the smallest data."""
 
+from decimal import Decimal
+
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -10,11 +13,13 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        if isinstance(v, float | np.floating) and not float(v).is_integer():
+            return f"{v:.9g}"
+        # Integers are compared exactly, also where one side has them as whole floats.
+        return str(v) if isinstance(v, bool | str) else str(int(v)) if isinstance(v, int | float | np.number | Decimal) and v == int(v) else str(v)
 
     columns = sorted(frame.columns)
-    whole = frame[columns].astype(object)
-    return sorted(tuple(plain(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else plain(v) for v in r) for r in whole.itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
