@@ -67,18 +67,17 @@ def nearest_to_asset(vectors: DataFrame, asset: int, k: int, keep: DataFrame | N
     return nearest(rows, seed["vec"], k, seed["space_id"])
 
 
-def nearest_by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k neighbours of many queries (qid, space_id, vec), exactly, by score then id: qid, id, score, rank.
+def blocks_of(rows: DataFrame, key: str, keys: list[str], block_rows: int) -> DataFrame:
+    """Rows of equal ``keys`` in arrays of about ``block_rows`` (id and vec, by id), dealt by a hash of the id:
+    keys, <key>_block and <key>_rows."""
+    shape = rows.select(F.col(key).alias("id"), *keys, "vec")
+    sizes = shape.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
+    placed = shape.join(sizes, keys).withColumn(f"{key}_block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return placed.groupBy(*keys, f"{key}_block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(f"{key}_rows"))
 
-    Every query meets every row of its space and dimension but the one with its own id. A block of
-    queries against a block of rows is one matrix product in a task, from which the k best come out.
-    """
 
-    def blocks(rows: DataFrame, key: str) -> DataFrame:
-        shape = rows.select(F.col(key).alias("id"), "space_id", "vec", F.size("vec").alias("dim"))
-        sizes = shape.groupBy("space_id", "dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
-        placed = shape.join(sizes, ["space_id", "dim"]).withColumn(f"{key}_block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        return placed.groupBy("space_id", "dim", f"{key}_block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(f"{key}_rows"))
+def best_of_blocks(met: DataFrame, k: int) -> DataFrame:
+    """The k best rows of id_rows for each query of qid_rows, block by block: qid, id, score."""
 
     def run(batches):
         for batch in batches:
@@ -92,16 +91,25 @@ def nearest_by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows
                 kept = found > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])[kept]), pa.array(j[best.ravel()][kept]), pa.array(found[kept])], ["qid", "id", "score"])
 
+    return map_arrow(met.select("qid_rows", "id_rows"), run, "qid long, id long, score double")
+
+
+def nearest_by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k neighbours of many queries (qid, space_id, vec), exactly, by score then id: qid, id, score, rank.
+
+    Every query meets every row of its space and dimension but the one with its own id. A block of
+    queries against a block of rows is one matrix product in a task, from which the k best come out.
+    """
+    keys = ["space_id", "dim"]
+    sided = lambda rows, key: blocks_of(rows.withColumn("dim", F.size("vec")), key, keys, block_rows)
     # Pairs of blocks are dealt to tasks by both, so that one space does not end in one task.
-    met = blocks(queries, "qid").join(blocks(vectors, "id"), ["space_id", "dim"]).repartition("space_id", "dim", "qid_block", "id_block")
-    scored = map_arrow(met.select("qid_rows", "id_rows"), run, "qid long, id long, score double")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    met = sided(queries, "qid").join(sided(vectors, "id"), keys).repartition(*keys, "qid_block", "id_block")
+    return ranked_best(best_of_blocks(met, k), k)
 
 
-def nearest_by_hash(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The former name of nearest_by_blocks, when hashes chose what a query met."""
-    return nearest_by_blocks(vectors, queries, k)
+def ranked_best(scored: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -227,6 +235,12 @@ def near_links(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int =
     rows grow with the number of ids and blocks and not with the square of a group. A class with over a
     thousandth of all rows is broadcast, since one key must not hold many rows of a join.
     """
+    copies, heads = copy_classes(vectors, least)
+    return copies.unionByName(block_links(paired_blocks(heads, block_rows), least)).distinct()
+
+
+def copy_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) from the copies of a vector to the least id among them, and those heads (id, space_id, vec)."""
     rows = vectors.select("id", "space_id", "vec")
     classes = rows.groupBy("space_id", "vec").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     total = rows.count()
@@ -235,6 +249,11 @@ def near_links(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int =
     light = again.where(F.col("n") * 1000 <= total).drop("n")
     few = rows.join(heavy, ["space_id", "vec"], "left_anti")
     copies = rows.join(heavy, ["space_id", "vec"]).unionByName(few.join(light, ["space_id", "vec"])).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return copies, classes.select(F.col("head").alias("id"), "space_id", "vec")
+
+
+def block_links(met: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within pairs of blocks (rows, more), one per id and pair of blocks at most."""
 
     def run(batches):
         for batch in batches:
@@ -242,8 +261,15 @@ def near_links(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int =
                 a, b = links_of_block(*unit(batch.column(0)[k]), *unit(batch.column(1)[k]), least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    heads = classes.select(F.col("head").alias("id"), "space_id", "vec")
-    return copies.unionByName(map_arrow(paired_blocks(heads, block_rows), run, "a long, b long")).distinct()
+    return map_arrow(met.select("rows", "more"), run, "a long, b long")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read again, without the plan that made them."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -253,14 +279,6 @@ def components(pairs: DataFrame) -> DataFrame:
     Each round is written to the shared checkpoint folder and read again: a checkpoint would keep the
     plan's size estimates, whose digits multiply with every join until the driver's memory is full.
     """
-    spark = pairs.sparkSession
-    folder = shared_folder(spark)
-
-    def settled(rows: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
     both = settled(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
     while True:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
 from lumenshelf.functions.storage import shared_folder
-from lumenshelf.operators import search, vectors
+from lumenshelf.operators import ann, search, vectors
 from lumenshelf.registry import query
 from lumenshelf.sources.fixtures import Catalog
 
@@ -105,16 +105,35 @@ def knn_by_vector(c: Catalog) -> DataFrame:
 
 query("topk_vector", f"{sql_spaces()}, s AS (SELECT * FROM v WHERE id = 5) SELECT v.id, {SCORE} FROM v, s WHERE v.id <> 5 ORDER BY score DESC, v.id LIMIT 64")(lambda c: vectors.nearest_to_asset(spaces(c), 5, 64))
 ANN = f"""{sql_spaces()} SELECT qid, id, score, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, v.id, round(list_cosine_similarity(q.vec, v.vec), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vec, v.vec), 6) DESC, v.id) AS rank FROM v JOIN v q ON q.id % 50 = 0 AND q.id <> v.id) WHERE rank <= 10"""
-query("knn_ann", ANN)(lambda c: vectors.nearest_by_blocks(spaces(c), spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10))
+
+
+@query("knn_ann", ANN)
+def knn_ann(c: Catalog) -> DataFrame:
+    """Every query's neighbours through the index, each search carried on until no other cell can hold a better row."""
+    found = ann.fresh_index(c.spark).build(spaces(c))
+    return found.search(spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid"), 10, exact=True)
+
+
+@query("knn_ivf_recall", f"{sql_spaces()} SELECT count(*) AS indexed, count(*) FILTER (WHERE id % 50 = 0) AS asked, true AS reached FROM v")
+def knn_ivf_recall(c: Catalog) -> DataFrame:
+    """Whether searches that read only the nearest cells find nine of ten neighbours, over all asked rows."""
+    found = ann.fresh_index(c.spark).build(spaces(c))
+    asked = spaces(c).where("id % 50 = 0").withColumnRenamed("id", "qid")
+    got = found.search(asked, 10, found.tuned(10)).select("qid", "id")
+    truth = vectors.nearest_by_blocks(spaces(c), asked, 10).select("qid", "id")
+    share = truth.join(got.withColumn("hit", F.lit(1)), ["qid", "id"], "left").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+    indexed = found.rows().where("cell >= 0").agg(F.count(F.lit(1)).alias("indexed"))
+    return indexed.join(asked.agg(F.count(F.lit(1)).alias("asked"))).join(share)
 
 
 @query("ann_overlay", f"{sql_spaces()} SELECT id, space_id FROM v WHERE id % 10 <> 3 OR id % 20 = 3 UNION ALL SELECT id + 1000000, space_id FROM v WHERE id % 100 = 0")
 def ann_overlay(c: Catalog) -> DataFrame:
-    base = spaces(c)
-    journal = lambda rows, seq, op: rows.withColumns({"seq": F.lit(seq), "op": F.lit(op)})
-    gone, back = journal(base.where("id % 10 = 3"), 1, "delete"), journal(base.where("id % 20 = 3"), 2, "upsert")
-    new = journal(base.where("id % 100 = 0").withColumn("id", F.col("id") + 1000000), 3, "upsert")
-    return vectors.overlay(base, gone.unionByName(back).unionByName(new)).select("id", "space_id")
+    """Deletions, upserts and new rows as generations of an index, some of which are written anew on the way."""
+    base, index = spaces(c), ann.fresh_index(c.spark)
+    index.build(base)
+    for rows, op in ((base.where("id % 10 = 3"), "delete"), (base.where("id % 20 = 3"), "upsert"), (base.where("id % 100 = 0").withColumn("id", F.col("id") + 1000000), "upsert")):
+        found = index.apply(rows.withColumn("op", F.lit(op)))
+    return found.rows().select("id", "space_id")
 
 
 @query("search_postings", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits")
@@ -187,7 +206,7 @@ NEAR = f"""{PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, both_ways AS (SELECT a,
  groups AS (SELECT v.space_id, root, count(*) AS n, concat('near:', sha256(concat_ws('|', space_id, CAST(count(*) AS VARCHAR), CAST(bit_xor(CAST(concat('0x', substr(md5(CAST(id AS VARCHAR)), 1, 15)) AS BIGINT)) AS VARCHAR)))) AS review_id FROM rooted JOIN v USING (id) GROUP BY 1, 2)"""
 GROUPS = f"{NEAR} SELECT space_id, root, n, review_id FROM groups"
 query("near_dup_components", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
-query("near_dup_ann", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
+query("near_dup_ann", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), ann.near_links(spaces(c, 3), LEAST)))
 query("near_dup_members", f"{NEAR} SELECT v.space_id, id, root FROM rooted JOIN v USING (id)")(lambda c: vectors.near_members(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
 query("near_dup_window", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST, 2000))
 query("near_review_id", f"{NEAR} SELECT root, review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
