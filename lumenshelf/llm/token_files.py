@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -54,42 +55,45 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(words), np.concatenate(escapes), shifted(word_at, words), shifted(escape_at, escapes)
 
 
+def windows(flags: np.ndarray, length: int) -> np.ndarray:
+    """Sums over the next ``length`` (at most 240) places of each row, from sums over powers of two."""
+    out, at, power = None, 0, 1
+    while length:
+        if length & 1:
+            out = flags.copy() if out is None else out[:, : flags.shape[1] - at] + flags[:, at:]
+            at += power
+        length >>= 1
+        if length:
+            flags = flags[:, :-power] + flags[:, power:]
+            power *= 2
+    return out
+
+
 def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """pack for a few blocks."""
     n, rows, top = len(ids), -(-len(ids) // block), int(ids.max())
     grid = np.zeros(rows * block, np.uint32 if top < 1 << 32 else np.uint64)
     grid[:n] = ids
     grid = grid.reshape(rows, block)
-    left = np.minimum(block - np.arange(block)[None, :], np.maximum(n - np.arange(rows * block).reshape(rows, block), 1)).astype(np.float32)
-    before = np.zeros(rows * block + 1, np.int32)
-    starts, ends = before[:-1].reshape(rows, block), before[block::block, None]
-    escapes, best, selector = np.empty((rows, block), np.float32), np.full((rows, block), -1, np.float32), np.zeros((rows, block), np.int8)
+    best, selector = np.zeros((rows, block), np.float32), np.zeros((rows, block), np.int8)
     for s in range(16):
         count, limit = int(COUNTS[s]), max((1 << int(WIDTHS[s])) - 1, 1)
-        wide = grid >= grid.dtype.type(limit) if limit <= top else np.zeros(grid.shape, bool)
-        if wide.all() and s < 15:
-            continue  # escapes alone
-        # Three ids of 20 bits always fit, so a longer word needs two narrow ids of three. It covers three whole
-        # quarters of its length then, and one of them is narrow by half.
-        quarter = count // 4
-        if quarter >= 3 and top < (1 << 20) - 1 and block % quarter == 0 and wide.reshape(-1, quarter).sum(axis=1, dtype=np.int16).min() * 2 > quarter:
-            continue
-        np.cumsum(wide.ravel(), out=before[1:])
-        inner = max(block - count, 0)
-        np.subtract(starts[:, block - inner :], starts[:, :inner], out=escapes[:, :inner])
-        np.subtract(ends, starts[:, inner:], out=escapes[:, inner:])
-        worth = np.minimum(left, np.float32(count)) / (escapes + np.float32(1))
+        wide = np.zeros((rows, block + count), np.uint8)  # zeros fill up the last word of a block
+        if limit <= top:
+            np.greater_equal(grid, grid.dtype.type(limit), out=wide[:, :block].view(bool))
+        escapes = windows(wide, count)[:, :block]
+        worth = np.float32(count) / (escapes + np.float32(1))
         if WIDTHS[s] == 0:
-            worth[escapes > 0] = -1  # a slot of no bits has no room for the mark
-        better = worth > best
-        np.copyto(best, worth, where=better)
-        np.copyto(selector, np.int8(s), where=better)
-        if not before[-1]:
+            worth[escapes > 0] = 0  # a slot of no bits has no room for the mark
+        np.copyto(selector, np.int8(s), where=worth > best)
+        np.maximum(best, worth, out=best)
+        if limit > top:
             break  # wider slots hold fewer
     selector = selector.ravel()[:n]
-    step = np.minimum(left.ravel()[:n].astype(np.int32), COUNTS.astype(np.int32)[selector])
+    left = np.minimum(block - np.arange(block)[None, :], np.maximum(n - np.arange(rows * block).reshape(rows, block), 1)).ravel()[:n]
+    step = np.minimum(left, COUNTS[selector])
     # Only the walk from word to word goes one by one.
-    jump, at, found = (np.arange(n, dtype=np.int32) + step).tolist(), 0, []
+    jump, at, found = (np.arange(n) + step).tolist(), 0, []
     while at < n:
         found.append(at)
         at = jump[at]
@@ -196,55 +200,50 @@ class TokenFile:
 # --- tokenising ---------------------------------------------------------------------------------------
 
 
-class Words(dict):
-    """Ids of what stands behind a space, as little-endian 32-bit numbers.
+#: Latin letters with the space ahead, up to another character of ASCII or the end; else all up to the next space ahead
+#: of a character that is none.
+LATIN = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+PIECES = re.compile(LATIN + r"(?=[ -@\[-`{-~]|\Z)| ?[^ ]*(?: (?!\S)[^ ]*)*")
+
 
-    Latin letters up to another character of ASCII, or to the end, are a piece of their own that the
-    library's model merges at once; only the rest goes through its splitting.
+class Pieces(dict):
+    """Ids of pieces of text, as little-endian 32-bit numbers, asked of the tokenizers library once each while they are kept.
+
+    Latin letters are one piece for the library too, so its model merges them at once; anything else goes through its splitting.
     """
 
-    def __init__(self, library, start: str):
+    def __init__(self, library):
         super().__init__()
-        self.start, self.older = start, {}
-        self.rest = self if not start else Words(library, "")
-        self.merge, self.whole = library.model.tokenize, library.encode
+        self.older: dict[str, bytes] = {}
+        self.merge, self.whole, self.latin = library.model.tokenize, library.encode, re.compile(LATIN).fullmatch
         # Byte-level vocabularies write each byte as a character.
         spell = dict(enumerate(byte_characters()))
         self.spelling = {c: "".join(spell[b] for b in chr(c).encode()) for c in range(0x100)}
-        self.head = self.spelling[32] if start else ""
-        self.letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~]|\Z)").match
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
         if found is None:
-            head = self.letters(word)
-            if head and head.end() < len(word):
-                found = self[head[0]] + self.rest[word[head.end() :]]
-            elif head:
-                ids = [t.id for t in self.merge(self.head + (word if word.isascii() else word.translate(self.spelling)))]
-                found = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                ids = self.whole(self.start + word, add_special_tokens=False).ids
-                found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHE_CHARS:
+            ids = [t.id for t in self.merge(piece.translate(self.spelling))] if self.latin(piece) else self.whole(piece, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
+
 class Encoder:
-    """The tokenizers library over byte-level vocabularies, asked once for each word.
+    """The tokenizers library over byte-level vocabularies, asked once for each piece.
 
     Such a vocabulary's pattern starts a piece at every space that a character other than white space
-    follows, whatever stands before, and so do its special tokens, which hold no space. A text is therefore cut there, and the
-    ids of its words are those of the whole text. A vocabulary without that pattern is asked for whole texts.
+    follows, whatever stands before, and ends one where Latin letters end; its special tokens hold no
+    space and begin with neither. A text is therefore cut there, and the ids of its pieces are those of the
+    whole text. Vocabularies of another kind are asked for whole texts.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -253,17 +252,13 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec["pre_tokenizer"] or {}
-        plain = all(not t["lstrip"] and not t["rstrip"] and " " not in t["content"] for t in spec["added_tokens"])
-        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["normalizer"] is None and plain
-        self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-        self.words = Words(library, " ") if self.by_word else None
-        self.cut = re.compile(r" (?=\S)").split
+        plain = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s|^\w", t["content"]) for t in spec["added_tokens"])
+        self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["normalizer"] is None and plain
+        self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces = Pieces(library) if self.by_piece else None
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word:
-            return self.whole(text)
-        head, *words = self.cut(text)
-        return self.whole(head) + b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text))) if self.by_piece else self.whole(text)
 
 
 @lru_cache(maxsize=2)

@@ -65,18 +65,18 @@ PIECES = ["a", "the", " ", "  ", "\n", "\t", " \n", "\x85", "\xa0", " ", "\x1c
 def test_words_make_the_ids_of_whole_texts(library, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
     encode, rnd = token_files.Encoder(PATH), random.Random(8)
-    assert encode.by_word
+    assert encode.by_piece
     for _ in range(4000):
         text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12)))
         assert np.frombuffer(encode.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-    assert len(encode.words) <= 50 and len(encode.words.older) <= 50
+    assert len(encode.pieces) <= 50 and len(encode.pieces.older) <= 50
 
 
 def test_other_vocabularies_take_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = token_files.Encoder(path)
     text = "Some words  and <|endoftext|> more"
-    assert not encode.by_word
+    assert not encode.by_piece
     assert np.frombuffer(encode.encode(text), "<u4").tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
