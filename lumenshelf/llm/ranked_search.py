@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.llm.common import cut, map_rows, sized
 
 TOP = 10
@@ -16,6 +20,9 @@ TOP = 10
 TERM = rb"[0-9a-z\x80-\xff]+"
 #: Query terms that a task may hold to pick postings while it reads the texts. More terms are joined by shuffle.
 MAX_PICKED = 200_000
+#: Terms, repeats across items included, of a block of items that is answered at once, and the
+#: documents times items whose scores a task holds.
+BLOCK_TERMS, SCORES_AT_ONCE = 200_000, 1 << 20
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -80,52 +87,126 @@ def scored_lists(found: Index) -> tuple[DataFrame, DataFrame]:
     return cut(postings.repartitionByRange("no", F.col("c").desc()).sortWithinPartitions("no", F.col("c").desc())), lists
 
 
-def kth_largest(rows: DataFrame, value: str, k: int) -> DataFrame:
-    """item and its k-th largest value; items with fewer have no row."""
-    order = Window.partitionBy("item").orderBy(F.desc(value))
-    return rows.select("item", value).withColumn("_r", F.row_number().over(order)).where(f"_r <= {k}").groupBy("item").agg(F.min(value).alias("kth"), F.max("_r").alias("_n")).where(f"_n = {k}").select("item", "kth")
-
-
-def top_documents(postings: DataFrame, asked: DataFrame, k: int = TOP) -> DataFrame:
+@dataclass
+class Questions:
+    """A block of items over their lists, in arrays that travel with tasks: for each list (sorted numbers) its
+    items, as places, from ``at`` on; and per item its number of lists, its threshold and what unseen lists may hold."""
+
+    items: np.ndarray
+    lists: np.ndarray
+    at: np.ndarray
+    places: np.ndarray
+    n_lists: np.ndarray
+    heads: np.ndarray
+    least: np.ndarray
+    need: np.ndarray
+    unseen: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, int, int]]) -> Questions:
+        """Of (item, list, greatest entry of the list), without thresholds yet."""
+        item, no, head = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        items, place = np.unique(item, return_inverse=True)
+        order = np.argsort(no, kind="stable")
+        lists, at = np.unique(no[order], return_index=True)
+        zero = np.zeros(len(items), np.int64)
+        return Questions(items, lists, np.append(at, len(no)), place[order], np.bincount(place, minlength=len(items)), head[order], zero, zero, zero)
+
+    def above(self, least: dict[int, int]) -> Questions:
+        """With the k-th lower bound of each item. A list's entry counts from the bound over the number of lists;
+        an unseen list holds less than that, and no more than its greatest entry."""
+        bound = np.array([least.get(i, 0) for i in self.items.tolist()], np.int64)
+        need = -(-bound // np.maximum(self.n_lists, 1))
+        unseen = np.bincount(self.places, np.minimum(self.heads, np.maximum(need[self.places] - 1, 0)), len(self.items))
+        return replace(self, least=bound, need=need, unseen=unseen.astype(np.int64))
+
+    def floors(self) -> list[tuple[int, int]]:
+        """Each list's lowest threshold among its items."""
+        return list(zip(self.lists.tolist(), np.minimum.reduceat(self.need[self.places], self.at[:-1]).tolist()))
+
+    def sums(self, sizes: np.ndarray, no: np.ndarray, c: np.ndarray, from_need: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of documents with so many entries each: per document and item the sum and number of its entries, all or
+        those from the item's threshold on."""
+        where = np.searchsorted(self.lists, no)
+        width = self.at[where + 1] - self.at[where]
+        entry = np.repeat(np.arange(len(no)), width)
+        item = self.places[np.arange(len(entry)) - np.repeat(np.cumsum(width) - width, width) + self.at[where][entry]]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[entry]
+        value = c[entry]
+        if from_need:
+            kept = value >= self.need[item]
+            item, doc, value = item[kept], doc[kept], value[kept]
+        shape, key = (len(sizes), len(self.items)), doc * len(self.items) + item
+        # Sums stay far below 2^53, where doubles are exact.
+        total = np.bincount(key, value, shape[0] * shape[1]).astype(np.int64).reshape(shape)
+        return total, np.bincount(key, minlength=shape[0] * shape[1]).reshape(shape)
+
+
+def by_document(entries: DataFrame) -> DataFrame:
+    """Entries (no, doc, c) as one row per document, which holds no more entries than the document has terms."""
+    return entries.groupBy("doc").agg(F.collect_list("no").alias("nos"), F.collect_list("c").alias("cs"))
+
+
+def over_documents(grouped: DataFrame, asked: Questions, pick, schema: str) -> DataFrame:
+    """pick(docs, sizes, nos, cs) for runs of documents, so many that a table of documents and items stays small."""
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, SCORES_AT_ONCE // max(len(asked.items), 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                docs, nos, cs = (part.column(k) for k in range(3))
+                yield from pick(docs.to_numpy(), np.diff(nos.offsets.to_numpy()), nos.flatten().to_numpy(), cs.flatten().to_numpy())
+
+    return map_arrow(grouped.select("doc", "nos", "cs"), run, schema)
+
+
+def best_scores(grouped: DataFrame, asked: Questions, k: int) -> DataFrame:
+    """item, doc and exact score of the documents that are among the k best of an item in their run, ties included,
+    and reach the item's lower bound."""
+
+    def pick(docs, sizes, nos, cs):
+        total, _ = asked.sums(sizes, nos, cs, False)
+        kth = np.partition(total, -k, axis=0)[-k] if len(docs) > k else np.zeros(len(asked.items), np.int64)
+        doc, item = np.nonzero((total > 0) & (total >= np.maximum(kth, asked.least)))
+        yield pa.RecordBatch.from_arrays([pa.array(asked.items[item]), pa.array(docs[doc]), pa.array(total[doc, item])], ["item", "doc", "score"])
+
+    return over_documents(grouped, asked, pick, "item long, doc long, score long")
+
+
+def top_documents(postings: DataFrame, heads: DataFrame, asked: Questions, k: int = TOP) -> DataFrame:
     """The documents that can be among the k best of each item, with exact scores: item, doc, score.
 
-    postings: no, doc, c > 0; asked: item, no, distinct. Documents that tie with the k-th best are all here.
+    postings: no, doc, c > 0; heads: the k largest entries of each list. Documents that tie with the k-th best are all here.
 
-    1. The k largest entries of each list (its head) give lower bounds of scores; the k-th largest lower
-       bound of an item, over its number of lists, is its uniform threshold.
-    2. Each list gives all entries that reach the threshold. A document in none of them scores less than the k-th
-       lower bound, so it is out. What a document may still have in a list where it was not seen is less
-       than the threshold and no more than the head; documents whose upper bound is below the new k-th lower bound go.
-    3. The entries of the remaining documents in the lists where they were not seen are looked up.
+    1. The heads name documents. What these have in all lists are lower bounds of the k best scores; the k-th
+       largest of an item, over its number of lists, is its uniform threshold.
+    2. Each list gives all entries that reach the lowest threshold of its items. A document in none of an item's
+       lists scores less than the k-th lower bound, so it is out. What a document may still have in a list where it was not seen
+       is less than the threshold and no more than the list's first entry; documents whose upper bound is below
+       the k-th lower bound go.
+    3. The exact scores of the remaining documents are looked up.
+
+    Entries move by document and not by document and item.
     """
-    order = Window.partitionBy("no").orderBy(F.desc("c"), "doc")
-    heads = cut(postings.withColumn("_r", F.row_number().over(order)).where(f"_r <= {k}").drop("_r"))
-    best = heads.groupBy("no").agg(F.max("c").alias("head"))
-    asked = cut(asked.join(best, "no"))
-    lower = asked.join(heads, "no").groupBy("item", "doc").agg(F.sum("c").alias("low"))
-    first = kth_largest(lower, "low", k)
-    lists = asked.groupBy("item").agg(F.count(F.lit(1)).alias("lists")).join(first, "item", "left")
-    # An item with fewer than k documents in its heads takes every entry of its lists.
-    need = F.coalesce(F.ceil(F.col("kth") / F.col("lists")).cast("long"), F.lit(0))
-    need = need - F.when(need * F.col("lists") - F.col("lists") >= F.col("kth"), 1).otherwise(0)  # a quotient of doubles may be off by one
-    asked = asked.join(lists, "item").select("item", "no", need.alias("need"), F.least("head", F.greatest(need - 1, F.lit(0))).alias("rest"))
-    asked, _ = sized(asked)
-
-    # A list that no item asks this low is not joined with its items at all.
-    floors, _ = sized(asked.groupBy("no").agg(F.min("need").alias("floor")))
+    named, _ = sized(heads.select("doc").distinct())
+    first = best_scores(by_document(postings.join(named, "doc", "left_semi")), asked, k)
+    order = Window.partitionBy("item").orderBy(F.desc("score"))
+    kth = first.withColumn("_r", F.row_number().over(order)).where(f"_r <= {k}").groupBy("item").agg(F.min("score").alias("kth"), F.max("_r").alias("n")).where(f"n = {k}")
+    asked = asked.above({r["item"]: r["kth"] for r in kth.collect()})
+
+    spark = postings.sparkSession
+    floors, _ = sized(spark.createDataFrame(asked.floors(), "no long, floor long"))
     high = postings.join(floors, "no").where("c >= floor").drop("floor")
-    hits = high.join(asked, "no").where("c >= need")
-    partial = cut(hits.groupBy("item", "doc").agg(F.sum("c").alias("low"), F.sum("rest").alias("seen_rest")))
-    second = kth_largest(partial, "low", k)
-    bounds = asked.groupBy("item").agg(F.sum("rest").alias("all_rest")).join(second, "item", "left")
-    upper = F.col("low") + F.col("all_rest") - F.col("seen_rest")
-    bounds, _ = sized(bounds)
-    alive = cut(partial.join(bounds, "item").where(F.col("kth").isNull() | (upper >= F.col("kth"))).select("item", "doc", "low"))
 
-    docs, _ = sized(alive.select("doc").distinct())
-    near = postings.join(docs, "doc").join(asked, "no").where("c < need").select("item", "doc", "c")
-    looked_up = near.join(alive.select("item", "doc"), ["item", "doc"], "left_semi")
-    return alive.select("item", "doc", F.col("low").alias("c")).unionByName(looked_up).groupBy("item", "doc").agg(F.sum("c").alias("score"))
+    def pick(docs, sizes, nos, cs):
+        low, seen = asked.sums(sizes, nos, cs, True)
+        upper = low + asked.unseen - seen * np.maximum(asked.need - 1, 0)
+        alive = ((seen > 0) & (upper >= asked.least)).any(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[alive])], ["doc"])
+
+    alive, _ = sized(over_documents(by_document(high), asked, pick, "doc long"))
+    return best_scores(by_document(postings.join(alive, "doc", "left_semi")), asked, k)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -145,7 +226,23 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
     asked = cut(questions.select("item", F.explode("terms").alias("term")))
     found = index(docs, asked.select("term").distinct(), id_col, text_col)
     postings, lists = scored_lists(found)
-    exact = cut(top_documents(postings, asked.join(lists, "term").select("item", "no"), k))
+    order = Window.partitionBy("no").orderBy(F.desc("c"), "doc")
+    heads = cut(postings.withColumn("_r", F.row_number().over(order)).where(f"_r <= {k}").drop("_r"))
+    met = cut(asked.join(lists, "term").join(heads.groupBy("no").agg(F.max("c").alias("head")), "no").select("item", "no", "head"))
+    blocks = -(-met.count() // BLOCK_TERMS)
+    answers = []
+    for block in range(blocks):
+        rows = met.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        if rows:
+            told = Questions.of(rows)
+            if blocks > 1:
+                mine, _ = sized(docs.sparkSession.createDataFrame([(n,) for n in told.lists.tolist()], "no long"))
+                answers.append(top_documents(postings.join(mine, "no", "left_semi"), heads.join(mine, "no", "left_semi"), told, k))
+            else:
+                answers.append(top_documents(postings, heads, told, k))
+    if not answers:
+        return docs.sparkSession.createDataFrame([], f"{item_col} long, rank int, {id_col} long, score long")
+    exact = cut(reduce(DataFrame.unionByName, answers))
     wanted, _ = sized(exact.select("doc").distinct())
     named = exact.join(found.docs.join(wanted, "doc"), "doc")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last())

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lumenshelf.llm import ranked_search
@@ -69,20 +70,20 @@ def test_random_corpus(spark, make_docs, seed):
     assert got(make_docs(docs).repartition(5), items(spark, asked), 3 if seed == 1 else 10) == plain([d[:2] for d in docs], asked, 3 if seed == 1 else 10)
 
 
-def test_many_terms_are_joined_by_shuffle(spark, make_docs, odd_rows, monkeypatch):
+def test_many_terms_and_items_go_in_blocks(spark, make_docs, odd_rows, monkeypatch):
     monkeypatch.setattr(ranked_search, "MAX_PICKED", 1)
+    monkeypatch.setattr(ranked_search, "BLOCK_TERMS", 4)
+    monkeypatch.setattr(ranked_search, "SCORES_AT_ONCE", 5)
     asked = [(1, "The quick fox"), (2, "one"), (3, "again and word5")]
     assert got(make_docs(odd_rows), items(spark, asked)) == plain([r[:2] for r in odd_rows], asked)
 
 
-def test_thresholds_fetch_less_than_all(spark):
-    """Three rare terms and a common one: phase two leaves most of the common list unread."""
-    rows = [(0, d, 10) for d in range(500)] + [(1, d, 900 - d) for d in range(30)] + [(2, d, 800 - d) for d in range(30)]
-    postings = spark.createDataFrame(rows, "no long, doc long, c long")
-    asked = spark.createDataFrame([(7, 0), (7, 1), (7, 2)], "item long, no long")
-    found = {r["doc"]: r["score"] for r in ranked_search.top_documents(postings, asked, 5).collect()}
-    whole = Counter()
-    for _, d, c in rows:
-        whole[d] += c
-    assert all(found[d] == s for d, s in whole.most_common(5)) and all(whole[d] == s for d, s in found.items())
-    assert len(found) < 40
+def test_thresholds_fetch_less_than_all():
+    """Two rare terms and a common one: phase two leaves the common list below the threshold unread."""
+    asked = ranked_search.Questions.of([(7, 0, 100), (7, 1, 900), (7, 2, 800), (8, 2, 800)]).above({7: 1500, 8: 790})
+    assert dict(asked.floors()) == {0: 500, 1: 500, 2: 500}
+    assert asked.unseen.tolist() == [100 + 499 + 499, 789]
+    low, seen = asked.sums(np.array([2, 1]), np.array([0, 2, 1]), np.array([90, 795, 400]), True)
+    assert low.tolist() == [[795, 795], [0, 0]] and seen.tolist() == [[1, 1], [0, 0]]
+    whole, _ = asked.sums(np.array([2, 1]), np.array([0, 2, 1]), np.array([90, 795, 400]), False)
+    assert whole.tolist() == [[885, 795], [400, 0]]
