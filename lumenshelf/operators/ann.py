@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenshelf.functions.storage import Versions, shared_folder
+from lumenshelf.functions.storage import Versions, settled, shared_folder
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators import vectors as V
 
@@ -171,7 +171,7 @@ class Snapshot:
         need fit one task. With ``exact`` the k-th score of each then tells which further cells can hold a
         better row, and those are read too: nothing is missed, and on vectors without any structure all is read.
         """
-        first = V.settled(self.met(probes_of(queries, self.cells, probes), k))
+        first = settled(self.met(probes_of(queries, self.cells, probes), k))
         if not exact:
             return V.ranked_best(first, k)
         kth = V.ranked_best(first, k).where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
@@ -186,8 +186,8 @@ class Snapshot:
     def tuned(self, k: int, recall: float = 0.95, queries: int = TUNE_QUERIES) -> int:
         """The fewest probes, doubled from one, with which a bounded sample of rows finds this share of its neighbours."""
         n = max(self.rows().count(), 1)
-        sample = V.settled(self.rows().where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, queries / n) * (1 << 20)) + 1).limit(4 * queries).select(F.col("id").alias("qid"), "space_id", "vec"))
-        truth = V.settled(V.nearest_by_blocks(self.rows().select("id", "space_id", "vec"), sample, k).select("qid", "id"))
+        sample = settled(self.rows().where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, queries / n) * (1 << 20)) + 1).limit(4 * queries).select(F.col("id").alias("qid"), "space_id", "vec"))
+        truth = settled(V.nearest_by_blocks(self.rows().select("id", "space_id", "vec"), sample, k).select("qid", "id"))
         all_, probes = max(truth.count(), 1), 1
         while probes < len(self.cells.spaces):
             if self.search(sample, k, probes).join(truth, ["qid", "id"]).count() >= recall * all_:
@@ -317,7 +317,7 @@ def visits(rows: DataFrame, cells: Cells, least: float) -> DataFrame:
 
 def cell_meetings(rows: DataFrame, cells: Cells, least: float, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
     """Pairs of blocks in which all close pairs of placed rows meet: rows, more and same, as in vectors.paired_blocks."""
-    homes = V.settled(V.blocks_of(rows, "id", ["cell"], block_rows).withColumnsRenamed({"id_block": "block", "id_rows": "rows"}))
+    homes = settled(V.blocks_of(rows, "id", ["cell"], block_rows).withColumnsRenamed({"id_block": "block", "id_rows": "rows"}))
     guests = V.blocks_of(visits(rows, cells, least), "id", ["cell"], block_rows).withColumnsRenamed({"id_block": "other", "id_rows": "more"})
     within = homes.join(homes.select("cell", F.col("block").alias("other"), F.col("rows").alias("more")), "cell").where("other >= block")
     across = homes.join(guests, "cell")
@@ -332,9 +332,9 @@ def near_links(vectors: DataFrame, least: float = V.NEAR_COSINE, cells_wanted: i
     once, vectors spread evenly over many dimensions still all meet.
     """
     copies, heads = V.copy_classes(vectors, least)
-    heads = V.settled(heads)
+    heads = settled(heads)
     cells = fitted(heads, cells_wanted)
-    rows = V.settled(placed(heads, cells))
+    rows = settled(placed(heads, cells))
     for r in rows.where("cell >= 0").groupBy("cell").agg(F.min("cosine").alias("least")).collect():
         cells.least[r["cell"]] = r["least"]
     return copies.unionByName(V.block_links(cell_meetings(rows, cells, least), least)).distinct()

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import settled
+from lumenshelf.functions.workers import map_arrow
+
 # Formats by media type, directories whose documents are noise, names of licence files.
 FORMATS = {
     "audio": "wav flac mp3 ogg opus aiff m4a aac wma it xm mod s3m",
@@ -114,22 +117,51 @@ def write_manifest(manifest: DataFrame, path: str, kind: str) -> None:
     """A manifest as one JSON document, {"assets": [...]}, over the files of a folder, or as CSV files.
 
     The document's files hold lines in order: the head, an asset each with a comma between, and the end; put
-    together they are one JSON text, and none is held in memory. Spark commits the folder as one.
+    together they are one JSON text, and none is held in memory. Assets keep the order of ``manifest``,
+    repeated and null ids included: lines are numbered by partition and place. Spark commits the folder as one.
     """
     if kind != "json":
         manifest.write.mode("overwrite").option("header", True).csv(path)
         return
     spark = manifest.sparkSession
-    body = manifest.select(F.lit(1).alias("part"), F.col("id"), F.to_json(F.struct(*manifest.columns)).alias("value"))
-    first = manifest.agg(F.min("id").alias("first"))
-    body = body.join(F.broadcast(first)).withColumn("value", F.when(F.col("id") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value"))).drop("first")
-    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit(None).cast("long").alias("id"), F.when(F.col("id") == 0, '{"assets":[').otherwise("]}").alias("value"))
-    body.unionByName(ends).orderBy("part", "id").select("value").write.mode("overwrite").text(path)
+    body = settled(manifest.select(F.to_json(F.struct(*manifest.columns)).alias("value")).withColumn("place", F.monotonically_increasing_id()))
+    first = body.agg(F.min("place").alias("first"))
+    body = body.join(F.broadcast(first)).withColumn("value", F.when(F.col("place") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit(0).cast("long").alias("place"), F.when(F.col("id") == 0, '{"assets":[').otherwise("]}").alias("value"))
+    body.select(F.lit(1).alias("part"), "place", "value").unionByName(ends).orderBy("part", "place").select("value").write.mode("overwrite").text(path)
+
 
+def write_sidecars(manifest: DataFrame, path: str) -> int:
+    """One file per asset below the folder, named as by ``sidecars``; the number of files.
 
-def write_sidecars(manifest: DataFrame, path: str) -> None:
-    """One file per asset, named as by ``sidecars``: partitions of a single value each, written by their tasks."""
-    sidecars(manifest).select("file", F.col("body").alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(path)
+    Tasks write them. Each goes to a name of its attempt first and then takes its own, whole, so an
+    attempt that is repeated replaces a file by the same one. A _SUCCESS file follows when all are there.
+    """
+    target = path if "://" in path else f"file://{path}"
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(target)
+        store.create_dir(root)
+        for batch in batches:
+            for name, body in zip(*[c.to_pylist() for c in batch.columns]):
+                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(body.encode())
+                store.move(draft, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    files = map_arrow(sidecars(manifest).select("file", "body"), run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    from pyarrow.fs import FileSystem
+
+    store, root = FileSystem.from_uri(target)
+    store.create_dir(root)
+    store.open_output_stream(f"{root}/_SUCCESS").close()
+    return files
 
 
 def convert_plan(assets: DataFrame, extension_to: str, taken: DataFrame, rule: str) -> DataFrame:

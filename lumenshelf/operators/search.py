@@ -102,15 +102,19 @@ def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms, rows.select("id", "name", reduce(lambda a, b: a + b, [F.size(c) for c in WEIGHTS]).alias("length"))
 
 
-def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]]) -> DataFrame:
+def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]], n: int | None = None, total: int | None = None) -> DataFrame:
     """What ``ranked`` gives, from postings: only terms that begin like one of the query's are read, each a
-    range of the index, and rows are met by id."""
+    range of the index, and rows are met by id. The number of rows and their total length may be given; else they are counted."""
     wanted = sorted({t for g in groups for t in g})
     near = reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in wanted])
     sums = [F.sum(F.when(F.col("term").startswith(t), F.col("weight")).otherwise(F.lit(0.0))).alias(f"tf{k}") for k, t in enumerate(wanted)]
     told = [F.max(F.col("term").startswith(t) & F.col("authored")).alias(f"au{k}") for k, t in enumerate(wanted)]
     found = terms.where(near).groupBy("id").agg(*sums, *told)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).join(found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]))
+    counts = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))])
+    if n is None:
+        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).join(counts)
+    else:
+        stats = counts.select(F.lit(n).alias("n"), F.lit(total / max(n, 1)).alias("mean"), "*")
     every = lambda name: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [name(wanted.index(t)) for t in g]) for g in groups])
     met = found.where(every(lambda k: F.col(f"tf{k}") > 0)).join(lengths, "id").join(F.broadcast(stats))  # one row
     parts = [bm25(F.col(f"tf{k}"), F.col(f"df{k}")) for k in range(len(wanted))]

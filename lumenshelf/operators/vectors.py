@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenshelf.functions.storage import shared_folder
+from lumenshelf.functions.storage import settled
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.filters import BadRequest
 
 NEAR_COSINE = 0.92
 RRF_K, LEXICAL_CAP, SEMANTIC_CAP, SEED_CAP = 60, 400, 400, 24
-#: Fusion weights of the lexical, plain semantic and seeded lists, by mode.
-FUSION = {"hybrid": (1.0, 1.0, 1.0), "semantic": (0.3, 0.7, 1.5)}
+#: Fusion weights by mode: of the word hits, of the neighbours of the text's vector, and of those of the first word hits.
+FUSION = {"hybrid": (1.0, 1.0, 1.0), "semantic": (0.3, 1.5, 0.7)}
 #: Vectors in a block of the exact pair search.
 BLOCK_ROWS = 1024
 EPSILON = 1.1920929e-07
@@ -134,7 +133,10 @@ def with_rank(rows: DataFrame, *order: Column) -> DataFrame:
 
 def hybrid_lists(words: DataFrame, vectors_of: DataFrame, wanted: list[float] | None, space: str, mode: str) -> list[tuple[DataFrame, float]]:
     """The ranked lists (id, rank) of a hybrid search with their weights: word hits, neighbours of the text's
-    vector, and neighbours of the first word hits. Without a vector words stand alone."""
+    vector, and neighbours of the first word hits. Without a vector words stand alone.
+
+    words is read several times, so it is best a table that is at hand (see settled). Only what
+    words and vectors_of hold takes part: a caller restricts both to what may be seen."""
     weights = FUSION[mode]
     lists = [(words, weights[0])]
     if wanted is not None:
@@ -264,14 +266,6 @@ def block_links(met: DataFrame, least: float) -> DataFrame:
     return map_arrow(met.select("rows", "more"), run, "a long, b long")
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Rows written to the shared folder and read again, without the plan that made them."""
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """id and the least id that it reaches over the pairs (root); ids without a pair are not listed.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import settled
 from lumenshelf.operators import aggregates, exchange, projections, search, vectors
 from lumenshelf.operators.filters import BadRequest, Filter, Visibility, apply_filters, visible
+from lumenshelf.operators.textindex import TextSnapshot
 from lumenshelf.plans import browse
 from lumenshelf.sources.fixtures import Catalog
 
@@ -14,8 +16,12 @@ from lumenshelf.sources.fixtures import Catalog
 class Library:
     """A catalogue seen under a ceiling; everything it returns is lazy and shows visible assets only."""
 
-    def __init__(self, cat: Catalog, ceiling: Visibility = Visibility()):
-        self.cat, self.ceiling = cat, ceiling
+    def __init__(self, cat: Catalog, ceiling: Visibility = Visibility(), index: TextSnapshot | None = None):
+        """With a snapshot of a text index, searches read that instead of all names and texts."""
+        self.cat, self.ceiling, self.index = cat, ceiling, index
+
+    def found(self, text: str, limit: int, allowed: DataFrame) -> DataFrame:
+        return self.index.search(text, limit, allowed) if self.index else search.search(self.cat, text, limit, allowed)
 
     @property
     def assets(self) -> DataFrame:
@@ -28,7 +34,7 @@ class Library:
         if request.descending:
             raise BadRequest("relevance has one direction")
         allowed = apply_filters(self.cat, self.assets, request.filters).select("id")
-        return search.search(self.cat, request.text, min(max(request.limit, 1), browse.MAX_LIMIT) + 1, allowed)
+        return self.found(request.text, min(max(request.limit, 1), browse.MAX_LIMIT) + 1, allowed)
 
     def count(self, request: browse.QueryRequest) -> DataFrame:
         rows = browse.selected(self.cat, request, self.ceiling)
@@ -37,12 +43,17 @@ class Library:
         return rows.agg(F.count(F.lit(1)).alias("total"))
 
     def hybrid(self, text: str, vectors_of: DataFrame, text_vector: list[float] | None, space: str, mode: str = "hybrid", filters: tuple[Filter, ...] = (), limit: int = 100) -> DataFrame:
-        """Words, text vector and neighbours of the first word hits, fused by rank; filters come after
-        fusion. Without a vector or a known space, words alone."""
-        words = search.search(self.cat, text, vectors.LEXICAL_CAP)
-        lists = vectors.hybrid_lists(vectors.with_rank(words, *search.relevance()).select("id", "rank"), vectors_of, text_vector, space, mode)
+        """Words, text vector and neighbours of the first word hits, fused by rank. Ceiling and filters come
+        ahead of every cut: what the caller may not see takes no place in a list and seeds no search. Without a
+        vector or a known space, words alone."""
         allowed = apply_filters(self.cat, self.assets, list(filters)).select("id", "filename")
-        fused = vectors.fused(lists).join(allowed, "id")
+        words = settled(vectors.with_rank(self.found(text, vectors.LEXICAL_CAP, allowed), *search.relevance()).select("id", "rank"))
+        seen = vectors_of.join(allowed.select("id"), "id", "left_semi")
+        if text_vector is not None:
+            vectors.checked_vector(vectors_of, space, text_vector)
+            if seen.where(F.col("space_id") == space).isEmpty():
+                text_vector = None  # nothing that may be seen lies in the space
+        fused = vectors.fused(vectors.hybrid_lists(words, seen, text_vector, space, mode)).join(allowed, "id")
         return fused.orderBy(F.desc("score"), "filename", "id").limit(limit)
 
     def get_asset(self, asset: int) -> DataFrame:

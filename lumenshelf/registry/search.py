@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
-from lumenshelf.functions.storage import shared_folder
-from lumenshelf.operators import ann, search, vectors
+from lumenshelf.functions.storage import settled, shared_folder
+from lumenshelf.operators import ann, search, textindex, vectors
 from lumenshelf.registry import query
 from lumenshelf.sources.fixtures import Catalog
 
@@ -64,7 +64,8 @@ query("fts_match", f"{ROWS} SELECT id FROM search_rows WHERE {sql_matched('ring
 query("fts_columns", f"{ROWS} SELECT id, len(filename) AS filename, len(tokens) AS tokens, len(tags) AS tags, len(note) AS note, len(folder) AS folder, len(body) AS body FROM search_rows")(lambda c: search.search_rows(c).select("id", *[F.size(x).cast("long").alias(x) for x in search.WEIGHTS]))
 query("bm25_rank", f"{sql_ranked(TEXT)} SELECT id, round(rank, 6) AS rank FROM hits")(lambda c: search.ranked(search.search_rows(c), T.query_groups(TEXT)).select("id", F.round("rank", 6).alias("rank")))
 query("tier_authored", f"{sql_ranked(TEXT)} SELECT id, tier FROM hits")(lambda c: search.ranked(search.search_rows(c), T.query_groups(TEXT)).select("id", "tier"))
-query("trigram_substring", "SELECT id FROM asset WHERE contains(lower(filename), 'idge')")(lambda c: search.substring_hits(c.asset.select("id", F.col("filename").alias("name")), "IDGE").select("id"))
+query("trigram_substring", "SELECT id FROM asset WHERE contains(lower(filename), 'idge')")(lambda c: textindex.kept_index(c).snapshot().substring_hits("IDGE").select("id"))
+query("substring_scan", "SELECT id FROM asset WHERE contains(lower(filename), 'idge')")(lambda c: search.substring_hits(c.asset.select("id", F.col("filename").alias("name")), "IDGE").select("id"))
 query("short_text", "SELECT id FROM (SELECT * FROM asset ORDER BY id DESC LIMIT 4096) WHERE contains(lower(filename), 'g_')")(lambda c: search.short_hits(c.asset, "g_").select("id"))
 SUBSTRING = "contains(lower(name), 'idge')"
 query("text_where", f"{ROWS} SELECT id FROM search_rows WHERE ({sql_matched('idge')}) OR {SUBSTRING}")(lambda c: search.text_filter(c, "idge"))
@@ -72,7 +73,23 @@ query("text_where", f"{ROWS} SELECT id FROM search_rows WHERE ({sql_matched('idg
 
 @query("search_relevance_sort", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits ORDER BY tier, round(hits.rank, 6), length(name), name, id LIMIT 40")
 def search_relevance_sort(c: Catalog) -> DataFrame:
-    return search.search(c, TEXT, 40).select("id", "tier", F.round("rank", 6).alias("rank"))
+    """From the kept index: ranges of terms and grams, no body of a document."""
+    return textindex.kept_index(c).snapshot().search(TEXT, 40).select("id", "tier", F.round("rank", 6).alias("rank"))
+
+
+
+
+@query("fts_segments", f"{sql_ranked(TEXT)} SELECT id, tier, round(rank, 6) AS rank FROM hits")
+def fts_segments(c: Catalog) -> DataFrame:
+    """Ranks after batches of edits (rows that were not there, rows of another note, rows that had to go) are those of
+    the catalogue as it is now, which the SQL reads whole."""
+    rows, index = search.search_rows(c), textindex.TextIndex(c.spark, f"{shared_folder(c.spark)}/text-index-{uuid.uuid4().hex}")
+    stale = F.when(F.col("id") % 10 == 5, F.array(F.lit("the"), F.lit("stale"))).otherwise(F.col("note"))
+    surplus = rows.where("id % 50 = 7").withColumn("id", -F.col("id"))
+    index.build(rows.where("id % 10 <> 3").withColumn("note", stale).unionByName(surplus))
+    index.apply(rows.where("id % 10 = 5"), surplus.select("id"))
+    found = index.apply(rows.where("id % 10 = 3"), surplus.select("id").limit(0))
+    return found.hits(TEXT).where("tier < 2").select("id", "tier", F.round("rank", 6).alias("rank"))
 
 
 query("set_tier_append", f"{sql_ranked('ring')}, subs AS (SELECT id, name FROM search_rows WHERE contains(lower(name), 'ring') AND id NOT IN (SELECT id FROM hits)) SELECT id, tier FROM hits UNION ALL SELECT id, 2 FROM subs")(lambda c: search.hits(c, "ring").select("id", "tier"))
@@ -161,7 +178,9 @@ SEEDED = "(SELECT v.id, max(round(list_cosine_similarity(v.vec, s.vec), 6)) AS s
 
 
 def words(c: Catalog) -> DataFrame:
-    return vectors.with_rank(search.search(c, TEXT, vectors.LEXICAL_CAP), *search.relevance()).select("id", "rank")
+    """The first word hits from the kept index, written once for all that use them."""
+    found = textindex.kept_index(c).snapshot().search(TEXT, vectors.LEXICAL_CAP)
+    return settled(vectors.with_rank(found, *search.relevance()).select("id", "rank"))
 
 
 query("seed_neighbours", f"{WORDS}, {SEEDS} SELECT id, score FROM {SEEDED} ORDER BY score DESC, id LIMIT 400")(lambda c: vectors.seeded(spaces(c), words(c).where("rank < 24")))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lumenshelf.functions.storage import Conflict, Versions
+from lumenshelf.functions.storage import Conflict, Versions, settled
 from lumenshelf.operators import ann, vectors
 
 SCHEMA = "id long, space_id string, vec array<double>"
@@ -105,7 +105,7 @@ def test_links_through_cells(spark, least):
 def test_few_pairs_meet_where_vectors_have_structure(spark):
     rows = spark.createDataFrame(clustered(900, 30), SCHEMA)
     cells = ann.fitted(rows)
-    placed = vectors.settled(ann.placed(rows, cells))
+    placed = settled(ann.placed(rows, cells))
     for r in placed.where("cell >= 0").groupBy("cell").agg({"cosine": "min"}).collect():
         cells.least[r["cell"]] = r["min(cosine)"]
     met = ann.comparisons(ann.cell_meetings(placed, cells, 0.92, 64))

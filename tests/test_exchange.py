@@ -40,19 +40,33 @@ def test_numbered_names_never_collide(spark, names, taken):
 
 
 def test_sidecar_files(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a b.png"), (2, "a_b.png"), (3, "a_b.png-1"), (4, "")], "id long, filename string")
-    exchange.write_sidecars(rows, str(tmp_path / "out"))
-    got = {json.loads(p.read_text())["id"] for p in (tmp_path / "out").rglob("*.txt")}
-    assert got == {1, 2, 3, 4} and len({p.parent.name for p in (tmp_path / "out").rglob("*.txt")}) == 4
+    rows = spark.createDataFrame([(1, "a b.png"), (2, "a_b.png"), (3, "a_b.png-1"), (4, ""), (None, "ü.wav")], "id long, filename string").repartition(3)
+    out = tmp_path / "out"
+    for _ in range(2):  # an attempt that is repeated leaves the same files
+        assert exchange.write_sidecars(rows, str(out)) == 5
+    planned = {r["file"]: r["id"] for r in exchange.sidecars(rows).collect()}
+    assert {p.name for p in out.iterdir()} == {*planned, "_SUCCESS"}
+    assert all(json.loads((out / name).read_text()).get("id") == i for name, i in planned.items())
+    assert exchange.write_sidecars(rows.limit(0), str(tmp_path / "none")) == 0
+
+
+def manifest_of(folder):
+    return json.loads("".join(p.read_text() for p in sorted(Path(folder).glob("part-*"))))["assets"]
 
 
 def test_a_json_manifest_is_one_document(spark, tmp_path):
-    rows = spark.range(50).select("id", F.concat(F.lit("n"), "id").alias("filename")).repartition(7)
+    rows = spark.range(50).select("id", F.concat(F.lit("n"), "id").alias("filename")).repartition(7).orderBy("id")
     exchange.write_manifest(rows, str(tmp_path / "out"), "json")
-    text = "".join(p.read_text() for p in sorted(Path(tmp_path / "out").glob("part-*")))
-    assert [a["id"] for a in json.loads(text)["assets"]] == list(range(50))
+    assert [a["id"] for a in manifest_of(tmp_path / "out")] == list(range(50))
     exchange.write_manifest(rows.limit(0), str(tmp_path / "none"), "json")
-    assert json.loads("".join(p.read_text() for p in sorted(Path(tmp_path / "none").glob("part-*")))) == {"assets": []}
+    assert manifest_of(tmp_path / "none") == []
+
+
+def test_a_manifest_keeps_order_and_repeats(spark, tmp_path):
+    ids = [7, 3, 3, None, 3, 9, 1, None, 1]
+    rows = spark.createDataFrame([(k, i, f"n{i}") for k, i in enumerate(ids)], "k int, id long, filename string").repartition(4).orderBy("k").drop("k")
+    exchange.write_manifest(rows, str(tmp_path / "out"), "json")
+    assert [a.get("id") for a in manifest_of(tmp_path / "out")] == ids
 
 
 @pytest.mark.parametrize(

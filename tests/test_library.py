@@ -45,3 +45,22 @@ def test_hybrid_prefers_what_both_lists_hold(cat):
     rows = library.hybrid("ring", vecs, vec, "space-0", limit=50).collect()
     assert rows == sorted(rows, key=lambda r: (-r["score"], r["filename"], r["id"]))
     assert len({r["id"] for r in rows}) == len(rows) > 10
+
+
+def test_what_is_hidden_takes_no_place_in_a_hybrid_search(cat, monkeypatch):
+    """The best word hits are all hidden; visible ones still fill the lists, and hidden ones seed nothing."""
+    monkeypatch.setattr("lumenshelf.operators.vectors.LEXICAL_CAP", 5)
+    monkeypatch.setattr("lumenshelf.operators.vectors.SEED_CAP", 5)
+    best = [r["id"] for r in Library(cat).query(QueryRequest(text="the", limit=5)).collect()]
+    sources = sorted({r["source_id"] for r in cat.asset.select("source_id").distinct().collect()} - {r["source_id"] for r in cat.asset.where(F.col("id").isin(best)).collect()})
+    library, vecs = Library(cat, Visibility.only(sources, [])), spaces(cat)
+    seen = {r["id"] for r in library.assets.collect()}
+    visible_hits = min(5, len(library.query(QueryRequest(text="the", limit=5)).collect()))
+    words = library.hybrid("the", vecs, None, "space-0").collect()
+    assert len(words) == visible_hits > 0 and {r["id"] for r in words} <= seen
+    # The same as a search of a catalogue without the hidden rows.
+    vec = vecs.where("id = 5").first()["vec"]
+    got = [(r["id"], r["score"]) for r in library.hybrid("the", vecs, vec, "space-0", "semantic").collect()]
+    alone = [(r["id"], r["score"]) for r in library.hybrid("the", vecs.where(F.col("id").isin(sorted(seen))), vec, "space-0", "semantic").collect()]
+    assert got == alone and {i for i, _ in got} <= seen
+    assert Library(cat, Visibility.only([], [])).hybrid("the", vecs, vec, "space-0").collect() == []
