@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lumenshelf.functions.storage import shared_folder
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.llm.bpe import byte_characters
-from lumenshelf.llm.common import text_or_empty
+from lumenshelf.llm.common import cut, text_or_empty
 
 #: Fixed values of the coding: ids per word and bits per id of each selector (4 bits) over 60 bits of ids.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -81,6 +82,12 @@ def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np
         wide = np.zeros((rows, block + count), np.uint8)  # zeros fill up the last word of a block
         if limit <= top:
             np.greater_equal(grid, grid.dtype.type(limit), out=wide[:, :block].view(bool))
+        # Three ids of 20 bits always fit, so a longer word must do with fewer escapes than a third of it, less one.
+        # It covers three whole quarters of its length, each with as many as the quarter that has the fewest.
+        quarter = count // 4
+        if quarter and top < (1 << 20) - 1 and block % quarter == 0:
+            if 9 * int(wide[:, :block].reshape(-1, quarter).sum(axis=1, dtype=np.uint8).min()) >= count - 3:
+                continue
         escapes = windows(wide, count)[:, :block]
         worth = np.float32(count) / (escapes + np.float32(1))
         if WIDTHS[s] == 0:
@@ -93,10 +100,10 @@ def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np
     left = np.minimum(block - np.arange(block)[None, :], np.maximum(n - np.arange(rows * block).reshape(rows, block), 1)).ravel()[:n]
     step = np.minimum(left, COUNTS[selector])
     # Only the walk from word to word goes one by one.
-    jump, at, found = (np.arange(n) + step).tolist(), 0, []
+    steps, at, found = step.astype(np.uint8).tobytes(), 0, []
     while at < n:
         found.append(at)
-        at = jump[at]
+        at += steps[at]
     first = np.array(found)
     chosen, took = selector[first], step[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -105,15 +112,18 @@ def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np
     for s in np.unique(chosen).tolist():
         if WIDTHS[s]:
             of = np.flatnonzero(chosen == s)
-            at, cut_off, mark = first[of], took[of], np.uint64((1 << int(WIDTHS[s])) - 1)
-            word = words[of]
-            for k in range(int(COUNTS[s])):
-                value = np.where(k < cut_off, padded[at + k], np.uint64(0))
-                over = value >= mark
-                if over.any():
-                    escaped.append(at[over] + k)
-                word |= np.minimum(value, mark) << np.uint64(k * int(WIDTHS[s]))
-            words[of] = word
+            count, width, at = int(COUNTS[s]), int(WIDTHS[s]), first[of]
+            values = sliding_window_view(padded, count)[at]
+            short = took[of] < count
+            if short.any():
+                values[np.arange(count) >= took[of][:, None]] = 0
+            over = values >= np.uint64((1 << width) - 1)
+            if over.any():
+                row, slot = np.nonzero(over)
+                escaped.append(at[row] + slot)
+                values[over] = (1 << width) - 1
+            # Slots do not overlap, so the word is the sum of its shifted values.
+            words[of] |= values @ (np.uint64(1) << (np.arange(count) * width).astype(np.uint64))
     wide_at = np.sort(np.concatenate(escaped))
     firsts = np.arange(0, n, block)
     return words, ids[wide_at], np.searchsorted(first, firsts), np.searchsorted(wide_at, firsts)
@@ -308,25 +318,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, folder: str, each, schema: str) -> DataFrame:
-    """each(id, start, ids) of all documents in the files under the folder; start counts the ids of all documents before it.
+    """each(id, start, ids) of all documents in the files under the folder. A column named start is to return the start that
+    ``each`` was given, and then counts the ids of all documents before it.
 
-    A first pass takes the count of ids from each header; the driver adds up one number per written partition.
+    Files tell the ids before a document in its partition; the driver adds up one number per written partition.
+    What ``each`` returns is cut, so that files are read once.
     """
     from pyspark.sql.types import _parse_datatype_string
 
     files = spark.read.format("binaryFile").load(f"{folder}/tokens").where("length > 0")
-    kinds = _parse_datatype_string(schema)
-
-    def heads(batches):
-        for batch in batches:
-            found = [(int.from_bytes(v[:8], "little"), struct.unpack_from(HEADER, v, 8)[3]) for v in map(view, batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["part", "n"])
-
-    sizes = map_arrow(files.select(F.substring("content", 1, 8 + struct.calcsize(HEADER))), heads, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    starts, total = {}, 0
-    for row in sorted(sizes.collect()):
-        starts[row["part"]] = total
-        total += row["n"]
+    told = f"{schema}, _part long, _before long, _n long"
+    kinds = _parse_datatype_string(told)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -334,16 +336,19 @@ def read_token_files(spark: SparkSession, folder: str, each, schema: str) -> Dat
         arrow = to_arrow_schema(kinds)
         for batch in batches:
             for content in batch.column(0):
-                data = view(content)
-                base = starts[int.from_bytes(data[:8], "little")]
-                rows = [each(key, base + start, ids) for key, start, ids in TokenFile(data[8:]).documents()]
+                data = memoryview(content.as_buffer())
+                part = int.from_bytes(data[:8], "little")
+                rows = [(*each(key, start, ids), part, start, len(ids)) for key, start, ids in TokenFile(data[8:]).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return map_arrow(files.select("content"), run, schema)
-
-
-def view(content: pa.Scalar) -> memoryview:
-    return memoryview(content.as_buffer())
+    found = cut(map_arrow(files.select("content"), run, told))
+    bases, total = [], 0
+    for part, n in sorted(tuple(r) for r in found.groupBy("_part").agg(F.max(F.col("_before") + F.col("_n"))).collect()):
+        bases.append((part, total))
+        total += n
+    base = spark.createDataFrame(bases, "_part long, _base long")
+    names = kinds.fieldNames()[:-3]
+    return found.join(F.broadcast(base), "_part").select(*[(F.col("_base") + F.col(c)).alias(c) if c == "start" else F.col(c) for c in names])
 
 
 def digests(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
