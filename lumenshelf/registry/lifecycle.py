@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenshelf.operators import aggregates, exchange, features, ingest, media, projections, review
+from lumenshelf.operators import aggregates, documents, exchange, features, ingest, media, projections, review
 from lumenshelf.operators.filters import Visibility, visible
 from lumenshelf.plans.browse import smart_members
 from lumenshelf.registry import query
@@ -243,6 +243,21 @@ query("x_filename_tags", "SELECT DISTINCT id, name, 0.4e0 AS confidence FROM (SE
 query("x_document", "SELECT doc_id, CASE WHEN length(flat) > 280 THEN concat(rtrim(substr(flat, 1, 280), ' '), '…') ELSE flat END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS flat FROM documents)")(lambda c: c.base("documents").select("doc_id", features.excerpt(F.col("text")).alias("excerpt")))
 query("text_descriptor")(lambda c: features.text_vectors(c.base("documents").select(F.col("doc_id").alias("id"), "text")))
 
+FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query("x_document_text", f"SELECT doc_id, nullif(length({FLAT}), 0) AS n_chars, CASE WHEN {FLAT} <> '' THEN md5({FLAT}) END AS digest FROM documents")
+def x_document_text(c: Catalog) -> DataFrame:
+    """Texts written as RTF, as UTF-16 and as UTF-8 files come back as they were, white space made even."""
+    text = F.coalesce("text", F.lit(""))
+    escaped = F.regexp_replace(text, r"([\\{}])", r"\\$1")
+    rtf = F.concat(F.lit(r"{\rtf1{\fonttbl{\f0 Serif;}}\f0 "), F.regexp_replace(escaped, "\n", r"\\par "), F.lit("}"))
+    kind = F.element_at(F.array(F.lit("rtf"), F.lit("txt"), F.lit("md")), (F.col("doc_id") % 3 + 1).cast("int"))
+    content = F.when(kind == "rtf", F.encode(rtf, "UTF-8")).when(kind == "txt", F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.encode(text, "UTF-8"))
+    found = documents.texts(c.base("documents").select(F.col("doc_id").alias("id"), kind.alias("format"), content.alias("content")))
+    return found.select(F.col("id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 # Texts stand in for decoded media: their bytes as samples.
 query("x_image")(
     lambda c: media.image_table(c.base("documents").selectExpr("doc_id AS id", "CAST(ceil(octet_length(text) / 48) AS INT) AS height", "16 AS width", "3 AS channels", "rpad(encode(text, 'UTF-8'), CAST(ceil(octet_length(text) / 48) * 48 AS INT), X'20') AS data", "FALSE AS bgr"))
