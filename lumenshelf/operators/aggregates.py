@@ -98,12 +98,38 @@ def total_from_maintained(cat: Catalog, ceiling: Visibility) -> DataFrame:
     return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("unanalysed"), F.lit(0)).alias("unanalysed"))
 
 
+def folder_counts(assets: DataFrame) -> DataFrame:
+    """Assets directly in each folder that has any: source_id, folder, direct."""
+    folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
+    return assets.select("source_id", folder.alias("folder")).groupBy("source_id", "folder").agg(F.count(F.lit(1)).alias("direct"))
+
+
+def rolled_up(folders: DataFrame) -> DataFrame:
+    """Folder counts (source_id, folder, direct) with those of all folders above them: direct and descendant.
+
+    Each folder gives one row per level, whatever its number of assets, so what is shuffled grows with the folders.
+    """
+    parts = F.split("folder", "/")
+    levels = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    above = folders.select("source_id", F.col("folder").alias("of"), "direct", F.explode(levels).alias("folder"))
+    return above.groupBy("source_id", "folder").agg(F.sum(F.when(F.col("of") == F.col("folder"), F.col("direct")).otherwise(F.lit(0))).alias("direct"), F.sum("direct").alias("descendant"))
+
+
 def folder_rollup(assets: DataFrame) -> DataFrame:
     """Assets directly in each folder and anywhere below it; the empty path is the root."""
-    parts = F.split("path", "/")
-    depth = F.size(parts) - 1
-    folders = assets.select("source_id", depth.alias("depth"), F.explode(F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(k.alias("at"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder")))).alias("f"))
-    return folders.groupBy("source_id", F.col("f.folder").alias("folder")).agg(F.count_if(F.col("f.at") == F.col("depth")).alias("direct"), F.count(F.lit(1)).alias("descendant"))
+    return rolled_up(folder_counts(assets))
+
+
+def folder_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed rows (before and after) add to and take from the roll-up of all folders."""
+    change = folder_counts(after).unionByName(folder_counts(before).withColumn("direct", -F.col("direct")))
+    return rolled_up(change.groupBy("source_id", "folder").agg(F.sum("direct").alias("direct")).where("direct <> 0"))
+
+
+def with_folder_deltas(kept: DataFrame, deltas: DataFrame) -> DataFrame:
+    """A kept roll-up after deltas; folders with nothing below them leave."""
+    both = kept.select("source_id", "folder", "direct", "descendant").unionByName(deltas.select("source_id", "folder", "direct", "descendant"))
+    return both.groupBy("source_id", "folder").agg(F.sum("direct").alias("direct"), F.sum("descendant").alias("descendant")).where("descendant <> 0")
 
 
 def duplicate_groups(assets: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import settled
+
 PIPELINE_VERSION, RETRY_MS, PENDING_BATCH, PLAN_BATCH = 3, 30_000, 128, 512
 VISUAL = ("image", "video", "model")
 KEY = ["source_id", "path"]
@@ -20,13 +22,13 @@ def with_new_ids(rows: DataFrame, greatest: int) -> DataFrame:
 
     Numbers are counted per first digits of the hash, on top of the pieces before, so no task numbers all.
     """
-    keyed = rows.withColumn("_order", F.md5(F.concat_ws("/", *KEY))).withColumn("_piece", F.substring("_order", 1, 3))
     fresh = F.col("id").isNull()
-    pieces = keyed.where(fresh).groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))  # 4096 at most
+    keyed = rows.where(fresh).withColumn("_order", F.md5(F.concat_ws("/", *KEY))).withColumn("_piece", F.substring("_order", 1, 3))
+    pieces = keyed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))  # 4096 at most
     starts = pieces.select("_piece", F.coalesce(F.sum("_rows").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_piece").orderBy("_order", *KEY))
-    new = keyed.where(fresh).withColumn("_place", place).join(F.broadcast(starts), "_piece").withColumn("id", F.lit(greatest) + F.col("_start") + F.col("_place"))
-    return keyed.where(~fresh).select(*rows.columns).unionByName(new.select(*rows.columns))
+    new = keyed.withColumn("_place", place).join(F.broadcast(starts), "_piece").withColumn("id", F.lit(greatest) + F.col("_start") + F.col("_place"))
+    return rows.where(~fresh).unionByName(new.select(*rows.columns))
 
 
 def upsert(assets: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
@@ -54,7 +56,8 @@ def upsert(assets: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
         F.when(fresh, F.lit(0)).when(F.col("_new").isNotNull(), F.col("flags").bitwiseAND(-2)).otherwise(F.col("flags")).cast("int").alias("flags"),
         F.when(fresh, F.lit("new")).when(remade, F.lit("remade")).when(F.col("_new").isNotNull(), F.lit("seen")).otherwise(F.lit("kept")).alias("outcome"), reclassified.alias("reclassified"),
     )
-    return with_new_ids(out, assets.agg(F.max("id")).first()[0] or 0)
+    out = settled(out)  # the join is made once, for the greatest id, the old rows and the new ones
+    return with_new_ids(out, out.agg(F.max("id")).first()[0] or 0)
 
 
 def derived_kept(rows: DataFrame, after: DataFrame, media: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from lumenshelf.operators.filters import FIELDS, Filter, Visibility, apply_filte
 from lumenshelf.plans.browse import QueryRequest, after, browse_size, order, page, total
 from lumenshelf.registry import query
 from lumenshelf.sources.fixtures import Catalog
+from lumenshelf.streaming import counters
 
 SIZE = "size_bytes + coalesce(dependency_bytes, 0)"
 CONFIRMED = "SELECT x.asset_id FROM asset_tag x JOIN tag t ON t.tag_id = x.tag_id WHERE x.state = 'confirmed'"
@@ -156,7 +157,7 @@ query("agg_by_source", "SELECT s.source_id, s.name, count(a.id) AS n FROM source
 query("agg_top_tags", "SELECT t.name, count(*) AS n FROM asset_tag x JOIN tag t USING (tag_id) WHERE x.state = 'confirmed' GROUP BY 1 ORDER BY n DESC, name LIMIT 30")(lambda c: aggregates.top_tags(c, c.asset))
 query("agg_unanalyzed", "SELECT count(*) FILTER (WHERE analysed_at IS NULL) AS n FROM asset")(lambda c: c.asset.agg(F.count_if(F.col("analysed_at").isNull()).alias("n")))
 query("agg_sources_visible", "SELECT count(*) AS n FROM source_table WHERE source_id IN ('src1', 'src2')")(lambda c: c.source_table.where(F.col("source_id").isin(sorted(HALF.sources))).agg(F.count(F.lit(1)).alias("n")))
-query("agg_stats_maintained", "SELECT count(*) AS n, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed FROM asset WHERE source_id IN ('src4', 'src5')")(lambda c: aggregates.total_from_maintained(c, Visibility.only(sources=["src4", "src5"])))
+query("agg_stats_maintained", "SELECT count(*) AS n, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed FROM asset WHERE source_id IN ('src4', 'src5')")(lambda c: counters.kept_counters(c).total(c, Visibility.only(sources=["src4", "src5"])))
 query("agg_stats_collections", "SELECT count(*) AS n, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed FROM asset WHERE source_id IN ('src1', 'src2') OR id IN (SELECT asset_id FROM collection_member WHERE collection_id = 3)")(lambda c: aggregates.total_from_maintained(c, HALF))
 STAT = "count(*) AS n, count(*) FILTER (WHERE (flags & 1) <> 0) AS missing, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed FROM asset"
 query("agg_maintained_build", f"SELECT source_id, media_type, {STAT} GROUP BY 1, 2")(lambda c: aggregates.maintained(c, "source_media_stat"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenshelf.functions.storage import shared_folder
 from lumenshelf.operators import aggregates, documents, exchange, features, ingest, media, projections, review
 from lumenshelf.operators.filters import Visibility, visible
 from lumenshelf.plans.browse import smart_members
 from lumenshelf.registry import query
 from lumenshelf.registry.search import sql_spaces, spaces
 from lumenshelf.sources.fixtures import Catalog
-from lumenshelf.streaming import events
+from lumenshelf.streaming import counters, events
 
 
 def n():
@@ -69,6 +72,7 @@ query("analysis_batch", "SELECT id, CASE WHEN id % 3 = 0 AND NOT (media_type = '
 )
 query("remove_block", "SELECT id FROM asset WHERE content_hash <> (SELECT content_hash FROM asset WHERE id = 21)")(lambda c: ingest.removed(c.asset, 21, True)[0].select("id"))
 query("clear_analysis", "SELECT id, 0 AS analysis_version FROM asset")(lambda c: ingest.cleared(c.asset).select("id", "analysis_version"))
+FOLDER_SQL = "WITH a AS (SELECT source_id, string_split(CASE WHEN id % 22 = 0 THEN concat('moved/', path) ELSE path END, '/') AS parts FROM asset WHERE id % 11 <> 0 OR id % 22 = 0), f AS (SELECT source_id, len(parts) - 1 AS depth, unnest(range(0, len(parts))) AS k, parts FROM a) SELECT source_id, array_to_string(parts[1:k], '/') AS folder, count(*) FILTER (WHERE k = depth) AS direct, count(*) AS descendant FROM f GROUP BY 1, 2"
 STAT = "count(*) AS n, count(*) FILTER (WHERE (flags & 1) <> 0) AS missing, count(*) FILTER (WHERE analysed_at IS NULL) AS unanalysed"
 
 
@@ -79,6 +83,27 @@ def repair_aggregates(c: Catalog) -> DataFrame:
     return aggregates.drift(kept, c.asset, ["media_type"]).select("media_type", "n", "missing", "unanalysed", "kept_n")
 
 
+@query("agg_counter_feed", f"SELECT source_id, media_type, {STAT} FROM (SELECT source_id, CASE WHEN id % 17 = 0 THEN 'video' ELSE media_type END AS media_type, CASE WHEN id % 17 = 0 THEN flags | 1 ELSE flags END AS flags, analysed_at FROM asset WHERE id % 9 <> 0 OR id % 17 = 0) GROUP BY 1, 2")
+def agg_counter_feed(c: Catalog) -> DataFrame:
+    """Counters after two batches of a feed, of which the first comes twice: they are those of a recount."""
+    kept = counters.Counters(c.spark, f"{shared_folder(c.spark)}/counters-{uuid.uuid4().hex}")
+    kept.build(c)
+    moved = c.asset.where("id % 17 = 0")
+    after = moved.withColumns({"media_type": F.lit("video"), "flags": F.col("flags").bitwiseOR(1)})
+    gone = counters.images(c.asset.where("id % 9 = 0 AND id % 17 <> 0"), "before")
+    for rows, batch in ((gone, 0), (gone, 0), (counters.images(moved, "before").unionByName(counters.images(after, "after")), 1)):
+        kept.apply(rows, "feed", batch)
+    return kept.table().select("source_id", "media_type", *aggregates.COUNTERS)
+
+
+@query("agg_folder_deltas", FOLDER_SQL)
+def agg_folder_deltas(c: Catalog) -> DataFrame:
+    """A kept roll-up after files have moved and gone."""
+    moved = c.asset.where("id % 11 = 0")
+    after = moved.where("id % 22 = 0").withColumn("path", F.concat(F.lit("moved/"), "path"))
+    return aggregates.with_folder_deltas(aggregates.folder_rollup(c.asset), aggregates.folder_deltas(moved, after))
+
+
 @query("agg_counter_deltas", f"SELECT source_id, media_type, {STAT} FROM (SELECT source_id, CASE WHEN id % 9 = 0 THEN 'video' ELSE media_type END AS media_type, CASE WHEN id % 9 = 0 THEN flags | 1 ELSE flags END AS flags, CASE WHEN id % 9 = 0 THEN NULL ELSE analysed_at END AS analysed_at FROM asset WHERE id % 17 <> 0) GROUP BY 1, 2")
 def agg_counter_deltas(c: Catalog) -> DataFrame:
     """Kept counters after some assets changed and some went, from the changed rows alone."""
