@@ -295,6 +295,11 @@ def near_groups(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The id takes the members' hashes in any order, so no group is brought together in one place.
     """
+    return groups_of(near_members(vectors, pairs))
+
+
+def groups_of(members: DataFrame) -> DataFrame:
+    """near_groups of members (space_id, id, root)."""
     share = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
-    groups = near_members(vectors, pairs).groupBy("space_id", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(share).alias("mark"))
+    groups = members.groupBy("space_id", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(share).alias("mark"))
     return groups.select("space_id", "root", "n", F.concat(F.lit("near:"), F.sha2(F.concat_ws("|", "space_id", F.col("n").cast("string"), F.col("mark").cast("string")), 256)).alias("review_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
 from lumenshelf.functions.storage import settled, shared_folder
-from lumenshelf.operators import ann, search, textindex, vectors
+from lumenshelf.operators import ann, search, snapshots, textindex, vectors
 from lumenshelf.registry import query
 from lumenshelf.sources.fixtures import Catalog
 
@@ -230,3 +230,17 @@ query("near_dup_members", f"{NEAR} SELECT v.space_id, id, root FROM rooted JOIN
 query("near_dup_window", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST, 2000))
 query("near_review_id", f"{NEAR} SELECT root, review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
 query("near_pair_counts", f"{PAIRS} SELECT a, count(*) AS n FROM pairs GROUP BY 1")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST).groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("dup_review_snapshot", f"{NEAR} SELECT CASE WHEN root % 3 = 2 THEN concat('near:', sha256(review_id)) ELSE review_id END AS review_id, CASE root % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'foreign' ELSE 'stale' END AS outcome, CASE WHEN root % 3 = 0 THEN 1 ELSE 0 END AS removed FROM groups")
+def dup_review_snapshot(c: Catalog) -> DataFrame:
+    """Decisions on all near groups as they were shown: one names a stranger, one a group that was never shown."""
+    rows = spaces(c, 3)
+    members = settled(vectors.near_members(rows, ann.near_links(rows, LEAST)))
+    groups = vectors.groups_of(members)
+    shots = snapshots.ReviewSnapshots(c.spark, f"{shared_folder(c.spark)}/reviews-{uuid.uuid4().hex}")
+    shots.take(members.join(groups, ["space_id", "root"]), {f"space-{k}": 1 for k in range(3)}, 5_000)
+    review = F.when(F.col("root") % 3 == 2, F.concat(F.lit("near:"), F.sha2("review_id", 256))).otherwise(F.col("review_id"))
+    decisions = groups.select(review.alias("review_id"), F.when(F.col("root") % 3 == 1, F.lit(-1)).otherwise(F.col("root")).alias("keep"), F.array("root").alias("removals"))
+    found = shots.decided(decisions, rows.select("id"), {f"space-{k}": 1 for k in range(3)}, 6_000)
+    return found.select("review_id", "outcome", F.size("removed").alias("removed"))
