@@ -11,7 +11,7 @@ from lumenshelf.functions.workers import map_arrow
 
 # Thresholds of the analysis.
 SEAMLESS, REPEATS, WORK_EDGE = 0.86, 0.55, 256
-FRAME, HOP, LOOP, FADE_FLOOR, TONAL = 2048, 512, 0.62, 0.35, 2.6
+FRAME, HOP, LOOP, FADE_FLOOR, TONAL, QUIETEST_DB = 2048, 512, 0.62, 0.35, 2.6, -100.0
 PITCH_CLASSES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 SLOWEST, FASTEST = 50, 200
 
@@ -174,7 +174,7 @@ def sound_features(samples: np.ndarray, rate: int) -> dict:
     onsets = int(((rise > rise.mean() + 1.5 * rise.std()) & (np.append(True, rise[1:] > rise[:-1])) & (np.append(rise[:-1] >= rise[1:], True))).sum()) if rise.max() > 1e-9 else 0
     heard = (hertz >= 40) & (hertz <= 5000)
     pitch = np.round(12 * np.log2(hertz[heard] / 440) + 69).astype(int) % 12
-    chroma = np.bincount(pitch, (strength[:, heard] ** 2).sum(axis=0), 12)
+    chroma = np.bincount(pitch, strength[:, heard].sum(axis=0), 12)
     tonal = bool(chroma.sum() > 1e-9 and chroma.max() >= TONAL * chroma.mean())
     beats = tempo(rise, rate / HOP)
     block = max(1, len(x) // 20)
@@ -195,13 +195,15 @@ def sound_features(samples: np.ndarray, rate: int) -> dict:
         kind = "music"
     else:
         kind = "one_shot" if short else "sfx"
-    total = strength.sum()
-    loudness = float(20 * np.log10(max(np.sqrt((x * x).mean()), 1e-6))) if len(x) else -120.0
-    brightness = float((strength @ hertz).sum() / total / (rate / 2)) if total > 1e-9 else 0.0
-    return {"duration_s": seconds, "onsets": onsets, "bpm": beats, "musical_key": PITCH_CLASSES[int(np.argmax(chroma))] if tonal else None, "is_loop": is_loop, "class": kind, "loudness_db": loudness, "brightness": brightness}
+    loudness = float(20 * np.log10(max(np.sqrt((x * x).mean()), 1e-5))) if len(x) else QUIETEST_DB
+    # Means over the frames that sound at all: where the middle of the spectrum lies, and how far it is from even noise.
+    loud = strength[strength.sum(axis=1) > 1e-6]
+    brightness = float((loud @ np.arange(len(hertz)) / loud.sum(axis=1) / (len(hertz) - 1)).mean()) if len(loud) else 0.0
+    evenness = float((np.exp(np.log(loud + 1e-9).mean(axis=1)) / loud.mean(axis=1)).mean()) if len(loud) else 1.0
+    return {"duration_s": seconds, "onsets": onsets, "bpm": beats, "musical_key": PITCH_CLASSES[int(np.argmax(chroma))] if tonal else None, "is_loop": is_loop, "class": kind, "loudness_db": loudness, "brightness": brightness, "harmonicity": min(max(1 - evenness, 0.0), 1.0), "loopability": min(max(seamless, 0.0), 1.0)}
 
 
-SOUND = "id long, duration_s double, onsets int, bpm double, musical_key string, is_loop boolean, class string, loudness_db double, brightness double"
+SOUND = "id long, duration_s double, onsets int, bpm double, musical_key string, is_loop boolean, class string, loudness_db double, brightness double, harmonicity double, loopability double"
 
 
 def sound_table(sounds: DataFrame) -> DataFrame:

@@ -116,6 +116,39 @@ def threads(comments: DataFrame) -> DataFrame:
     return rows.select("comment_id", "asset_id", F.when(F.col("p_asset") == F.col("asset_id"), F.col("reply_to")).alias("reply_to"), F.when(~F.col("deleted"), F.col("body")).alias("body"))
 
 
+def comments_written(comments: DataFrame, edits: DataFrame, assets: DataFrame, now: int) -> DataFrame:
+    """Comments (comment_id, asset_id, reply_to, body, created_at, edited_at, deleted_at) after a batch of writes
+    (op: add, edit or delete, comment_id, asset_id, reply_to, body), at most one of a kind per comment.
+
+    A comment is added to an asset that exists, under an id that is free, and as a reply only to a comment on the same asset that was
+    there before, a tombstone too. An edit changes the body of what is not deleted. A deletion blanks the body and
+    keeps the row, so that replies keep their parent; deleting again changes nothing. Edits of a batch come before its deletions. See ``refused``.
+    """
+    good = edits.join(refused(comments, edits, assets).select("op", "comment_id"), ["op", "comment_id"], "left_anti")
+    none = F.lit(None).cast("long")
+    added = good.where("op = 'add'").select("comment_id", "asset_id", "reply_to", "body", F.lit(now).cast("long").alias("created_at"), none.alias("edited_at"), none.alias("deleted_at"))
+    edited = good.where("op = 'edit'").select("comment_id", F.col("body").alias("_body"), F.lit(True).alias("_edited"))
+    deleted = good.where("op = 'delete'").select("comment_id", F.lit(True).alias("_deleted"))
+    rows = comments.join(edited, "comment_id", "left").join(deleted, "comment_id", "left")
+    live, edit = F.col("deleted_at").isNull(), F.col("_edited").isNotNull()
+    gone = live & F.col("_deleted").isNotNull()
+    body = F.when(gone, F.lit("")).when(live & edit, F.col("_body")).otherwise(F.col("body"))
+    kept = rows.select("comment_id", "asset_id", "reply_to", body.alias("body"), "created_at", F.when(live & edit, F.lit(now)).otherwise(F.col("edited_at")).alias("edited_at"), F.when(gone, F.lit(now)).otherwise(F.col("deleted_at")).alias("deleted_at"))
+    return kept.unionByName(added)
+
+
+def refused(comments: DataFrame, edits: DataFrame, assets: DataFrame) -> DataFrame:
+    """Writes that change nothing, and why: op, comment_id, reason (no_asset, taken, other_asset or not_found)."""
+    there = comments.select("comment_id", F.col("deleted_at").isNull().alias("_live"))
+    parents = comments.select(F.col("comment_id").alias("reply_to"), F.col("asset_id").alias("_p_asset"))
+    known = assets.select(F.col("id").alias("asset_id")).distinct().withColumn("_asset", F.lit(True))
+    rows = edits.join(there, "comment_id", "left").join(parents, "reply_to", "left").join(known, "asset_id", "left")
+    add = F.when(F.col("_live").isNotNull(), "taken").when(F.col("_asset").isNull(), "no_asset").when(F.col("reply_to").isNotNull() & ~F.col("_p_asset").eqNullSafe(F.col("asset_id")), "other_asset")
+    edit = F.when(~F.coalesce("_live", F.lit(False)), "not_found")
+    reason = F.when(F.col("op") == "add", add).when(F.col("op") == "edit", edit)
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("op", "comment_id", "reason")
+
+
 def reviewed_groups(groups: DataFrame, reviews: DataFrame, show: str) -> DataFrame:
     """Duplicate groups (content_hash, n) by review state (review_key, state): pending, resolved, dismissed or all."""
     rows = groups.join(reviews.withColumnRenamed("review_key", "content_hash"), "content_hash", "left").withColumn("state", F.coalesce("state", F.lit("pending")))

@@ -200,6 +200,15 @@ def close_pairs(vectors: DataFrame, least: float = NEAR_COSINE, block_rows: int
     return map_arrow(paired_blocks(vectors, block_rows), run, "a long, b long").distinct()
 
 
+def window_pairs(vectors: DataFrame, after: tuple[str, int] | None, rows: int = 2000, least: float = NEAR_COSINE) -> DataFrame:
+    """Close pairs (a, b) within one window of rows in order of space and id, behind the last one seen, and
+    ``partial``: whether more rows follow, whose pairs with the window's are not here."""
+    ahead = vectors if after is None else vectors.where(F.struct("space_id", "id") > F.struct(F.lit(after[0]).alias("space_id"), F.lit(after[1]).cast("long").alias("id")))
+    window = settled(ahead.orderBy("space_id", "id").limit(rows + 1))
+    partial = window.count() > rows
+    return close_pairs(window.orderBy("space_id", "id").limit(rows), least).withColumn("partial", F.lit(partial))
+
+
 def unit(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit vectors of a block; vectors without a norm are zero."""
     rows = block.values

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,22 @@ def comments(c: Catalog) -> DataFrame:
 
 
 COMMENTS = "SELECT conv_id * 100 + turn AS comment_id, conv_id % 9 AS asset_id, CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 WHEN conv_id > 0 THEN (conv_id - 1) * 100 END AS reply_to, text AS body, (conv_id + turn) % 4 = 0 AS deleted FROM conversations"
+WRITTEN = f"""WITH k AS ({COMMENTS}), s AS (SELECT comment_id, asset_id, reply_to, CASE WHEN deleted THEN '' ELSE body END AS body, deleted FROM k)
+SELECT comment_id, asset_id, reply_to, CASE WHEN deleted OR comment_id % 7 = 0 THEN '' WHEN comment_id % 5 = 0 THEN concat(body, '!') ELSE body END AS body, CASE WHEN NOT deleted AND comment_id % 5 = 0 THEN 9 END AS edited_at, CASE WHEN deleted THEN 1 WHEN comment_id % 7 = 0 THEN 9 END AS deleted_at FROM s
+UNION ALL SELECT -1 - comment_id, asset_id, comment_id, 'reply', NULL, NULL FROM s WHERE comment_id % 3 = 0 AND asset_id IN (SELECT id FROM asset)"""
+
+
+@query("comment_writes", WRITTEN)
+def comment_writes(c: Catalog) -> DataFrame:
+    """Replies (some to another asset's comment, which are refused), edits and deletions in one batch."""
+    old = comments(c).select("comment_id", "asset_id", "reply_to", F.when(F.col("deleted"), "").otherwise(F.col("body")).alias("body"), F.lit(1).cast("long").alias("created_at"), F.lit(None).cast("long").alias("edited_at"), F.when(F.col("deleted"), F.lit(1)).cast("long").alias("deleted_at"))
+    write = lambda rows, op, **kept: rows.select(F.lit(op).alias("op"), *[kept.get(x, F.col(x)).alias(x) for x in ("comment_id", "asset_id", "reply_to", "body")])
+    reply = {"comment_id": -1 - F.col("comment_id"), "reply_to": F.col("comment_id"), "body": F.lit("reply")}
+    stray = reply | {"comment_id": -1_000_000_000 - F.col("comment_id"), "asset_id": F.col("asset_id") + 2}
+    edits = [write(old.where("comment_id % 3 = 0"), "add", **reply), write(old.where("comment_id % 3 = 0"), "add", **stray), write(old.where("comment_id % 5 = 0"), "edit", body=F.concat("body", F.lit("!"))), write(old.where("comment_id % 7 = 0"), "delete")]
+    return review.comments_written(old, reduce(DataFrame.unionByName, edits), c.asset, 9).select("comment_id", "asset_id", "reply_to", "body", "edited_at", "deleted_at")
+
+
 query("comment_threads", f"WITH k AS ({COMMENTS}) SELECT k.comment_id, k.asset_id, CASE WHEN p.asset_id = k.asset_id THEN k.reply_to END AS reply_to, CASE WHEN NOT k.deleted THEN k.body END AS body FROM k LEFT JOIN k p ON p.comment_id = k.reply_to")(lambda c: review.threads(comments(c)))
 REVIEWS = "SELECT DISTINCT content_hash AS review_key, CASE WHEN content_hash < '5' THEN 'resolved' ELSE 'dismissed' END AS state FROM asset WHERE content_hash < 'a'"
 

@@ -228,6 +228,8 @@ query("near_dup_components", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3),
 query("near_dup_ann", GROUPS)(lambda c: vectors.near_groups(spaces(c, 3), ann.near_links(spaces(c, 3), LEAST)))
 query("near_dup_members", f"{NEAR} SELECT v.space_id, id, root FROM rooted JOIN v USING (id)")(lambda c: vectors.near_members(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)))
 query("near_dup_window", f"{PAIRS} SELECT a, b FROM pairs")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST, 2000))
+WINDOW = f"{sql_spaces(3)}, w AS (SELECT * FROM v WHERE space_id > 'space-0' OR (space_id = 'space-0' AND id > 40) ORDER BY space_id, id LIMIT 120)"
+query("near_dup_keyset", f"{WINDOW} SELECT x.id AS a, y.id AS b, (SELECT count(*) > 120 FROM v WHERE space_id > 'space-0' OR (space_id = 'space-0' AND id > 40)) AS partial FROM w x JOIN w y ON x.space_id = y.space_id AND x.id < y.id AND list_cosine_similarity(x.vec, y.vec) >= 0.3")(lambda c: vectors.window_pairs(spaces(c, 3), ("space-0", 40), 120, 0.3))
 query("near_review_id", f"{NEAR} SELECT root, review_id FROM groups")(lambda c: vectors.near_groups(spaces(c, 3), vectors.near_links(spaces(c, 3), LEAST)).select("root", "review_id"))
 query("near_pair_counts", f"{PAIRS} SELECT a, count(*) AS n FROM pairs GROUP BY 1")(lambda c: vectors.close_pairs(spaces(c, 3), LEAST).groupBy("a").agg(F.count(F.lit(1)).alias("n")))
 

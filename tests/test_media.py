@@ -100,3 +100,17 @@ def test_images_by_sparks_reader(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(head + rows)
     found = media.image_table(media.read_images(spark, str(tmp_path))).collect()
     assert len(found) == 1 and found[0]["colours"] == ["#5a3c1e"]
+
+
+def test_continuous_features_of_fixed_sounds():
+    """A pure tone, noise and silence: values known beforehand."""
+    rate = 8000
+    t = np.arange(2 * rate) / rate
+    tone = media.sound_features(0.5 * np.sin(2 * np.pi * 440 * t), rate)
+    noise = media.sound_features(np.random.default_rng(1).uniform(-0.5, 0.5, 2 * rate), rate)
+    silence = media.sound_features(np.zeros(rate), rate)
+    assert tone["musical_key"] == "A" and abs(tone["loudness_db"] - 20 * np.log10(0.5 / np.sqrt(2))) < 0.01
+    assert abs(tone["brightness"] - 440 / 4000) < 0.02 and tone["harmonicity"] > 0.9 > 0.5 > noise["harmonicity"]
+    assert abs(noise["brightness"] - 0.5) < 0.05
+    assert (silence["loudness_db"], silence["brightness"], silence["harmonicity"], silence["loopability"]) == (-100.0, 0.0, 0.0, 0.0)
+    assert tone["is_loop"] and tone["loopability"] > 0.62
