@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context._lumenshelf_folder
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder and read again, without the plan that made them."""
     spark = rows.sparkSession

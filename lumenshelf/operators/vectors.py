@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenshelf.functions.storage import settled
+from lumenshelf.functions.storage import removed, settled
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.filters import BadRequest
 
@@ -289,7 +289,8 @@ def components(pairs: DataFrame) -> DataFrame:
         spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "near").alias("root"))
         jumped = settled(spread.join(spread.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
         moved = jumped.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old")
-        done, labels = moved.isEmpty(), jumped
+        done, old, labels = moved.isEmpty(), labels, jumped
+        removed(pairs.sparkSession, *{f.rpartition("/")[0] for f in old.inputFiles()})
         if done:
             return labels
 
