@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenshelf.functions.storage import shared_folder
+from lumenshelf.functions.storage import removed, shared_folder
 from lumenshelf.llm import bpe, curriculum, exact_dedup, language_id, simhash
 from lumenshelf.llm.common import table
 from lumenshelf.llm.queries import vocabulary_path
@@ -50,11 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Between stages the rows are written to the shared checkpoint folder."""
-    folder = shared_folder(spark)
+    """All stages over documents. Between stages the rows are written to the shared checkpoint folder; once
+    a stage is written whole, what it read goes."""
+    folder, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            removed(spark, before)
+        before = out
     return docs
