@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
-from lumenshelf.functions.storage import Versions, shared_folder
+from lumenshelf.functions.storage import Versions, removed, settled, shared_folder
 from lumenshelf.operators import search
 
 #: A segment is merged with the one before it until that is this many times larger.
@@ -92,10 +92,17 @@ class TextIndex:
     def build(self, rows: DataFrame) -> TextSnapshot:
         """An index of search rows (as search.search_rows), each id once."""
         latest = self.versions.latest()
-        segment, length = self.segment(*search.postings(rows), 1)
+        segment, length = self.indexed(rows, 1)
         self.versions.publish({"segments": [segment], "dead": [], "n": segment["n"], "length": length, "at": 1}, latest["number"] if latest else 0)
         return self.snapshot()
 
+    def indexed(self, rows: DataFrame, at: int) -> tuple[dict, int]:
+        """A segment of search rows. Their tokens are made once and written, since postings and rows both need them."""
+        once = settled(rows)
+        found = self.segment(*search.postings(once), at)
+        removed(self.spark, *{f.rpartition("/")[0] for f in once.inputFiles()})
+        return found
+
     def segment(self, terms: DataFrame, rows: DataFrame, at: int) -> tuple[dict, int]:
         """Write postings and rows as a segment, and tell how long the rows are together."""
         names = {kind: self.versions.part(kind) for kind in ("terms", "rows", "grams")}
@@ -116,7 +123,7 @@ class TextIndex:
         An id that is in both stays, with its new row."""
         manifest = self.versions.latest()
         at, number = manifest["at"] + 1, manifest["number"]
-        added, length = self.segment(*search.postings(rows), at)
+        added, length = self.indexed(rows, at)
         ids = self.spark.read.parquet(self.versions.at(added["rows"])).select("id").unionByName(deleted.select("id")).distinct()
         dead = self.versions.part("dead")
         ids.write.parquet(self.versions.at(dead))
