@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source to its target, in training order; a document taken twice has two rows."""
-    return curriculum.training_sequence(docs).drop("position")
+    return curriculum.training_sequence(docs, position_col=None)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

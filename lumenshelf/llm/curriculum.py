@@ -151,16 +151,18 @@ def with_plan(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_c
     return keyed.join(plan, ["_sk", "_idk", "size"])
 
 
-def training_sequence(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def training_sequence(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, position_col: str | None = "position") -> DataFrame:
     """The mixed corpus: every taken copy as a row with its position, range-sorted by position.
 
     Copies of one document stand one pass apart. Documents that the mix does not take, and those
-    without words, have no rows. The input's own columns come back, with position last.
+    without words, have no rows. The input's own columns come back, with the position last under the name
+    ``position_col``, which must be free, or without it if that is None.
     """
     plan = mix_plan(docs, id_col, source_col, text_col, schedules, max_epochs)
     base = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     named = dict(zip(docs.columns, base.columns))
     rows = with_plan(base, plan, named[id_col], named[source_col], named[text_col]).where("copies > 0 AND size > 0")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.withColumn("position", position(F.col("_pass"), schedules))
-    return rows.select(*[F.col(b).alias(a) for a, b in named.items()], "position").orderBy("position", id_col)
+    rows = rows.withColumn("_position", position(F.col("_pass"), schedules)).orderBy("_position", named[id_col])
+    last = [F.col("_position").alias(position_col)] if position_col else []
+    return rows.select(*[F.col(b).alias(a) for a, b in named.items()], *last)

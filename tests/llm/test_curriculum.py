@@ -59,13 +59,13 @@ def test_schedules_integrate_and_invert(spark):
 
 def test_sequence_is_sorted_and_whole(make_docs):
     docs = make_docs(sources(60))
-    out = curriculum.training_sequence(docs)
+    out = curriculum.training_sequence(docs, position_col="place")
     rows = out.collect()
-    assert out.columns == [*docs.columns, "position"]
-    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and 0 <= rows[0]["position"] <= rows[-1]["position"] <= 1
+    assert out.columns == [*docs.columns, "place"]
+    assert [r["place"] for r in rows] == sorted(r["place"] for r in rows) and 0 <= rows[0]["place"] <= rows[-1]["place"] <= 1
     plan = curriculum.mix_plan(docs)
     assert len(rows) == plan.groupBy().sum("copies").first()[0]
-    assert rows == curriculum.training_sequence(docs).collect()
+    assert rows == curriculum.training_sequence(docs, position_col="place").collect()
 
 
 def test_odd_rows(make_docs, odd_rows, spark, tmp_path):
