@@ -108,7 +108,7 @@ def test_registered_near_duplicates_lose_no_pair(spark, sf_dir):
 def test_approximate_neighbours_recall(spark):
     x, rows = vector_rows(spark, n=600)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    got = vectors.nearest_by_hash(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), 10).collect()
+    got = vectors.nearest_by_blocks(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), 10).collect()
     hits = total = 0
     for q in range(0, 600, 50):
         same = [i for i in range(600) if i % 2 == q % 2 and i != q]
