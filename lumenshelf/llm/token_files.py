@@ -8,6 +8,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids of a block, the unit of reading, and ids after which a file is closed.
 BLOCK_IDS, FILE_IDS = 4096, 1 << 20
-#: Ids that are packed at once, so that the arrays of the search stay in the processor's cache.
-PACK_IDS = 1 << 15
+#: Ids that are packed at once.
+PACK_IDS = 1 << 20
 MAGIC = b"S8TK"
 HEADER = "<4sIQQQQQ"
 #: Encodings of words that a task keeps, and as many older ones.
@@ -56,56 +57,51 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(words), np.concatenate(escapes), shifted(word_at, words), shifted(escape_at, escapes)
 
 
-def windows(flags: np.ndarray, length: int) -> np.ndarray:
-    """Sums over the next ``length`` (at most 240) places of each row, from sums over powers of two."""
-    out, at, power = None, 0, 1
-    while length:
-        if length & 1:
-            out = flags.copy() if out is None else out[:, : flags.shape[1] - at] + flags[:, at:]
-            at += power
-        length >>= 1
-        if length:
-            flags = flags[:, :-power] + flags[:, power:]
-            power *= 2
-    return out
+def too_wide(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The selectors worth a look, and for each and each row of ids how many ahead of a place are too wide for it.
+
+    The widest of them takes every id, so one that nowhere beats its count is left out. Zeros fill up the last word of a row.
+    """
+    top, longest = int(ids.max()), int(COUNTS[0])
+    limits = np.maximum((1 << WIDTHS) - 1, 1)
+    last = int(np.searchsorted(limits, top, "right")) if top < limits[-1] else 15
+    sure = COUNTS[last] if top < limits[last] else 0
+    kept, sums = [], []
+    for s in range(last + 1):
+        ahead = np.zeros((len(ids), block + longest + 1), np.uint16)
+        if limits[s] <= top:
+            np.cumsum(ids >= ids.dtype.type(limits[s]), axis=1, dtype=np.uint16, out=ahead[:, 1 : block + 1])
+            ahead[:, block + 1 :] = ahead[:, block : block + 1]
+        least = int((ahead[:, COUNTS[s] : block + COUNTS[s]] - ahead[:, :block]).min())
+        if s == last or (COUNTS[s] > sure * (least + 1) and (WIDTHS[s] or not least)):
+            kept.append(s)
+            sums.append(ahead)
+    return np.array(kept), np.stack(sums)
 
 
 def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """pack for a few blocks."""
-    n, rows, top = len(ids), -(-len(ids) // block), int(ids.max())
-    grid = np.zeros(rows * block, np.uint32 if top < 1 << 32 else np.uint64)
+    """pack for some blocks, which step from word to word side by side."""
+    n, rows = len(ids), -(-len(ids) // block)
+    grid = np.zeros(rows * block, np.uint32 if int(ids.max()) < 1 << 32 else np.uint64)
     grid[:n] = ids
-    grid = grid.reshape(rows, block)
-    best, selector = np.zeros((rows, block), np.float32), np.zeros((rows, block), np.int8)
-    for s in range(16):
-        count, limit = int(COUNTS[s]), max((1 << int(WIDTHS[s])) - 1, 1)
-        wide = np.zeros((rows, block + count), np.uint8)  # zeros fill up the last word of a block
-        if limit <= top:
-            np.greater_equal(grid, grid.dtype.type(limit), out=wide[:, :block].view(bool))
-        # Three ids of 20 bits always fit, so a longer word must do with fewer escapes than a third of it, less one.
-        # It covers three whole quarters of its length, each with as many as the quarter that has the fewest.
-        quarter = count // 4
-        if quarter and top < (1 << 20) - 1 and block % quarter == 0:
-            if 9 * int(wide[:, :block].reshape(-1, quarter).sum(axis=1, dtype=np.uint8).min()) >= count - 3:
-                continue
-        escapes = windows(wide, count)[:, :block]
-        worth = np.float32(count) / (escapes + np.float32(1))
-        if WIDTHS[s] == 0:
-            worth[escapes > 0] = 0  # a slot of no bits has no room for the mark
-        np.copyto(selector, np.int8(s), where=worth > best)
-        np.maximum(best, worth, out=best)
-        if limit > top:
-            break  # wider slots hold fewer
-    selector = selector.ravel()[:n]
-    left = np.minimum(block - np.arange(block)[None, :], np.maximum(n - np.arange(rows * block).reshape(rows, block), 1)).ravel()[:n]
-    step = np.minimum(left, COUNTS[selector])
-    # Only the walk from word to word goes one by one.
-    steps, at, found = step.astype(np.uint8).tobytes(), 0, []
-    while at < n:
-        found.append(at)
-        at += steps[at]
-    first = np.array(found)
-    chosen, took = selector[first], step[first]
+    selectors, sums = too_wide(grid.reshape(rows, block), block)
+    counts, bits = COUNTS[selectors], WIDTHS[selectors]
+    here = np.arange(len(selectors) * rows).reshape(-1, rows) * sums.shape[2]
+    there, sums = here + counts[:, None], sums.ravel()
+    ends = np.minimum(n - np.arange(rows) * block, block)
+    worths = (counts[:, None] / np.arange(1, counts.max() + 2)).astype(np.float32)
+    worths[bits == 0, 1:] = 0  # a slot of no bits has no room for the mark
+    by_selector = np.arange(len(selectors))[:, None] * worths.shape[1]
+    worths, at, steps = worths.ravel(), np.zeros(rows, np.int64), []
+    while (at < ends).any():
+        escapes = sums.take(there + at) - sums.take(here + at)
+        pick = worths.take(by_selector + escapes).argmax(axis=0)
+        took = np.minimum(counts.take(pick), ends - at)
+        steps.append((pick, at, took))
+        at = at + took
+    pick, at, took = (np.stack(part, axis=1) for part in zip(*steps))
+    inside = took > 0
+    chosen, took, first = selectors[pick[inside]], took[inside], (at + np.arange(rows)[:, None] * block)[inside]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(int(COUNTS[0]), np.uint64)])
     escaped = [np.zeros(0, np.int64)]
@@ -139,6 +135,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray, word_at: np.ndarray, n: int,
     starts = ahead - ahead[word_at][of] + of * block
     ends = np.minimum((of + 1) * block, n)
     out, marked = np.zeros(n, np.uint64), np.zeros(n, bool)
+    short = starts + counts > ends
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
         if len(rows):
@@ -146,9 +143,11 @@ def unpack(words: np.ndarray, escapes: np.ndarray, word_at: np.ndarray, n: int,
             slots = np.arange(COUNTS[s])
             values = (words[rows][:, None] >> (slots * width).astype(np.uint64)) & mark
             where = starts[rows][:, None] + slots
-            inside = where < ends[rows][:, None]
-            out[where[inside]] = values[inside]
-            marked[where[inside]] = values[inside] == mark
+            if short[rows].any():
+                inside = where < ends[rows][:, None]
+                values, where = values[inside], where[inside]
+            out[where] = values
+            marked[where[values == mark]] = True
     out[marked] = escapes
     return out
 
@@ -210,31 +209,44 @@ class TokenFile:
 # --- tokenising ---------------------------------------------------------------------------------------
 
 
-#: Latin letters with the space ahead, up to another character of ASCII or the end; else all up to the next space ahead
-#: of a character that is none.
-LATIN = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
-PIECES = re.compile(LATIN + r"(?=[ -@\[-`{-~]|\Z)| ?[^ ]*(?: (?!\S)[^ ]*)*")
+#: Latin letters up to another character of ASCII or the end.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ -@\[-`{-~]|\Z)")
+#: A space that belongs to white space after it or ends the text, and the other spaces.
+LOOSE, AHEAD = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
+#: Up to the last line feed that stands alone with more of the piece after it.
+LINE = re.compile(r"(?s:.*\S)?\n(?=\S)")
 
 
 class Pieces(dict):
     """Ids of pieces of text, as little-endian 32-bit numbers, asked of the tokenizers library once each while they are kept.
 
-    Latin letters are one piece for the library too, so its model merges them at once; anything else goes through its splitting.
+    Each piece stands after ``space``, which its key leaves out. Latin letters are one piece for the library too, so its model
+    merges them at once. What follows them or a line feed is looked up as a piece after no space.
     """
 
-    def __init__(self, library):
+    def __init__(self, library, space: str, bare: Pieces | None = None):
         super().__init__()
         self.older: dict[str, bytes] = {}
-        self.merge, self.whole, self.latin = library.model.tokenize, library.encode, re.compile(LATIN).fullmatch
+        self.merge, self.whole = library.model.tokenize, library.encode
         # Byte-level vocabularies write each byte as a character.
         spell = dict(enumerate(byte_characters()))
         self.spelling = {c: "".join(spell[b] for b in chr(c).encode()) for c in range(0x100)}
+        self.space, self.spelled = space, space.translate(self.spelling)
+        self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            ids = [t.id for t in self.merge(piece.translate(self.spelling))] if self.latin(piece) else self.whole(piece, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            start = LETTERS.match(piece) or (LINE.match(piece) if len(piece) <= CACHE_CHARS else None)
+            if start is None:
+                ids = self.whole(self.space + piece, add_special_tokens=False).ids
+                found = array("I", ids).tobytes()
+            elif start.end() < len(piece):
+                found = self[start[0]] + self.bare[piece[start.end() :]]
+            elif piece.isascii():
+                found = array("I", [t.id for t in self.merge(self.spelled + piece)]).tobytes()
+            else:
+                found = array("I", [t.id for t in self.merge(self.spelled + piece.translate(self.spelling))]).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -247,9 +259,9 @@ class Encoder:
     """The tokenizers library over byte-level vocabularies, asked once for each piece.
 
     Such a vocabulary's pattern starts a piece at every space that a character other than white space
-    follows, whatever stands before, and ends one where Latin letters end; its special tokens hold no
-    space and begin with neither. A text is therefore cut there, and the ids of its pieces are those of the
-    whole text. Vocabularies of another kind are asked for whole texts.
+    follows, whatever stands before, and ends one where Latin letters end or behind a line feed without other
+    white space about it; its special tokens hold no space and begin with neither. A text is therefore cut there, and the ids of its
+    pieces are those of the whole text. Vocabularies of another kind are asked for whole texts.
     """
 
     def __init__(self, path: str):
@@ -265,10 +277,14 @@ class Encoder:
         plain = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s|^\w", t["content"]) for t in spec["added_tokens"])
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["normalizer"] is None and plain
         self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.pieces = Pieces(library) if self.by_piece else None
+        self.first = Pieces(library, "")
+        self.after = Pieces(library, " ", self.first)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text))) if self.by_piece else self.whole(text)
+        if not self.by_piece:
+            return self.whole(text)
+        first, *rest = AHEAD.split(text) if LOOSE.search(text) else text.split(" ")
+        return self.first[first] + b"".join(map(self.after.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)

@@ -43,6 +43,32 @@ def test_words_hold_varying_counts():
     assert len(words) == 1 and escapes.tolist() == [2**63]
 
 
+def slow_words(ids, block):
+    """The selector of each word, one after another."""
+    out = []
+    for at in range(0, len(ids), block):
+        row, k = ids[at : at + block], 0
+        while k < len(row):
+            best, pick = 0, None
+            for s, (count, width) in enumerate(zip(token_files.COUNTS.tolist(), token_files.WIDTHS.tolist())):
+                wide = sum(x >= max((1 << width) - 1, 1) for x in row[k : k + count])
+                worth = 0 if wide and not width else count / (wide + 1)
+                if worth > best:
+                    best, pick = worth, s
+            out.append(pick)
+            k += int(token_files.COUNTS[pick])
+    return out
+
+
+@pytest.mark.parametrize("top", [0, 1, 2, 50_000, 2**20 - 2, 2**20 - 1, 2**33, 2**60 - 1, 2**64 - 1])
+def test_the_best_selector_wins_at_each_word(top):
+    rnd = random.Random(top)
+    ids = [min(top, rnd.choice([0, 0, 1, 3, 200, 5000, top, rnd.randint(0, top)])) for _ in range(900)] + [0] * 300 + [top]
+    for block in (64, 256, 4096):
+        words = there_and_back(ids, block)[0]
+        assert (words >> np.uint64(60)).tolist() == slow_words(ids, block)
+
+
 def test_a_file_is_read_in_parts():
     rnd = random.Random(4)
     tokens = [np.array([rnd.choice([0, 5, 300, 50_000, 2**40]) for _ in range(rnd.choice([1, 3, 5000, 9000]))], np.uint64) for _ in range(12)]
@@ -59,7 +85,7 @@ def test_a_file_is_read_in_parts():
         token_files.TokenFile(b"x" * 100)
 
 
-PIECES = ["a", "the", " ", "  ", "\n", "\t", " \n", "\x85", "\xa0", " ", "\x1c", "​", "<|endoftext|>", "<|", "'s", "'LL", " '", "9", "٣", "漢", "😀", "é", "́", "_", "-", "\x00", "İ"]
+PIECES = ["a", "the", " ", "  ", "\n", ".\n", "\nTo", "word,", "\t", " \n", "\x85", "\xa0", " ", "\x1c", "​", "<|endoftext|>", "<|", "'s", "'LL", " '", "9", "٣", "漢", "😀", "é", "́", "_", "-", "\x00", "İ"]
 
 
 def test_words_make_the_ids_of_whole_texts(library, monkeypatch):
@@ -69,7 +95,10 @@ def test_words_make_the_ids_of_whole_texts(library, monkeypatch):
     for _ in range(4000):
         text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12)))
         assert np.frombuffer(encode.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-    assert len(encode.pieces) <= 50 and len(encode.pieces.older) <= 50
+    for kept in (encode.first, encode.after):
+        assert len(kept) <= 50 and len(kept.older) <= 50
+    lines = "word,\n" * 5000 + "\n".join("ab" for _ in range(40))
+    assert np.frombuffer(encode.encode(lines), "<u4").tolist() == library.encode(lines, add_special_tokens=False).ids
 
 
 def test_other_vocabularies_take_whole_texts():
