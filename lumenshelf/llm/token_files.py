@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ MAGIC = b"S8TK"
 HEADER = "<4sIQQQQQ"
 #: Encodings of words that a task keeps, and as many older ones.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Characters of the texts that are split at once, the last of them whole.
+RUN_CHARS = 1 << 23
 
 
 # --- coding -------------------------------------------------------------------------------------------
@@ -239,14 +242,12 @@ class Pieces(dict):
         if found is None:
             start = LETTERS.match(piece) or (LINE.match(piece) if len(piece) <= CACHE_CHARS else None)
             if start is None:
-                ids = self.whole(self.space + piece, add_special_tokens=False).ids
-                found = array("I", ids).tobytes()
-            elif start.end() < len(piece):
-                found = self[start[0]] + self.bare[piece[start.end() :]]
-            elif piece.isascii():
-                found = array("I", [t.id for t in self.merge(self.spelled + piece)]).tobytes()
+                found = array("I", self.whole(self.space + piece, add_special_tokens=False).ids).tobytes()
+            elif (end := start.end()) < len(piece):
+                return self[piece[:end]] + self.bare[piece[end:]]
             else:
-                found = array("I", [t.id for t in self.merge(self.spelled + piece.translate(self.spelling))]).tobytes()
+                spelled = piece if piece.isascii() else piece.translate(self.spelling)
+                found = array("I", [t.id for t in self.merge(self.spelled + spelled)]).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -281,11 +282,43 @@ class Encoder:
         self.after = Pieces(library, " ", self.first)
 
     def encode(self, text: str) -> bytes:
+        """The ids of one text, as little-endian 32-bit numbers."""
         if not self.by_piece:
             return self.whole(text)
-        first, *rest = AHEAD.split(text) if LOOSE.search(text) else text.split(" ")
+        first, *rest = AHEAD.split(text)
         return self.first[first] + b"".join(map(self.after.__getitem__, rest))
 
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, for a run of RUN_CHARS of them at a time: Arrow splits a run and numbers its
+        distinct words, so that only these are looked up."""
+        run, held = [], 0
+        for text in texts:
+            run.append(text.as_py())
+            held += len(run[-1])
+            if held >= RUN_CHARS:
+                yield from self.encode_run(run)
+                run, held = [], 0
+        if run:
+            yield from self.encode_run(run)
+
+    def encode_run(self, texts: list[str]) -> Iterator[np.ndarray]:
+        # A text with white space behind a space is encoded by itself and stands for its first word.
+        alone = {k: self.encode(text) for k, text in enumerate(texts) if not self.by_piece or LOOSE.search(text)}
+        split = pc.split_pattern(pa.array(["" if k in alone else text for k, text in enumerate(texts)], pa.string()), " ")
+        coded, starts = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        pieces = [*map(self.after.__getitem__, words)]
+        pieces += [alone[k] if k in alone else self.first[words[index[at]]] for k, at in enumerate(starts[:-1].tolist())]
+        index[starts[:-1]] = np.arange(len(words), len(pieces))
+        ids, sizes = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        places, counts = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat((places[index] - ends[:-1]).astype(np.int32), counts)
+        at += np.arange(len(at), dtype=np.int32)
+        found = ids[at]
+        for a, b in zip(ends[starts[:-1]].tolist(), ends[starts[1:]].tolist()):
+            yield found[a:b]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -305,7 +338,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode_all, last = encoder(tokenizer).encode_all, np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
         keys, tokens, n, before = [], [], 0, 0
 
@@ -314,9 +347,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                tokens.append(np.frombuffer(encode(text.as_py()) + last, "<u4"))
-                keys.append(key.as_py())
+            for key, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+                tokens.append(np.concatenate([ids, last]))
+                keys.append(key)
                 n += len(tokens[-1])
                 if n >= file_ids:
                     yield file()

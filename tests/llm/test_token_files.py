@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,10 +91,13 @@ PIECES = ["a", "the", " ", "  ", "\n", ".\n", "\nTo", "word,", "\t", " \n", "\x8
 
 def test_words_make_the_ids_of_whole_texts(library, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_files, "RUN_CHARS", 500)
     encode, rnd = token_files.Encoder(PATH), random.Random(8)
     assert encode.by_piece
-    for _ in range(4000):
-        text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12)))
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    for text, ids in zip(texts, encode.encode_all(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts[:1000]:
         assert np.frombuffer(encode.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     for kept in (encode.first, encode.after):
         assert len(kept) <= 50 and len(kept.older) <= 50
@@ -106,7 +110,9 @@ def test_other_vocabularies_take_whole_texts():
     encode = token_files.Encoder(path)
     text = "Some words  and <|endoftext|> more"
     assert not encode.by_piece
-    assert np.frombuffer(encode.encode(text), "<u4").tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    want = tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode.encode(text), "<u4").tolist() == want
+    assert [ids.tolist() for ids in encode.encode_all(pa.array([text, "", text]))] == [want, [], want]
 
 
 def wanted(rows, library):
