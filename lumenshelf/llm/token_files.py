@@ -60,46 +60,56 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(words), np.concatenate(escapes), shifted(word_at, words), shifted(escape_at, escapes)
 
 
-def too_wide(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The selectors worth a look, and for each and each row of ids how many ahead of a place are too wide for it.
+def gains(escapes: np.ndarray, count: int, end: int, sure: int) -> bool:
+    """Whether a word of ``count`` slots takes more than ``sure`` ids a number at any place of rows that have ``end`` ids."""
+    whole = max(end - count + 1, 0)
+    rest = end - np.arange(whole, end) > sure * (escapes[:, whole:end] + 1)
+    return bool(rest.any()) or (whole > 0 and len(escapes) > 0 and count > sure * (int(escapes[:, :whole].min()) + 1))
 
-    The widest of them takes every id, so one that nowhere beats its count is left out. Zeros fill up the last word of a row.
+
+def too_wide(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The selectors worth a look, widest first, and for each and each row of ids how many ahead of a place are too wide for it.
+
+    The widest of them takes every id, so one that nowhere takes more ids a number is left out. The last row has ``end`` ids,
+    and zeros stand behind each row.
     """
-    top, longest = int(ids.max()), int(COUNTS[0])
+    block, top, longest = ids.shape[1], int(ids.max()), int(COUNTS[0])
     limits = np.maximum((1 << WIDTHS) - 1, 1)
     last = int(np.searchsorted(limits, top, "right")) if top < limits[-1] else 15
-    sure = COUNTS[last] if top < limits[last] else 0
+    sure = int(COUNTS[last]) if top < limits[last] else 0
     kept, sums = [], []
-    for s in range(last + 1):
+    for s in range(last, -1, -1):
         ahead = np.zeros((len(ids), block + longest + 1), np.uint16)
         if limits[s] <= top:
             np.cumsum(ids >= ids.dtype.type(limits[s]), axis=1, dtype=np.uint16, out=ahead[:, 1 : block + 1])
             ahead[:, block + 1 :] = ahead[:, block : block + 1]
-        least = int((ahead[:, COUNTS[s] : block + COUNTS[s]] - ahead[:, :block]).min())
-        if s == last or (COUNTS[s] > sure * (least + 1) and (WIDTHS[s] or not least)):
+        count = int(COUNTS[s])
+        escapes = ahead[:, count : block + count] - ahead[:, :block]
+        if s == last or gains(escapes[:-1], count, block, sure) or gains(escapes[-1:], count, end, sure):
             kept.append(s)
             sums.append(ahead)
     return np.array(kept), np.stack(sums)
 
 
 def pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """pack for some blocks, which step from word to word side by side."""
+    """pack for some blocks, which step from word to word side by side. Of equal selectors the widest wins."""
     n, rows = len(ids), -(-len(ids) // block)
     grid = np.zeros(rows * block, np.uint32 if int(ids.max()) < 1 << 32 else np.uint64)
     grid[:n] = ids
-    selectors, sums = too_wide(grid.reshape(rows, block), block)
-    counts, bits = COUNTS[selectors], WIDTHS[selectors]
-    here = np.arange(len(selectors) * rows).reshape(-1, rows) * sums.shape[2]
-    there, sums = here + counts[:, None], sums.ravel()
     ends = np.minimum(n - np.arange(rows) * block, block)
-    worths = (counts[:, None] / np.arange(1, counts.max() + 2)).astype(np.float32)
-    worths[bits == 0, 1:] = 0  # a slot of no bits has no room for the mark
-    by_selector = np.arange(len(selectors))[:, None] * worths.shape[1]
-    worths, at, steps = worths.ravel(), np.zeros(rows, np.int64), []
+    selectors, sums = too_wide(grid.reshape(rows, block), int(ends[-1]))
+    counts = COUNTS[selectors]
+    no_bits = WIDTHS[selectors] == 0
+    here = np.arange(len(selectors) * rows).reshape(-1, rows) * sums.shape[2]
+    there, sums, slots = here + counts[:, None], sums.ravel(), counts[:, None].astype(np.float32)
+    at, steps = np.zeros(rows, np.int64), []
     while (at < ends).any():
-        escapes = sums.take(there + at) - sums.take(here + at)
-        pick = worths.take(by_selector + escapes).argmax(axis=0)
-        took = np.minimum(counts.take(pick), ends - at)
+        escapes, left = sums.take(there + at) - sums.take(here + at), ends - at
+        worth = np.minimum(slots, left.astype(np.float32)) / (escapes + np.float32(1))
+        if no_bits.any():
+            worth[no_bits[:, None] & (escapes > 0)] = 0  # a slot of no bits has no room for the mark
+        pick = worth.argmax(axis=0)
+        took = np.minimum(counts.take(pick), left)
         steps.append((pick, at, took))
         at = at + took
     pick, at, took = (np.stack(part, axis=1) for part in zip(*steps))

@@ -45,15 +45,18 @@ def test_words_hold_varying_counts():
 
 
 def slow_words(ids, block):
-    """The selector of each word, one after another."""
+    """The selector of each word, one after another; of equal ones the widest, up to one that takes all ids."""
+    limits = [max((1 << width) - 1, 1) for width in token_files.WIDTHS.tolist()]
+    last = min([s for s, limit in enumerate(limits) if limit > max(ids)], default=15)
     out = []
     for at in range(0, len(ids), block):
         row, k = ids[at : at + block], 0
         while k < len(row):
             best, pick = 0, None
-            for s, (count, width) in enumerate(zip(token_files.COUNTS.tolist(), token_files.WIDTHS.tolist())):
-                wide = sum(x >= max((1 << width) - 1, 1) for x in row[k : k + count])
-                worth = 0 if wide and not width else count / (wide + 1)
+            for s in range(last, -1, -1):
+                count = int(token_files.COUNTS[s])
+                wide = sum(x >= limits[s] for x in row[k : k + count])
+                worth = 0 if wide and s < 2 else min(count, len(row) - k) / (wide + 1)
                 if worth > best:
                     best, pick = worth, s
             out.append(pick)
