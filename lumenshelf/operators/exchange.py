@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -216,9 +217,33 @@ def answered(page: DataFrame, asked: list[str], came: list[str]) -> DataFrame:
     return page.withColumns({"partial": F.lit(bool(missing)), "missing": F.array(*[F.lit(m) for m in missing]).cast("array<string>")})
 
 
-def routed(peers: DataFrame, sources: list[str] | None) -> DataFrame:
-    """The libraries (peer, source_id) to ask: those that hold a source in the caller's ceiling; all without one."""
-    return peers if sources is None else peers.where(F.col("source_id").isin(sources) if sources else F.lit(False))
+def routed(peers: Iterable[str], source: str | None, allowed: Collection[str] | None) -> tuple[bool, list[str]]:
+    """Whether the own library is asked, and which peers (named by the source that stands for each here).
+
+    A filter on a peer's source asks that peer alone, one on an own source no peer, none asks all. A peer
+    beyond the ceiling ``allowed`` (None: no ceiling) is never asked: a filter on it asks the own library, which
+    holds no row of that source, so nothing tells that the peer exists.
+    """
+    seen = sorted(p for p in peers if allowed is None or p in allowed)
+    if source is None:
+        return True, seen
+    return (False, [source]) if source in seen else (True, [])
+
+
+def federated(local: DataFrame, peers: dict[str, DataFrame], sort: str, descending: bool, limit: int, order: list[Column], source: str | None = None, allowed: Collection[str] | None = None, silent: Collection[str] = ()) -> DataFrame:
+    """A page over the own library and its peers (id, filename, size, source_id), with partial and missing.
+
+    The filter on a source and the ceiling hold ahead of the cut. The sources of a peer mean nothing here: its rows
+    come under the source that stands for it, and a filter on that takes its whole catalogue. A ``silent``
+    peer that was asked is missing from the page; if it was the only one, the page has no row to tell so.
+    """
+    own, asked = routed(peers, source, allowed)
+    mine = local if allowed is None else local.where(F.col("source_id").isin(list(allowed)))
+    mine = mine if source is None else mine.where(F.col("source_id") == source)
+    came = [p for p in asked if p not in silent]
+    streams = [tagged(mine if own else mine.where(F.lit(False)), "", True)]
+    streams += [tagged(peers[p].withColumn("source_id", F.lit(p)), p, False) for p in came]
+    return answered(merged(streams, sort, descending, limit, order), asked, came)
 
 
 def fed_total(totals: DataFrame) -> DataFrame:

@@ -114,7 +114,15 @@ def agg_counter_deltas(c: Catalog) -> DataFrame:
     return aggregates.with_deltas(aggregates.maintained(c, "source_media_stat"), aggregates.counter_deltas(before, after, keys), keys)
 
 
+def wiped_left(c: Catalog) -> DataFrame:
+    """Rows of each table once a catalogue is wiped; what is none of its tables stays."""
+    left = ingest.wiped({t: getattr(c, t) for t in WIPE})[0]
+    return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t, rows in left.items()])
+
+
 query("wipe_catalog", "SELECT 'asset' AS name, count(*) AS n FROM asset UNION ALL SELECT 'source_table', count(*) FROM source_table UNION ALL SELECT 'collection', count(*) FROM collection UNION ALL SELECT 'tag', count(*) FROM tag")(lambda c: ingest.wiped({t: getattr(c, t) for t in ("asset", "source_table", "collection", "tag", "asset_tag")})[1])
+WIPE = ("asset", "source_table", "collection", "tag", "asset_tag", "collection_member", "blocklist", "pending_ingest")
+query("wipe_catalog_left", " UNION ALL ".join(f"SELECT '{t}' AS name, {'count(*)' if t == 'pending_ingest' else 'CAST(0 AS BIGINT)'} AS n{f' FROM {t}' if t == 'pending_ingest' else ''}" for t in WIPE))(wiped_left)
 JOBS = "(SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'failed' END AS state, epoch_us(ts) // 1000 AS created_at FROM events)"
 query("page_jobs", f"SELECT id, kind, created_at FROM {JOBS} WHERE kind IN ('click', 'view') AND state = 'done' AND (created_at < 1704100000000 OR (created_at = 1704100000000 AND id < 500)) ORDER BY created_at DESC, id DESC LIMIT 51")(
     lambda c: review.jobs_page(c.base("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("user_id") % 3 == 0, "done").otherwise("failed").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at")), ["click", "view"], "done", (1704100000000, 500), 50).select("id", "kind", "created_at")
@@ -254,6 +262,29 @@ STREAMS = "(SELECT id, filename, size_bytes AS size, concat('peer', id % 3) AS p
 query("fed_merge", f"SELECT id, peer FROM {STREAMS} ORDER BY lower(filename) ASC NULLS FIRST, filename ASC NULLS FIRST, local DESC, CAST(id AS VARCHAR) LIMIT 100")(lambda c: exchange.merged(peers(c), "name", False, 100, [F.col("filename"), F.col("id")]).select("id", "peer"))
 query("win_fed_interleave", f"SELECT id, peer, CAST(rank AS INT) AS rank FROM {STREAMS} ORDER BY rank, local DESC, CAST(id AS VARCHAR) LIMIT 90")(lambda c: exchange.merged(peers(c), "relevance", False, 90, [F.col("filename"), F.col("id")]).select("id", "peer", "rank"))
 query("fed_query", f"SELECT id, peer, size, TRUE AS partial, 'peer2' AS missing FROM {STREAMS} WHERE peer <> 'peer2' ORDER BY size DESC NULLS LAST, local DESC, CAST(id AS VARCHAR) LIMIT 100")(lambda c: exchange.answered(exchange.merged(peers(c)[:2], "size", True, 100, [F.col("filename"), F.col("id")]), ["peer0", "peer1", "peer2"], ["peer0", "peer1"]).select("id", "peer", "size", "partial", F.array_join("missing", ",").alias("missing")))
+
+
+def federated(c: Catalog, **how) -> DataFrame:
+    """A page by name of the own library and two peers, which stand here as src6 and src7."""
+    rows = c.asset.select("id", "filename", F.col("size_bytes").alias("size"), "source_id")
+    catalogues = {"src6": rows.where("id % 3 = 1"), "src7": rows.where("id % 3 = 2")}
+    own = rows.where("id % 3 = 0 AND source_id NOT IN ('src6', 'src7')")
+    page = exchange.federated(own, catalogues, "name", False, 200, [F.col("filename"), F.col("id")], **how)
+    return page.select("id", "source_id", "partial", F.array_join("missing", ",").alias("missing"))
+
+
+def sql_federated(rows: str, missing: str = "") -> str:
+    """Some of the rows of all three libraries, in order of name."""
+    return f"""WITH f AS (SELECT id, filename, id % 3 = 0 AS local, CASE id % 3 WHEN 1 THEN 'src6' WHEN 2 THEN 'src7' ELSE source_id END AS source_id
+ FROM asset WHERE id % 3 <> 0 OR source_id NOT IN ('src6', 'src7'))
+SELECT id, source_id, {bool(missing)} AS partial, '{missing}' AS missing FROM f WHERE {rows}
+ORDER BY lower(filename) ASC NULLS FIRST, filename ASC NULLS FIRST, local DESC, CAST(id AS VARCHAR) LIMIT 200"""
+
+
+query("fed_route_all", sql_federated("source_id <> 'src6'", "src6"))(lambda c: federated(c, silent=["src6"]))
+query("fed_route_peer", sql_federated("source_id = 'src7'"))(lambda c: federated(c, source="src7"))
+query("fed_route_local", sql_federated("source_id = 'src1'"))(lambda c: federated(c, source="src1", silent=["src6"]))
+query("fed_route_ceiling", sql_federated("source_id IN ('src1', 'src2', 'src7')"))(lambda c: federated(c, allowed=["src1", "src2", "src7"]))
 query("agg_fed_total", "SELECT sum(n)::BIGINT AS total FROM (SELECT id % 3 AS peer, count(*) AS n FROM asset GROUP BY 1)")(lambda c: exchange.fed_total(c.asset.groupBy((F.col("id") % 3).alias("peer")).agg(F.count(F.lit(1)).alias("total"))))
 query("fed_gate", "SELECT concat('peer', n_nationkey) AS peer FROM nation WHERE n_nationkey % 3 = 1")(lambda c: exchange.same_protocol(c.base("nation").select(F.concat(F.lit("peer"), "n_nationkey").alias("peer"), F.concat((F.col("n_nationkey") % 3).cast("string"), F.lit("."), "n_nationkey").alias("protocol")), "1.0").select("peer"))
 

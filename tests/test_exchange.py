@@ -76,3 +76,40 @@ def test_a_manifest_keeps_order_and_repeats(spark, tmp_path):
 def test_formats_and_admission(spark, path, found, taken):
     r = spark.range(1).select(exchange.detected_media(F.lit(path)).alias("m"), exchange.detected_format(F.lit(path)).alias("f"), exchange.admitted(F.lit(path)).alias("a")).first()
     assert (f"{r['m']}:{r['f']}" if r["m"] else None) == found and bool(r["a"]) == taken
+
+
+@pytest.mark.parametrize(
+    ("source", "allowed", "own", "asked"),
+    [
+        (None, None, True, ["p1", "p2"]),
+        (None, ["s1", "p2"], True, ["p2"]),
+        (None, [], True, []),
+        ("p1", None, False, ["p1"]),
+        ("p1", ["p1"], False, ["p1"]),
+        ("p1", ["s1", "p2"], True, []),
+        ("s1", None, True, []),
+        ("gone", None, True, []),
+    ],
+)
+def test_routes(source, allowed, own, asked):
+    assert exchange.routed(["p2", "p1"], source, allowed) == (own, asked)
+
+
+def test_federated_pages(spark):
+    rows = "id long, filename string, size long, source_id string"
+    local = spark.createDataFrame([(1, "b", 1, "s1"), (2, "a", None, "s2"), (3, None, 3, None)], rows)
+    theirs = {"p1": spark.createDataFrame([(1, "A", 5, "s1"), (9, "c", 6, None)], rows), "p2": spark.createDataFrame([], rows)}
+
+    def page(**how):
+        found = exchange.federated(local, theirs, "name", False, how.pop("limit", 10), [F.col("id")], **how).collect()
+        return [(r["id"], r["source_id"]) for r in found], {(r["partial"], *r["missing"]) for r in found}
+
+    # Another library's source of the same name is no own source, and names compare without case first.
+    assert page() == ([(3, None), (1, "p1"), (2, "s2"), (1, "s1"), (9, "p1")], {(False,)})
+    assert page(source="s1") == ([(1, "s1")], {(False,)})
+    assert page(source="p1", limit=1) == ([(1, "p1")], {(False,)})
+    assert page(source="p1", allowed=["s1"]) == ([], set())
+    assert page(allowed=["s1"], silent=["p1"]) == ([(1, "s1")], {(False,)})
+    assert page(silent=["p1"]) == ([(3, None), (2, "s2"), (1, "s1")], {(True, "p1")})
+    assert page(source="p1", silent=["p1"]) == ([], set())
+    assert page(allowed=[]) == ([], set())
