@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions.text import nocase
-from lumenshelf.operators.filters import BadRequest
+from lumenshelf.operators.filters import BadRequest, Visibility
 
 PAIR = ["asset_id", "tag_id"]
 KEEP = object()
@@ -180,3 +180,19 @@ def jobs_page(jobs: DataFrame, kinds: list[str], state: str | None, last: tuple[
     if last is not None:
         rows = rows.where((F.col("created_at") <= last[0]) & ((F.col("created_at") < last[0]) | (F.col("id") < last[1])))
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1)
+
+
+def names_in(raw: Column) -> Column:
+    """The strings of a JSON list; nothing readable, and a list with a null, counts as empty."""
+    found = F.from_json(raw, "array<string>")
+    return F.when(found.isNotNull() & ~F.exists(found, lambda x: x.isNull()), found).otherwise(F.array().cast("array<string>"))
+
+
+def jobs_visible(jobs: DataFrame, ceiling: Visibility) -> DataFrame:
+    """Jobs (sources and collections as JSON lists) that may be watched: under a ceiling, those that touch something
+    and nothing beyond it, since a job tells the paths it is at."""
+    if ceiling.full:
+        return jobs
+    sources, collections = names_in(F.col("sources")), names_in(F.col("collections"))
+    within = lambda names, seen: F.forall(names, lambda x: x.isin(sorted(map(str, seen))))
+    return jobs.where((F.size(sources) + F.size(collections) > 0) & within(sources, ceiling.sources) & within(collections, ceiling.collections))

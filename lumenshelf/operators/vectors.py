@@ -43,6 +43,11 @@ def nearest(vectors: DataFrame, vector: list[float], k: int, space: str | None =
     return rows.select("id", F.round(cosine(F.col("vec"), literal(vector)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def spaces_of(vectors: DataFrame) -> DataFrame:
+    """What a library tells others of its spaces: space_id, dim and n. Vectors compare within a row of it alone."""
+    return vectors.where("vec IS NOT NULL").groupBy("space_id", F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def checked_vector(vectors: DataFrame, space: str, vector: list[float]) -> list[float]:
     """The vector, if the space exists and has its dimension."""
     first = vectors.where(F.col("space_id") == space).select(F.size("vec").alias("dim")).first()

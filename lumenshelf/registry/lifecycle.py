@@ -124,6 +124,21 @@ query("wipe_catalog", "SELECT 'asset' AS name, count(*) AS n FROM asset UNION AL
 WIPE = ("asset", "source_table", "collection", "tag", "asset_tag", "collection_member", "blocklist", "pending_ingest")
 query("wipe_catalog_left", " UNION ALL ".join(f"SELECT '{t}' AS name, {'count(*)' if t == 'pending_ingest' else 'CAST(0 AS BIGINT)'} AS n{f' FROM {t}' if t == 'pending_ingest' else ''}" for t in WIPE))(wiped_left)
 JOBS = "(SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'failed' END AS state, epoch_us(ts) // 1000 AS created_at FROM events)"
+TOUCHED = """CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '["src1", src2' WHEN 2 THEN '[]' ELSE concat('["src', user_id % 4, '","src', event_id % 5, '"]') END AS sources,
+ CASE WHEN event_id % 4 = 0 THEN concat('["', event_id % 5, '"]') END AS collections"""
+OPEN = "CASE WHEN json_valid({0}) THEN from_json({0}, '[\"VARCHAR\"]') ELSE [] END AS {0}"
+
+
+@query("jobs_under_ceiling", f"""WITH j AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS created_at, {TOUCHED} FROM events),
+t AS (SELECT id, created_at, {OPEN.format('sources')}, {OPEN.format('collections')} FROM j)
+SELECT id, created_at FROM t WHERE len(sources) + len(collections) > 0
+ AND list_has_all(['src1', 'src2', 'src3'], sources) AND list_has_all(['1', '2'], collections)""")
+def jobs_under_ceiling(c: Catalog) -> DataFrame:
+    created = F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at")
+    jobs = c.base("events").select(F.col("event_id").alias("id"), created, "event_id", "user_id").selectExpr("id", "created_at", *[line.strip().rstrip(",") for line in TOUCHED.split("\n")])
+    return review.jobs_visible(jobs, Visibility.only(["src1", "src2", "src3"], [1, 2])).select("id", "created_at")
+
+
 query("page_jobs", f"SELECT id, kind, created_at FROM {JOBS} WHERE kind IN ('click', 'view') AND state = 'done' AND (created_at < 1704100000000 OR (created_at = 1704100000000 AND id < 500)) ORDER BY created_at DESC, id DESC LIMIT 51")(
     lambda c: review.jobs_page(c.base("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("user_id") % 3 == 0, "done").otherwise("failed").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at")), ["click", "view"], "done", (1704100000000, 500), 50).select("id", "kind", "created_at")
 )

@@ -143,6 +143,9 @@ def knn_ivf_recall(c: Catalog) -> DataFrame:
     return indexed.join(asked.agg(F.count(F.lit(1)).alias("asked"))).join(share)
 
 
+query("vector_spaces", f"{sql_spaces(3)} SELECT space_id, CAST(len(vec) AS INT) AS dim, count(*) AS n FROM v WHERE vec IS NOT NULL GROUP BY 1, 2")(lambda c: vectors.spaces_of(spaces(c, 3)))
+
+
 @query("ann_overlay", f"{sql_spaces()} SELECT id, space_id FROM v WHERE id % 10 <> 3 OR id % 20 = 3 UNION ALL SELECT id + 1000000, space_id FROM v WHERE id % 100 = 0")
 def ann_overlay(c: Catalog) -> DataFrame:
     """Deletions, upserts and new rows as generations of an index, some of which are written anew on the way."""

@@ -249,3 +249,29 @@ def test_hidden_assets_do_not_bridge(spark, sf_dir):
     assert whole == {1: 1, 2: 1, 3: 1}
     assert vectors.close_pairs(rows.where("id <> 2"), 0.92).collect() == []
     assert visible(cat, cat.asset, Visibility.only(["src1"])).where("source_id <> 'src1'").count() == 0
+
+
+def test_jobs_under_a_ceiling(spark):
+    jobs = [
+        (1, '["s1"]', None),
+        (2, '["s1","s2"]', None),
+        (3, None, '["7"]'),
+        (4, '["s1"]', '["8"]'),
+        (5, None, None),
+        (6, "[]", ""),
+        (7, '["s1"', None),
+        (8, '{"a": 1}', None),
+        (9, "[null]", None),
+        (10, '["s1", "s1"]', '["7"]'),
+    ]
+    rows = spark.createDataFrame(jobs, "id long, sources string, collections string")
+    seen = lambda ceiling: sorted(r["id"] for r in review.jobs_visible(rows, ceiling).collect())
+    assert seen(Visibility()) == list(range(1, 11))
+    assert seen(Visibility.only(["s1"], [7])) == [1, 3, 10]
+    assert seen(Visibility.only(["s1", "s2"])) == [1, 2]
+    assert seen(Visibility.only()) == []
+
+
+def test_spaces_are_told_by_dimension(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0]), (2, "a", [1.0]), (3, "a", [1.0, 2.0]), (4, None, [1.0]), (5, "b", None)], "id long, space_id string, vec array<double>")
+    assert {tuple(r) for r in vectors.spaces_of(rows).collect()} == {("a", 1, 2), ("a", 2, 1), (None, 1, 1)}
