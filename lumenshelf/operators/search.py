@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
+from lumenshelf.functions.storage import settled
+from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.projections import confirmed_tags
 from lumenshelf.sources.fixtures import Catalog
 
@@ -16,6 +21,8 @@ WEIGHTS = {"filename": 10.0, "tokens": 5.0, "tags": 4.0, "note": 3.0, "folder":
 AUTHORED = ("filename", "tokens", "tags", "note", "folder")
 K1, B = 1.2, 0.75
 SUBSTRING_RANK, SHORT_WINDOW = 1e9, 4096
+#: Tokens that are counted at once, or those of one row.
+BATCH_TOKENS = 1 << 18
 
 
 def search_rows(cat: Catalog) -> DataFrame:
@@ -94,14 +101,47 @@ def search(cat: Catalog, text: str, limit: int = 100, keep: DataFrame | None = N
     return (found if keep is None else found.join(keep.select("id"), "id", "left_semi")).orderBy(*relevance()).limit(limit)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Search rows as id, name, length and posts: each distinct token of a row with its weight (how often in which
+    columns, weighted) and authored. An id comes once, so tokens are counted where the row is, not by a grouping."""
+
+    def parts(batch):
+        tokens = np.cumsum(sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy().astype(np.int64) for c in batch.columns[3:]))
+        cuts = [0, *(np.flatnonzero(np.diff(tokens // BATCH_TOKENS)) + 1).tolist(), batch.num_rows]
+        return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in parts(whole)):
+            lists = [batch.column(3 + k) for k in range(len(WEIGHTS))]
+            sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy() for c in lists]
+            whole = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in lists])
+            words = pa.concat_arrays([c.flatten() for c in lists]).dictionary_encode()
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+            weight = np.repeat(list(WEIGHTS.values()), [n.sum() for n in sizes])
+            authored = np.repeat([c in AUTHORED for c in WEIGHTS], [n.sum() for n in sizes])
+            n_words, kept = max(len(words.dictionary), 1), whole[row]
+            keys, place = np.unique((row * n_words + words.indices.to_numpy())[kept], return_inverse=True)
+            sums = np.bincount(place, weight[kept], len(keys))
+            told = np.bincount(place, authored[kept], len(keys)) > 0
+            offsets = np.searchsorted(keys, np.arange(batch.num_rows + 1) * n_words).astype(np.int32)
+            posts = pa.StructArray.from_arrays([words.dictionary.take(pa.array(keys % n_words)), pa.array(sums), pa.array(told)], ["term", "weight", "authored"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), posts)], ["id", "name", "length", "posts"])
+
+    length = reduce(lambda a, b: a + b, [F.size(c) for c in WEIGHTS]).alias("length")
+    return map_arrow(rows.select(F.col("id").cast("long").alias("id"), "name", length, *WEIGHTS), run, "id long, name string, length int, posts array<struct<term string, weight double, authored boolean>>")
+
+
 def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An inverted index of search rows: term, id, weight (how often in which columns, weighted) and authored;
-    and what the ranking needs of each row: id, name, length. Written in order of term, a prefix reads few files."""
-    # All columns in one list, so that the rows are read once.
-    tagged = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"), F.lit(c in AUTHORED).alias("authored")))
-    each = rows.select("id", F.explode(F.concat(*[tagged(c, w) for c, w in WEIGHTS.items()])).alias("t"))
-    terms = each.groupBy(F.col("t.term").alias("term"), "id").agg(F.sum("t.w").alias("weight"), F.max("t.authored").alias("authored"))
-    return terms, rows.select("id", "name", reduce(lambda a, b: a + b, [F.size(c) for c in WEIGHTS]).alias("length"))
+    """An inverted index of search rows, each id once: term, id, weight and authored; and what the ranking needs of each
+    row: id, name, length. Both read one written table, so that rows are made and counted once."""
+    once = settled(counted(rows))
+    return once.select("id", F.explode("posts").alias("t")).select("t.term", "id", "t.weight", "t.authored"), once.select("id", "name", "length")
+
+
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows in ranges of the keys, sorted within: written so, a prefix reads few files. With the id as last key, a
+    common term takes as many ranges as it needs."""
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]], n: int | None = None, total: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
-from lumenshelf.functions.storage import Versions, removed, settled, shared_folder
+from lumenshelf.functions.storage import Versions, removed, shared_folder
 from lumenshelf.operators import search
 
 #: A segment is merged with the one before it until that is this many times larger.
@@ -97,10 +97,10 @@ class TextIndex:
         return self.snapshot()
 
     def indexed(self, rows: DataFrame, at: int) -> tuple[dict, int]:
-        """A segment of search rows. Their tokens are made once and written, since postings and rows both need them."""
-        once = settled(rows)
-        found = self.segment(*search.postings(once), at)
-        removed(self.spark, *{f.rpartition("/")[0] for f in once.inputFiles()})
+        """A segment of search rows. What postings wrote goes once the segment is there."""
+        terms, kept = search.postings(rows)
+        found = self.segment(terms, kept, at)
+        removed(self.spark, *{f.rpartition("/")[0] for f in kept.inputFiles()})
         return found
 
     def segment(self, terms: DataFrame, rows: DataFrame, at: int) -> tuple[dict, int]:
@@ -108,8 +108,7 @@ class TextIndex:
         names = {kind: self.versions.part(kind) for kind in ("terms", "rows", "grams")}
 
         def write(table: DataFrame, kind: str, *order: str) -> None:
-            ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
-            ranged.write.option("parquet.block.size", ROW_GROUP).parquet(self.versions.at(names[kind]))
+            search.in_order(table, *order).write.option("parquet.block.size", ROW_GROUP).parquet(self.versions.at(names[kind]))
 
         write(rows, "rows", "id")
         kept = self.spark.read.parquet(self.versions.at(names["rows"]))

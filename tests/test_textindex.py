@@ -62,3 +62,29 @@ def test_search_reads_no_document(spark, sf_dir):
     assert found.count() == 20
     keep = spark.range(0, 60)
     assert {r["id"] for r in textindex.kept_index(Catalog(spark, sf_dir)).snapshot().search("the", 20, keep).collect()} <= set(range(60))
+
+
+def test_postings_are_counted_within_rows(spark):
+    """A grouping by token and row keeps each of them in a task's memory, and a term's rows in one task."""
+    from collections import Counter
+
+    rows = [(k, f"n{k}", ["the", "a"], ["the"], [], ["the", "b"] * (k % 3), [], ["the", f"w{k % 7}", "the"]) for k in range(3000)]
+    rows += [(3000, "none", [], [], [], [], [], []), (3001, "null", None, ["x"], [], [], [], [])]
+    frame = spark.createDataFrame(rows, "id long, name string, " + ", ".join(f"{c} array<string>" for c in search.WEIGHTS))
+    plan = search.counted(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    terms, lengths = search.postings(frame)
+    want, told = Counter(), set()
+    for r in rows[:-1]:
+        for (column, weight), tokens in zip(search.WEIGHTS.items(), r[2:]):
+            for t in tokens:
+                want[r[0], t] += weight
+                told |= {(r[0], t)} if column in search.AUTHORED else set()
+    assert {(r["id"], r["term"]): (r["weight"], r["authored"]) for r in terms.collect()} == {k: (w, k in told) for k, w in want.items()}
+    assert terms.count() == len(want) and lengths.count() == len(rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = search.in_order(terms.where("term = 'the'"), "term", "id").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 2000  # of 3,000
