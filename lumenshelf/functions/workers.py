@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -33,6 +34,13 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def in_parts(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, where each row becomes Python objects or large arrays for a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def group_arrow(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
     """df.groupBy(keys).applyInArrow with the package at hand. The plan itself demands that a group comes
     whole to one task; a repartition ahead of map_arrow may be optimised away."""

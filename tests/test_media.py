@@ -114,3 +114,13 @@ def test_continuous_features_of_fixed_sounds():
     assert abs(noise["brightness"] - 0.5) < 0.05
     assert (silence["loudness_db"], silence["brightness"], silence["harmonicity"], silence["loopability"]) == (-100.0, 0.0, 0.0, 0.0)
     assert tone["is_loop"] and tone["loopability"] > 0.62
+
+
+def test_results_leave_in_small_parts(spark):
+    """A batch of thousands of images is not held with all of its features."""
+    held = []
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "8 AS height", "8 AS width", "1 AS channels", "CAST(repeat('x', 64) AS BINARY) AS data", "false AS bgr")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(media, "map_arrow", lambda df, run, schema: held.extend(b.num_rows for b in run(iter(df.toArrow().to_batches()))))
+        media.image_table(rows)
+    assert sum(held) == 1000 and max(held) <= 128
