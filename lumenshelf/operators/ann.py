@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenshelf.functions.storage import Versions, settled, shared_folder
-from lumenshelf.functions.workers import map_arrow
+from lumenshelf.functions.workers import in_parts, map_arrow
 from lumenshelf.operators import vectors as V
 
 #: Rows of a space that its cells are fitted on (expected number), and the most cells of a space. Centres
@@ -26,6 +26,10 @@ FIT_ROWS, MAX_CELLS, FIT_ROUNDS = 20_000, 4096, 8
 COMPACT_AT = 256
 #: Cells that a search reads unless told otherwise, and queries on which that number is tuned.
 PROBES, TUNE_QUERIES = 8, 200
+#: Rows that are compared with all centres at once: 4096 of these take 32 MB.
+PART_ROWS = 1024
+#: Groups of cells that close pairs meet in, as long as a block's vectors take no more bytes than this.
+GROUPS, BLOCK_BYTES = 8, 8 << 20
 #: Scores are rounded to six places, and angles a little off count as met.
 SLACK = 2e-6
 ROWS = "id long, space_id string, vec array<double>"
@@ -78,7 +82,7 @@ def placed(rows: DataFrame, cells: Cells) -> DataFrame:
     """rows (id, space_id, vec) with the cell of each and its cosine to the centre."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, PART_ROWS):
             cell, cosine = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
             for picked, places, x in by_kind(batch, cells):
                 scores = x @ np.stack([cells.centres[p] for p in places]).T
@@ -112,7 +116,7 @@ def probes_of(queries: DataFrame, cells: Cells, probes: int, skip: int = 0) -> D
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, PART_ROWS):
             for picked, places, x in by_kind(batch, cells):
                 cosines = x @ np.stack([cells.centres[p] for p in places]).T
                 order = np.argsort(-cosines, axis=1, kind="stable")
@@ -283,9 +287,33 @@ def fresh_index(spark: SparkSession) -> VectorIndex:
 # --- joins of all close pairs through cells ------------------------------------------------------------
 
 
-def visits(rows: DataFrame, cells: Cells, least: float) -> DataFrame:
-    """The cells beyond its own, of a greater number, that each placed row (id, space_id, vec, cell) can have a
-    partner in: id, vec, cell (the one visited).
+def neighbourhoods(rows: DataFrame, cells: Cells, block_rows: int | None = None) -> tuple[np.ndarray, int]:
+    """The group of each cell, and the rows of a block: cells of a space along the main axis of their centres, until a
+    block is full. A row is sent once to a group, however many of its cells it visits: vectors without structure are
+    moved as often as there are groups, not cells."""
+    counts, size = np.zeros(len(cells.spaces), np.int64), np.array([len(c) for c in cells.centres])
+    for r in rows.where("cell >= 0").groupBy("cell").count().collect():
+        counts[r["cell"]] = r["count"]
+    kinds = [cells.of(s, d) for s, d in sorted({(s, int(d)) for s, d in zip(cells.spaces, size)}, key=str)]
+    if block_rows is None:
+        most = max((int(counts[k].sum()) for k in kinds), default=0)
+        block_rows = max(64, min(max(V.BLOCK_ROWS, most // GROUPS), BLOCK_BYTES // (8 * max(1, *size, 1))))
+    groups, at = np.full(len(counts), -1, np.int64), 0
+    for places in kinds:
+        centres = np.stack([cells.centres[p] for p in places])
+        axis = np.linalg.svd(centres, full_matrices=False)[2][0] if centres.shape[1] else np.zeros(0)
+        held = 0
+        for p in places[np.argsort(centres @ axis, kind="stable")]:
+            if held and held + counts[p] > block_rows:
+                at, held = at + 1, 0
+            groups[p], held = at, held + counts[p]
+        at += 1
+    return groups, block_rows
+
+
+def visits(rows: DataFrame, cells: Cells, least: float, groups: np.ndarray) -> DataFrame:
+    """The groups of cells beyond its own that each placed row (id, space_id, vec, cell) can have a partner in, in
+    a cell of a greater number: id, vec, group.
 
     A partner lies within the threshold's angle. So the row's angle to the other centre is at most the
     cell's widest and that together, and since the partner is nearer to that centre than to the row's
@@ -309,19 +337,23 @@ def visits(rows: DataFrame, cells: Cells, least: float) -> DataFrame:
                     near &= (cosines[np.arange(len(own)), own][:, None] - cosines) / width <= np.sin(min(angle, np.pi / 2)) + SLACK
                     near &= (places[None, :] > home[:, None]) & part.any(axis=1)[:, None] & centres.any(axis=1)[None, :]
                     i, j = np.nonzero(near)
+                    found = np.unique(np.stack([i, groups[places[j]]]), axis=1)
+                    i, group = found[:, found[1] != groups[home[found[0]]]]
                     of = pa.array(picked[at : at + 1024][i])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(places[j].astype(np.int32))], ["id", "vec", "cell"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(group)], ["id", "vec", "group"])
 
-    return map_arrow(rows.select("id", "space_id", "vec", "cell"), run, "id long, vec array<double>, cell int")
+    return map_arrow(rows.select("id", "space_id", "vec", "cell"), run, "id long, vec array<double>, group long")
 
 
-def cell_meetings(rows: DataFrame, cells: Cells, least: float, block_rows: int = V.BLOCK_ROWS) -> DataFrame:
+def cell_meetings(rows: DataFrame, cells: Cells, least: float, block_rows: int | None = None) -> DataFrame:
     """Pairs of blocks in which all close pairs of placed rows meet: rows, more and same, as in vectors.paired_blocks."""
-    homes = settled(V.blocks_of(rows, "id", ["cell"], block_rows).withColumnsRenamed({"id_block": "block", "id_rows": "rows"}))
-    guests = V.blocks_of(visits(rows, cells, least), "id", ["cell"], block_rows).withColumnsRenamed({"id_block": "other", "id_rows": "more"})
-    within = homes.join(homes.select("cell", F.col("block").alias("other"), F.col("rows").alias("more")), "cell").where("other >= block")
-    across = homes.join(guests, "cell")
-    return within.select("cell", "block", "other", "rows", "more", (F.col("block") == F.col("other")).alias("same")).unionByName(across.select("cell", "block", "other", "rows", "more", F.lit(False).alias("same"))).repartition("cell", "block", "other", "same").select("rows", "more", "same")
+    groups, block_rows = neighbourhoods(rows, cells, block_rows)
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in groups]), F.col("cell") + 1).cast("long")
+    homes = settled(V.blocks_of(rows.where("cell >= 0").withColumn("group", group), "id", ["group"], block_rows).withColumnsRenamed({"id_block": "block", "id_rows": "rows"}))
+    guests = V.blocks_of(visits(rows, cells, least, groups), "id", ["group"], block_rows).withColumnsRenamed({"id_block": "other", "id_rows": "more"})
+    within = homes.join(homes.select("group", F.col("block").alias("other"), F.col("rows").alias("more")), "group").where("other >= block")
+    across = homes.join(guests, "group")
+    return within.select("group", "block", "other", "rows", "more", (F.col("block") == F.col("other")).alias("same")).unionByName(across.select("group", "block", "other", "rows", "more", F.lit(False).alias("same"))).repartition("group", "block", "other", "same").select("rows", "more", "same")
 
 
 def near_links(vectors: DataFrame, least: float = V.NEAR_COSINE, cells_wanted: int | None = None) -> DataFrame:

@@ -110,3 +110,32 @@ def test_few_pairs_meet_where_vectors_have_structure(spark):
         cells.least[r["cell"]] = r["min(cosine)"]
     met = ann.comparisons(ann.cell_meetings(placed, cells, 0.92, 64))
     assert met < 0.15 * 900 * 899 / 2
+
+
+def test_vectors_without_structure_are_sent_to_few_groups(spark):
+    """Sent to each cell, rows would be moved once for each of a number of cells that grows with the table."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, "s", v.tolist()) for k, v in enumerate(rng.standard_normal((900, 16)))], SCHEMA)
+    cells = ann.fitted(rows)
+    placed = settled(ann.placed(rows, cells))
+    for r in placed.groupBy("cell").agg({"cosine": "min"}).collect():
+        cells.least[r["cell"]] = r["min(cosine)"]
+    groups, size = ann.neighbourhoods(placed, cells, 300)
+    moved = ann.visits(placed, cells, 0.3, groups).groupBy("id").count().agg({"count": "max"}).first()[0]
+    assert len(cells.spaces) > 25 and moved <= len(set(groups)) - 1 <= 5
+    met = vectors.block_links(ann.cell_meetings(placed, cells, 0.3, 300), 0.3)
+    root = lambda links: {r["id"]: r["root"] for r in vectors.components(links).collect()}
+    assert root(met) == root(vectors.close_pairs(rows, 0.3))
+
+
+def test_few_rows_meet_all_centres_at_once(spark):
+    """Rows by centres is a matrix, and a batch has thousands of rows."""
+    from unittest import mock
+
+    cells, held = ann.Cells(["s"] * 2, [np.array([1.0, 0.0]), np.zeros(2)], np.ones(2)), []
+    batches = spark.range(5000).selectExpr("id", "'s' AS space_id", "array(1.0D, id) AS vec").coalesce(1).toArrow().to_batches()
+    with mock.patch.object(ann, "map_arrow", lambda df, run, schema: held.append([b.num_rows for b in run(iter(batches))])):
+        frame = spark.range(0).selectExpr("id", "id AS qid", "'s' AS space_id", "array(1.0D) AS vec")
+        ann.placed(frame, cells)
+        ann.probes_of(frame, cells, 1)
+    assert [sum(h) for h in held] == [5000, 5000] and max(map(max, held)) <= ann.PART_ROWS
