@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenshelf.functions import digests
 from lumenshelf.functions.storage import settled
 from lumenshelf.functions.workers import map_arrow
 
@@ -23,6 +24,8 @@ ALIASES = {"oga": "ogg", "aif": "aiff", "jpeg": "jpg", "tif": "tiff", "markdown"
 NOISE_DIRS = tuple("node_modules .git .svn .hg vendor target build dist __pycache__ .venv venv .tox .gradle cmakefiles obj bin library temp intermediate saved deriveddatacache".split())
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "eula")
 VIDEO_CONTAINERS = ("mp4", "mov", "m4v")
+#: Files up to this many bytes are read as one row; the bytes of larger ones are dealt to many tasks.
+WHOLE_FILE = 64 << 20
 
 
 def extension(path: Column) -> Column:
@@ -66,14 +69,40 @@ def walk(spark: SparkSession, root: str, scopes: list[str] | None = None, patter
 
     Listing runs in the source; without ``content`` the bytes are never read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    rows = files_of(spark, root, scopes, pattern)
+    return rows.select(*entry_columns(root), *(["content"] if content else []))
+
+
+def files_of(spark: SparkSession, root: str, scopes: list[str] | None, pattern: str | None, kind: str = "binaryFile", **options: str) -> DataFrame:
+    reader = spark.read.format(kind).options(recursiveFileLookup="true", ignoreMissingFiles="true", **options)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.load([f"{root}/{s}" for s in scopes] if scopes else root)
+    return reader.load([f"{root}/{s}" for s in scopes] if scopes else root)
+
+
+def entry_columns(root: str) -> list[Column]:
     # Spark writes a local path with its scheme; the relative one begins behind the root.
     rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    cols = [rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
-    return rows.select(*cols, *(["content"] if content else []))
+    return [rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
+
+
+def fetched(spark: SparkSession, root: str, scopes: list[str] | None = None, pattern: str | None = None, whole_file: int = WHOLE_FILE, round_bytes: int = digests.ROUND_BYTES) -> DataFrame:
+    """Files as ``walk`` lists them, with the SHA-256 of their bytes (sha).
+
+    A file above ``whole_file`` is read in splits by the text reader, as lines of any bytes, so that no task reads or
+    holds it whole and none is too large. Names of packed files are the exception, since that reader would unpack them.
+    """
+    # Conditions on _metadata leave files out when they are listed, so that bytes are read once at most.
+    name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    parted = (size > whole_file) & ~name.rlike(digests.PACKED) if digests.resumable() else F.lit(False)
+    rows = files_of(spark, root, scopes, pattern)
+    whole = rows.where(~parted).select(*entry_columns(root), F.sha2("content", 256).alias("sha"))
+    large = settled(rows.where(parted).select(*entry_columns(root), name.alias("key")))
+    if large.isEmpty():
+        return whole
+    lines = files_of(spark, root, scopes, pattern, "text", lineSep="\n").where(parted).select(name.alias("key"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    found = digests.digests(lines, large.select("key", "size"), round_bytes)
+    return whole.unionByName(large.join(found, "key").select("path", "size", "mtime", "sha"))
 
 
 def sanitised(name: Column) -> Column:

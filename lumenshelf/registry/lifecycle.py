@@ -232,8 +232,9 @@ query("detect_format", f"SELECT id, split_part(x, ':', 1) AS media, split_part(x
 )
 query("detect_ingest_policy", "SELECT id, NOT (media_type = 'document' AND id % 3 = 0) AS admitted FROM asset")(lambda c: c.asset.select("id", exchange.admitted(F.when(F.expr("id % 3 = 0"), F.concat(F.lit("a/Node_Modules/"), "path")).otherwise(F.col("path"))).alias("admitted")))
 query("refine_container", "SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'audio' ELSE 'video' END AS media FROM video_attr")(lambda c: c.video_attr.select("asset_id", exchange.refined(F.lit("video"), F.col("container"), F.expr("CASE WHEN asset_id % 3 = 0 THEN FALSE WHEN asset_id % 3 = 1 THEN TRUE END")).alias("media")))
-for _name, _keep in (("source_walk", None), ("source_walk_filtered", "*.parquet"), ("source_fetch", None)):
-    query(_name)(lambda c, k=_keep, f=_name == "source_fetch": exchange.walk(c.spark, c.sf_dir, pattern=k, content=f).select("path", "size", *([F.sha2("content", 256).alias("sha")] if f else [])))
+for _name, _keep in (("source_walk", None), ("source_walk_filtered", "*.parquet")):
+    query(_name)(lambda c, k=_keep: exchange.walk(c.spark, c.sf_dir, pattern=k).select("path", "size"))
+query("source_fetch")(lambda c: exchange.fetched(c.spark, c.sf_dir).select("path", "size", "sha"))
 query("source_walk_scoped")(lambda c: exchange.walk(c.spark, c.sf_dir, scopes=["region.parquet", "nation.parquet"]).select("path", "size"))
 @query("export_json", "SELECT id, filename, license_status FROM asset")
 def export_json(c: Catalog) -> DataFrame:

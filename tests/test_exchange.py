@@ -1,11 +1,15 @@
 """Names, formats and written exports."""
 
+import gzip
 import json
+from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenshelf.functions import digests
 from lumenshelf.operators import exchange
 
 
@@ -113,3 +117,30 @@ def test_federated_pages(spark):
     assert page(silent=["p1"]) == ([(3, None), (2, "s2"), (1, "s1")], {(True, "p1")})
     assert page(source="p1", silent=["p1"]) == ([], set())
     assert page(allowed=[]) == ([], set())
+
+
+def test_digests_of_large_files_are_made_in_parts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    files = {
+        "a.bin": rng.integers(0, 256, 130_001, np.uint8).tobytes(), "sub/b [x] %20ä.parquet": rng.integers(9, 14, 30_000, np.uint8).tobytes(), "ends.txt": b"one\r\ntwo\n" * 3_000, "lines.txt": b"\n" * 20_000,
+        "mark.csv": b"\xef\xbb\xbf" + b"a,b\n" * 9_000, "mark_open.csv": b"\xef\xbb\xbf" + b"a,b\n" * 9_000 + b"c", "none.bin": b"\0" * 61_000, "packed.gz": gzip.compress(rng.bytes(50_000)), "small": b"x\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    assert digests.resumable()
+    # Splits shorter than a file, and whole rows refused above the size of the packed one.
+    conf = {"spark.sql.files.maxPartitionBytes": "9973", "spark.sql.files.openCostInBytes": "1", "spark.sql.sources.binaryFile.maxLength": "60000"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        found = exchange.fetched(spark, str(tmp_path), whole_file=1_000, round_bytes=45_000)
+        got = {r["path"]: (r["size"], r["sha"]) for r in found.collect()}
+        # No part, which is what a task reads of a file, is longer than a split and the line that leaves it.
+        lines = exchange.files_of(spark, str(tmp_path / "a.bin"), None, None, "text", lineSep="\n").selectExpr("_metadata.file_path AS key", "_metadata.file_block_start AS start", "CAST(value AS BINARY) AS value")
+        parts = digests.line_parts(lines, 45_000).groupBy("start").agg(F.sum("n").alias("n")).collect()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert got == {name: (len(data), sha256(data).hexdigest()) for name, data in files.items()}
+    assert len(parts) > 10 and max(r["n"] for r in parts) < 9973 + 4000
