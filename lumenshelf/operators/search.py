@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 SUBSTRING_RANK, SHORT_WINDOW = 1e9, 4096
 #: Tokens that are counted at once, or those of one row.
 BATCH_TOKENS = 1 << 18
+#: Rows of an index that one task sorts and writes.
+RANGE_ROWS = 1 << 20
 
 
 def search_rows(cat: Catalog) -> DataFrame:
@@ -140,8 +142,10 @@ def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def in_order(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows in ranges of the keys, sorted within: written so, a prefix reads few files. With the id as last key, a
-    common term takes as many ranges as it needs."""
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    common term takes as many ranges as it needs. Their number follows that of the rows, so that a task sorts about
+    RANGE_ROWS however many there are, and few rows are still spread over the cores."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartitionByRange(max(n // RANGE_ROWS, min(n // 1024, cores)) + 1, *keys).sortWithinPartitions(*keys)
 
 
 def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]], n: int | None = None, total: int | None = None) -> DataFrame:

@@ -88,3 +88,12 @@ def test_postings_are_counted_within_rows(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(sizes) < 2000  # of 3,000
+
+
+def test_a_task_sorts_no_more_rows_of_a_longer_index(spark, monkeypatch):
+    monkeypatch.setattr(search, "RANGE_ROWS", 500)
+    for n in (3_000, 24_000):
+        rows = spark.range(n).selectExpr("'the' AS term", "id")
+        parts = search.in_order(rows, "term", "id").rdd.glom().collect()
+        assert max(map(len, parts)) < 1_000
+        assert [r["id"] for part in parts for r in part] == list(range(n))
