@@ -25,14 +25,20 @@ SUBSTRING_RANK, SHORT_WINDOW = 1e9, 4096
 BATCH_TOKENS = 1 << 18
 #: Rows of an index that one task sorts and writes.
 RANGE_ROWS = 1 << 20
+#: Bytes that one task joins to search rows: those of the texts, and so many for each asset besides.
+JOIN_BYTES, ASSET_BYTES = 64 << 20, 256
 
 
 def search_rows(cat: Catalog) -> DataFrame:
-    """Each asset with the tokens of its searched columns."""
-    tags = confirmed_tags(cat).groupBy("asset_id").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("tag_text"))
+    """Each asset with the tokens of its searched columns. All that meets is dealt by id to tasks of about JOIN_BYTES,
+    so that a task sorts no more of a longer table, whatever the session's number of shuffle partitions."""
     bodies = cat.base("documents").select((F.col("doc_id") * 2).alias("id"), "text")
-    rows = cat.asset.select("id", "filename", "path").join(tags.withColumnRenamed("asset_id", "id"), "id", "left")
-    rows = rows.join(cat.asset_note.withColumnRenamed("asset_id", "id"), "id", "left").join(bodies, "id", "left")
+    n = join_parts(cat.asset, bodies)
+    dealt = lambda rows: rows.repartition(n, "id")
+    named = dealt(confirmed_tags(cat).withColumnRenamed("asset_id", "id"))
+    tags = named.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("tag_text"))
+    rows = dealt(cat.asset.select("id", "filename", "path")).join(tags, "id", "left")
+    rows = rows.join(dealt(cat.asset_note.withColumnRenamed("asset_id", "id")), "id", "left").join(dealt(bodies), "id", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
     return rows.select(
         "id", F.col("filename").alias("name"), T.plain_tokens(F.col("filename")).alias("filename"), T.name_tokens(F.col("filename")).alias("tokens"), T.plain_tokens(none("tag_text")).alias("tags"),
@@ -40,6 +46,12 @@ def search_rows(cat: Catalog) -> DataFrame:
     )
 
 
+def join_parts(assets: DataFrame, bodies: DataFrame) -> int:
+    """How many tasks join assets with their texts: as many as the bytes ask for, and few bytes are still spread over the cores."""
+    size = assets.count() * ASSET_BYTES + (bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return max(size // JOIN_BYTES, min(size >> 20, assets.sparkSession.sparkContext.defaultParallelism)) + 1
+
+
 def matched(rows: DataFrame, groups: list[list[str]], columns: tuple[str, ...] = tuple(WEIGHTS)) -> Column:
     """Every group matches in some column; different groups may match in different ones."""
 

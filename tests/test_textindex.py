@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lumenshelf.operators import search, textindex
 from lumenshelf.sources.fixtures import Catalog
@@ -97,3 +98,16 @@ def test_a_task_sorts_no_more_rows_of_a_longer_index(spark, monkeypatch):
         parts = search.in_order(rows, "term", "id").rdd.glom().collect()
         assert max(map(len, parts)) < 1_000
         assert [r["id"] for part in parts for r in part] == list(range(n))
+
+
+def test_a_task_joins_no_more_of_longer_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "JOIN_BYTES", 1 << 16)
+    cat = Catalog(spark, sf_dir)
+    texts = cat.base("documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = search.search_rows(cat).groupBy(F.spark_partition_id()).agg(F.sum(F.size("body")).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["rows"] for r in rows) == cat.asset.count()
+    assert len(rows) > texts / (1 << 16) / 2 and max(r["n"] for r in rows) < sum(r["n"] for r in rows) / 4
