@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,27 @@ def removed(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, **options: int) -> DataFrame:
     """Rows written to the shared folder and read again, without the plan that made them."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def short_scans(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs within read at most so many bytes of files in a task, or one row group. A shuffle to over 200 partitions
+    (spark.shuffle.sort.bypassMergeThreshold) holds all rows of a task that it is given."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Conflict(RuntimeError):
     """Another writer has taken the version that this one wanted to publish."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenshelf.functions import text as T
-from lumenshelf.functions.storage import settled
+from lumenshelf.functions.storage import settled, short_scans
 from lumenshelf.functions.workers import map_arrow
 from lumenshelf.operators.projections import confirmed_tags
 from lumenshelf.sources.fixtures import Catalog
@@ -25,6 +25,9 @@ SUBSTRING_RANK, SHORT_WINDOW = 1e9, 4096
 BATCH_TOKENS = 1 << 18
 #: Rows of an index that one task sorts and writes.
 RANGE_ROWS = 1 << 20
+#: Bytes of files that one task reads to deal them to others, about a million postings; and of a row group, the unit
+#: at which a file is cut for that, and which a term or gram leaves unread.
+SCAN_BYTES, ROW_GROUP = 8 << 20, 4 << 20
 #: Bytes that one task joins to search rows: those of the texts, and so many for each asset besides.
 JOIN_BYTES, ASSET_BYTES = 64 << 20, 256
 
@@ -148,7 +151,8 @@ def counted(rows: DataFrame) -> DataFrame:
 def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An inverted index of search rows, each id once: term, id, weight and authored; and what the ranking needs of each
     row: id, name, length. Both read one written table, so that rows are made and counted once."""
-    once = settled(counted(rows))
+    with short_scans(rows.sparkSession, SCAN_BYTES):
+        once = settled(counted(rows), **{"parquet.block.size": ROW_GROUP})
     return once.select("id", F.explode("posts").alias("t")).select("t.term", "id", "t.weight", "t.authored"), once.select("id", "name", "length")
 
 
@@ -160,6 +164,12 @@ def in_order(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(max(n // RANGE_ROWS, min(n // 1024, cores)) + 1, *keys).sortWithinPartitions(*keys)
 
 
+def write_in_order(rows: DataFrame, path: str, *keys: str) -> None:
+    """Write rows in_order. Neither the task that deals rows to the ranges nor that of a range holds more of a longer table."""
+    with short_scans(rows.sparkSession, SCAN_BYTES):
+        in_order(rows, *keys).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 def ranked_by_postings(terms: DataFrame, lengths: DataFrame, groups: list[list[str]], n: int | None = None, total: int | None = None) -> DataFrame:
     """What ``ranked`` gives, from postings: only terms that begin like one of the query's are read, each a
     range of the index, and rows are met by id. The number of rows and their total length may be given; else they are counted."""

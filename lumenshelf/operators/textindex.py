@@ -17,8 +17,6 @@ TIER = 4
 #: Tombstones that are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 GRAM = 3
-#: Bytes of a row group: the unit that a term or gram leaves unread.
-ROW_GROUP = 4 << 20
 
 
 def grams_of(name: Column) -> Column:
@@ -108,7 +106,7 @@ class TextIndex:
         names = {kind: self.versions.part(kind) for kind in ("terms", "rows", "grams")}
 
         def write(table: DataFrame, kind: str, *order: str) -> None:
-            search.in_order(table, *order).write.option("parquet.block.size", ROW_GROUP).parquet(self.versions.at(names[kind]))
+            search.write_in_order(table, self.versions.at(names[kind]), *order)
 
         write(rows, "rows", "id")
         kept = self.spark.read.parquet(self.versions.at(names["rows"]))

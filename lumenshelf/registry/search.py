@@ -161,7 +161,7 @@ def search_postings(c: Catalog) -> DataFrame:
     """The ranking read from an index on disk."""
     terms, lengths = search.postings(search.search_rows(c))
     folder = f"{shared_folder(c.spark)}/postings-{uuid.uuid4().hex}"
-    search.in_order(terms, "term", "id").write.parquet(f"{folder}/terms")
+    search.write_in_order(terms, f"{folder}/terms", "term", "id")
     lengths.write.parquet(f"{folder}/lengths")
     read = c.spark.read.parquet
     return search.ranked_by_postings(read(f"{folder}/terms"), read(f"{folder}/lengths"), T.query_groups(TEXT)).select("id", "tier", F.round("rank", 6).alias("rank"))

@@ -111,3 +111,21 @@ def test_a_task_joins_no_more_of_longer_texts(spark, sf_dir, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(r["rows"] for r in rows) == cat.asset.count()
     assert len(rows) > texts / (1 << 16) / 2 and max(r["n"] for r in rows) < sum(r["n"] for r in rows) / 4
+
+
+def test_a_task_deals_no_more_postings_of_a_longer_table(spark, tmp_path, monkeypatch):
+    """With over 200 ranges Spark keeps all that a task deals to them, so what a task reads must be bounded too."""
+    monkeypatch.setattr(search, "SCAN_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(search, "ROW_GROUP", 1 << 15, raising=False)
+    before, tracker, most = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.sparkContext.statusTracker(), []
+    for n in (2_000, 16_000):
+        words = lambda k: f"transform(sequence(1, {k}), j -> concat('w', xxhash64(id, j)))"
+        rows = spark.range(n).selectExpr("id", "concat('n', id) AS name", *[f"{words(2 if c != 'body' else 8)} AS {c}" for c in search.WEIGHTS])
+        spark.sparkContext.setJobGroup(f"dealt-{n}", "an index is built")
+        found = textindex.TextIndex(spark, str(tmp_path / str(n))).build(rows)
+        stages = {s for j in tracker.getJobIdsForGroup(f"dealt-{n}") for s in tracker.getJobInfo(j).stageIds}
+        most.append(max(i.numTasks for i in map(tracker.getStageInfo, stages) if i))
+        assert found.table("terms").count() == 8 * n and found.table("rows").count() == n
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert most[1] > 4 * most[0] and most[1] > 16
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
